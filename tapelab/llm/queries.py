@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tapelab.llm import bpe, fingerprints, langid, licenses, packing, quality, warc
+from tapelab.llm import bpe, fingerprints, jaccard, langid, licenses, packing, quality, substrings, warc
 from tapelab.llm.common import scratch, table
 
 
@@ -38,15 +37,23 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_packing, op6_byte_bpe, op8_fingerprints, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_packing, op6_byte_bpe, op7_substring_dedup, op8_fingerprints, op9_ngram_jaccard, op10_license_scan)}
 
 ORACLES = {
     "op1_warc": """
@@ -56,4 +63,21 @@ ORACLES = {
                CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first_id <> page_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest""",
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+             dup AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+             gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS j FROM dup),
+             lost AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE [w[k] FOR k IN generate_series(1, len(w)) IF NOT list_contains(js, k)] END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN lost ON d.doc_id = lost.doc_id""",
+    "op9_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i : i + 4], ' ') FOR i IN generate_series(1, len(w) - 4)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM d),
+             n AS (SELECT d.doc_id, count(h) AS n FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id),
+             c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+             l AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+             r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id)
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.root) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n""",
 }
