@@ -112,6 +112,12 @@ def ranks(path: str, pattern: str) -> Ranks:
     return Ranks(path, pattern)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One cache of chunks for all tasks of a worker."""
+    return Encoder(path, pattern)
+
+
 def defaults() -> tuple[str, str]:
     import public_tokenizers
 
@@ -132,7 +138,7 @@ class Encoder:
         for t in texts:
             parts = _CUT.split(t) if t else []
             cut.append(parts[:1] + [" " + x for x in parts[1:]])
-        new = list({c for chunks in cut for c in chunks} - self.seen.keys())
+        new = [c for c in set().union(*cut) if c not in self.seen]
         found = [[x.encode("utf-8", "replace") for x in self.ranks.find(c)] for c in new]
         unique = list({x for xs in found for x in xs})
         ids = dict(zip(unique, self.ranks.encode_all(unique)))
@@ -150,7 +156,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     path, pattern = path or defaults()[0], pattern or defaults()[1]
 
     def run(batches):
-        e = Encoder(path, pattern)
+        e = encoder(path, pattern)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
@@ -178,7 +184,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str |
     path, pattern = path or defaults()[0], pattern or defaults()[1]
 
     def run(batches):
-        e = Encoder(path, pattern)
+        e = encoder(path, pattern)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)

@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: dict, cache_words: int = 300_000) -> DataFra
                 words = [words_of(t) for t in texts]
                 if len(index) > cache_words:
                     index, scores = {}, np.zeros((0, len(langs)))
-                new = list(set().union(*words) - index.keys()) if langs else []
+                new = [w for w in set().union(*words) if w not in index] if langs else []
                 if new:
                     index.update(zip(new, range(len(index), len(index) + len(new))))
                     scores = np.concatenate([scores, word_scores(new, table, model["p"], model["unknown"])])
