@@ -9,7 +9,6 @@ stream leaves in the end is cut into sequences whose lengths are powers of two,
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
@@ -42,69 +41,73 @@ def _tokenizer(path: str):
     return t
 
 
-#: A run of letters (one pre-token, checked by isalpha) with ASCII punctuation behind it (another one).
-_SIMPLE = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+#: ASCII punctuation: behind a run of letters it is a pre-token of its own.
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class WordTokens:
     """Ids of texts by a tokenizer that never joins across blanks: each distinct word is encoded once per (bounded) cache.
 
-    Most words are a run of letters with punctuation behind: two pre-tokens, of which each ends with the only token that
-    carries the end-of-word mark. Such runs are encoded many to a call and cut at those marks; other words one by one.
+    Most words are a run of letters with ASCII punctuation behind: two pre-tokens, of which each ends with the only token
+    that carries the end-of-word mark. Such runs are encoded many to a call, whatever their case, and cut at those marks; other words one by
+    one. Ids are held as bytes (little-endian int32), so a text's ids are one join.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000, cache_bytes: int = 32 << 20):
+    def __init__(self, path: str, cache_words: int = 500_000, cache_bytes: int = 32 << 20):
         self.encode, self.most, self.most_bytes = _tokenizer(path).encode_batch_fast, cache_words, cache_bytes
         vocab = _tokenizer(path).get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._clear()
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+        self.n_bytes = 0
 
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {"": []}
-        self.n_bytes, self.starts, self.lengths, self.flat = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<i4") for x in self.encode(texts, add_special_tokens=False)]
 
-    def _encode_runs(self, runs: list[str], together: int = 200) -> None:
+    def _encode_runs(self, runs: list[bytes], together: int = 200) -> None:
         parts = [runs[k : k + together] for k in range(0, len(runs), together)]
-        for part, got in zip(parts, self.encode([" ".join(p) for p in parts], add_special_tokens=False)):
-            ids = got.ids
-            ends = np.flatnonzero(self.ends[ids]) + 1
+        for part, ids in zip(parts, self._ids([b" ".join(p).decode("utf-8") for p in parts])):
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
             if len(ends) == len(part):
-                self.runs.update((r, ids[i:j]) for r, i, j in zip(part, [0, *ends[:-1].tolist()], ends.tolist()))
+                self.runs.update(zip(part, [data[i:j] for i, j in zip([0, *ends[:-1]], ends)]))
             else:
-                self.runs.update(zip(part, [x.ids for x in self.encode(part, add_special_tokens=False)]))
+                self.runs.update(zip(part, [x.tobytes() for x in self._ids([r.decode("utf-8") for r in part])]))
 
-    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
-        cut: list[tuple[str, str] | str] = []
+    def _encode_words(self, words: list[bytes]) -> None:
+        cut, others = [], []
         for w in words:
-            s = w.decode("utf-8")
-            m = _SIMPLE.fullmatch(s) if len(s) <= 64 else None
-            cut.append((m[1] if "Σ" in s else m[1].lower(), m[2]) if m and m[1].isalpha() else s)
-        self._encode_runs(list({r for x in cut if isinstance(x, tuple) for r in x} - self.runs.keys()))
-        others = [x for x in cut if isinstance(x, str)]
-        found = dict(zip(others, [x.ids for x in self.encode(others, add_special_tokens=False)])) if others else {}
-        return [found[x] if isinstance(x, str) else self.runs[x[0]] + self.runs[x[1]] for x in cut]
+            core = w.rstrip(_PUNCTUATION)
+            if core.isalpha():  # ASCII letters
+                cut.append((w, core.lower(), w[len(core) :]))
+            elif core and len(core) < 200 and (s := core.decode("utf-8")).isalpha():
+                cut.append((w, core if "Σ" in s else s.lower().encode("utf-8"), w[len(core) :]))
+            else:
+                others.append(w)
+        self.runs[b""] = b""
+        self._encode_runs([r for r in {x[1] for x in cut} | {x[2] for x in cut} if r not in self.runs])
+        self.words.update([(w, self.runs[core] + self.runs[tail]) for w, core, tail in cut])
+        if others:
+            self.words.update(zip(others, [x.tobytes() for x in self._ids([w.decode("utf-8") for w in others])]))
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.index) > self.most or self.n_bytes > self.most_bytes:
-            self._clear()
+        if len(self.words) > self.most or self.n_bytes > self.most_bytes:
+            self.words, self.n_bytes = {}, 0
+        if len(self.runs) > self.most or not self.words and self.n_bytes == 0 and sum(map(len, self.runs)) > self.most_bytes:
+            self.runs = {}
         words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = list(set().union(*words) - self.index.keys())
+        new = [w for w in set().union(*words) if w not in self.words]
         if new:
-            ids = self._encode_words(new)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))])
+            self._encode_words(new)
             self.n_bytes += sum(map(len, new))
-        out = []
-        for ws in words:
-            at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            n = self.lengths[at]
-            out.append(self.flat[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-        return out
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<i4") for ws in words]
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One cache for all tasks of a worker."""
+    return WordTokens(path)
 
 
 def best_subset(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -220,7 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         return pa.RecordBatch.from_arrays(cols + [pa.array([r[2] for r in rows], pa.list_(pa.int32()))] * with_ids, names)
 
     def run(batches):
-        tokens, packer = WordTokens(path), Packer(TaskContext.get().partitionId() << 40, capacity, pool)
+        tokens, packer = word_tokens(path), Packer(TaskContext.get().partitionId() << 40, capacity, pool)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
