@@ -30,4 +30,4 @@ def query(name: str, *tables: str, sql: str | None = None):
     return add
 
 
-from tapelab.plans import aggregates, features, fundamentals, joins, labels, projections, statistics, text, walkforward  # noqa: E402, F401
+from tapelab.plans import aggregates, features, flagship, fundamentals, joins, labels, projections, statistics, text, walkforward  # noqa: E402, F401

@@ -1 +1,190 @@
-"""Queries."""
+"""Text tables (TXT) and scalar expressions (SCL) as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tapelab.functions import scalars as sc
+from tapelab.operators import texts as t
+from tapelab.plans.registry import query
+
+def _html_sql(c: str) -> str:
+    c = rf"regexp_replace({c}, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis')"
+    c = rf"regexp_replace({c}, '</t[dh]>', ' | ', 'gi')"
+    c = rf"regexp_replace({c}, '<(br|/p|/div|/tr|/li|/h[1-6])[^>]*>', chr(10), 'gi')"
+    c = rf"regexp_replace({c}, '<[^>]*>', ' ', 'g')"
+    for entity, text in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{text}')"
+    return rf"trim(regexp_replace(regexp_replace({c}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'))"
+
+
+@query("txt1_html_text", "pages", sql=f"SELECT page_id, md5({_html_sql('html')}) AS text_md5, length({_html_sql('html')}) AS chars FROM pages")
+def html_text(pages):
+    x = pages.select("page_id", sc.html_text(F.col("html")).alias("body"))
+    return x.select("page_id", F.md5(F.col("body").cast("binary")).alias("text_md5"), F.char_length("body").cast("long").alias("chars"))
+
+
+@query("txt2_speaker_turns", "conversations", sql=r"SELECT conv_id, turn, role, len(list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '')) AS sentences, length(text) AS chars FROM conversations WHERE trim(text) <> ''")
+def turns(conversations):
+    n = F.size(F.filter(F.split("text", r"[.!?]+"), lambda x: F.trim(x) != ""))
+    return conversations.filter(F.trim("text") != "").select("conv_id", "turn", "role", n.cast("long").alias("sentences"), F.char_length("text").cast("long").alias("chars"))
+
+
+@query("txt3_quarter_from_text", "earnings", sql="SELECT ticker, earnings_date, CAST(extract(YEAR FROM earnings_date) AS VARCHAR) || 'Q' || CAST(extract(QUARTER FROM earnings_date) AS VARCHAR) AS quarter FROM earnings")
+def quarter_from_text(earnings):
+    """Heads are made from the rows (a later, forward-looking mention first), and the label is read back from the text."""
+    names = F.array(*map(F.lit, ("first", "second", "third", "fourth")))
+    word = lambda q: F.element_at(names, q)
+    later = F.concat(F.lit("We expect results for the "), word(F.quarter("earnings_date") % 4 + 1), F.lit(" quarter of "), (F.year("earnings_date") + 1).cast("string"), F.lit(" to improve; please read all of this notice with care before you go on. "))
+    head = F.concat(later, F.lit("Results for the "), word(F.quarter("earnings_date")), F.lit(" quarter of "), F.year("earnings_date").cast("string"), F.lit("."))
+    return t.quarter_from_text(earnings.withColumn("head", head), "head").select("ticker", "earnings_date", "quarter")
+
+
+@query("txt4_best_doc", "documents", sql="SELECT doc_id % 10 AS ticker, lang, max_by(doc_id, (n_chars, doc_id)) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY 1, 2")
+def best_doc(documents):
+    return documents.groupBy((F.col("doc_id") % 10).alias("ticker"), "lang").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"), F.max("n_chars").alias("n_chars"))
+
+
+@query("txt5_discover_people", "documents", sql=r"WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line, string_split(text, chr(10))[i + 1] AS following FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) AS x), c AS (SELECT * FROM l WHERE regexp_full_match(line, '[A-Z][a-z]+( [A-Z][a-z]+){1,3}\.?')) SELECT line AS person, count(*) AS n FROM c GROUP BY line HAVING count(*) >= 2 OR bool_or(contains(coalesce(following, ''), ','))")
+def people(documents):
+    return t.discover_people(documents)
+
+
+WORDS = "(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)"
+
+
+@query("txt6_vocab", "documents", sql=f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {WORDS} AS w GROUP BY word")
+def vocab(documents):
+    return t.vocabulary(documents)
+
+
+ALIASES = (("Acme Rockets", "COMPANY_1"), ("the", "WORD_1"), ("that", "WORD_2"), ("then", "WORD_2"))
+
+
+@query("txt7_alias_table", "benchmark", sql="WITH a AS (SELECT * FROM (VALUES " + ", ".join(map(str, ALIASES)) + ") AS v(alias, placeholder)), p AS (SELECT alias, placeholder FROM a UNION ALL SELECT alias || 's', placeholder FROM a), r AS (SELECT lower(alias) AS alias, placeholder, row_number() OVER (PARTITION BY lower(alias) ORDER BY placeholder) AS k FROM p) SELECT alias, placeholder, length(alias) AS chars, (SELECT count(*) FROM benchmark AS b WHERE contains(lower(b.text), r.alias)) AS passages FROM r WHERE k = 1")
+def aliases(benchmark):
+    """Aliases with their plurals; the first placeholder wins; and how many passages hold each."""
+    a = t.alias_table(benchmark.sparkSession, ALIASES)
+    hits = benchmark.select("item_id", F.lower("text").alias("text")).join(F.broadcast(a), F.contains("text", "alias")).groupBy("alias").agg(F.count(F.lit(1)).alias("hits"))
+    return a.join(hits, "alias", "left").select("alias", "placeholder", F.char_length("alias").cast("long").alias("chars"), F.coalesce("hits", F.lit(0)).alias("passages"))
+
+
+@query("txt8_deidentify", "documents")
+def deidentify(documents):
+    return t.deidentify(documents, dict(ALIASES))
+
+
+@query("txt9_leak_terms", "documents", "benchmark", sql=r"WITH o AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM benchmark), s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM documents WHERE source <> 'src1') SELECT item_id, term FROM o WHERE term NOT IN (SELECT term FROM s)")
+def leaks(documents, benchmark):
+    proper = lambda d, *keep: d.select(*keep, F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), 1)).alias("term")).distinct()
+    return proper(benchmark, "item_id").join(proper(documents.filter("source <> 'src1'")), "term", "left_anti").select("item_id", "term")
+
+
+@query("txt10_candidate_terms", "documents", sql=r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS term FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY term HAVING count(*) >= 5 AND count(DISTINCT doc_id) >= 3 ORDER BY n DESC, term LIMIT 60")
+def candidates(documents):
+    w = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{3,})"), 1)).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    return w.groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs")).filter("n >= 5 and docs >= 3").orderBy(F.desc("n"), "term").limit(60)
+
+
+@query("txt11_snippets", "documents", sql="SELECT term, min(doc_id) AS doc_id, min_by(substr(text, greatest(1, p - 60), length(term) + 120), doc_id) AS snippet FROM (SELECT term, doc_id, text, instr(text, term) AS p FROM documents CROSS JOIN (SELECT unnest(['license', 'License', 'idiot']) AS term) AS v) AS x WHERE p > 0 GROUP BY term")
+def snippets(documents):
+    x = documents.select("doc_id", "text", F.explode(F.array(*map(F.lit, ("license", "License", "idiot")))).alias("term")).withColumn("p", F.instr("text", F.col("term"))).filter("p > 0")
+    cut = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("p") - 60), F.char_length("term") + 120)
+    return x.select("term", "doc_id", cut.alias("snippet")).groupBy("term").agg(F.min("doc_id").alias("doc_id"), F.min_by("snippet", "doc_id").alias("snippet"))
+
+
+@query("txt12_verify_quotes", "documents", "benchmark", sql=r"WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), g AS (SELECT item_id, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM q) AS x), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d) AS x), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id) SELECT g.item_id, dg.doc_id, round(count(*)::DOUBLE / max(n.n), 6) AS share FROM g JOIN dg ON dg.gram = g.gram JOIN n ON n.item_id = g.item_id GROUP BY 1, 2 HAVING count(*)::DOUBLE / max(n.n) >= 0.6")
+def verify_quotes(documents, benchmark):
+    return t.verify_quotes(benchmark, documents)
+
+
+@query("txt13_recognition", "documents", sql=r"SELECT lang, count(*) AS n, round(avg(CASE WHEN regexp_matches(text, '\b(license|License)\b') THEN 1 ELSE 0 END), 6) AS recognised FROM documents GROUP BY lang")
+def recognition(documents):
+    return documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("text").rlike(r"\b(license|License)\b").cast("int")), 6).alias("recognised"))
+
+
+@query("txt14_head_words", "documents", sql="SELECT doc_id, array_to_string(string_split(text, ' ')[1:20], ' ') AS head, left(text, 80) AS head_chars FROM documents")
+def head_words(documents):
+    return documents.select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 20), " ").alias("head"), F.left("text", F.lit(80)).alias("head_chars"))
+
+
+@query("scl1_lenient_number", "documents", sql=r"SELECT doc_id, try_cast(regexp_replace(trim(split_part(text, ' ', 2)), '[,$%\s]', '', 'g') AS DOUBLE) AS number, try_cast(regexp_replace('$' || n_chars || ',000%', '[,$%\s]', '', 'g') AS DOUBLE) AS money FROM documents")
+def numbers(documents):
+    return documents.select("doc_id", sc.lenient_number(F.split_part("text", F.lit(" "), F.lit(2))).alias("number"), sc.lenient_number(F.concat(F.lit("$"), F.col("n_chars").cast("string"), F.lit(",000%"))).alias("money"))
+
+
+@query("scl2_first_json", "events", sql="SELECT event_id, json_extract_string(props, '$.' || (json_keys(props))[1]) AS first_value FROM events WHERE json_valid(props)")
+def first_json(events):
+    """The object after a thought and inside a fence; trailing text is dropped."""
+    reply = F.concat(F.lit("<think>{no}</think>\n```json\n"), F.col("props"), F.lit("\n```"))
+    body = F.regexp_extract(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"(?s)(\{.*\})", 1)
+    key = F.element_at(F.json_object_keys(body), 1)
+    x = events.select("event_id", F.from_json(body, "map<string,string>")[key].alias("first_value"), F.try_parse_json(body).isNotNull().alias("valid"))
+    return x.filter("valid").drop("valid")
+
+
+@query("scl3_clamp", "scored", sql="SELECT ticker, date, round(least(greatest(score, -0.05), 0.05), 6) AS score, CASE WHEN score < -0.05 OR score > 0.05 THEN 'score' ELSE '' END AS clamped FROM scored")
+def clamped(scored):
+    c = sc.clamp(F.col("score"), -0.05, 0.05)
+    return scored.select("ticker", "date", F.round(c, 6).alias("score"), F.array_join(F.array_compact(F.array(F.when(c != F.col("score"), "score"))), ",").alias("clamped"))
+
+
+@query("scl4_nearest_stage", "lineitem", sql="SELECT l_linenumber AS stage, CASE WHEN l_linenumber >= 5 THEN 5 WHEN l_linenumber >= 2 THEN 2 END AS allowed, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def nearest(lineitem):
+    return lineitem.groupBy(F.col("l_linenumber").alias("stage"), sc.nearest_stage_below(F.col("l_linenumber"), (2, 5)).alias("allowed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scl6_quarter_label", "quarters", sql="SELECT ticker, end_date, CAST(extract(YEAR FROM end_date) * 4 + extract(QUARTER FROM end_date) AS INTEGER) AS ordinal, CAST(extract(YEAR FROM end_date + 1) AS VARCHAR) || 'Q' || CAST(extract(QUARTER FROM end_date + 1) AS VARCHAR) AS next_label FROM quarters")
+def labels(quarters):
+    label = F.concat(F.year("end_date").cast("string"), F.lit("Q"), F.quarter("end_date").cast("string"))
+    x = quarters.select("ticker", "end_date", label.alias("label"))
+    return x.select("ticker", "end_date", sc.quarter_ordinal(F.col("label")).alias("ordinal"), sc.next_quarter(F.col("label")).alias("next_label"))
+
+
+@query("scl7_label_number", "news", sql="SELECT article_id, CASE sentiment WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS label, sentiment AS number FROM news")
+def label_number(news):
+    label = F.when(F.col("sentiment") == 1, "positive").when(F.col("sentiment") == -1, "negative").otherwise("neutral")
+    x = news.select("article_id", label.alias("label"))
+    return x.select("article_id", "label", F.when(F.col("label") == "positive", 1).when(F.col("label") == "negative", -1).otherwise(0).alias("number"))
+
+
+@query("scl8_report_time", "events", sql="SELECT event_id, CASE WHEN extract(HOUR FROM ts) >= 12 THEN 'AMC' ELSE 'BMO' END AS report_time FROM events")
+def report_time(events):
+    return events.select("event_id", sc.report_time(F.col("ts")).alias("report_time"))
+
+
+@query("scl9_weekdays", "orders", sql="WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS z FROM orders) SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY)) AS d FROM b) AS x WHERE isodow(d) <= 5")
+def weekdays(orders):
+    b = orders.agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("z"))
+    return b.select(F.explode(F.sequence("a", "z")).alias("day")).filter(F.weekday("day") < 5)
+
+
+@query("scl12_keyword_flags", "documents", sql="SELECT doc_id, contains(lower(text), 'license') OR contains(lower(text), 'version') AS legal, contains(lower(text), 'idiot') OR contains(lower(text), 'worthless') AS rude FROM documents")
+def keywords(documents):
+    hit = lambda *ws: F.lower("text").contains(ws[0]) | F.lower("text").contains(ws[1])
+    return documents.select("doc_id", hit("license", "version").alias("legal"), hit("idiot", "worthless").alias("rude"))
+
+
+@query("scl13_content_hash", "documents", sql="SELECT doc_id, sha256(coalesce(lang, '') || '|' || coalesce(source, '') || '|' || coalesce(text, '')) AS fingerprint FROM documents")
+def fingerprint(documents):
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return documents.select("doc_id", F.sha2(F.concat_ws("|", blank("lang"), blank("source"), blank("text")).cast("binary"), 256).alias("fingerprint"))
+
+
+@query("scl14_year_offsets", "quarters", sql="SELECT ticker, end_date, 'from Y-1 to Y+0 and Y+2, not 12345' AS text FROM quarters")
+def year_offsets(quarters):
+    """Years of a text relative to its own year, in one pass over its tokens."""
+    y = F.year("end_date")
+    text = F.concat(F.lit("from "), (y - 1).cast("string"), F.lit(" to "), y.cast("string"), F.lit(" and "), (y + 2).cast("string"), F.lit(", not 12345"))
+    return quarters.select("ticker", "end_date", t.relative_years(text, y).alias("text"))
+
+
+@query("scl15_growth", "quarters", sql="SELECT ticker, end_date, round(100.0 * net_income / revenue, 2) AS margin_pct FROM quarters")
+def growth(quarters):
+    return quarters.select("ticker", "end_date", F.round(F.try_divide(F.lit(100.0) * F.col("net_income"), F.col("revenue")), 2).alias("margin_pct"))
+
+
+@query("scl16_symbols", "part", sql="SELECT p_partkey, replace(upper(trim(p_brand || '.' || p_size || ' ')), '.', '-') AS symbol FROM part")
+def symbols(part):
+    raw = F.concat("p_brand", F.lit("."), F.col("p_size").cast("string"), F.lit(" "))
+    return part.select("p_partkey", F.replace(F.upper(F.trim(raw)), F.lit("."), F.lit("-")).alias("symbol"))
