@@ -53,3 +53,23 @@ def ascii_lower(col: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it, also inside its lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has a row per key and was aggregated by it, where a key may hold many rows of ``left``.
+
+    An aggregate's output is already dealt by its key, and the join would run in its stage, where Spark can't split a hot
+    key. The first key is therefore compared through an expression: both sides get an exchange of their own (the right
+    one is small), and adaptive execution splits the hot partitions.
+    """
+    names = {c: f"__{c}" for c in on}
+    r = right.select(*(F.col(c).alias(names.get(c, c)) for c in right.columns))
+
+    def own(c: str) -> Column:
+        text = dict(right.dtypes)[on[0]] == "string"
+        return F.concat(F.lit("~"), F.col(c)) if text else F.col(c).bitwiseXOR(F.lit(1))
+
+    match = own(on[0]) == own(names[on[0]])
+    for c in on[1:]:
+        match = match & (F.col(c) == F.col(names[c]))
+    return left.join(r, match, how).drop(*names.values())

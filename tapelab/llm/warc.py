@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapelab.llm.common import hot_join
+
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -131,7 +133,7 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
     body = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     body = body.withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long")})
     first = body.filter(F.col("n_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_key is not null")
-    out = body.join(first.drop("n"), "digest", "left")
+    out = hot_join(body, first.drop("n"), ["digest"], "left")
     out = out.withColumn("revisit", F.expr("first_key is not null and (key is null or key <> first_key)"))
     return out.select("key", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "digest", "n_bytes", F.when(F.col("revisit"), F.col("first_key")).alias("refers_to"), "revisit")
 
@@ -189,7 +191,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                 out, size = [], 0
                 for row in rows(b.column(0)[i].as_py()):
                     out.append(row)
-                    size += 200 + len(row[-1] or b"") * with_payload
+                    size += 200 + (len(row[-1] or b"") if with_payload else 0)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                         out, size = [], 0
