@@ -63,10 +63,10 @@ def barrier_outcome(picks: DataFrame, bars: DataFrame, target: float, stop: floa
 def best_run(bars: DataFrame, n: int, cross: float, min_base: float) -> DataFrame:
     """Per ticker the start with the largest close of the next n bars over its own (ties: earliest), its peak, and when it first passed ``cross`` times the start."""
     t = bars.withColumns({"nth": F.row_number().over(W), "multiple": F.max("close").over(frame(1, n)) / F.col("close")}).filter((F.col("close") >= min_base) & F.col("multiple").isNotNull())
-    pick = t.groupBy("ticker").agg(F.max_by(F.struct("date", "nth", "close", "multiple"), F.struct("multiple", (-F.col("nth")).alias("k"))).alias("s"))
+    pick = t.groupBy("ticker").agg(F.max_by(F.struct("date", "nth", "close", "multiple"), F.struct(F.round("multiple", 9).alias("m"), (-F.col("nth")).alias("k"))).alias("s"))
     picks = pick.select("ticker", F.col("s.nth").alias("entry"), F.col("s.close").alias("base"))
     ratio = F.col("close") / F.col("base")
-    path = path_join(picks, bars, n).groupBy("ticker").agg(F.min_by("date", F.struct((-ratio).alias("r"), "k")).alias("peak_date"), F.min(F.when(ratio >= cross, F.col("date"))).alias("cross_date"))
+    path = path_join(picks, bars, n).groupBy("ticker").agg(F.min_by("date", F.struct((-F.round(ratio, 9)).alias("r"), "k")).alias("peak_date"), F.min(F.when(ratio >= cross, F.col("date"))).alias("cross_date"))
     return pick.join(path, "ticker").select("ticker", F.col("s.date").alias("start_date"), F.col("s.multiple").alias("multiple"), "peak_date", "cross_date")
 
 

@@ -81,7 +81,7 @@ def bars_since_high(bars):
     return t.select("ticker", "date", (F.col("nth") - f.bars_since_high(63)).cast("long").alias("high_nth"))
 
 
-@query("win11_ratios", "bars", sql=f"WITH {s.BASICS} SELECT ticker, date, round({s.full('avg', 'volume', 21)} / {s.full('avg', 'volume', 252)}, 6) AS volume_21_252, round({s.full('avg', 'span', 21)} / {s.full('avg', 'span', 63)}, 6) AS range_21_63 FROM (SELECT *, high - low AS span FROM b) AS x")
+@query("win11_ratios", "bars", sql=f"WITH {s.BASICS} SELECT ticker, date, round({s.full('avg', 'volume', 21)} / {s.full('avg', 'volume', 252)}, 6) AS volume_21_252, round({s.full('avg', 'span', 21)} / nullif({s.full('avg', 'span', 63)}, 0), 6) AS range_21_63 FROM (SELECT *, high - low AS span FROM b) AS x")
 def ratios(bars):
     t = bars.withColumn("span", F.col("high") - F.col("low"))
     return t.select("ticker", "date", r6(f.ratio("volume", 21, 252)).alias("volume_21_252"), r6(f.ratio("span", 21, 63)).alias("range_21_63"))

@@ -116,21 +116,21 @@ def excess(panel, index_bars):
 
 
 @query("lbl14_best_run", "bars", sql=f"""WITH r AS (SELECT ticker, date AS start_date, max(close) OVER {s.over(1, 126)} / close AS multiple, close FROM bars WHERE close >= 1),
-    k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY multiple DESC, start_date) AS nth FROM r WHERE multiple IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(multiple, 9) DESC, start_date) AS nth FROM r WHERE multiple IS NOT NULL),
     p AS (SELECT k.ticker, k.start_date, k.multiple, b.date, row_number() OVER (PARTITION BY k.ticker ORDER BY b.date) AS j, b.close / k.close AS m FROM k JOIN bars AS b ON b.ticker = k.ticker AND b.date > k.start_date WHERE k.nth = 1)
-    SELECT ticker, start_date, round(multiple, 6) AS multiple, min(date) FILTER (m = multiple AND j <= 126) AS peak_date, min(date) FILTER (m >= 1.2 AND j <= 126) AS cross_date FROM p GROUP BY ticker, start_date, multiple""")
+    SELECT ticker, start_date, round(multiple, 6) AS multiple, min(date) FILTER (round(m, 9) = round(multiple, 9) AND j <= 126) AS peak_date, min(date) FILTER (m >= 1.2 AND j <= 126) AS cross_date FROM p GROUP BY ticker, start_date, multiple""")
 def best_run(bars):
     return o.best_run(bars, 126, 1.2, 1.0).select("ticker", "start_date", r6("multiple").alias("multiple"), "peak_date", "cross_date")
 
 
 @query("lbl15_coarse_screen", "bars", sql="""WITH q AS (SELECT ticker, CAST(date_trunc('quarter', date) AS DATE) AS quarter, max(high) AS high, max_by(close, date) AS close FROM bars GROUP BY 1, 2),
     m AS (SELECT ticker, quarter, max(high) OVER (PARTITION BY ticker ORDER BY quarter ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) / close AS multiple FROM q WHERE close >= 1)
-    SELECT ticker, quarter, round(multiple, 6) AS multiple FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY multiple DESC, quarter) AS nth FROM m WHERE multiple >= 1.2) AS x WHERE nth = 1""")
+    SELECT ticker, quarter, round(multiple, 6) AS multiple FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(multiple, 9) DESC, quarter) AS nth FROM m WHERE multiple >= 1.2) AS x WHERE nth = 1""")
 def coarse(bars):
     q = bars.groupBy("ticker", F.to_date(F.date_trunc("quarter", "date")).alias("quarter")).agg(F.max("high").alias("high"), F.max_by("close", "date").alias("close")).filter("close >= 1")
     w = Window.partitionBy("ticker").orderBy("quarter")
     m = q.withColumn("multiple", F.max("high").over(w.rowsBetween(1, 4)) / F.col("close")).filter("multiple >= 1.2")
-    return m.withColumn("nth", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("multiple"), "quarter"))).filter("nth = 1").select("ticker", "quarter", r6("multiple").alias("multiple"))
+    return m.withColumn("nth", F.row_number().over(Window.partitionBy("ticker").orderBy(F.round("multiple", 9).desc(), "quarter"))).filter("nth = 1").select("ticker", "quarter", r6("multiple").alias("multiple"))
 
 
 BARRIER_SQL = f"""WITH {NTH}, p AS (SELECT ticker, nth AS entry, close AS base FROM b WHERE (nth - 1) % 63 = 5),

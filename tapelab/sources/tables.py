@@ -69,7 +69,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS nth, count(*) OVER (PARTITION BY ticker) AS n FROM bars) AS b
         WINDOW w AS (PARTITION BY ticker ORDER BY date)"""),
     "scored": (("panel",), """
-        SELECT ticker, date, close, nth, ret_21, drawdown, fwd_multiple, fwd_ret, CAST(extract(YEAR FROM date) AS INTEGER) AS year, drawdown + ret_21 AS score,
+        SELECT ticker, date, close, nth, round(ret_21, 9) AS ret_21, round(drawdown, 9) AS drawdown, round(fwd_multiple, 9) AS fwd_multiple, round(fwd_ret, 9) AS fwd_ret, CAST(extract(YEAR FROM date) AS INTEGER) AS year, round(drawdown + ret_21, 9) AS score,
                CASE WHEN fwd_multiple >= 1.3 THEN 1 ELSE 0 END AS label
         FROM panel WHERE drawdown IS NOT NULL AND fwd_ret IS NOT NULL AND (nth - 1 - 63) % 21 = 0"""),
 }
