@@ -66,13 +66,13 @@ def ratio(col: str, short: int, long: int) -> Column:
 
 def with_basics(bars: DataFrame) -> DataFrame:
     """nth, prev_close, change, ret_1 and dollar volume on every bar, from one ordering."""
-    prev = F.lag("close").over(W)
+    prev = F.lag("close").over(W())
     return bars.withColumns({"nth": rank_in_key(), "prev_close": prev}).withColumns({"change": F.col("close") - F.col("prev_close"), "ret_1": F.try_divide(F.col("close"), F.col("prev_close")) - 1, "dollar": F.col("close") * F.col("volume")})
 
 
 def segments(bars: DataFrame, max_jump: float) -> DataFrame:
     """``segment``: how many day-to-day jumps beyond the factor came before or at this bar."""
-    r = F.try_divide(F.col("close"), F.lag("close").over(W))
+    r = F.try_divide(F.col("close"), F.lag("close").over(W()))
     jump = F.coalesce(((r > max_jump) | (r < 1 / max_jump)).cast("int"), F.lit(0))
     return bars.withColumn("jump", jump).withColumn("segment", F.sum("jump").over(frame(Window.unboundedPreceding, 0))).drop("jump")
 

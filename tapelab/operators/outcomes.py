@@ -40,7 +40,7 @@ def excess(rows: DataFrame, benchmark: DataFrame, ret: str, bench: str) -> DataF
 
 def path_join(picks: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """Each pick (ticker, entry, base) with its next ``n`` bars and their distance k; an equi join on blocks of n bars."""
-    b = bars.select(F.col("ticker").alias("tk"), F.row_number().over(W).alias("nth"), "date", "open", "high", "low", "close").withColumn("blk", F.floor(F.col("nth") / n))
+    b = bars.select(F.col("ticker").alias("tk"), F.row_number().over(W()).alias("nth"), "date", "open", "high", "low", "close").withColumn("blk", F.floor(F.col("nth") / n))
     p = picks.withColumn("blk", F.explode(F.sequence(F.floor((F.col("entry") + 1) / n), F.floor((F.col("entry") + n) / n))))
     j = p.join(b, (p["ticker"] == b["tk"]) & (p["blk"] == b["blk"])).filter((F.col("nth") > F.col("entry")) & (F.col("nth") <= F.col("entry") + n))
     return j.select("ticker", "entry", "base", (F.col("nth") - F.col("entry")).alias("k"), "date", "open", "high", "low", "close")
@@ -62,7 +62,7 @@ def barrier_outcome(picks: DataFrame, bars: DataFrame, target: float, stop: floa
 
 def best_run(bars: DataFrame, n: int, cross: float, min_base: float) -> DataFrame:
     """Per ticker the start with the largest close of the next n bars over its own (ties: earliest), its peak, and when it first passed ``cross`` times the start."""
-    t = bars.withColumns({"nth": F.row_number().over(W), "multiple": F.max("close").over(frame(1, n)) / F.col("close")}).filter((F.col("close") >= min_base) & F.col("multiple").isNotNull())
+    t = bars.withColumns({"nth": F.row_number().over(W()), "multiple": F.max("close").over(frame(1, n)) / F.col("close")}).filter((F.col("close") >= min_base) & F.col("multiple").isNotNull())
     pick = t.groupBy("ticker").agg(F.max_by(F.struct("date", "nth", "close", "multiple"), F.struct(F.round("multiple", 9).alias("m"), (-F.col("nth")).alias("k"))).alias("s"))
     picks = pick.select("ticker", F.col("s.nth").alias("entry"), F.col("s.close").alias("base"))
     ratio = F.col("close") / F.col("base")

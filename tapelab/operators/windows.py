@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("ticker").orderBy("date")
+def W():  # noqa: N802
+    """A ticker's bars by date. A function, as a window specification needs a running session."""
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def frame(a: int, b: int):
-    return W.rowsBetween(a, b)
+    return W().rowsBetween(a, b)
 
 
 def last_n(n: int):
@@ -24,7 +26,7 @@ def full(agg, col: Column | str, n: int, rows=None) -> Column:
 
 def ret(col: str | Column = "close", n: int = 1) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_divide(c, F.lag(c, n).over(W)) - 1
+    return F.try_divide(c, F.lag(c, n).over(W())) - 1
 
 
 def r6(col: Column | str, digits: int = 6) -> Column:
@@ -32,4 +34,4 @@ def r6(col: Column | str, digits: int = 6) -> Column:
 
 
 def rank_in_key():
-    return F.row_number().over(W)
+    return F.row_number().over(W())

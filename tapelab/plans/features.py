@@ -55,14 +55,14 @@ def volume_z(bars):
         SELECT ticker, date, round({s.lag('cross_')}, 6) AS sma_cross, round({s.lag('rsi')}, 6) AS rsi_14, round({s.lag('roc')}, 6) AS roc_5, round(open / prev_close - 1, 6) AS gap, round({s.lag('day_range')}, 6) AS prev_range FROM x""",
 )
 def daytrade(bars):
-    t = f.with_basics(bars).withColumns({"cross_": f.sma_cross(5, 15), "rsi": f.rsi("change", 14), "roc": F.col("close") / F.lag("close", 5).over(W) - 1, "day_range": (F.col("high") - F.col("low")) / F.col("close")})
-    before = lambda c: r6(F.lag(c).over(W))
+    t = f.with_basics(bars).withColumns({"cross_": f.sma_cross(5, 15), "rsi": f.rsi("change", 14), "roc": F.col("close") / F.lag("close", 5).over(W()) - 1, "day_range": (F.col("high") - F.col("low")) / F.col("close")})
+    before = lambda c: r6(F.lag(c).over(W()))
     return t.select("ticker", "date", before("cross_").alias("sma_cross"), before("rsi").alias("rsi_14"), before("roc").alias("roc_5"), r6(F.col("open") / F.col("prev_close") - 1).alias("gap"), before("day_range").alias("prev_range"))
 
 
 @query("win8_overnight_features", "bars", sql=f"WITH {s.BASICS} SELECT ticker, date, round(close / open - 1, 6) AS day_return, round(close / vwap - 1, 6) AS close_vs_vwap, round({RSI_SQL(14)}, 6) AS rsi_14, round(close / {s.lag('close', 5)} - 1, 6) AS roc_5 FROM b")
 def overnight(bars):
-    return f.with_basics(bars).select("ticker", "date", r6(F.col("close") / F.col("open") - 1).alias("day_return"), r6(F.try_divide("close", "vwap") - 1).alias("close_vs_vwap"), r6(f.rsi("change", 14)).alias("rsi_14"), r6(F.col("close") / F.lag("close", 5).over(W) - 1).alias("roc_5"))
+    return f.with_basics(bars).select("ticker", "date", r6(F.col("close") / F.col("open") - 1).alias("day_return"), r6(F.try_divide("close", "vwap") - 1).alias("close_vs_vwap"), r6(f.rsi("change", 14)).alias("rsi_14"), r6(F.col("close") / F.lag("close", 5).over(W()) - 1).alias("roc_5"))
 
 
 @query(
@@ -100,7 +100,7 @@ def up_ratio(bars):
 
 @query("win14_listing_age", "bars", sql=f"SELECT ticker, date, row_number() OVER ({s.BY}) - 1 AS age FROM bars")
 def listing_age(bars):
-    return bars.select("ticker", "date", (F.row_number().over(W) - 1).cast("long").alias("age"))
+    return bars.select("ticker", "date", (F.row_number().over(W()) - 1).cast("long").alias("age"))
 
 
 @query(
@@ -144,7 +144,7 @@ def price_metrics(bars):
 @query("win19_market_features", "index_bars", sql=f"SELECT date, round(close / lag(close, 126) OVER ({s.BY}) - 1, 6) AS market_126, round({s.full('stddev_samp', 'r', 63)}, 6) AS market_vol_63 FROM (SELECT *, close / lag(close) OVER ({s.BY}) - 1 AS r FROM index_bars) AS x")
 def market(index_bars):
     t = f.with_basics(index_bars.withColumn("volume", F.lit(0.0)))
-    return t.select("date", r6(F.col("close") / F.lag("close", 126).over(W) - 1).alias("market_126"), r6(f.volatility("ret_1", 63)).alias("market_vol_63"))
+    return t.select("date", r6(F.col("close") / F.lag("close", 126).over(W()) - 1).alias("market_126"), r6(f.volatility("ret_1", 63)).alias("market_vol_63"))
 
 
 @query("win20_ttm", "quarters", sql="""SELECT ticker, end_date, CASE WHEN count(*) OVER w = 4 THEN CAST(sum(revenue) OVER w AS BIGINT) END AS ttm_revenue, CASE WHEN count(*) OVER w = 4 THEN CAST(sum(operating_cf - capex) OVER w AS BIGINT) END AS ttm_fcf
@@ -175,7 +175,7 @@ def event_features(earnings, bars):
 
     t = f.with_basics(bars)
     v = F.when(F.count("volume").over(frame(-20, -1)) == 20, F.coalesce(F.try_divide(F.col("volume") - F.avg("volume").over(frame(-20, -1)), F.stddev_samp("volume").over(frame(-20, -1))), F.lit(0.0)))
-    x = t.select("ticker", "nth", (F.col("open") / F.col("prev_close") - 1).alias("gap"), F.col("ret_1").alias("reaction_ret"), (F.col("prev_close") / F.lag("close", 6).over(W) - 1).alias("run_up"), v.alias("volume_z"))
+    x = t.select("ticker", "nth", (F.col("open") / F.col("prev_close") - 1).alias("gap"), F.col("ret_1").alias("reaction_ret"), (F.col("prev_close") / F.lag("close", 6).over(W()) - 1).alias("run_up"), v.alias("volume_z"))
     e = event_to_bar(earnings, t.select("ticker", "date", "nth"))
     j = e.join(x, (x["ticker"] == e["ticker"]) & (x["nth"] == e["reaction"])).filter("reaction > 20")
     return j.select(e["ticker"], "earnings_date", F.col("reaction").cast("long"), *(r6(c).alias(c) for c in ("gap", "reaction_ret", "run_up", "volume_z")))
@@ -190,7 +190,7 @@ def event_buildup(earnings, bars):
     from tapelab.operators.events import event_to_bar
 
     t = f.with_basics(bars)
-    x = t.select("ticker", "nth", F.try_divide(F.avg("volume").over(frame(-5, -1)), F.avg("volume").over(frame(-25, -6))).alias("build_up"), (F.col("prev_close") / F.lag("close", 11).over(W) - 1).alias("run_up_10"))
+    x = t.select("ticker", "nth", F.try_divide(F.avg("volume").over(frame(-5, -1)), F.avg("volume").over(frame(-25, -6))).alias("build_up"), (F.col("prev_close") / F.lag("close", 11).over(W()) - 1).alias("run_up_10"))
     e = event_to_bar(earnings, t.select("ticker", "date", "nth"))
     j = e.join(x, (x["ticker"] == e["ticker"]) & (x["nth"] == e["reaction"])).filter("reaction > 25")
     return j.select(e["ticker"], "earnings_date", F.col("reaction").cast("long"), r6("build_up").alias("build_up"), r6("run_up_10").alias("run_up_10"))
@@ -240,4 +240,4 @@ def adjacent(quarters):
 
 @query("win27_delta_score", "scored", sql="SELECT ticker, date, round(score - lag(score) OVER (PARTITION BY ticker ORDER BY date), 6) AS delta_score FROM scored")
 def delta_score(scored):
-    return scored.select("ticker", "date", r6(F.col("score") - F.lag("score").over(W)).alias("delta_score"))
+    return scored.select("ticker", "date", r6(F.col("score") - F.lag("score").over(W())).alias("delta_score"))

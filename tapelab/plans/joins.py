@@ -28,7 +28,7 @@ def left(quarters, filings, sic):
 @query("jon3_with_market", "scored", "index_bars", sql=f"WITH i AS (SELECT date, close / lag(close, 126) OVER ({s.BY}) - 1 AS m FROM index_bars) SELECT p.ticker, p.date, round(m, 6) AS market_126 FROM scored AS p LEFT JOIN i ON i.date = p.date")
 def with_market(scored, index_bars):
     """The index has one row a day, whatever the number of tickers, so its side is broadcast when statistics show that it fits."""
-    i = index_bars.select("date", (F.col("close") / F.lag("close", 126).over(W) - 1).alias("m"))
+    i = index_bars.select("date", (F.col("close") / F.lag("close", 126).over(W()) - 1).alias("m"))
     return scored.join(i, "date", "left").select("ticker", "date", r6("m").alias("market_126"))
 
 
@@ -74,13 +74,13 @@ def announce(quarters, filings):
 
 @query("jon10_event_to_bar", "earnings", "bars", sql=f"WITH {NTH}, {EVENT_BAR_SQL} SELECT ticker, earnings_date, report_time, bar_at AS at, reaction FROM r")
 def event_bar(earnings, bars):
-    e = event_to_bar(earnings, bars.select("ticker", "date", F.row_number().over(W).alias("nth")))
+    e = event_to_bar(earnings, bars.select("ticker", "date", F.row_number().over(W()).alias("nth")))
     return e.select("ticker", "earnings_date", "report_time", "at", "reaction")
 
 
 @query("jon11_event_to_bar_always", "earnings", "bars", sql=f"WITH {NTH}, {EVENT_BAR_SQL} SELECT ticker, earnings_date, bar_at + CASE WHEN report_time = 'AMC' THEN 1 ELSE 0 END AS reaction FROM r")
 def event_bar_always(earnings, bars):
-    e = event_to_bar(earnings, bars.select("ticker", "date", F.row_number().over(W).alias("nth")), shift_rolled=True)
+    e = event_to_bar(earnings, bars.select("ticker", "date", F.row_number().over(W()).alias("nth")), shift_rolled=True)
     return e.select("ticker", "earnings_date", "reaction")
 
 
@@ -94,7 +94,7 @@ def assign_windows(scored):
 
 @query("jon13_path_join", "bars", sql=f"WITH {NTH}, p AS (SELECT ticker, nth AS entry FROM b WHERE (nth - 1) % 100 = 50) SELECT p.ticker, p.entry, count(*) AS n, round(max(x.high), 6) AS path_high, round(min(x.low), 6) AS path_low FROM p JOIN b AS x ON x.ticker = p.ticker AND x.nth BETWEEN p.entry + 1 AND p.entry + 30 GROUP BY 1, 2")
 def paths(bars):
-    p = bars.withColumn("nth", F.row_number().over(W)).filter("(nth - 1) % 100 = 50").select("ticker", F.col("nth").cast("long").alias("entry"), F.col("close").alias("base"))
+    p = bars.withColumn("nth", F.row_number().over(W())).filter("(nth - 1) % 100 = 50").select("ticker", F.col("nth").cast("long").alias("entry"), F.col("close").alias("base"))
     return path_join(p, bars, 30).groupBy("ticker", "entry").agg(F.count(F.lit(1)).alias("n"), r6(F.max("high")).alias("path_high"), r6(F.min("low")).alias("path_low"))
 
 

@@ -26,20 +26,20 @@ def fwd_time(ticks):
 
 @query("lbl2_fwd_return_bars", "bars", sql=f"SELECT ticker, date, round(lead(close, 10) OVER ({s.BY}) / close - 1, 6) AS fwd_10, CASE WHEN lead(close, 10) OVER ({s.BY}) / close - 1 >= 0.03 THEN 1 ELSE 0 END AS label FROM bars")
 def fwd_bars(bars):
-    fwd = F.lead("close", 10).over(W) / F.col("close") - 1
+    fwd = F.lead("close", 10).over(W()) / F.col("close") - 1
     return bars.select("ticker", "date", r6(fwd).alias("fwd_10"), F.when(fwd >= 0.03, 1).otherwise(0).alias("label"))
 
 
 @query("lbl3_day_and_night", "bars", sql=f"SELECT ticker, date, round(close / open - 1, 6) AS intraday, round(lead(open) OVER ({s.BY}) / close - 1, 6) AS overnight FROM bars")
 def day_night(bars):
-    return bars.select("ticker", "date", r6(F.col("close") / F.col("open") - 1).alias("intraday"), r6(F.lead("open").over(W) / F.col("close") - 1).alias("overnight"))
+    return bars.select("ticker", "date", r6(F.col("close") / F.col("open") - 1).alias("intraday"), r6(F.lead("open").over(W()) / F.col("close") - 1).alias("overnight"))
 
 
 @query("lbl4_event_fwd", "earnings", "bars", sql=f"WITH {NTH}, {EVENT_BAR_SQL} SELECT r.ticker, r.earnings_date, round(c.close / a.close - 1, 6) AS fwd_8 FROM r JOIN b AS a ON a.ticker = r.ticker AND a.nth = r.reaction JOIN b AS c ON c.ticker = r.ticker AND c.nth = r.reaction + 8")
 def event_fwd(earnings, bars):
     from tapelab.operators.events import event_to_bar
 
-    t = bars.withColumns({"nth": F.row_number().over(W), "later": F.lead("close", 8).over(W)})
+    t = bars.withColumns({"nth": F.row_number().over(W()), "later": F.lead("close", 8).over(W())})
     e = event_to_bar(earnings, t.select("ticker", "date", "nth"))
     return e.join(t.select(F.col("ticker").alias("tk"), "nth", "close", "later"), (F.col("tk") == e["ticker"]) & (F.col("nth") == e["reaction"])).filter("later is not null").select("ticker", "earnings_date", r6(F.col("later") / F.col("close") - 1).alias("fwd_8"))
 
@@ -72,8 +72,8 @@ def event_returns(earnings, bars):
     from tapelab.operators.events import event_to_bar
 
     spans = (1, 5, 21, 63)
-    t = bars.withColumn("nth", F.row_number().over(W))
-    path = t.select(F.col("ticker").alias("tk"), (F.col("nth") + 1).alias("at_bar"), "close", F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead("close", h).over(W).alias("later")) for h in spans)).alias("ahead"))
+    t = bars.withColumn("nth", F.row_number().over(W()))
+    path = t.select(F.col("ticker").alias("tk"), (F.col("nth") + 1).alias("at_bar"), "close", F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead("close", h).over(W()).alias("later")) for h in spans)).alias("ahead"))
     e = event_to_bar(earnings, t.select("ticker", "date", "nth")).join(path, (F.col("tk") == F.col("ticker")) & (F.col("at_bar") == F.col("reaction")))
     return e.select("ticker", "earnings_date", "close", F.inline("ahead")).filter("later is not null").select("ticker", "earnings_date", "horizon", r6(F.col("later") / F.col("close") - 1).alias("ret"))
 
@@ -91,7 +91,7 @@ def quarter_label(earnings):
 def announce_return(filings, bars):
     from tapelab.operators.asof import asof_join
 
-    t = bars.select("ticker", "date", "close", F.lead("close", 21).over(W).alias("later"))
+    t = bars.select("ticker", "date", "close", F.lead("close", 21).over(W()).alias("later"))
     j = asof_join(filings, t, "ticker", "filing_date", "date", inclusive=False).filter("match.later is not null")
     return j.select("ticker", "filing_date", r6(F.col("match.later") / F.col("match.close") - 1).alias("ret_21"))
 
@@ -111,7 +111,7 @@ def fwd_months(filings, bars):
 
 @query("lbl12_excess", "panel", "index_bars", sql=f"WITH i AS (SELECT date, lead(close, 63) OVER ({s.BY}) / close - 1 AS bench FROM index_bars) SELECT p.ticker, p.date, round(fwd_ret - bench, 6) AS excess, round(100 * ((1 + fwd_ret) / (1 + bench) - 1), 6) AS relative_pct FROM panel AS p JOIN i ON i.date = p.date WHERE fwd_ret IS NOT NULL AND bench IS NOT NULL")
 def excess(panel, index_bars):
-    i = index_bars.select("date", (F.lead("close", 63).over(W) / F.col("close") - 1).alias("bench"))
+    i = index_bars.select("date", (F.lead("close", 63).over(W()) / F.col("close") - 1).alias("bench"))
     return o.excess(panel.filter("fwd_ret is not null"), i.filter("bench is not null"), "fwd_ret", "bench").select("ticker", "date", r6("excess").alias("excess"), r6("relative_pct").alias("relative_pct"))
 
 
@@ -144,14 +144,14 @@ BARRIER_SQL = f"""WITH {NTH}, p AS (SELECT ticker, nth AS entry, close AS base F
 
 @query("lbl16_barrier_outcome", "bars", sql=BARRIER_SQL)
 def barrier(bars):
-    picks = bars.withColumn("nth", F.row_number().over(W)).filter("(nth - 1) % 63 = 5").select("ticker", F.col("nth").alias("entry"), F.col("close").alias("base"))
+    picks = bars.withColumn("nth", F.row_number().over(W())).filter("(nth - 1) % 63 = 5").select("ticker", F.col("nth").alias("entry"), F.col("close").alias("base"))
     return o.barrier_outcome(picks, bars, 0.15, 0.1, 63).select("ticker", F.col("entry").cast("long"), "outcome", r6("ret").alias("ret"), F.col("held").cast("long").alias("held"))
 
 
 @query("lbl17_barrier_delisted", "bars", sql=BARRIER_SQL.replace("FROM bars)", "FROM bars WHERE NOT (ticker % 8 = 7 AND date > DATE '1998-06-30'))").replace("'short'", "'delisted_timeout'").replace("THEN t.last_close WHEN", "THEN t.last_close * CASE WHEN t.n < 63 THEN 0.5 ELSE 1 END WHEN"))
 def barrier_delisted(bars):
     cut = o.cut_archive(bars)
-    picks = cut.withColumn("nth", F.row_number().over(W)).filter("(nth - 1) % 63 = 5").select("ticker", F.col("nth").alias("entry"), F.col("close").alias("base"))
+    picks = cut.withColumn("nth", F.row_number().over(W())).filter("(nth - 1) % 63 = 5").select("ticker", F.col("nth").alias("entry"), F.col("close").alias("base"))
     return o.barrier_outcome(picks, cut, 0.15, 0.1, 63, haircut=0.5, short="delisted_timeout").select("ticker", F.col("entry").cast("long"), "outcome", r6("ret").alias("ret"), F.col("held").cast("long").alias("held"))
 
 
@@ -171,4 +171,4 @@ def spaced_time(ticks):
 
 @query("lbl20_spaced_points_rows", "bars", sql=f"SELECT ticker, date FROM (SELECT *, row_number() OVER ({s.BY}) AS nth FROM bars) AS x WHERE (nth - 1) % 10 = 0")
 def spaced_rows(bars):
-    return bars.withColumn("nth", F.row_number().over(W)).filter("(nth - 1) % 10 = 0").select("ticker", "date")
+    return bars.withColumn("nth", F.row_number().over(W())).filter("(nth - 1) % 10 = 0").select("ticker", "date")

@@ -28,7 +28,7 @@ def complete(panel):
 
 @query("prj3_sample_every", "bars", sql=f"SELECT ticker, date FROM (SELECT *, row_number() OVER ({s.BY}) AS nth FROM bars) AS x WHERE nth > 60 AND (nth - 1 - 60) % 21 = 0")
 def sample_every(bars):
-    return bars.withColumn("nth", F.row_number().over(W)).filter("nth > 60 and (nth - 1 - 60) % 21 = 0").select("ticker", "date")
+    return bars.withColumn("nth", F.row_number().over(W())).filter("nth > 60 and (nth - 1 - 60) % 21 = 0").select("ticker", "date")
 
 
 @query("prj4_eligible", "bars", sql=f"SELECT ticker, date FROM (SELECT ticker, date, close, CASE WHEN count(close * volume) OVER {s.over(-19, 0)} >= 5 THEN avg(close * volume) OVER {s.over(-19, 0)} END AS dv FROM bars) AS x WHERE close >= 15 AND dv >= 400")
@@ -153,6 +153,6 @@ def except_terms(documents, benchmark):
 @query("set6_arms", "bars", sql=f"WITH {CUT}, d AS (SELECT ticker, max(date) < (SELECT max(date) FROM cut) - 14 AS gone FROM cut GROUP BY ticker), x AS (SELECT c.ticker, c.date, lead(close, 21) OVER (PARTITION BY c.ticker ORDER BY c.date) / close - 1 AS r, gone FROM cut AS c JOIN d ON d.ticker = c.ticker) SELECT round(avg(r), 6) AS mean_all, round(avg(r) FILTER (NOT gone), 6) AS mean_survivors, round(100 * (avg(r) FILTER (NOT gone) - avg(r)), 4) AS difference_pp FROM x")
 def arms(bars):
     cut = outcomes.cut_archive(bars)
-    x = cut.withColumn("r", F.lead("close", 21).over(W) / F.col("close") - 1).join(outcomes.delisted(cut, 14).select("ticker", "delisted"), "ticker")
+    x = cut.withColumn("r", F.lead("close", 21).over(W()) / F.col("close") - 1).join(outcomes.delisted(cut, 14).select("ticker", "delisted"), "ticker")
     kept = F.avg(F.when(~F.col("delisted"), F.col("r")))
     return x.agg(r6(F.avg("r")).alias("mean_all"), r6(kept).alias("mean_survivors"), F.round(100 * (kept - F.avg("r")), 4).alias("difference_pp"))
