@@ -36,8 +36,8 @@ def p_value(r: Column, n: Column) -> Column:
         def one(r, n):
             if n is None or n < 3 or r is None or r != r:
                 return None
-            if abs(r) >= 1:
-                return 0.0
+            if r == 0 or abs(r) >= 1:
+                return float(r == 0)
             a, b, x = (n - 2) / 2, 0.5, 1 - r * r
             front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) if 0 < x < 1 else 0.0
             swap = x >= (a + 1) / (a + b + 2)
