@@ -3,23 +3,23 @@
 Each document is the set of its shingles' hashes; documents of one set are one member. Shingles have one global order
 (those known to be frequent last, then by hash). Two sets of Jaccard similarity t share a shingle in their prefixes, the
 first size - ceil(t * size) + 1 in that order. Members of the same prefix and size are one group. Groups that share a
-prefix shingle are paired, pairs are filtered by size and by what their prefixes have in common, and the
-groups that are left are expanded to members, whose whole sets are compared.
+prefix shingle are paired, and pairs are filtered by size and by what their prefixes have in common.
 
-A shingle that stands in the prefixes of more than LIST members isn't paired off. Its members are a family: families that share a member
-are joined to clusters, clusters are cut by size into blocks, and each pair of blocks whose sizes can match
-is compared in one task, whole sets by matrix products, from which a spanning forest of the links comes back. So every link
-between different texts counts, while no group is held by one task or sent in pairs.
+Groups that are left in pairs are expanded to their members, and what is linked by candidates is one cluster. A cluster is
+cut into blocks by size, and each pair of blocks whose sizes can match is verified in one task: whole sets, by matrix products, from which a
+spanning forest of the links comes back. A shingle that stands in the prefixes of more than LIST members isn't paired off: its
+members join one cluster directly. So every link between different texts counts, each set travels once per pair of blocks
+instead of once per pair, and no group is held by one task or sent in pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import let, stored
+from tapelab.llm.common import hot_join, stored
 from tapelab.llm.components import connected_components
 from tapelab.llm.wordhash import LOWER, Words, batches_of, mix
 
@@ -28,6 +28,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
 LIST = 64
 BLOCK = 512
+#: Even ranks of a prefix at which its place in the global order is kept, for the bound on what two sets share.
+MARKS = 16
 #: Bits of the filter of frequent shingles; when it fills up, the order is only less good.
 FILTER_BITS = 23
 
@@ -97,49 +99,60 @@ def frequent_filter(docs: DataFrame, k: int = SHINGLE, flush: int = 1 << 21) ->
     return out
 
 
+def ordered(texts: list[bytes], frequent: np.ndarray, k: int, num: int, den: int):
+    """Of a batch: sizes, set ids and prefix lengths of the texts; their shingles in the global order, end to end, which are in the prefix, and which are frequent."""
+    h, sizes = shingle_sets(texts, k)
+    ids = set_ids(h, sizes)
+    bit = h >> np.uint64(64 - FILTER_BITS)
+    late = (frequent[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+    # shingles of a text are sorted already: a stable split by ``late`` keeps the order
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(doc * 2 + late, kind="stable")
+    h, late = h[order], late[order]
+    lengths = np.where(sizes > 0, sizes - -(-num * sizes // den) + 1, 0)
+    rank = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return sizes, ids, lengths, h, doc, rank < np.repeat(lengths, sizes), late
+
+
 def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """token, grp, member, size: each token of each prefix. ``docs``: text."""
+    """token, member, size: each token of each prefix; a set that repeats in a batch counts once."""
 
     def run(batches):
         for b in batches:
             texts = encoded(b.column(0))
             for i, j in batches_of(texts):
-                h, sizes = shingle_sets(texts[i:j], k)
-                ids = set_ids(h, sizes)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                bit = h >> np.uint64(64 - FILTER_BITS)
-                late = (frequent[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
-                order = np.lexsort((h, late, doc))
-                h = h[order]
-                lengths = np.where(sizes > 0, sizes - -(-num * sizes // den) + 1, 0)
+                sizes, ids, _, h, doc, inside, _ = ordered(texts[i:j], frequent, k, num, den)
                 keep = np.zeros(len(sizes), bool)
                 keep[np.unique(ids, return_index=True)[1]] = True
-                lengths = np.where(keep, lengths, 0)
-                rank = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                sel = rank < np.repeat(lengths, sizes)
-                doc, h = doc[sel], h[sel]
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
-                ends = np.cumsum(lengths)
-                group = mix(total[ends] - total[ends - lengths] ^ sizes.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(group[doc].view(np.int64)), pa.array(ids[doc].view(np.int64)), pa.array(sizes[doc].astype(np.int32))], ["token", "grp", "member", "size"])
+                inside &= keep[doc]
+                doc, h = doc[inside], h[inside]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc].view(np.int64)), pa.array(sizes[doc].astype(np.int32))], ["token", "member", "size"])
 
-    return docs.select("text").mapInArrow(run, "token long, grp long, member long, size int")
+    return docs.select("text").mapInArrow(run, "token long, member long, size int")
 
 
-def members_of(docs: DataFrame, k: int, carry: list[str]) -> DataFrame:
-    """carry..., key (of the text), member (hash of the shingle set; null without words), n_shingles."""
+def members_of(docs: DataFrame, frequent: np.ndarray, carry: list[str], k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """carry..., key (of the text), member (hash of the shingle set; null without words), grp (of its prefix and size), n_shingles, marks."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches):
         for b in batches:
             texts = encoded(b.column(len(carry)))
             for i, j in batches_of(texts):
-                h, sizes = shingle_sets(texts[i:j], k)
-                ids = set_ids(h, sizes).view(np.int64)
+                sizes, ids, lengths, h, _, inside, late = ordered(texts[i:j], frequent, k, num, den)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h[inside]))])
+                ends = np.cumsum(lengths)
+                group = mix(total[ends] - total[ends - lengths] ^ sizes.astype(np.uint64)).view(np.int64)
+                # places in the global order, as signed numbers, at MARKS even ranks of the prefix
+                place = ((h >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))) ^ np.uint64(1 << 63)
+                ranks = -(-np.arange(1, MARKS + 1) * lengths[:, None] // MARKS)
+                at = np.where(ranks > 0, (np.cumsum(sizes) - sizes)[:, None] + ranks - 1, 0).ravel()
+                flat = place[at] if len(place) else np.zeros(len(at), np.uint64)
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) + 1, MARKS, dtype=np.int32)), pa.array(flat.view(np.int64)))
                 cols = [b.column(c).slice(i, j - i) for c in range(len(carry))] + [b.column(len(carry) + 1).slice(i, j - i)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, mask=sizes == 0), pa.array(sizes.astype(np.int64))], [*carry, "key", "member", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids.view(np.int64), mask=sizes == 0), pa.array(group), pa.array(sizes.astype(np.int64)), marks], [*carry, "key", "member", "grp", "n_shingles", "marks"])
 
-    schema = ", ".join(f"{c} {fields[c]}" for c in carry) + (", " if carry else "") + "key long, member long, n_shingles long"
+    schema = ", ".join(f"{c} {fields[c]}" for c in carry) + (", " if carry else "") + "key long, member long, grp long, n_shingles long, marks array<long>"
     return docs.select(*carry, "text", F.xxhash64("text").alias("key")).mapInArrow(run, schema)
 
 
@@ -183,74 +196,62 @@ def compare_block(members: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]
     return [(int(members[x]), int(members[y])) for x, y in forest(len(sets), left[a], right[b]) if x != y]
 
 
-def links(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = LIST, block: int = BLOCK) -> DataFrame:
-    """a, b: links between members (different shingle sets) whose closure is that of all links. ``docs``: text."""
-    frequent = frequent_filter(docs, k)
+def links(docs: DataFrame, members: DataFrame, frequent: np.ndarray, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = LIST, block: int = BLOCK) -> DataFrame:
+    """a, b: links between members (different shingle sets) whose closure is that of all links. ``docs``: text; ``members``: of the same rows."""
     rows = prefixes(docs, frequent, k, num, den)
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("low"), F.max("member").alias("high")).filter("low <> high").select("token", "n", "low")
-    shared = stored(rows.join(counts, "token").distinct(), "prefixes")
-
-    # short lists: pairs of groups, filtered, then expanded to members
-    lists = shared.filter(F.col("n") <= most)
-    grouped = lists.select("token", "grp", "size").distinct()
+    twice = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    # a set that several batches hold counts once from here on, so that copies don't make a list long
+    shared = stored(hot_join(rows, twice, ["token"], "left_semi").distinct(), "prefixes")
+    lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("low"), F.max("member").alias("high")).filter("low <> high")
+    of_group = members.filter("member is not null").select("member", "grp").distinct()
+    shared = hot_join(shared, lists.select("token", "n", "low"), ["token"]).join(of_group, "member")
+
+    # short lists: pairs of groups, filtered by size and by common prefix shingles
+    grouped = shared.filter(F.col("n") <= most).select("token", "grp", "size").distinct()
     other = grouped.select("token", F.col("grp").alias("grp2"), F.col("size").alias("size2"))
-    fits = (num * F.greatest("size", "size2") <= den * F.least("size", "size2")) & (F.col("grp") <= F.col("grp2"))
+    fits = (num * F.greatest("size", "size2") <= den * F.least("size", "size2")) & (F.col("grp") < F.col("grp2"))
     pairs = grouped.join(other, "token").filter(fits).select("grp", "grp2", "size", "size2").distinct()
     arrays = shared.groupBy("grp").agg(F.collect_set("token").alias("tokens"))
     pairs = pairs.join(arrays, "grp").join(arrays.select(F.col("grp").alias("grp2"), F.col("tokens").alias("tokens2")), "grp2")
+    first = members.filter("member is not null").groupBy("grp").agg(F.min("member").alias("rep"), F.first("marks").alias("marks"))
+    pairs = pairs.join(first, "grp").join(first.select(F.col("grp").alias("grp2"), F.col("rep").alias("rep2"), F.col("marks").alias("marks2")), "grp2")
     prefix = lambda s: F.col(s) - F.ceil(num * F.col(s) / den) + 1
-    # whichever prefix ends first, what is common and not in both prefixes lies behind it
-    bound = F.size(F.array_intersect("tokens", "tokens2")) + F.greatest(F.col("size") - prefix("size"), F.col("size2") - prefix("size2"))
-    pairs = pairs.filter(bound * (den + num) >= num * (F.col("size") + F.col("size2"))).select("grp", "grp2")
-    members = shared.select("grp", "member").distinct()
-    candidates = pairs.join(members, "grp").join(members.select(F.col("grp").alias("grp2"), F.col("member").alias("member2")), "grp2").filter((F.col("grp") != F.col("grp2")) | (F.col("member") < F.col("member2")))
-    candidates = stored(candidates.select("member", "member2").filter("member <> member2").distinct(), "candidates")
-
-    # long lists: families, joined to clusters, and cut into blocks by size
-    long = shared.filter(F.col("n") > most).select("member", "low", "size").distinct()
-    clusters = connected_components(long.select(F.col("member").alias("a"), F.col("low").alias("b")))
-    sized = long.select("member", "size").distinct().join(clusters, F.col("member") == F.col("node")).select("member", "size", "root")
-
-    wanted = candidates.select("member").unionByName(candidates.select(F.col("member2").alias("member"))).unionByName(sized.select("member")).distinct()
-    # one text of each wanted member, whose set is computed again
-    of = members_of(docs, k, []).filter("member is not null").groupBy("member").agg(F.min("key").alias("key"))
-    chosen = of.join(wanted, "member").select("key", "member").distinct()
-    texts = docs.select(F.xxhash64("text").alias("key"), "text")
 
-    def to_sets(batches):
-        for b in batches:
-            bodies, ids = encoded(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
-            for i, j in batches_of(bodies):
-                h, sizes = shingle_sets(bodies[i:j], k)
-                own = set_ids(h, sizes).view(np.int64) == ids[i:j]
-                lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), lists_], ["member", "shingles"]).filter(pa.array(own))
+    def behind(size: str, marks: str, end: Column) -> Column:
+        """How many shingles of a set can at most lie behind a place of the order."""
+        return F.col(size) - F.ceil(F.size(F.filter(marks, lambda m: m <= end)) * prefix(size) / MARKS)
+
+    # the prefix that ends first holds all that is common up to its end; the rest lies behind that place in both sets
+    last, last2 = F.element_at("marks", -1), F.element_at("marks2", -1)
+    end = F.least(last, last2)
+    bound = F.size(F.array_intersect("tokens", "tokens2")) + F.least(behind("size", "marks", end), behind("size2", "marks2", end))
+    pairs = pairs.filter(bound * (den + num) >= num * (F.col("size") + F.col("size2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
-    sets = stored(texts.join(chosen, "key").select("text", "member").mapInArrow(to_sets, "member long, shingles array<long>").dropDuplicates(["member"]), "sets")
+    # expansion: paired groups, members of a group, and members of a long list become one cluster
+    within = of_group.join(first.drop("marks"), "grp").filter("member <> rep").select(F.col("member").alias("a"), F.col("rep").alias("b"))
+    long = shared.filter(F.col("n") > most).select(F.col("member").alias("a"), F.col("low").alias("b"))
+    clusters = connected_components(pairs.unionByName(within).unionByName(long))
 
-    second = sets.select(F.col("member").alias("member2"), F.col("shingles").alias("shingles2"))
-    common = F.size(F.array_intersect("shingles", "shingles2"))
-    judged = candidates.join(sets, "member").join(second, "member2")
-    test = let(common, lambda c: den * c >= num * (F.size("shingles") + F.size("shingles2") - c))
-    near = judged.filter(test).select(F.col("member").alias("a"), F.col("member2").alias("b"))
+    facts = members.filter("member is not null").groupBy("member").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"))
+    return _verify(docs, facts.join(clusters, F.col("member") == F.col("node")).select("member", "key", "size", "root"), k, num, den, block)
 
-    return near.unionByName(_families(sized, sets, num, den, block))
 
+def _verify(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
+    """Links within clusters (member, key, size, root): every pair of blocks that can match, compared in a task of its own.
 
-def _families(sized: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links within clusters: every pair of size blocks that can match, compared in a task of its own."""
-    # blocks: by cluster and size class (sizes of a class differ by less than a quarter), cut further by hash
-    level = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    rows = sized.withColumn("level", level)
-    cells = rows.groupBy("root", "level").agg(F.count(F.lit(1)).alias("n"))
-    parts = cells.select("root", "level", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    A cluster of at most ``block`` members is one block. Larger ones are cut into classes of sizes that differ by less than
+    the factor den / num, so that sets can match in their own and the next class only, and classes are cut by hash.
+    """
+    total = rows.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
+    rows = hot_join(rows, total, ["root"])
+    level = F.when(F.col("total") <= block, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int"))
+    rows = stored(rows.select("member", "key", "root", level.alias("level")), "clusters")
+    parts = rows.groupBy("root", "level").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     own = parts.select("root", "level", F.col("parts").alias("own_parts"))
     after = parts.select("root", (F.col("level") - 1).alias("level"), F.col("parts").alias("next_parts"))
     before = parts.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("last_parts"))
-    # a size can match its own class and the next ones: larger by the factor den/num at most
     plan = own.join(after, ["root", "level"], "left").join(before, ["root", "level"], "left").na.fill(0)
-    part = F.pmod(F.xxhash64("member"), F.col("own_parts")).cast("int")
-    placed = rows.join(plan, ["root", "level"]).withColumn("part", part)
+    placed = hot_join(rows, plan, ["root", "level"]).withColumn("part", F.pmod(F.xxhash64("member"), F.col("own_parts")).cast("int"))
 
     def named(la, pa_, lb, pb, side):
         return F.struct(la.alias("la"), pa_.alias("pa"), lb.alias("lb"), pb.alias("pb"), F.lit(side).alias("side"))
@@ -263,29 +264,51 @@ def _families(sized: DataFrame, sets: DataFrame, num: int, den: int, block: int)
         F.transform(upto(F.col("next_parts")), lambda q: named(lv, p, lv + 1, q, 0)),
         F.transform(upto(F.col("last_parts")), lambda q: named(lv - 1, q, lv, p, 1)),
     )
-    spread = placed.select("root", "member", F.explode(jobs).alias("job")).select("root", "job.*", "member").join(sets, "member")
+    wanted = placed.select("key", "member", "root", jobs.alias("jobs"))
+
+    def to_sets(batches):
+        for b in batches:
+            bodies, ids = encoded(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+            for i, j in batches_of(bodies):
+                h, sizes = shingle_sets(bodies[i:j], k)
+                lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h.view(np.int64)))
+                own_ = set_ids(h, sizes).view(np.int64) == ids[i:j]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in (1, 2, 3)), lists_], ["member", "root", "jobs", "shingles"]).filter(pa.array(own_))
+
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key").dropDuplicates(["key", "member"])
+    job = "struct<la:int,pa:int,lb:int,pb:int,side:int>"
+    sets = texts.select("text", "member", "root", "jobs").mapInArrow(to_sets, f"member long, root long, jobs array<{job}>, shingles array<long>")
+    spread = sets.select("root", "member", "shingles", F.explode("jobs").alias("job")).select("root", "job.*", "member", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, sides = table["member"].to_numpy(), table["side"].to_numpy()
-        lists = [np.asarray(x, np.int64) for x in table["shingles"].to_pylist()]
-        found = compare_block(ids, sides, lists, num, den) if len(ids) > 1 and ((sides == 0).all() or (sides == 0).any()) else []
+        lists = table["shingles"].combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        whole = [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+        found = compare_block(ids, sides, whole, num, den) if len(ids) > 1 and (sides == 0).any() else []
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return spread.groupBy("root", "la", "pa", "lb", "pb").applyInArrow(compare, "a long, b long")
 
 
-def components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+def members_with_roots(rows: DataFrame, carry: list[str], k: int, num: int, den: int, most: int = LIST, block: int = BLOCK) -> DataFrame:
+    """carry..., n_shingles, root: a component's id as a hash; null for texts without words."""
+    frequent = frequent_filter(rows, k)
+    members = stored(members_of(rows, frequent, carry, k, num, den), "members")
+    roots = connected_components(links(rows.select("text"), members, frequent, k, num, den, most, block))
+    return members.join(roots, F.col("member") == F.col("node"), "left").select(*carry, "n_shingles", F.coalesce("root", "member").alias("root"))
+
+
+def components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = LIST, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the least doc_id that links reach.
 
     Documents of fewer words than a shingle are one shingle; null, empty and blank texts have none and are linked with nothing, not even with each other. Rows that
     repeat are linked. A row without doc_id is a member like any other; its component's id is the least id there is, or null.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    roots = connected_components(links(rows.select("text"), k, num, den))
-    member = members_of(rows, k, ["doc_id"]).join(roots, F.col("member") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "member").alias("root"))
-    member = stored(member, "members")
+    member = stored(members_with_roots(rows, ["doc_id"], k, num, den, most, block), "roots")
     least = member.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return member.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return hot_join(member, least, ["root"], "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -294,9 +317,7 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int =
     Rows without words are linked with nothing and all stay.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
-    roots = connected_components(links(rows.select("text"), k, num, den))
-    member = members_of(rows, k, ["doc_id", "row_key"]).join(roots, F.col("member") == F.col("node"), "left").select("doc_id", "row_key", F.coalesce("root", "member").alias("root"))
-    member = stored(member, "members")
+    member = stored(members_with_roots(rows, ["doc_id", "row_key"], k, num, den), "roots")
     best = member.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("best"))
     keep = best.select("best.row_key", F.lit(True).alias("one")).unionByName(member.filter("root is null").select("row_key", F.lit(False).alias("one")).distinct())
     carried = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
