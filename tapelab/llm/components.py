@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import stored
+from tapelab.llm.common import hot_join, stored
 
 MAX_ROUNDS = 60
 
@@ -22,9 +22,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = hot_join(both, least, ["v"]).filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("u").alias("x"), "v", "m")
+        small = hot_join(large, least, ["v"]).select(F.col("u").alias("x"), "v", "m")
         small = small.filter("x <> m").select(F.col("x").alias("v"), F.col("m").alias("u")).unionByName(small.select("v", F.col("m").alias("u"))).filter("v <> u").distinct()
         edges = stored(small, "links")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import stored
+from tapelab.llm.common import hot_join, stored
 from tapelab.llm.wordhash import Words, batches_of, mix
 
 WINDOW, ANCHOR = 35, 9
@@ -87,10 +87,10 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """
     found = places(keyed, window, anchor)
     common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    kept = stored(found.join(common, "anchor", "left_semi"), "blocks")
+    kept = stored(hot_join(found, common, ["anchor"], "left_semi"), "blocks")
     # the index: how often each block stands, and where it stands first
     index = kept.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("reference"))
-    parsed = kept.join(index, ["anchor", "block"])
+    parsed = hot_join(kept, index, ["block", "anchor"])
     whole = parsed.filter("n > 1").select("key", "at")
     # at the boundaries of factors: windows of blocks that stand once, and, to compare with, of one of each block that stands more often
     check = parsed.filter("n = 1 or (key = reference.key and at = reference.at)").select("key", F.struct("at", (F.col("n") > 1).alias("known")).alias("place"))
@@ -117,7 +117,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     joined = keyed.join(lists, "key").select("text", "key", "todo")
     checked = joined.mapInArrow(windows, "h1 long, h2 long, key long, at long, known boolean")
     again = checked.groupBy("h1", "h2").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    single = checked.filter("not known").join(again, ["h1", "h2"], "left_semi").select("key", "at")
+    single = hot_join(checked.filter("not known"), again, ["h1", "h2"], "left_semi").select("key", "at")
     return whole.unionByName(single).groupBy("key").agg(F.collect_set("at").alias("ranges"))
 
 
