@@ -3,20 +3,22 @@
 Each document is the set of its shingles' hashes; documents of one set are one member. Shingles have one global order
 (those known to be frequent last, then by hash). Two sets of Jaccard similarity t share a shingle in their prefixes, the
 first size - ceil(t * size) + 1 in that order. Members of the same prefix and size are one group. Groups that share a
-prefix shingle are paired, and pairs are filtered by size and by what their prefixes have in common.
+prefix shingle are paired, and pairs are filtered by size and by how many prefix shingles they share. Lists of shingles that
+aren't known to be frequent are made in one exchange by shingle; the frequent ones are summed before they are dealt.
 
 Groups that are left in pairs are expanded to their members, and what is linked by candidates is one cluster. A cluster is
 cut into blocks by size, and each pair of blocks whose sizes can match is verified in one task: whole sets, by matrix products, from which a
-spanning forest of the links comes back. A shingle that stands in the prefixes of more than LIST members isn't paired off: its
-members join one cluster directly. So every link between different texts counts, each set travels once per pair of blocks
-instead of once per pair, and no group is held by one task or sent in pairs.
+spanning forest of the links comes back. A shingle that stands in the prefixes of more than LIST groups isn't paired off: its
+groups join one cluster directly. So every link between different texts counts, each text travels (compressed) once per pair of
+blocks instead of once per pair, and no group is held by one task or sent in pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelab.llm.common import hot_join, stored
@@ -28,8 +30,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
 LIST = 64
 BLOCK = 512
-#: Even ranks of a prefix at which its place in the global order is kept, for the bound on what two sets share.
-MARKS = 16
+#: Keys that a task remembers, so as to send a text that repeats in it once.
+REMEMBERED = 1 << 16
 #: Bits of the filter of frequent shingles; when it fills up, the order is only less good.
 FILTER_BITS = 23
 
@@ -114,25 +116,33 @@ def ordered(texts: list[bytes], frequent: np.ndarray, k: int, num: int, den: int
     return sizes, ids, lengths, h, doc, rank < np.repeat(lengths, sizes), late
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """token, member, size: each token of each prefix; a set that repeats in a batch counts once."""
+def group_ids(h: np.ndarray, inside: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each text's prefix and size."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h[inside]))])
+    ends = np.cumsum(lengths)
+    return mix(total[ends] - total[ends - lengths] ^ sizes.astype(np.uint64))
+
+
+def prefixes(docs: DataFrame, frequent: np.ndarray, often: bool, k: int, num: int, den: int) -> DataFrame:
+    """token, grp, size: the tokens of each group's prefix that are known to be frequent (``often``) or aren't; a group that repeats in a batch counts once."""
 
     def run(batches):
         for b in batches:
             texts = encoded(b.column(0))
             for i, j in batches_of(texts):
-                sizes, ids, _, h, doc, inside, _ = ordered(texts[i:j], frequent, k, num, den)
+                sizes, _, lengths, h, doc, inside, late = ordered(texts[i:j], frequent, k, num, den)
+                groups = group_ids(h, inside, lengths, sizes)
                 keep = np.zeros(len(sizes), bool)
-                keep[np.unique(ids, return_index=True)[1]] = True
-                inside &= keep[doc]
+                keep[np.unique(groups, return_index=True)[1]] = True
+                inside = inside & keep[doc] & (late == np.uint32(often))
                 doc, h = doc[inside], h[inside]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc].view(np.int64)), pa.array(sizes[doc].astype(np.int32))], ["token", "member", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(groups[doc].view(np.int64)), pa.array(sizes[doc].astype(np.int32))], ["token", "grp", "size"])
 
-    return docs.select("text").mapInArrow(run, "token long, member long, size int")
+    return docs.select("text").mapInArrow(run, "token long, grp long, size int")
 
 
 def members_of(docs: DataFrame, frequent: np.ndarray, carry: list[str], k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """carry..., key (of the text), member (hash of the shingle set; null without words), grp (of its prefix and size), n_shingles, marks."""
+    """carry..., key (of the text), member (hash of the shingle set; null without words), grp (of its prefix and size), n_shingles, last (the prefix's end in the global order)."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches):
@@ -140,19 +150,16 @@ def members_of(docs: DataFrame, frequent: np.ndarray, carry: list[str], k: int =
             texts = encoded(b.column(len(carry)))
             for i, j in batches_of(texts):
                 sizes, ids, lengths, h, _, inside, late = ordered(texts[i:j], frequent, k, num, den)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h[inside]))])
-                ends = np.cumsum(lengths)
-                group = mix(total[ends] - total[ends - lengths] ^ sizes.astype(np.uint64)).view(np.int64)
-                # places in the global order, as signed numbers, at MARKS even ranks of the prefix
+                group = group_ids(h, inside, lengths, sizes).view(np.int64)
+                # the place in the global order, as a signed number
                 place = ((h >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))) ^ np.uint64(1 << 63)
-                ranks = -(-np.arange(1, MARKS + 1) * lengths[:, None] // MARKS)
-                at = np.where(ranks > 0, (np.cumsum(sizes) - sizes)[:, None] + ranks - 1, 0).ravel()
-                flat = place[at] if len(place) else np.zeros(len(at), np.uint64)
-                marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) + 1, MARKS, dtype=np.int32)), pa.array(flat.view(np.int64)))
+                at = np.where(sizes > 0, np.cumsum(sizes) - sizes + lengths - 1, 0)
+                last = place[at] if len(place) else np.zeros(len(at), np.uint64)
                 cols = [b.column(c).slice(i, j - i) for c in range(len(carry))] + [b.column(len(carry) + 1).slice(i, j - i)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids.view(np.int64), mask=sizes == 0), pa.array(group), pa.array(sizes.astype(np.int64)), marks], [*carry, "key", "member", "grp", "n_shingles", "marks"])
+                out = [*cols, pa.array(ids.view(np.int64), mask=sizes == 0), pa.array(group), pa.array(sizes.astype(np.int64)), pa.array(last.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(out, [*carry, "key", "member", "grp", "n_shingles", "last"])
 
-    schema = ", ".join(f"{c} {fields[c]}" for c in carry) + (", " if carry else "") + "key long, member long, grp long, n_shingles long, marks array<long>"
+    schema = ", ".join(f"{c} {fields[c]}" for c in carry) + (", " if carry else "") + "key long, member long, grp long, n_shingles long, last long"
     return docs.select(*carry, "text", F.xxhash64("text").alias("key")).mapInArrow(run, schema)
 
 
@@ -198,42 +205,35 @@ def compare_block(members: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]
 
 def links(docs: DataFrame, members: DataFrame, frequent: np.ndarray, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = LIST, block: int = BLOCK) -> DataFrame:
     """a, b: links between members (different shingle sets) whose closure is that of all links. ``docs``: text; ``members``: of the same rows."""
-    rows = prefixes(docs, frequent, k, num, den)
-    twice = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    # a set that several batches hold counts once from here on, so that copies don't make a list long
-    shared = stored(hot_join(rows, twice, ["token"], "left_semi").distinct(), "prefixes")
-    lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("low"), F.max("member").alias("high")).filter("low <> high")
-    of_group = members.filter("member is not null").select("member", "grp").distinct()
-    shared = hot_join(shared, lists.select("token", "n", "low"), ["token"]).join(of_group, "member")
-
-    # short lists: pairs of groups, filtered by size and by common prefix shingles
-    grouped = shared.filter(F.col("n") <= most).select("token", "grp", "size").distinct()
+    rare = prefixes(docs, frequent, False, k, num, den).repartition("token").distinct()
+    own = Window.partitionBy("token")
+    rare = stored(rare.select("*", F.count(F.lit(1)).over(own).alias("n"), F.min("grp").over(own).alias("low")).filter("n > 1"), "rare")
+    often = stored(prefixes(docs, frequent, True, k, num, den).distinct(), "often")
+    lists = often.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("low")).filter("n > 1")
+    shared = rare.unionByName(hot_join(often, lists, ["token"]))
+
+    # short lists: pairs of groups, filtered by size and by the number of common prefix shingles. A frequent shingle that
+    # isn't counted here brings both groups into one cluster anyway.
+    grouped = shared.filter(F.col("n") <= most).select("token", "grp", "size")
     other = grouped.select("token", F.col("grp").alias("grp2"), F.col("size").alias("size2"))
     fits = (num * F.greatest("size", "size2") <= den * F.least("size", "size2")) & (F.col("grp") < F.col("grp2"))
-    pairs = grouped.join(other, "token").filter(fits).select("grp", "grp2", "size", "size2").distinct()
-    arrays = shared.groupBy("grp").agg(F.collect_set("token").alias("tokens"))
-    pairs = pairs.join(arrays, "grp").join(arrays.select(F.col("grp").alias("grp2"), F.col("tokens").alias("tokens2")), "grp2")
-    first = members.filter("member is not null").groupBy("grp").agg(F.min("member").alias("rep"), F.first("marks").alias("marks"))
-    pairs = pairs.join(first, "grp").join(first.select(F.col("grp").alias("grp2"), F.col("rep").alias("rep2"), F.col("marks").alias("marks2")), "grp2")
-    prefix = lambda s: F.col(s) - F.ceil(num * F.col(s) / den) + 1
-
-    def behind(size: str, marks: str, end: Column) -> Column:
-        """How many shingles of a set can at most lie behind a place of the order."""
-        return F.col(size) - F.ceil(F.size(F.filter(marks, lambda m: m <= end)) * prefix(size) / MARKS)
+    pairs = grouped.join(other, "token").filter(fits).groupBy("grp", "grp2", "size", "size2").agg(F.count(F.lit(1)).alias("common"))
 
     # the prefix that ends first holds all that is common up to its end; the rest lies behind that place in both sets
-    last, last2 = F.element_at("marks", -1), F.element_at("marks2", -1)
-    end = F.least(last, last2)
-    bound = F.size(F.array_intersect("tokens", "tokens2")) + F.least(behind("size", "marks", end), behind("size2", "marks2", end))
-    pairs = pairs.filter(bound * (den + num) >= num * (F.col("size") + F.col("size2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-
-    # expansion: paired groups, members of a group, and members of a long list become one cluster
-    within = of_group.join(first.drop("marks"), "grp").filter("member <> rep").select(F.col("member").alias("a"), F.col("rep").alias("b"))
-    long = shared.filter(F.col("n") > most).select(F.col("member").alias("a"), F.col("low").alias("b"))
-    clusters = connected_components(pairs.unionByName(within).unionByName(long))
-
-    facts = members.filter("member is not null").groupBy("member").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"))
-    return _verify(docs, facts.join(clusters, F.col("member") == F.col("node")).select("member", "key", "size", "root"), k, num, den, block)
+    behind = lambda s: F.ceil(num * F.col(s) / den) - 1
+    enough = lambda more: (F.col("common") + more) * (den + num) >= num * (F.col("size") + F.col("size2"))
+    pairs = pairs.filter(enough(F.greatest(behind("size"), behind("size2"))))
+    ends = members.filter("member is not null").groupBy("grp").agg(F.first("last").alias("last"))
+    pairs = pairs.join(ends, "grp").join(ends.select(F.col("grp").alias("grp2"), F.col("last").alias("last2")), "grp2")
+    rest = F.when(F.col("last") < F.col("last2"), behind("size")).when(F.col("last") > F.col("last2"), behind("size2")).otherwise(F.least(behind("size"), behind("size2")))
+    pairs = pairs.filter(enough(rest)).select(F.col("grp").alias("a"), F.col("grp2").alias("b"))
+
+    # expansion: the members of paired groups, of one group, and of a long list become one cluster
+    long = shared.filter(F.col("n") > most).select(F.col("grp").alias("a"), F.col("low").alias("b"))
+    clusters = connected_components(pairs.unionByName(long)).select(F.col("node").alias("grp"), "root")
+    facts = members.filter("member is not null").groupBy("member").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("grp").alias("grp"))
+    rows = hot_join(facts, clusters, ["grp"], "left").select("member", "key", "size", F.coalesce("root", "grp").alias("root"))
+    return _verify(docs, rows, k, num, den, block)
 
 
 def _verify(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
@@ -242,7 +242,7 @@ def _verify(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int, block:
     A cluster of at most ``block`` members is one block. Larger ones are cut into classes of sizes that differ by less than
     the factor den / num, so that sets can match in their own and the next class only, and classes are cut by hash.
     """
-    total = rows.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
+    total = rows.groupBy("root").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
     rows = hot_join(rows, total, ["root"])
     level = F.when(F.col("total") <= block, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int"))
     rows = stored(rows.select("member", "key", "root", level.alias("level")), "clusters")
@@ -266,25 +266,33 @@ def _verify(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int, block:
     )
     wanted = placed.select("key", "member", "root", jobs.alias("jobs"))
 
-    def to_sets(batches):
+    def to_bodies(batches):
+        pack, seen = zstandard.ZstdCompressor().compress, set()
         for b in batches:
-            bodies, ids = encoded(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
-            for i, j in batches_of(bodies):
-                h, sizes = shingle_sets(bodies[i:j], k)
-                lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                own_ = set_ids(h, sizes).view(np.int64) == ids[i:j]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in (1, 2, 3)), lists_], ["member", "root", "jobs", "shingles"]).filter(pa.array(own_))
-
-    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key").dropDuplicates(["key", "member"])
-    job = "struct<la:int,pa:int,lb:int,pb:int,side:int>"
-    sets = texts.select("text", "member", "root", "jobs").mapInArrow(to_sets, f"member long, root long, jobs array<{job}>, shingles array<long>")
-    spread = sets.select("root", "member", "shingles", F.explode("jobs").alias("job")).select("root", "job.*", "member", "shingles")
+            keys, new = b.column(0).to_pylist(), []
+            for at, key in enumerate(keys):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(at)
+            if len(seen) > REMEMBERED:
+                seen = set()
+            bodies = [pack(t) for t in encoded(b.column(1).take(pa.array(new, pa.int64())))]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[at] for at in new], pa.int64()), pa.array(bodies, pa.binary())], ["key", "body"])
+
+    bodies = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(to_bodies, "key long, body binary")
+    bodies = bodies.join(wanted, "key").dropDuplicates(["key", "member"])
+    spread = bodies.select("root", "member", "body", F.explode("jobs").alias("job")).select("root", "job.*", "member", "body")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, sides = table["member"].to_numpy(), table["side"].to_numpy()
-        lists = table["shingles"].combine_chunks()
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        whole = [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+        ids, sides, unpack = table["member"].to_numpy(), table["side"].to_numpy(), zstandard.ZstdDecompressor().decompress
+        texts = [unpack(x) for x in table["body"].to_pylist()]
+        whole = []
+        for i, j in batches_of(texts):
+            h, sizes = shingle_sets(texts[i:j], k)
+            right = set_ids(h, sizes).view(np.int64) == ids[i:j]  # another text of the same key has no part in this
+            whole += [x if ok else None for x, ok in zip(np.split(h, np.cumsum(sizes)[:-1]), right)]
+        good = np.array([x is not None for x in whole], bool)
+        ids, sides, whole = ids[good], sides[good], [x for x in whole if x is not None]
         found = compare_block(ids, sides, whole, num, den) if len(ids) > 1 and (sides == 0).any() else []
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
