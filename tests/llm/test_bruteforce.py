@@ -94,6 +94,21 @@ def test_packing_ids(spark, docs):
     assert room == 0
 
 
+def test_packing_ids_of_marks(spark):
+    """Marks within and between words, against the library as it comes from its file."""
+    from tokenizers import Tokenizer
+
+    tok, end, start = Tokenizer.from_file(packing.default_tokenizer()), "<|endoftext|>", "<|startoftext|>"
+    texts = [f"one {end} two", f"one{end}two", f"{start}{end}", f"({end}).", f"{start} Über,{end}\n{end} x.", f"ONE {end.upper()} Two", "one <|endoftext| > two", f" {end}{end} ", "plain words, no mark"]
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[0] == [637, 49407, 1237, 1]
+    got = defaultdict(dict)
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect():
+        got[r["doc_id"]] |= dict(enumerate(r["ids"], r["start"]))
+        assert r["doc_tokens"] == len(want[r["doc_id"]])
+    assert {i: [x for _, x in sorted(own.items())] for i, own in got.items()} == want
+
+
 def test_best_subset_is_best():
     import itertools
     import random
