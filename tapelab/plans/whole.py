@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapelab.operators import walkforward as wf
 from tapelab.operators.asof import asof_join
+from tapelab.operators.fresh import fingerprint, fresh_rows
 from tapelab.operators.windows import r6
 from tapelab.plans.features import QL
 from tapelab.plans.incremental import _at
@@ -70,3 +71,10 @@ def price_cache(bars):
     at = _at(bars.sparkSession, "cache")
     files.write_price_cache(bars, at, 16)
     return files.read_price_cache(bars.sparkSession, at, 16).select("ticker", "date", r6("close").alias("close"))
+
+
+@query("jon18_fresh_rows_all", "documents", "labels", sql="WITH stored AS (SELECT l.doc_id, l.quality, sha256(d.text) AS fingerprint FROM labels AS l JOIN documents AS d ON d.doc_id = l.doc_id) SELECT doc_id, quality FROM stored AS s WHERE EXISTS (SELECT 1 FROM documents AS d WHERE d.doc_id = s.doc_id AND sha256(d.text) = s.fingerprint)")
+def fresh(documents, labels):
+    """Labels are stored with the fingerprint of the text that they were given for: here the given table's, so all are fresh."""
+    stored = labels.join(documents.select("doc_id", fingerprint(F.col("text")).alias("fingerprint")), "doc_id")
+    return fresh_rows(stored, documents, "doc_id", "text").select("doc_id", "quality")

@@ -2,7 +2,10 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 import tapelab.plans.registry  # noqa: F401  (loads the plans in their order)
+from tapelab.operators.fresh import fingerprint, fresh_rows
 from tapelab.plans import whole
 
 D = dt.date
@@ -48,3 +51,14 @@ def test_files_of_every_ticker(spark):
     want = rows(bars, "ticker", "date")
     assert rows(whole.vendor_daily(bars), "ticker", "date") == want
     assert rows(whole.price_cache(bars), "ticker", "date") == want
+
+
+def test_fresh_rows_by_fingerprint(spark):
+    old = [(i, f"text {i}") for i in range(20)]
+    stored = spark.createDataFrame(old, "doc_id long, text string").select("doc_id", fingerprint(F.col("text")).alias("fingerprint"), (F.col("doc_id") % 2).alias("quality"))
+    now = [(i, t + " changed" if i in (3, 8) else t) for i, t in old if i != 5] + [(30, "text 5"), (31, None)]
+    current = spark.createDataFrame(now, "doc_id long, text string")
+    fresh = [i for i in range(20) if i not in (3, 5, 8)]
+    assert rows(fresh_rows(stored, current, "doc_id", "text").select("doc_id", "quality"), "doc_id") == [(i, i % 2) for i in fresh]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality long")
+    assert [r[0] for r in rows(whole.fresh(current, labels), "doc_id")] == [i for i in range(20) if i != 5]
