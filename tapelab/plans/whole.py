@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tapelab.operators import outcomes as o
 from tapelab.operators import walkforward as wf
 from tapelab.operators.asof import asof_join
 from tapelab.operators.fresh import fingerprint, fresh_rows
-from tapelab.operators.windows import r6
+from tapelab.operators.windows import W, r6
 from tapelab.plans.features import QL
 from tapelab.plans.incremental import _at
+from tapelab.plans.labels import NTH
 from tapelab.plans.registry import query
 from tapelab.plans.walkforward import SPAN, WINS_SQL
 from tapelab.sources import files
@@ -78,3 +80,37 @@ def fresh(documents, labels):
     """Labels are stored with the fingerprint of the text that they were given for: here the given table's, so all are fresh."""
     stored = labels.join(documents.select("doc_id", fingerprint(F.col("text")).alias("fingerprint")), "doc_id")
     return fresh_rows(stored, documents, "doc_id", "text").select("doc_id", "quality")
+
+
+def _entries(bars):
+    """Every bar as an entry; the last of a ticker has no bar behind it, and so no path."""
+    return bars.select("ticker", F.row_number().over(W()).cast("long").alias("entry"), F.col("close").alias("base"))
+
+
+@query("jon13_path_join_all", "bars", sql=f"WITH {NTH} SELECT p.ticker, p.nth AS entry, count(*) AS n, round(max(x.high), 6) AS path_high, round(min(x.low), 6) AS path_low FROM b AS p JOIN b AS x ON x.ticker = p.ticker AND x.nth BETWEEN p.nth + 1 AND p.nth + 30 GROUP BY 1, 2")
+def paths(bars):
+    return o.path_join(_entries(bars), bars, 30).groupBy("ticker", "entry").agg(F.count(F.lit(1)).alias("n"), r6(F.max("high")).alias("path_high"), r6(F.min("low")).alias("path_low"))
+
+
+BARRIER_SQL = f"""WITH {NTH}, p AS (SELECT ticker, nth AS entry, close AS base FROM b),
+    path AS (SELECT p.*, x.nth - p.entry AS k, x.open, x.high, x.low, x.close FROM p JOIN b AS x ON x.ticker = p.ticker AND x.nth BETWEEN p.entry + 1 AND p.entry + 63),
+    hit AS (SELECT *, row_number() OVER (PARTITION BY ticker, entry ORDER BY k) AS f FROM path WHERE low <= base * 0.9 OR high >= base * 1.15),
+    tail AS (SELECT ticker, entry, max_by(close, k) AS last_close, max(k) AS n FROM path GROUP BY 1, 2)
+    SELECT p.ticker, p.entry, CASE WHEN h.k IS NULL THEN CASE WHEN t.n < 63 THEN 'short' ELSE 'timeout' END WHEN h.low <= p.base * 0.9 THEN 'stop' ELSE 'target' END AS outcome,
+           round(CASE WHEN h.k IS NULL THEN t.last_close WHEN h.low <= p.base * 0.9 THEN least(p.base * 0.9, h.open) ELSE greatest(p.base * 1.15, h.open) END / p.base - 1, 6) AS ret, coalesce(h.k, t.n) AS held
+    FROM p JOIN tail AS t ON t.ticker = p.ticker AND t.entry = p.entry LEFT JOIN hit AS h ON h.ticker = p.ticker AND h.entry = p.entry AND h.f = 1"""
+
+
+def _outcomes(bars, **delisted):
+    t = o.barrier_outcome(_entries(bars), bars, 0.15, 0.1, 63, **delisted)
+    return t.select("ticker", "entry", "outcome", r6("ret").alias("ret"), F.col("held").cast("long").alias("held"))
+
+
+@query("lbl16_barrier_outcome_all", "bars", sql=BARRIER_SQL)
+def barrier(bars):
+    return _outcomes(bars)
+
+
+@query("lbl17_barrier_delisted_all", "bars", sql=BARRIER_SQL.replace("FROM bars)", "FROM bars WHERE NOT (ticker % 8 = 7 AND date > DATE '1998-06-30'))").replace("'short'", "'delisted_timeout'").replace("THEN t.last_close WHEN", "THEN t.last_close * CASE WHEN t.n < 63 THEN 0.5 ELSE 1 END WHEN"))
+def barrier_delisted(bars):
+    return _outcomes(o.cut_archive(bars), haircut=0.5, short="delisted_timeout")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 import tapelab.plans.registry  # noqa: F401  (loads the plans in their order)
@@ -62,3 +63,31 @@ def test_fresh_rows_by_fingerprint(spark):
     assert rows(fresh_rows(stored, current, "doc_id", "text").select("doc_id", "quality"), "doc_id") == [(i, i % 2) for i in fresh]
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality long")
     assert [r[0] for r in rows(whole.fresh(current, labels), "doc_id")] == [i for i in range(20) if i != 5]
+
+
+def test_every_bar_is_an_entry(spark):
+    """Short tickers, and steps that hit the stop, the target or nothing; against plain loops."""
+    series = {1: [100.0, 100.0], 2: [100.0, 120.0, 80.0, 81.0, 82.0], 3: [50.0 + 10 * ((i * i) % 7 == 3) + i / 9 for i in range(80)], 7: [100.0] * 70, 9: [5.0]}
+    data = [(t, D(1998, 6, 1) + dt.timedelta(days=i), c - 0.5, c + 1, c - 1, c) for t, cs in series.items() for i, c in enumerate(cs)]
+    bars = spark.createDataFrame(data, "ticker long, date date, open double, high double, low double, close double")
+
+    def expected(archive, haircut, short):
+        out = []
+        for t in series:
+            b = [r for r in archive if r[0] == t]
+            for e in range(len(b) - 1):
+                base, path = b[e][5], b[e + 1 : e + 64]
+                price, what, held = path[-1][5] * (haircut if len(path) < 63 else 1), short if len(path) < 63 else "timeout", len(path)
+                for k, (_, _, open_, high, low, _) in enumerate(path, 1):
+                    if low <= base * (1 - 0.1) or high >= base * (1 + 0.15):
+                        stop = low <= base * (1 - 0.1)
+                        price, what, held = (min(base * (1 - 0.1), open_), "stop", k) if stop else (max(base * (1 + 0.15), open_), "target", k)
+                        break
+                out.append((t, e + 1, what, price / base - 1, held))
+        return out
+
+    got = lambda df: [(*r[:3], pytest.approx(r[3], abs=1e-6), r[4]) for r in rows(df, "ticker", "entry")]
+    assert got(whole.barrier(bars)) == expected(data, 1, "short")
+    assert got(whole.barrier_delisted(bars)) == expected([r for r in data if r[0] % 8 != 7 or r[1] <= D(1998, 6, 30)], 0.5, "delisted_timeout")
+    want = [(t, e + 1, len(cs[e + 1 : e + 31]), round(max(cs[e + 1 : e + 31]) + 1, 6), round(min(cs[e + 1 : e + 31]) - 1, 6)) for t, cs in series.items() for e in range(len(cs) - 1)]
+    assert rows(whole.paths(bars), "ticker", "entry") == want
