@@ -1,9 +1,9 @@
 """Threshold-scaled sketches, in DataFrame functions alone.
 
-A document's sketch is every hash of its word shingles below a fixed share of the hash range. Sketches of parts merge
-by union, and because all use the same threshold, containment and likeness can be estimated between documents of very
-unequal length. The printed fingerprint begins with a digest of the text, so texts too short to have a hash below the
-threshold still have fingerprints of their own.
+A document's sketch is every hash of its word shingles below a fixed share of the hash range. The share is the whole range
+by default: short texts have few shingles, and a share of them loses their likeness. Sketches of parts merge by union, and
+because all use the same threshold, containment and likeness hold between documents of very unequal length. The printed
+fingerprint begins with a digest of the text, so texts without a hash have fingerprints of their own.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tapelab.llm.common import BLANKS, let
 
 SHINGLE = 5
-#: One shingle hash in so many is kept.
-SCALE = 8
+#: One shingle hash in so many is kept: all.
+SCALE = 1
 DOCS_PER_BUCKET = 1000
 MAX_BUCKETS = 1 << 16
 
@@ -26,24 +26,24 @@ def words(text: Column) -> Column:
 
 def sketch(text: Column, k: int = SHINGLE, scale: int = SCALE) -> Column:
     """Sorted distinct shingle hashes below the threshold. Texts of 1 to k-1 words are one shingle; without words: none."""
-    limit = -(2**63) + 2**64 // scale
+    limit = -(2**63) + 2**64 // scale - 1
 
     def of(ws: Column) -> Column:
         n = F.greatest(F.size(ws) - (k - 1), F.least(F.size(ws), F.lit(1)))
         hashes = F.transform(F.slice(ws, F.lit(1), n), lambda w, i: F.xxhash64(w, *(F.get(ws, i + j) for j in range(1, k))))
-        return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < limit)))
+        return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h <= limit)))
 
     return let(words(text), of)
 
 
 def likeness(a: Column, b: Column, same: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches; without any hash on either side, whether the texts are the same."""
+    """Jaccard similarity of two sketches (an estimate where SCALE is above 1); without any hash on either side, whether the texts are the same."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when(either == 0, same.cast("double")).otherwise(both / F.greatest(either, F.lit(1)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has; null where ``a`` has no hash."""
+    """Share of ``a``'s shingles that ``b`` has; null where ``a`` has no hash."""
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(a))
 
 
@@ -99,15 +99,15 @@ def fingerprint_edits(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) ->
     """
     digest = lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 16)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), sketch(text, k, scale).alias("hashes"))
-    rows = with_next(rows, "doc_id", ["text", "hashes"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = with_next(rows, "doc_id", ["text"])  # texts are shipped alone: hashes take longer to ship than to make
     half = F.floor(F.char_length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next.text"), F.lit(1), half)))
-    rows = rows.withColumn("edited_hashes", sketch(F.col("edited"), k, scale))
+    rows = rows.withColumns({"hashes": sketch(F.col("text"), k, scale), "next_hashes": sketch(F.col("next.text"), k, scale), "edited_hashes": sketch(F.col("edited"), k, scale)})
     return rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         printed(digest(F.col("text")), F.col("hashes")).alias("fingerprint"), printed(digest(F.col("edited")), F.col("edited_hashes")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), F.col("edited_hashes"), F.col("text") == F.col("edited")).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next.hashes"), F.col("text") == F.col("next.text")).alias("near_next"),
+        likeness(F.col("hashes"), F.col("next_hashes"), F.col("text") == F.col("next.text")).alias("near_next"),
         containment(F.col("hashes"), F.col("edited_hashes")).alias("edited_holds"),
     )

@@ -196,6 +196,27 @@ def test_containment_of_unequal_documents(spark):
     assert r["x"] == 1.0 and r["m"] == r["a"]
 
 
+def cased_shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+
+def test_likeness_of_texts_of_every_length(spark, docs):
+    """No pair is left out, and one middle word changed in texts of 1 to 60 words."""
+    texts = [t for _, t, _ in docs] + [" ".join(f"w{n}x{i}" for i in range(n)) for n in range(1, 61)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = by_id(fingerprints.fingerprint_edits(d))
+    for i, text in enumerate(texts):
+        nxt, h = texts[i - 1], len(text) // 2
+        a, b, c = (cased_shingles(x) for x in (text, text[: len(text) - h] + nxt[:h], nxt))
+        assert got[i]["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and got[i]["near_next"] == pytest.approx(len(a & c) / len(a | c)) and got[i]["edited_holds"] == pytest.approx(len(a & b) / len(a))
+    pairs = [(t, " ".join("other" if k == len(t.split()) // 2 else x for k, x in enumerate(t.split()))) for t in texts[-60:]]
+    both = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprints.likeness(fingerprints.sketch(fingerprints.F.col("a")), fingerprints.sketch(fingerprints.F.col("b")), fingerprints.F.lit(False)).alias("x"))
+    for r in both.collect():
+        a, b = cased_shingles(r["a"]), cased_shingles(r["b"])
+        assert r["x"] == pytest.approx(len(a & b) / len(a | b))
+
+
 def test_pipeline_stages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     columns, rows = d.columns, {}
