@@ -1,12 +1,14 @@
-"""Repeated passages by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Repeated passages by counts of content-defined blocks and of windows, in place of a relative Lempel-Ziv parse.
 
 Every window of WINDOW words has a rarest place: the ANCHOR-word run in it with the least hash, the leftmost of equals.
 Neighbouring windows with the same place are one block, so blocks depend on their own words only and equal passages are
-cut into equal blocks but for their ends. Blocks are the references: they are indexed by the hash of all their words.
+cut into equal blocks but for their ends. Blocks are indexed by the hash of all their words.
 
-A document is factored against that index from left to right. A block that stands somewhere else too is a factor
-as a whole. At the boundaries of factors, where a block's anchor is found elsewhere but the block isn't, its windows are
-checked one by one against those of every other block with that anchor. Factors and windows found are at least WINDOW words, and join to spans.
+There is no parse: no greedy longest match, and no order. Counts by hash stand in its place. A block that stands somewhere
+else too is repeated as a whole. Where a block's anchor is found elsewhere but the block isn't, its windows are counted one
+by one with those of the other blocks with that anchor. Blocks and windows found are at least WINDOW words, and join to
+spans. A word is removed if a window that covers it stands twice, which the counts tell in full; a parse would need the
+reference's text in the task that reads the document, and its factors would depend on the order of the corpus.
 
 Nothing is sent in pairs: anchors, blocks and windows are counted by hash (partial sums first, so a passage that a third of
 all rows share is as cheap as any), and the counts are joined back to places, a join that splits skewed keys.
@@ -92,7 +94,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     index = kept.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("reference"))
     parsed = hot_join(kept, index, ["block", "anchor"])
     whole = parsed.filter("n > 1").select("key", "at")
-    # at the boundaries of factors: windows of blocks that stand once, and, to compare with, of one of each block that stands more often
+    # windows of blocks that stand once, and, to compare with, of one of each block that stands more often
     check = parsed.filter("n = 1 or (key = reference.key and at = reference.at)").select("key", F.struct("at", (F.col("n") > 1).alias("known")).alias("place"))
     lists = check.groupBy("key").agg(F.collect_set("place").alias("todo"))
 
