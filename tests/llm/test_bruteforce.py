@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -76,7 +77,9 @@ def test_rules_keep_good_documents(spark):
 
 
 def test_packing_ids(spark, docs):
-    tok = packing._tokenizer(packing.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
     ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t, _ in docs}
     pieces, at, room = defaultdict(list), defaultdict(list), 0
     for r in queries.op5_packing(spark, SF).collect():
@@ -133,10 +136,15 @@ def test_bpe_equals_tiktoken(spark, docs):
     for i, text, _ in docs:
         ids = enc.encode_ordinary(text)
         assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-    rng, e = random.Random(5), bpe.Encoder(path, pattern)
+    rng, e = random.Random(5), bpe.Encoder(path, pattern, cache_chunks=2000)
     odd = ["".join(rng.choice("ab '\n\t 1é.ſ\x1c　日🙂s") for _ in range(rng.randint(0, 50))) for _ in range(2000)] + ["a" * 1000, "abc" * 400, "ab" * 300 + "c" * 301, "日本" * 200]
-    for text, chunks in zip(odd, e.batch(odd)):
-        assert [x for c in chunks for x in c[0].tolist()] == enc.encode_ordinary(text), repr(text)
+    odd += ["".join(rng.choice("ab \n") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    odd += ["".join(rng.choice(["the ", "ing", "a", "th", "\n", "sh", "  "]) for _ in range(rng.randint(0, 12))) for _ in range(1000)]
+    odd += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[:k]) for _ in range(n)) for k in (1, 2, 5, 26) for n in (*range(bpe.LONG - 12, bpe.LONG + 12), 2000)]
+    rng.shuffle(odd)
+    for k in range(0, len(odd), 256):
+        for text, ids in zip(odd[k : k + 256], e.batch(odd[k : k + 256])):
+            assert np.frombuffer(ids, "<i4").tolist() == enc.encode_ordinary(text), repr(text)
 
 
 def shingles(text):
