@@ -9,14 +9,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Texts can be long: batches that go to Python workers are bounded in bytes, not only in rows.
+BATCH_BYTES = "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Arrow batches of BATCH_BYTES, unless its configuration names another size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.sparkContext.getConf().contains(key):
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) gets a new folder; on a cluster a folder of one machine would lose rows, so that fails.
+    """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-tapelab-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -32,7 +50,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = scratch(spark, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Deletes tables written by :func:`stored` once nothing that is still to run reads them."""
+    for df in dfs:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import hot_join, stored
+from tapelab.llm.common import forget, hot_join, stored
 
 MAX_ROUNDS = 60
 
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = hot_join(large, least, ["v"]).select(F.col("u").alias("x"), "v", "m")
         small = small.filter("x <> m").select(F.col("x").alias("v"), F.col("m").alias("u")).unionByName(small.select("v", F.col("m").alias("u"))).filter("v <> u").distinct()
-        edges = stored(small, "links")
+        edges, spent = stored(small, "links"), edges
+        forget(spent)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == before:
             break

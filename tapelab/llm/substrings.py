@@ -21,11 +21,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapelab.llm.common import hot_join, stored
-from tapelab.llm.wordhash import Words, batches_of, mix
+from tapelab.llm.wordhash import Words, mix, text_parts
 
 WINDOW, ANCHOR = 35, 9
 #: A place packs a block's first word and its number of words.
@@ -60,34 +60,30 @@ def cut_blocks(w: Words, window: int, anchor: int):
     return doc, first - w.first[doc], words, grams[place[first]], w.run(first, words)
 
 
-def _encoded(column) -> list[bytes]:
-    return [(t or "").encode("utf-8", "replace") for t in column.to_pylist()]
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def places(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def places(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str | Column = "text") -> DataFrame:
     """anchor, block, key, at: every block of every text."""
 
     def run(batches):
         for b in batches:
-            texts, keys = _encoded(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
-            for i, j in batches_of(texts):
-                doc, first, words, a, block = cut_blocks(Words(texts[i:j]), window, anchor)
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            for i, j, texts in text_parts(b.column(1)):
+                doc, first, words, a, block = cut_blocks(Words(texts), window, anchor)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([_signed(a), _signed(block), pa.array(keys[i:j][doc]), pa.array((first << _BITS) | words)], ["anchor", "block", "key", "at"])
 
-    return keyed.select("key", "text").mapInArrow(run, "anchor long, block long, key long, at long")
+    return keyed.select("key", text).mapInArrow(run, "anchor long, block long, key long, at long")
 
 
-def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str | Column = "text") -> DataFrame:
     """key, ranges: for every text with a repeated window, its places (first word and number of words, packed) to remove.
 
-    ``keyed`` has a column ``key`` that is the same for rows with the same id and text only.
+    ``keyed`` has the text (``text``: its column) and a column ``key`` that is the same for rows with the same id and text only; other columns are no matter.
     """
-    found = places(keyed, window, anchor)
+    found = places(keyed, window, anchor, text)
     common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     kept = stored(hot_join(found, common, ["anchor"], "left_semi"), "blocks")
     # the index: how often each block stands, and where it stands first
@@ -100,11 +96,11 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     def windows(batches):
         for b in batches:
-            texts, keys, todo = _encoded(b.column(0)), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
-            for i, j in batches_of(texts):
-                w = Words(texts[i:j])
+            keys = b.column(1).to_numpy(zero_copy_only=False)
+            for i, j, texts in text_parts(b.column(0)):
+                w = Words(texts)
                 at, known, key = [], [], []
-                for d, places_ in enumerate(todo[i:j]):
+                for d, places_ in enumerate(b.column(2).slice(i, j - i).to_pylist()):
                     for p in places_:
                         first, words = p["at"] >> _BITS, p["at"] & (2**_BITS - 1)
                         m = words - window + 1
@@ -116,7 +112,8 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
                     where = ((at - w.first[w.doc[at]]) << _BITS) | window
                     yield pa.RecordBatch.from_arrays([_signed(w.run(at, window)), _signed(w.run(at, window, second=True)), pa.array(key), pa.array(where), pa.array(known)], ["h1", "h2", "key", "at", "known"])
 
-    joined = keyed.join(lists, "key").select("text", "key", "todo")
+    # every column of ``keyed`` is taken along, so that this join and the caller's read one exchange of the texts
+    joined = keyed.join(lists, "key").select(text, "key", "todo", *(c for c in keyed.columns if c not in ("text", "key")))
     checked = joined.mapInArrow(windows, "h1 long, h2 long, key long, at long, known boolean")
     again = checked.groupBy("h1", "h2").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("n")).filter("n > 1").select("h1", "h2")
     single = hot_join(checked.filter("not known"), again, ["h1", "h2"], "left_semi").select("key", "at")
@@ -138,11 +135,6 @@ def covered(ranges: list[int] | None, n: int) -> np.ndarray:
     return steps.cumsum()[:-1] > 0
 
 
-def _carried(docs: DataFrame) -> DataFrame:
-    """key, text and every column of ``docs`` as a struct: names of other columns can't clash with ours."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-
-
 def removal_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row.
 
@@ -153,16 +145,17 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     def run(batches):
         for b in batches:
-            ids, out = b.column(0), []
-            for data, ranges in zip(_encoded(b.column(1)), b.column(2).to_pylist()):
-                words = data.split()
-                if ranges:
-                    gone = covered(ranges, len(words))
-                    kept = b" ".join(compress(words, ~gone))
-                    out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
-                else:
-                    out.append((len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            for i, j, texts in text_parts(b.column(1)):
+                out = []
+                for data, ranges in zip(texts, b.column(2).slice(i, j - i).to_pylist()):
+                    words = data.split()
+                    if ranges:
+                        gone = covered(ranges, len(words))
+                        kept = b" ".join(compress(words, ~gone))
+                        out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+                    else:
+                        out.append((len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = keyed.join(repeated_ranges(keyed, window, anchor), "key", "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -173,20 +166,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     Texts that lose nothing stay as they are; of others the kept words are joined by one space. All rows stay.
     """
-    keyed = _carried(docs)
+    text = F.col("row.text").cast("string").alias("text")
+    # the text travels in ``row``; names of other columns can't clash with ours
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    ranges = repeated_ranges(keyed, window, anchor, text)
 
     def run(batches):
         for b in batches:
-            out = []
-            for t, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if ranges:
-                    words = t.encode("utf-8", "replace").split()
-                    t = b" ".join(compress(words, ~covered(ranges, len(words)))).decode("utf-8")
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(2)], ["kept_text", "row"])
-
-    joined = keyed.join(repeated_ranges(keyed.select("key", "text"), window, anchor), "key", "left").select("text", "ranges", "row")
+            for i, j, texts in text_parts(b.column(0)):
+                out = []
+                for data, ranges in zip(texts, b.column(1).slice(i, j - i).to_pylist()):
+                    words = data.split()
+                    out.append(b" ".join(compress(words, ~covered(ranges, len(words)))).decode("utf-8") if ranges else None)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(2).slice(i, j - i)], ["kept_text", "row"])
+
+    joined = keyed.join(ranges, "key", "left").select(text, "ranges", "row")
     row_type = keyed.schema["row"].dataType.simpleString()
     done = joined.mapInArrow(run, f"kept_text string, row {row_type}")
-    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("kept_text") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.char_length("kept_text").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("kept_text")}
+    cut = F.col("kept_text").isNotNull()
+    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
     return done.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
