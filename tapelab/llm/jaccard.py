@@ -4,42 +4,49 @@ Each document is the set of its shingles' hashes; documents of one set are one m
 (those known to be frequent last, then by hash). Two sets of Jaccard similarity t share a shingle in their prefixes, the
 first size - ceil(t * size) + 1 in that order. Members of the same prefix and size are one group. Groups that share a
 prefix shingle are paired, and pairs are filtered by size and by how many prefix shingles they share. Lists of shingles that
-aren't known to be frequent are made in one exchange by shingle; the frequent ones are summed before they are dealt.
+aren't known to be frequent are made in one exchange by shingle; the frequent ones are summed before they are dealt. A shingle
+that stands in the prefixes of more than LIST groups isn't paired off: its groups become candidates of each other directly.
 
-Groups that are left in pairs are expanded to their members, and what is linked by candidates is one cluster. A cluster is
-cut into blocks by size, and each pair of blocks whose sizes can match is verified in one task: whole sets, by matrix products, from which a
-spanning forest of the links comes back. A shingle that stands in the prefixes of more than LIST groups isn't paired off: its
-groups join one cluster directly. So every link between different texts counts, each text travels (compressed) once per pair of
-blocks instead of once per pair, and no group is held by one task or sent in pairs.
+Groups that are left are expanded to their members, and what candidates link is one cluster: members of different clusters
+can't match. A cluster that fits one block, bounded in members and in shingles, is verified there: whole sets, by matrix products, each member
+sent once. Candidates that aren't links can join clusters into one of any size, so a larger cluster is taken by its candidate pairs:
+
+* Groups of several members, or groups of one long list, are families; a family is cut into blocks by size. Each member
+  goes to its block, where a few members of the family (pivots) come along, so that a family of copies is linked up in that step.
+* Of the pairs of groups, each group's pair with its least neighbour is verified in the same step.
+* Then what is linked needs no comparison any more: blocks of a family's largest component are compared only with what isn't in it,
+  and of the other pairs of groups only those that aren't connected yet are verified.
+
+So every link between different texts counts, no group is held by one task or sent in pairs, and work follows the number of
+candidate pairs and of members, not the square of a cluster.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import hot_join, stored
+from tapelab.llm.common import forget, hot_join, stored
 from tapelab.llm.components import connected_components
-from tapelab.llm.wordhash import LOWER, Words, batches_of, mix
+from tapelab.llm.wordhash import SEGMENT, Words, batches_of, mix, text_parts
 
 SHINGLE = 5
 #: Similarity, as a ratio of integers.
 NUMERATOR, DENOMINATOR = 80, 100
 LIST = 64
-BLOCK = 512
+#: A block holds about so many members, and shingles, at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+PIVOTS = 4
 #: Keys that a task remembers, so as to send a text that repeats in it once.
 REMEMBERED = 1 << 16
-#: Bits of the filter of frequent shingles; when it fills up, the order is only less good.
+#: Bits of the filter of frequent shingles. At most one in eight is set: with more shingles, frequent means more often.
 FILTER_BITS = 23
 
 
-def encoded(column) -> list[bytes]:
-    return [(t or "").encode("utf-8", "replace").translate(LOWER) for t in column.to_pylist()]
-
-
 def shingle_sets(texts: list[bytes], k: int = SHINGLE):
     """The sorted distinct shingle hashes of each text, end to end, and how many each has."""
     w = Words(texts)
@@ -63,11 +70,12 @@ def set_ids(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64))
 
 
-def frequent_filter(docs: DataFrame, k: int = SHINGLE, flush: int = 1 << 21) -> np.ndarray:
+def frequent_filter(docs: DataFrame, k: int = SHINGLE, flush: int = 1 << 20) -> np.ndarray:
     """Bits of the shingles that stand in many members: a bounded hint for the order, gathered from all documents.
 
-    Tasks count their own shingles and send those that they saw at least twice; sums above LIST set a bit. A rare shingle
-    that is missed, or one that shares a bit, makes the order less good and the result no different.
+    Tasks count their own shingles and send those that they saw at least twice. Sums above LIST set a bit, or above the power of two
+    that leaves the filter mostly empty at any size of the corpus. A rare shingle that is missed, or one that shares a
+    bit, makes the order less good and the result no different.
     """
 
     def count(batches):
@@ -78,9 +86,8 @@ def frequent_filter(docs: DataFrame, k: int = SHINGLE, flush: int = 1 << 21) ->
             return pa.RecordBatch.from_arrays([pa.array(v[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
 
         for b in batches:
-            texts = encoded(b.column(0))
-            for i, j in batches_of(texts):
-                h, sizes = shingle_sets(texts[i:j], k)
+            for _, _, texts in text_parts(b.column(0), lower=True):
+                h, sizes = shingle_sets(texts, k)
                 ids = set_ids(h, sizes)
                 keep = np.zeros(len(sizes), bool)
                 keep[np.unique(ids, return_index=True)[1]] = True  # a set counts once in a batch
@@ -93,9 +100,18 @@ def frequent_filter(docs: DataFrame, k: int = SHINGLE, flush: int = 1 << 21) ->
             yield out()
 
     sums = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > LIST)
+    sums = stored(sums, "frequent")
+    level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    above, least = 0, LIST
+    for r in sums.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("level").desc()).collect():  # at most 63 rows
+        above += r["n"]
+        if above > 1 << (FILTER_BITS - 3):
+            least = 2 << r["level"]
+            break
     bit = F.shiftrightunsigned("shingle", 64 - FILTER_BITS)
-    words = sums.select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(shingle, {64 - FILTER_BITS}) & 31 as int))").alias("bit"))
+    words = sums.filter(F.col("n") > least).select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(shingle, {64 - FILTER_BITS}) & 31 as int))").alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    forget(sums)
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
     return out
@@ -128,9 +144,8 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, often: bool, k: int, num: in
 
     def run(batches):
         for b in batches:
-            texts = encoded(b.column(0))
-            for i, j in batches_of(texts):
-                sizes, _, lengths, h, doc, inside, late = ordered(texts[i:j], frequent, k, num, den)
+            for _, _, texts in text_parts(b.column(0), lower=True):
+                sizes, _, lengths, h, doc, inside, late = ordered(texts, frequent, k, num, den)
                 groups = group_ids(h, inside, lengths, sizes)
                 keep = np.zeros(len(sizes), bool)
                 keep[np.unique(groups, return_index=True)[1]] = True
@@ -147,9 +162,8 @@ def members_of(docs: DataFrame, frequent: np.ndarray, carry: list[str], k: int =
 
     def run(batches):
         for b in batches:
-            texts = encoded(b.column(len(carry)))
-            for i, j in batches_of(texts):
-                sizes, ids, lengths, h, _, inside, late = ordered(texts[i:j], frequent, k, num, den)
+            for i, j, texts in text_parts(b.column(len(carry)), lower=True):
+                sizes, ids, lengths, h, _, inside, late = ordered(texts, frequent, k, num, den)
                 group = group_ids(h, inside, lengths, sizes).view(np.int64)
                 # the place in the global order, as a signed number
                 place = ((h >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))) ^ np.uint64(1 << 63)
@@ -204,7 +218,7 @@ def compare_block(members: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]
 
 
 def links(docs: DataFrame, members: DataFrame, frequent: np.ndarray, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = LIST, block: int = BLOCK) -> DataFrame:
-    """a, b: links between members (different shingle sets) whose closure is that of all links. ``docs``: text; ``members``: of the same rows."""
+    """node, root of all links between members (different shingle sets). ``docs``: text; ``members``: of the same rows."""
     rare = prefixes(docs, frequent, False, k, num, den).repartition("token").distinct()
     own = Window.partitionBy("token")
     rare = stored(rare.select("*", F.count(F.lit(1)).over(own).alias("n"), F.min("grp").over(own).alias("low")).filter("n > 1"), "rare")
@@ -228,43 +242,115 @@ def links(docs: DataFrame, members: DataFrame, frequent: np.ndarray, k: int = SH
     rest = F.when(F.col("last") < F.col("last2"), behind("size")).when(F.col("last") > F.col("last2"), behind("size2")).otherwise(F.least(behind("size"), behind("size2")))
     pairs = pairs.filter(enough(rest)).select(F.col("grp").alias("a"), F.col("grp2").alias("b"))
 
-    # expansion: the members of paired groups, of one group, and of a long list become one cluster
-    long = shared.filter(F.col("n") > most).select(F.col("grp").alias("a"), F.col("low").alias("b"))
+    # expansion: members that candidates link are one cluster
+    pairs = stored(pairs, "pairs")
+    long = stored(shared.filter(F.col("n") > most).select(F.col("grp").alias("a"), F.col("low").alias("b")), "long")
+    forget(rare, often)
     clusters = connected_components(pairs.unionByName(long)).select(F.col("node").alias("grp"), "root")
     facts = members.filter("member is not null").groupBy("member").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("grp").alias("grp"))
-    rows = hot_join(facts, clusters, ["grp"], "left").select("member", "key", "size", F.coalesce("root", "grp").alias("root"))
-    return _verify(docs, rows, k, num, den, block)
+    rows = hot_join(facts, clusters, ["grp"], "left").withColumn("root", F.coalesce("root", "grp"))
+    total = rows.groupBy("root").agg(F.count(F.lit(1)).alias("total"), F.sum("size").alias("weight")).filter("total > 1")
+    rows = stored(hot_join(rows, total, ["root"]), "clusters")
+    large = (F.col("total") > block) | (F.col("weight") > BLOCK_SHINGLES)
+    roots = _verify(docs, rows.filter(~large), rows.filter(large), pairs, long, k, num, den, block)
+    forget(pairs, long, rows)
+    return roots
+
+
+def _parts_of(n, weight, block: int):
+    return F.greatest(F.ceil(n / block), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
+
+
+def _job(kind: str, *fields: str) -> list:
+    """A job's name: 128 bits of hashes of what tells it from others."""
+    fields = (F.lit(kind), *fields)
+    return [F.xxhash64(*fields).alias("j1"), F.xxhash64(F.lit("second"), *fields).alias("j2")]
+
+
+def _numbers(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _verify(docs: DataFrame, small: DataFrame, large: DataFrame, pairs: DataFrame, long: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
+    """node, root of the links within clusters (member, key, size, grp, root), ``small`` ones in a block each, ``large`` ones by families and by pairs of groups."""
+    jobs = [small.select("key", "member", *_job("cluster", "root"), F.lit(0).alias("side"))]
+    if large.isEmpty():
+        return stored(connected_components(_compare(docs, jobs[0], k, num, den)), "links")
+
+    # families: the groups of a long list, or a group; levels of sizes that differ by less than den / num match in their own and the next only
+    family = connected_components(long).select(F.col("node").alias("grp"), F.col("root").alias("family"))
+    level = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int")
+    large = hot_join(large.select("member", "key", "size", "grp"), family, ["grp"], "left").select("member", "key", "size", "grp", F.coalesce("family", "grp").alias("family"), level.alias("level"))
+    large = stored(large, "large")
+    several = large.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("family")
+    kin = stored(hot_join(large, several, ["family"], "left_semi"), "families")
+
+    parts = kin.groupBy("family", "level").agg(_parts_of(F.count(F.lit(1)), F.sum("size"), block).alias("parts"))
+    own = hot_join(kin, parts, ["family", "level"]).select("family", "level", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member", "key")
+    least = F.array(*(F.min(F.struct(F.xxhash64(F.lit(i), "member").alias("h"), "member", "key")) for i in range(PIVOTS)))
+    pivots = kin.groupBy("family", "level").agg(least.alias("pivots")).select("family", "level", F.explode("pivots").alias("p"))
+    pivots = pivots.select("family", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"), "p.member", "p.key")
+    guests = parts.join(pivots, ["family", "level"]).select("family", "level", _numbers("parts").alias("part"), "member", "key")
+    jobs.append(own.unionByName(guests).select("key", "member", *_job("family", "family", "level", "part"), F.lit(0).alias("side")))
+
+    # pairs of groups of large clusters that aren't of one family
+    groups = large.groupBy("grp").agg(F.first("family").alias("family"), _parts_of(F.count(F.lit(1)), F.sum("size"), block).alias("parts"))
+    one = lambda side: groups.select(F.col("grp").alias(side), F.col("family").alias(f"family_{side}"), F.col("parts").alias(f"parts_{side}"))
+    between = hot_join(hot_join(pairs, one("a"), ["a"]), one("b"), ["b"]).filter("family_a <> family_b").select("a", "b", "parts_a", "parts_b")
+    between = stored(between, "group-pairs")
+    ends = between.select(F.col("a").alias("g"), F.col("b").alias("o")).unionByName(between.select(F.col("b").alias("g"), F.col("a").alias("o"))).groupBy("g").agg(F.min("o").alias("o"))
+    first = ends.select(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b")).distinct()
+    jobs += _pair_jobs(between.join(first, ["a", "b"]), large)
+
+    step = lambda found: _compare(docs, found, k, num, den)
+    union = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(union(tables[1:]))
+    roots = stored(connected_components(step(union(jobs))), "first-step")
+
+    # second step: what isn't connected yet
+    labels = roots.select(F.col("node").alias("member"), F.col("root").alias("label"))
+    labelled = lambda t: hot_join(t, labels, ["member"], "left").withColumn("label", F.coalesce("label", "member"))
+    by_group = labelled(large.select("member", "grp")).groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    pure = by_group.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).alias("label"))
+    side = lambda s: pure.select(F.col("grp").alias(s), F.col("label").alias(f"label_{s}"))
+    rest = hot_join(hot_join(between.join(first, ["a", "b"], "left_anti"), side("a"), ["a"]), side("b"), ["b"])
+    rest = rest.filter(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).select("a", "b", "parts_a", "parts_b")
+    jobs = _pair_jobs(rest, large)
+
+    now = labelled(kin)
+    counts = now.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("family", F.col("most.label").alias("main"))
+    grade = (F.col("label") == F.col("main")).cast("int")  # 1: in the family's largest component
+    now = stored(hot_join(now, main, ["family"]).select("member", "key", "size", "family", "level", grade.alias("grade")), "second-step")
+    parts = now.groupBy("family", "level", "grade").agg(_parts_of(F.count(F.lit(1)), F.sum("size"), block).alias("parts"))
+    placed = hot_join(now, parts, ["family", "level", "grade"]).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    x = parts.select("family", F.col("level").alias("la"), F.col("grade").alias("ga"), _numbers("parts").alias("pa"))
+    y = parts.select("family", F.explode(F.array("level", F.col("level") - 1)).alias("la"), F.col("level").alias("lb"), F.col("grade").alias("gb"), _numbers("parts").alias("pb"))
+    behind = (F.col("lb") > F.col("la")) | (F.col("gb") > F.col("ga")) | ((F.col("gb") == F.col("ga")) & (F.col("pb") >= F.col("pa")))
+    # one side at least has members that aren't in the largest component
+    blocks = x.filter("ga = 0").join(y, ["family", "la"]).filter(behind).unionByName(x.filter("ga = 1").join(y.filter("gb = 0"), ["family", "la"]).filter("lb > la"))
+    blocks = stored(blocks.select("family", "la", "ga", "pa", "lb", "gb", "pb"), "block-pairs")
+    for n, (lv, gr, pt) in enumerate((("la", "ga", "pa"), ("lb", "gb", "pb"))):
+        wanted = blocks if n == 0 else blocks.filter("not (la = lb and ga = gb and pa = pb)")
+        wanted = wanted.select("family", F.col(lv).alias("level"), F.col(gr).alias("grade"), F.col(pt).alias("part"), *_job("blocks", "family", "la", "ga", "pa", "lb", "gb", "pb"), F.lit(n).alias("side"))
+        jobs.append(placed.join(wanted, ["family", "level", "grade", "part"]).select("key", "member", "j1", "j2", "side"))
+    out = stored(connected_components(step(union(jobs)).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "links")
+    forget(large, kin, between, roots, now, blocks)
+    return out
 
 
-def _verify(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
-    """Links within clusters (member, key, size, root): every pair of blocks that can match, compared in a task of its own.
+def _pair_jobs(pairs: DataFrame, members: DataFrame) -> list[DataFrame]:
+    """The jobs of pairs of groups (a, b, parts_a, parts_b): members of one group against those of the other, part by part."""
+    parts = pairs.select("a", "b", "parts_a", "parts_b", _numbers("parts_a").alias("pa")).select("*", _numbers("parts_b").alias("pb"))
+    out = []
+    for n, side in enumerate("ab"):
+        wanted = parts.select(F.col(side).alias("grp"), F.col(f"parts_{side}").alias("parts"), F.col(f"p{side}").alias("part"), *_job("groups", "a", "b", "pa", "pb"), F.lit(n).alias("side"))
+        mine = members.select("grp", "key", "member").join(wanted, "grp").filter(F.pmod(F.xxhash64("member"), F.col("parts")) == F.col("part"))
+        out.append(mine.select("key", "member", "j1", "j2", "side"))
+    return out
 
-    A cluster of at most ``block`` members is one block. Larger ones are cut into classes of sizes that differ by less than
-    the factor den / num, so that sets can match in their own and the next class only, and classes are cut by hash.
-    """
-    total = rows.groupBy("root").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
-    rows = hot_join(rows, total, ["root"])
-    level = F.when(F.col("total") <= block, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int"))
-    rows = stored(rows.select("member", "key", "root", level.alias("level")), "clusters")
-    parts = rows.groupBy("root", "level").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    own = parts.select("root", "level", F.col("parts").alias("own_parts"))
-    after = parts.select("root", (F.col("level") - 1).alias("level"), F.col("parts").alias("next_parts"))
-    before = parts.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("last_parts"))
-    plan = own.join(after, ["root", "level"], "left").join(before, ["root", "level"], "left").na.fill(0)
-    placed = hot_join(rows, plan, ["root", "level"]).withColumn("part", F.pmod(F.xxhash64("member"), F.col("own_parts")).cast("int"))
-
-    def named(la, pa_, lb, pb, side):
-        return F.struct(la.alias("la"), pa_.alias("pa"), lb.alias("lb"), pb.alias("pb"), F.lit(side).alias("side"))
-
-    lv, p, zero = F.col("level"), F.col("part"), F.lit(0)
-    upto = lambda n: F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<int>"))
-    jobs = F.concat(
-        F.transform(F.sequence(p, F.col("own_parts") - 1), lambda q: named(lv, p, lv, q, 0)),  # against own and later parts of the class
-        F.transform(F.filter(upto(F.col("own_parts")), lambda q: q < p), lambda q: named(lv, q, lv, p, 1)),
-        F.transform(upto(F.col("next_parts")), lambda q: named(lv, p, lv + 1, q, 0)),
-        F.transform(upto(F.col("last_parts")), lambda q: named(lv - 1, q, lv, p, 1)),
-    )
-    wanted = placed.select("key", "member", "root", jobs.alias("jobs"))
+
+def _compare(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """a, b: spanning forests of the links of each job. ``wanted``: key (of a text), member, j1, j2 (the job), side (0 or 1)."""
 
     def to_bodies(batches):
         pack, seen = zstandard.ZstdCompressor().compress, set()
@@ -276,35 +362,89 @@ def _verify(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int, block:
                     new.append(at)
             if len(seen) > REMEMBERED:
                 seen = set()
-            bodies = [pack(t) for t in encoded(b.column(1).take(pa.array(new, pa.int64())))]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[at] for at in new], pa.int64()), pa.array(bodies, pa.binary())], ["key", "body"])
+            column, names = b.column(1).take(pa.array(new, pa.int64())), pa.array([keys[at] for at in new], pa.int64())
+            for i, j, texts in text_parts(column, lower=True):
+                yield pa.RecordBatch.from_arrays([names.slice(i, j - i), pa.array(list(map(pack, texts)), pa.binary())], ["key", "body"])
 
     bodies = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(to_bodies, "key long, body binary")
-    bodies = bodies.join(wanted, "key").dropDuplicates(["key", "member"])
-    spread = bodies.select("root", "member", "body", F.explode("jobs").alias("job")).select("root", "job.*", "member", "body")
+    # tasks send the same text each; different texts of one key are told apart by the set that they give
+    sent = bodies.join(wanted, "key").withColumn("other", F.xxhash64("body")).dropDuplicates(["key", "member", "j1", "j2", "other"]).select("j1", "j2", "member", "side", "body")
+
+    def flush(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held)
+        j1, j2 = t["j1"].to_numpy(), t["j2"].to_numpy()
+        job = np.concatenate([[0], np.cumsum((j1[1:] != j1[:-1]) | (j2[1:] != j2[:-1]))])
+        ids, sides, unpack = t["member"].to_numpy(), t["side"].to_numpy(), zstandard.ZstdDecompressor().decompress
+        flat, sizes = [], []
+        for at in range(0, len(ids), 64):
+            texts = [unpack(x) for x in t["body"].slice(at, 64).to_pylist()]
+            for i, j in batches_of(texts):
+                h, n = shingle_sets(texts[i:j], k)
+                right = set_ids(h, n).view(np.int64) == ids[at + i : at + j]
+                flat.append(h[np.repeat(right, n)])
+                sizes.append(np.where(right, n, 0))
+        h, sizes = np.concatenate(flat), np.concatenate(sizes)
+        ends = np.cumsum(sizes)
+        # a member once in a job: pivots may be guests in their own block
+        order = np.lexsort((ids, job))
+        again = np.zeros(len(ids), bool)
+        again[order[1:]] = (job[order[1:]] == job[order[:-1]]) & (ids[order[1:]] == ids[order[:-1]])
+        good = np.flatnonzero((sizes > 0) & ~again)
+        count = np.bincount(job[good], minlength=int(job[-1]) + 1)
+        first = np.concatenate([[0], np.cumsum(count)])
+        a, b = [], []
+        two = good[count[job[good]] == 2]
+        if len(two):
+            rows = np.repeat(np.arange(len(two)) // 2, sizes[two])
+            values = np.concatenate([h[ends[i] - sizes[i] : ends[i]] for i in two.tolist()])
+            at = np.lexsort((values, rows))
+            same = (values[at[1:]] == values[at[:-1]]) & (rows[at[1:]] == rows[at[:-1]])
+            both, total = np.bincount(rows[at[1:]][same], minlength=len(two) // 2), sizes[two[::2]] + sizes[two[1::2]]
+            hit = den * both >= num * (total - both)
+            a += ids[two[::2]][hit].tolist()
+            b += ids[two[1::2]][hit].tolist()
+        for n in np.flatnonzero(count > 2).tolist():
+            at = good[first[n] : first[n + 1]]
+            if (sides[at] == 0).any():
+                found = compare_block(ids[at], sides[at], [h[ends[i] - sizes[i] : ends[i]] for i in at.tolist()], num, den)
+                a += [x for x, _ in found]
+                b += [x for _, x in found]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, sides, unpack = table["member"].to_numpy(), table["side"].to_numpy(), zstandard.ZstdDecompressor().decompress
-        texts = [unpack(x) for x in table["body"].to_pylist()]
-        whole = []
-        for i, j in batches_of(texts):
-            h, sizes = shingle_sets(texts[i:j], k)
-            right = set_ids(h, sizes).view(np.int64) == ids[i:j]  # another text of the same key has no part in this
-            whole += [x if ok else None for x, ok in zip(np.split(h, np.cumsum(sizes)[:-1]), right)]
-        good = np.array([x is not None for x in whole], bool)
-        ids, sides, whole = ids[good], sides[good], [x for x in whole if x is not None]
-        found = compare_block(ids, sides, whole, num, den) if len(ids) > 1 and (sides == 0).any() else []
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+    def run(batches):
+        """Rows come sorted by job; whole jobs are compared, many small ones at a time."""
+        held: list[pa.RecordBatch] = []
+        last, size = None, 0
+        for b in batches:
+            j1, j2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.flatnonzero((j1[1:] != j1[:-1]) | (j2[1:] != j2[:-1])) + 1
+            if b.num_rows and last is not None and last != (j1[0], j2[0]):
+                new = np.concatenate([[0], new])
+            at = 0
+            for to in [*new.tolist(), b.num_rows]:
+                part = b.slice(at, to - at)
+                if part.num_rows:
+                    held.append(part)
+                    size += pc.sum(pc.binary_length(part.column(4))).as_py()
+                    last = (j1[to - 1], j2[to - 1])
+                if size > SEGMENT and to < b.num_rows:
+                    yield flush(held)
+                    held, size = [], 0
+                at = to
+        if held:
+            yield flush(held)
 
-    return spread.groupBy("root", "la", "pa", "lb", "pb").applyInArrow(compare, "a long, b long")
+    return sent.repartition("j1", "j2").sortWithinPartitions("j1", "j2").mapInArrow(run, "a long, b long")
 
 
 def members_with_roots(rows: DataFrame, carry: list[str], k: int, num: int, den: int, most: int = LIST, block: int = BLOCK) -> DataFrame:
     """carry..., n_shingles, root: a component's id as a hash; null for texts without words."""
     frequent = frequent_filter(rows, k)
     members = stored(members_of(rows, frequent, carry, k, num, den), "members")
-    roots = connected_components(links(rows.select("text"), members, frequent, k, num, den, most, block))
-    return members.join(roots, F.col("member") == F.col("node"), "left").select(*carry, "n_shingles", F.coalesce("root", "member").alias("root"))
+    roots = links(rows.select("text"), members, frequent, k, num, den, most, block)
+    out = stored(hot_join(members, roots.withColumnRenamed("node", "member").withColumnRenamed("root", "reached"), ["member"], "left").select(*carry, "n_shingles", F.coalesce("reached", "member").alias("root")), "roots")
+    forget(members)
+    return out
 
 
 def components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = LIST, block: int = BLOCK) -> DataFrame:
@@ -312,9 +452,10 @@ def components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int
 
     Documents of fewer words than a shingle are one shingle; null, empty and blank texts have none and are linked with nothing, not even with each other. Rows that
     repeat are linked. A row without doc_id is a member like any other; its component's id is the least id there is, or null.
+    An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    member = stored(members_with_roots(rows, ["doc_id"], k, num, den, most, block), "roots")
+    member = members_with_roots(rows, ["doc_id"], k, num, den, most, block)
     least = member.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return hot_join(member, least, ["root"], "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -322,12 +463,13 @@ def components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int
 def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id (null ids last; of equal ids, the least hash).
 
-    Rows without words are linked with nothing and all stay.
+    Rows without words are linked with nothing and all stay. An empty table gives no rows. Rows are told apart by 128 bits of hashes of id and text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
-    member = stored(members_with_roots(rows, ["doc_id", "row_key"], k, num, den), "roots")
-    best = member.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("best"))
-    keep = best.select("best.row_key", F.lit(True).alias("one")).unionByName(member.filter("root is null").select("row_key", F.lit(False).alias("one")).distinct())
-    carried = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = carried.join(keep, "row_key").withColumn("nth", F.when(F.col("one"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1))
-    return kept.dropDuplicates(["row_key", "nth"]).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    hashes = {"row_key": F.xxhash64("doc_id", "text"), "row_key2": F.xxhash64(F.lit(k), "text", "doc_id")}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(n) for n, c in hashes.items()), F.col("text").cast("string").alias("text"))
+    member = members_with_roots(rows, ["doc_id", *hashes], k, num, den)
+    best = member.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *hashes)).alias("best"))
+    keep = best.select("best.row_key", "best.row_key2", F.lit(True).alias("one")).unionByName(member.filter("root is null").select(*hashes, F.lit(False).alias("one")).distinct())
+    carried = docs.select(*(c.alias(n) for n, c in hashes.items()), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = carried.join(keep, [*hashes]).withColumn("nth", F.when(F.col("one"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1))
+    return kept.dropDuplicates([*hashes, "nth"]).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
