@@ -44,21 +44,22 @@ _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer that never joins across blanks: each distinct word is encoded once per (bounded) cache.
+    """Ids of texts by a tokenizer that never joins across blanks: each distinct word is encoded once per (bounded) cache, which
+    forgets what wasn't used for a generation.
 
     Most words are a run of letters with ASCII punctuation behind: two pre-tokens, of which each ends with the only token
     that carries the end-of-word mark. Such runs are encoded many to a call, whatever their case, and cut at those marks; other words one by
     one. Ids are held as bytes (little-endian int32), so a text's ids are one join.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000, cache_bytes: int = 32 << 20):
-        self.encode, self.most, self.most_bytes = _tokenizer(path).encode_batch_fast, cache_words, cache_bytes
+    def __init__(self, path: str, cache_words: int = 100_000):
+        self.encode, self.most = _tokenizer(path).encode_batch_fast, cache_words
         vocab = _tokenizer(path).get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
-        self.n_bytes = 0
+        self.old_words, self.old_runs = self.words, self.runs
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<i4") for x in self.encode(texts, add_special_tokens=False)]
@@ -84,22 +85,36 @@ class WordTokens:
             else:
                 others.append(w)
         self.runs[b""] = b""
-        self._encode_runs([r for r in {x[1] for x in cut} | {x[2] for x in cut} if r not in self.runs])
+        runs = {x[1] for x in cut} | {x[2] for x in cut}
+        _recall(runs, self.runs, self.old_runs)
+        self._encode_runs([r for r in runs if r not in self.runs])
         self.words.update([(w, self.runs[core] + self.runs[tail]) for w, core, tail in cut])
         if others:
             self.words.update(zip(others, [x.tobytes() for x in self._ids([w.decode("utf-8") for w in others])]))
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > self.most or self.n_bytes > self.most_bytes:
-            self.words, self.n_bytes = {}, 0
-        if len(self.runs) > self.most or not self.words and self.n_bytes == 0 and sum(map(len, self.runs)) > self.most_bytes:
-            self.runs = {}
+        if len(self.words) > self.most:
+            self.old_words, self.words = self.words, {}
+        if len(self.runs) > self.most:
+            self.old_runs, self.runs = self.runs, {}
         words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = [w for w in set().union(*words) if w not in self.words]
+        new = set().union(*words).difference(self.words)
+        _recall(new, self.words, self.old_words)
+        new = [w for w in new if w not in self.words]
         if new:
             self._encode_words(new)
-            self.n_bytes += sum(map(len, new))
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<i4") for ws in words]
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<i4") for ws in words]
+        for w in new:
+            if len(w) > 64:
+                del self.words[w]
+        for r in [r for r in self.runs if len(r) > 64] if any(len(w) > 64 for w in new) else ():
+            del self.runs[r]
+        return out
+
+
+def _recall(wanted: set[bytes], cache: dict[bytes, bytes], old: dict[bytes, bytes]) -> None:
+    """What was used in the generation before lives on."""
+    cache.update([(w, old[w]) for w in wanted if w not in cache and w in old])
 
 
 @lru_cache(maxsize=1)
