@@ -3,7 +3,7 @@
 Each document is the set of its shingles' hashes; documents of one set are one member. Shingles have one global order
 (those known to be frequent last, then by hash). Two sets of Jaccard similarity t share a shingle in their prefixes, the
 first size - ceil(t * size) + 1 in that order. Members of the same prefix and size are one group. Groups that share a
-prefix shingle are paired, and pairs are filtered by size and by how many prefix shingles they share. Lists of shingles that
+prefix shingle are paired, and pairs are filtered by size, by how many prefix shingles they share, and by parity bitmaps of their sets. Lists of shingles that
 aren't known to be frequent are made in one exchange by shingle; the frequent ones are summed before they are dealt. A shingle
 that stands in the prefixes of more than LIST groups isn't paired off: its groups become candidates of each other directly.
 
@@ -156,8 +156,45 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, often: bool, k: int, num: in
     return docs.select("text").mapInArrow(run, "token long, grp long, size int")
 
 
+def parity_bits(h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of as many bits as its size, or up to twice as many: a bit tells whether an odd number of its hashes falls there.
+
+    Two sets differ in at least as many shingles as their bitmaps do in bits. The longer of two bitmaps is folded by halves.
+    """
+    width = np.left_shift(np.int64(1), np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64))
+    ends = np.cumsum(width)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    at = (ends - width)[doc] + (mix(h) & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
+    data = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [data[i:j] for i, j in zip(((ends - width) // 8).tolist(), (ends // 8).tolist())]
+
+
+def near_by_bits(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of (a, b, size, size2, bits, bits2) the (a, b) whose bitmaps leave room for a link; pairs without both bitmaps stay."""
+
+    def run(batches):
+        for b in batches:
+            one, other = b.column(4).to_pylist(), b.column(5).to_pylist()
+            sizes = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            keep, groups = np.ones(b.num_rows, bool), {}
+            for i, (x, y) in enumerate(zip(one, other)):
+                if x is not None and y is not None:
+                    groups.setdefault((len(x), len(y)), []).append(i)
+            for (n, m), at in groups.items():
+                x, y = (np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), -1) for side in (one, other))
+                while x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                while y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                keep[at] = (sizes[at] - apart) * (den + num) >= 2 * num * sizes[at]
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "size", "size2", "bits", "bits2").mapInArrow(run, "a long, b long")
+
+
 def members_of(docs: DataFrame, frequent: np.ndarray, carry: list[str], k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """carry..., key (of the text), member (hash of the shingle set; null without words), grp (of its prefix and size), n_shingles, last (the prefix's end in the global order)."""
+    """carry..., key (of the text), member (hash of the shingle set; null without words), grp (of its prefix and size), n_shingles, last (the prefix's end in the global order), bits (of the set)."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches):
@@ -170,10 +207,10 @@ def members_of(docs: DataFrame, frequent: np.ndarray, carry: list[str], k: int =
                 at = np.where(sizes > 0, np.cumsum(sizes) - sizes + lengths - 1, 0)
                 last = place[at] if len(place) else np.zeros(len(at), np.uint64)
                 cols = [b.column(c).slice(i, j - i) for c in range(len(carry))] + [b.column(len(carry) + 1).slice(i, j - i)]
-                out = [*cols, pa.array(ids.view(np.int64), mask=sizes == 0), pa.array(group), pa.array(sizes.astype(np.int64)), pa.array(last.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(out, [*carry, "key", "member", "grp", "n_shingles", "last"])
+                out = [*cols, pa.array(ids.view(np.int64), mask=sizes == 0), pa.array(group), pa.array(sizes.astype(np.int64)), pa.array(last.view(np.int64)), pa.array(parity_bits(h, sizes), pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, [*carry, "key", "member", "grp", "n_shingles", "last", "bits"])
 
-    schema = ", ".join(f"{c} {fields[c]}" for c in carry) + (", " if carry else "") + "key long, member long, grp long, n_shingles long, last long"
+    schema = ", ".join(f"{c} {fields[c]}" for c in carry) + (", " if carry else "") + "key long, member long, grp long, n_shingles long, last long, bits binary"
     return docs.select(*carry, "text", F.xxhash64("text").alias("key")).mapInArrow(run, schema)
 
 
@@ -240,7 +277,11 @@ def links(docs: DataFrame, members: DataFrame, frequent: np.ndarray, k: int = SH
     ends = members.filter("member is not null").groupBy("grp").agg(F.first("last").alias("last"))
     pairs = pairs.join(ends, "grp").join(ends.select(F.col("grp").alias("grp2"), F.col("last").alias("last2")), "grp2")
     rest = F.when(F.col("last") < F.col("last2"), behind("size")).when(F.col("last") > F.col("last2"), behind("size2")).otherwise(F.least(behind("size"), behind("size2")))
-    pairs = pairs.filter(enough(rest)).select(F.col("grp").alias("a"), F.col("grp2").alias("b"))
+    pairs = pairs.filter(enough(rest)).select(F.col("grp").alias("a"), F.col("grp2").alias("b"), "size", "size2")
+    # a group of one set has its bitmap
+    alone = members.filter("member is not null").groupBy("grp").agg(F.min("member").alias("low"), F.max("member").alias("high"), F.min("bits").alias("bits")).filter("low = high").select("grp", "bits")
+    pairs = pairs.join(alone.withColumnRenamed("grp", "a"), "a", "left").join(alone.select(F.col("grp").alias("b"), F.col("bits").alias("bits2")), "b", "left")
+    pairs = near_by_bits(pairs, num, den)
 
     # expansion: members that candidates link are one cluster
     pairs = stored(pairs, "pairs")
