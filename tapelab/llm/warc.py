@@ -1,15 +1,14 @@
 """WARC archives: one gzip member per record, written and read by Spark tasks.
 
 Writing: pages of one payload digest meet in a join with the digest's smallest key, so every page knows whether it is
-the response or a revisit. Each task turns its pages into gzip members and Spark's text sink commits them, so lost
-executors and repeated tasks leave no half archive, and any file system that Spark writes to will do.
-
-A gzip member ends with the four bytes of its content's length, low byte first. Contents stay below 2**24 bytes (longer
-ones are split by the standard's segmentation: continuation records), so that the last byte is always zero: the members are handed to the sink without
-it, and the sink's line separator, one zero byte, puts it back. The file is then exactly a sequence of members.
+the response or a revisit. Each task turns its pages into gzip members, one a record whatever its length, and bundles them into
+archives of about ARCHIVE_BYTES. Spark's text sink commits an archive as one line of a file of its own, so lost executors and repeated
+tasks leave no half archive, and any file system that Spark writes to will do. The sink ends the line with a separator, which is an
+empty gzip member: an archive is its records' members and a last one without content.
 
 Reading: a sequential reader decompresses each member piece by piece, frames the block by Content-Length, and verifies
-the block digest and, for responses, the payload digest.
+the block digest and, for responses, the payload digest. Spark hands a task one archive at a time; those written here are bounded by
+ARCHIVE_BYTES and a record, others must be below 2 GB.
 """
 
 from __future__ import annotations
@@ -27,19 +26,21 @@ from tapelab.llm.common import hot_join
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Longest content of one record in bytes, well below 2**24.
-SEGMENT = 8 << 20
+#: An archive ends with the record that brings it to so many bytes.
+ARCHIVE_BYTES = 16 << 20
+#: A gzip member without content.
+END_MARK = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 #: Equal payloads shorter than this are not worth a revisit.
 LEAST_REVISIT = 100
 CHUNK = 1 << 14
 
 
-def record_id(key: int | None, part: int = 1) -> bytes:
-    return b"<urn:page:%s%s>" % (b"null" if key is None else b"%d" % key, b"" if part == 1 else b":%d" % part)
+def record_id(key: int | None) -> bytes:
+    return b"<urn:page:%s>" % (b"null" if key is None else b"%d" % key)
 
 
 def key_of(rid: bytes) -> int | None:
-    key = rid.strip()[len(b"<urn:page:") : -1].split(b":")[0]
+    key = rid.strip()[len(b"<urn:page:") : -1]
     return None if key == b"null" else int(key)
 
 
@@ -55,39 +56,35 @@ def clean_uri(url: str | None, key: int | None) -> bytes:
     return out.encode("utf-8", "replace") or record_id(key)[1:-1]
 
 
-def members(key: int | None, url: str | None, payload: bytes, digest: str, n_bytes: int, refers_to: int | None, revisit: bool, date: str) -> Iterator[bytes]:
-    """The members of one page: one, or several segments when the content is long."""
+def record(key: int | None, url: str | None, payload: bytes, digest: str, n_bytes: int, refers_to: int | None, revisit: bool, date: str) -> bytes:
+    """The gzip member of one page."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n_bytes
     block = http if revisit else http + payload
-    base = [(b"WARC-Target-URI", clean_uri(url, key)), (b"WARC-Date", date.encode())]
-    parts = [block[i : i + SEGMENT] for i in range(0, len(block), SEGMENT)]
-    for n, part in enumerate(parts, 1):
-        kind = b"continuation" if n > 1 else b"revisit" if revisit else b"response"
-        head = [(b"WARC-Type", kind), (b"WARC-Record-ID", record_id(key, n)), *base, (b"WARC-Block-Digest", b"sha256:" + hashlib.sha256(part).hexdigest().encode())]
-        if n == 1:
-            head += [(b"Content-Type", b"application/http; msgtype=response"), (b"WARC-Payload-Digest", b"sha256:" + digest.encode())]
-        if revisit:
-            head += [(b"WARC-Profile", PROFILE), (b"WARC-Refers-To", record_id(refers_to))]
-        if len(parts) > 1:
-            head.append((b"WARC-Segment-Number", b"%d" % n))
-            if n > 1:
-                head.append((b"WARC-Segment-Origin-ID", record_id(key)))
-            if n == len(parts):
-                head.append((b"WARC-Segment-Total-Length", b"%d" % len(block)))
-        yield member(head, part)
-
-
-def records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    """(headers, block) of each member of an archive, in turn. ValueError where the framing or a block digest is wrong."""
+    head = [
+        (b"WARC-Type", b"revisit" if revisit else b"response"), (b"WARC-Record-ID", record_id(key)), (b"WARC-Target-URI", clean_uri(url, key)), (b"WARC-Date", date.encode()),
+        (b"WARC-Block-Digest", b"sha256:" + hashlib.sha256(block).hexdigest().encode()), (b"Content-Type", b"application/http; msgtype=response"), (b"WARC-Payload-Digest", b"sha256:" + digest.encode()),
+    ]
+    if revisit:
+        head += [(b"WARC-Profile", PROFILE), (b"WARC-Refers-To", record_id(refers_to))]
+    return member(head, block)
+
+
+def records(data) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+    """(headers, block) of each member of an archive, in turn; members without content are none. ValueError where the framing or a block digest is wrong."""
     view, at = memoryview(data), 0
     while at < len(view):
         start, z, out = at, zlib.decompressobj(31), bytearray()
         while not z.eof:
             if at >= len(view):
                 raise ValueError(f"the member at byte {start} is cut off")
-            out += z.decompress(view[at : at + CHUNK])
+            try:
+                out += z.decompress(view[at : at + CHUNK])
+            except zlib.error as e:
+                raise ValueError(f"the member at byte {start} is damaged: {e}") from e
             at += CHUNK
         at = min(at, len(view)) - len(z.unused_data)
+        if not out:
+            continue
         end = out.find(b"\r\n\r\n")
         lines = bytes(out[:end]).split(b"\r\n")
         if end < 0 or not lines[0].startswith(b"WARC/"):
@@ -102,28 +99,6 @@ def records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
         yield head, block
 
 
-def pages_of(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    """As :func:`records`, with segments joined to whole records."""
-    held: tuple[dict[bytes, bytes], list[bytes]] | None = None
-    for head, block in records(data):
-        if head[b"warc-type"] == b"continuation":
-            if held is None or head[b"warc-segment-origin-id"] != held[0][b"warc-record-id"]:
-                raise ValueError("a continuation follows another record")
-            held[1].append(block)
-            if b"warc-segment-total-length" in head:
-                whole = b"".join(held[1])
-                if len(whole) != int(head[b"warc-segment-total-length"]):
-                    raise ValueError("segments are missing")
-                yield held[0], whole
-                held = None
-        elif head.get(b"warc-segment-number") == b"1":
-            held = (head, [block])
-        else:
-            yield head, block
-    if held is not None:
-        raise ValueError("segments are missing")
-
-
 def mark_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
     """key, url, payload (binary; null is empty; null for revisits), digest, n_bytes, refers_to, revisit.
 
@@ -138,43 +113,46 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
     return out.select("key", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "digest", "n_bytes", F.when(F.col("revisit"), F.col("first_key")).alias("refers_to"), "revisit")
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", payload: str = "html", url: str = "url", date: str = "1970-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """Writes a record per row to archives below ``path``; a file holds at most ``records_per_file`` pages."""
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", payload: str = "html", url: str = "url", date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a record per row to archives below ``path``; an archive ends with the record that brings it to ``archive_bytes``.
 
-    def pack(batches):
+    Null payloads are empty. Rows that repeat are records of their own. An empty table gives an empty file.
+    """
+
+    def archives(batches):
+        held, size = [], 0
         for b in batches:
             cols = [b.column(i) for i in range(b.num_columns)]
             for i in range(b.num_rows):
                 k, u, p, d, n, r, v = (c[i].as_py() for c in cols)
-                # the segments of a page are one row, so that they follow each other in one file
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(members(k, u, p or b"", d, n, r, v, date))[:-1]], pa.binary())], ["member"])
-
-    def grouped(batches):
-        held, size = [], 0
-        for b in pack(batches):
-            held.append(b)
-            size += b.nbytes
-            if size > 4 << 20:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
+                held.append(record(k, u, p or b"", d, n, r, v, date))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+                    held, size = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
 
-    out = mark_revisits(pages, key, payload, url).mapInArrow(grouped, "member binary")
-    out.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
+    out = mark_revisits(pages, key, payload, url).mapInArrow(archives, "archive binary")
+    # the sink writes a line's bytes as they are, and the separator in this encoding, in which each byte is a character
+    sink = out.select(F.col("archive").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", END_MARK.decode("iso-8859-1"))
+    sink.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """A row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload, null for revisits).
 
-    A wrong frame, digest or segment fails the read. No archives give no rows.
+    A wrong frame or digest fails the read. Records of other types than response and revisit are passed over. Empty payloads are of 0 bytes;
+    no archives give no rows.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def rows(content: bytes):
-        for head, block in pages_of(content):
+    def rows(content):
+        for head, block in records(content):
+            if head.get(b"warc-type") not in (b"response", b"revisit"):
+                continue
             cut = block.index(b"\r\n\r\n") + 4
             http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in block[:cut].split(b"\r\n")[1:])}
             digest, kind = head[b"warc-payload-digest"].removeprefix(b"sha256:").decode(), head[b"warc-type"].decode()
@@ -189,7 +167,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
         for b in batches:
             for i in range(b.num_rows):
                 out, size = [], 0
-                for row in rows(b.column(0)[i].as_py()):
+                for row in rows(b.column(0)[i].as_buffer()):
                     out.append(row)
                     size += 200 + (len(row[-1] or b"") if with_payload else 0)
                     if size > 4 << 20:
