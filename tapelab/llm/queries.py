@@ -9,48 +9,58 @@ from tapelab.llm.common import scratch, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, null html as an empty payload; ties of equal payloads go to the least page_id, repeats and null ids are records of their own; no pages, no rows."""
     at = scratch(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), at)
     return warc.read_warc(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null texts and texts without a letter are und with score 0, ties take the language that sorts first; no documents, no rows."""
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts are scored by zero statistics, equal texts alike; without labels the score is a constant; no documents, no rows."""
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.classifier(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts fail the base rules, equal texts fare alike; no documents, no rows."""
     docs = table(spark, sf_dir, "documents")
     return quality.apply_rules(docs, quality.rules_model(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document; a null or empty text is the end id alone, repeats are packed each; no documents, no pieces."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null text is empty, with no tokens; texts and words of any length are encoded whole; no documents, no rows."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null, empty and short texts lose nothing, repeats lose what they repeat; no documents, no rows."""
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null texts are empty, rows without id come last, equal ids go by a hash of the text; no documents, no rows."""
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; texts without words are linked with nothing, repeats with each other; no documents, no rows."""
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    """A row per document; null and empty texts have no words and no labels; repeats are rows like any other; no documents, no rows."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_packing, op6_byte_bpe, op7_substring_dedup, op8_fingerprints, op9_ngram_jaccard, op10_license_scan)}
