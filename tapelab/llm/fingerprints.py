@@ -17,7 +17,7 @@ SHINGLE = 5
 #: One shingle hash in so many is kept: all.
 SCALE = 1
 DOCS_PER_BUCKET = 1000
-MAX_BUCKETS = 1 << 16
+MAX_BUCKETS = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -61,31 +61,49 @@ def with_next(rows: DataFrame, key: str, carry: list[str], per_bucket: int = DOC
 
     Keys are dealt into ranges of about ``per_bucket`` rows, at quantiles of the key. The head of each range is copied to
     the end of the range before it, so one shuffle and a window within ranges give every row its follower. Null keys come
-    last; equal keys are ordered by the carried columns' hash.
+    last; equal keys are ordered by the carried columns' hash. A key that is several quantiles at once, or null, holds more rows
+    than a range should: its rows are dealt into several ranges by that hash. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    counts = rows.select(F.count(F.lit(1)).alias("n")).first()
+    counts = rows.agg(F.count(key).alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
     n = max(1, min(MAX_BUCKETS, -(-counts["n"] // per_bucket)))
     share = [i / n for i in range(1, n)]
-    bounds = sorted(set(rows.agg(F.percentile_approx(key, share, max(10_000, 10 * n)).alias("b")).first()["b"] or [])) if share else []
+    found = rows.agg(F.percentile_approx(key, share, max(10_000, 4 * n)).alias("b")).first()["b"] or [] if share else []
+    bounds = sorted(set(found))
+    # ranges by descending key; before the rest of its range, a bound that was found several times has as many ranges of its own
+    own = [found.count(b) if len(found) > len(bounds) else 1 for b in bounds]
+    starts, at = [0] * (len(bounds) + 1), 1
+    for j in range(len(bounds) - 1, -1, -1):
+        starts[j] = at
+        at += 1 + (own[j] if own[j] > 1 else 0)
+    nulls = -(-counts["nulls"] // per_bucket)
+    hashed = nulls > 0 or any(m > 1 for m in own)
     step = max(1, int(len(bounds) ** 0.5))
-    edges = spark.createDataFrame([(bounds, bounds[::step])], "bounds array<bigint>, coarse array<bigint>")
+    edges = spark.createDataFrame([(bounds, bounds[::step], starts, own)], "bounds array<bigint>, coarse array<bigint>, starts array<int>, own array<int>")
+
+    def share_of(m: Column) -> Column:
+        """Which of ``m`` equal parts of the hash range a row's hash lies in."""
+        return F.shiftright(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 33) * m, 31).cast("int")
 
     def bucket(k: Column) -> Column:
-        """How many bounds lie at or above the key: 0 for the largest keys; null keys behind all."""
         skip = F.size(F.filter("coarse", lambda b: b < k))  # coarse bounds below the key
         start = F.greatest((skip - 1) * step, F.lit(0))
-        below = start + F.size(F.filter(F.slice("bounds", start + 1, F.lit(step)), lambda b: b < k))
-        return F.when(k.isNull(), F.size("bounds") + 1).otherwise(F.size("bounds") - below)
+        j = start + F.size(F.filter(F.slice("bounds", start + 1, F.lit(step)), lambda b: b < k))
+        alone, several = F.coalesce(F.get("bounds", j) == k, F.lit(False)), F.coalesce(F.get("own", j), F.lit(1))
+        mine = F.when(several == 1, 0).when(alone, share_of(several)).otherwise(several) if hashed else F.lit(0)
+        return F.when(k.isNull(), at + share_of(F.lit(nulls)) if nulls else F.lit(at)).otherwise(F.get("starts", j) + mine)
 
-    dealt = rows.join(F.broadcast(edges)).withColumn("bucket", bucket(F.col(key))).drop("bounds", "coarse") if bounds else rows.withColumn("bucket", F.when(F.col(key).isNull(), 1).otherwise(0))
+    dealt = (rows.withColumn("h", F.xxhash64(*carry)) if hashed else rows.withColumn("h", F.lit(0).cast("long"))).join(F.broadcast(edges))
+    dealt = dealt.withColumn("bucket", bucket(F.col(key))).drop("bounds", "coarse", "starts", "own")
     order = [F.col(key).desc_nulls_last(), F.xxhash64(*carry)]
-    heads = dealt.select("bucket", key).groupBy("bucket").agg(F.max(key).alias("head"))
-    # ranges are few (at most MAX_BUCKETS), so their order fits one task
+    first = F.max(F.struct(F.col(key).alias("k"), F.bitwise_not("h").alias("not_h"))).alias("head")
+    heads = dealt.select("bucket", key, "h").groupBy("bucket").agg(first)
+    # ranges are few (at most MAX_BUCKETS or so), so their order fits one task
     ring = Window.partitionBy(F.lit(0)).orderBy(F.col("bucket"))
     before = heads.select(F.col("bucket").alias("head_bucket"), "head", F.coalesce(F.lag("bucket").over(ring), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("to"))
     marked = dealt.join(F.broadcast(before), F.col("bucket") == F.col("head_bucket"))
-    copies = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("copy")), F.when(F.col(key).eqNullSafe(F.col("head")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("copy"))))
+    is_head = F.col(key).eqNullSafe(F.col("head.k")) & (F.bitwise_not("h") == F.col("head.not_h"))
+    copies = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("copy")), F.when(is_head, F.struct(F.col("to").alias("bucket"), F.lit(True).alias("copy"))))
     spread = marked.withColumn("place", F.explode(F.array_compact(copies))).select(*rows.columns, F.col("place.bucket").alias("bucket"), F.col("place.copy").alias("copy"))
     w = Window.partitionBy("bucket").orderBy("copy", *order)
     return spread.withColumn("next", F.lead(F.struct(*carry)).over(w)).filter("not copy").drop("bucket", "copy")
@@ -95,7 +113,8 @@ def fingerprint_edits(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) ->
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and containments.
 
     The edited text is the text with its last floor(n/2) code points replaced by the first as many of the next document's
-    text (or all of it, where that is shorter). Null texts are empty. A single document is its own next.
+    text (or all of it, where that is shorter). Null texts are empty. A single document is its own next. Rows without id come last;
+    rows of one id follow each other by a hash of their texts. An empty table gives no rows.
     """
     digest = lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 16)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
