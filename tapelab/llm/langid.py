@@ -19,17 +19,15 @@ from pyspark.sql import functions as F
 from tapelab.llm.common import fold
 from tapelab.llm.hashing import HashTable
 
-#: At most about so many documents of each language are learned from: rows of the training folds whose hash of the id
+#: At most about so many documents of each language are learned from: rows of the training folds whose hash
 #: falls below the share that gives this many.
 MAX_DOCS_PER_LANG = 1000
 ROUNDS = 3
-LONGEST_PIECE = 12
 #: A piece that a language didn't use counts as this many uses; a character outside the vocabulary has the rarest piece's share.
 SMOOTHING = 0.05
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPACE = "▁"
 _B = 0x100000001B3
-_POWERS = np.array([pow(_B, k, 2**64) for k in range(LONGEST_PIECE)], np.uint64)
 
 
 def default_vocabulary() -> str:
@@ -40,13 +38,20 @@ def default_vocabulary() -> str:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> tuple[tuple[str, ...], HashTable]:
-    """The lower-case pieces of letters (a word's first piece begins with the space mark), and hash -> index."""
+    """The lower-case pieces of letters (a word's first piece begins with the space mark), and hash -> index; the table knows the pieces' ``longest`` length."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-    kept = tuple(sorted(p for p in pieces if p == p.lower() and (p[0] == _SPACE or p.isalpha()) and len(p) <= LONGEST_PIECE and (p == _SPACE or p.lstrip(_SPACE).isalpha())))
-    return kept, HashTable(np.array([_hash(p) for p in kept], np.uint64), np.arange(len(kept), dtype=np.int32))
+    kept = tuple(sorted(p for p in pieces if p == p.lower() and (p[0] == _SPACE or p.isalpha()) and (p == _SPACE or p.lstrip(_SPACE).isalpha())))
+    return kept, table_of(kept)
+
+
+def table_of(pieces: tuple[str, ...]) -> HashTable:
+    table = HashTable(np.array([_hash(p) for p in pieces], np.uint64), np.arange(len(pieces), dtype=np.int32))
+    table.longest = max(map(len, pieces), default=1)
+    table.powers = np.array([pow(_B, k, 2**64) for k in range(table.longest)], np.uint64)
+    return table
 
 
 def _hash(piece: str) -> int:
@@ -79,8 +84,8 @@ def _by_length(words: list[str]):
 def _ends(m: np.ndarray, t: int, table: HashTable):
     """(length, piece index or -1 of each row) for the pieces that end before position t."""
     h = np.zeros(len(m), np.uint64)
-    for n in range(1, min(t, LONGEST_PIECE) + 1):
-        h = h + m[:, t - n] * _POWERS[n - 1]
+    for n in range(1, min(t, table.longest) + 1):
+        h = h + m[:, t - n] * table.powers[n - 1]
         yield n, table.get(h)
 
 
@@ -100,7 +105,7 @@ def word_scores(words: list[str], table: HashTable, p: np.ndarray, unknown: np.n
                     miss = np.flatnonzero(ids < 0)
                     a[t][miss] += a[t - 1][miss] * unknown
             if t % 8 == 0:  # long words would underflow
-                window = a[max(0, t - LONGEST_PIECE) : t + 1]
+                window = a[max(0, t - table.longest) : t + 1]
                 top = np.maximum(window.max(0), 1e-300)
                 window /= top
                 log += np.log(top)
@@ -113,30 +118,32 @@ def expected_counts(words: list[str], weights: np.ndarray, table: HashTable, p:
     counts = np.zeros(len(p))
     for part, m in _by_length(words):
         n, w = m.shape[1], weights[part]
-        if n > 60:  # too rare to matter, and it would underflow
-            continue
         ends = {t: list(_ends(m, t, table)) for t in range(1, n + 1)}
         prob = lambda ids, k: np.where(ids >= 0, p[ids], unknown if k == 1 else 0.0)
-        f, b = np.zeros((n + 1, len(m))), np.zeros((n + 1, len(m)))
-        f[0], b[n] = 1, 1
+        # c[t] is the forward sum at t over that at t - 1, and b the backward sum times what that makes one, so no length underflows
+        c, b = np.ones((n + 1, len(m))), np.zeros((n + 1, len(m)))
         for t in range(1, n + 1):
+            total, over = np.zeros(len(m)), np.ones(len(m))
             for k, ids in ends[t]:
-                f[t] += f[t - k] * prob(ids, k)
+                total += over * prob(ids, k)
+                over = over / c[t - k]
+            c[t] = total
+        b[n] = 1
         for t in range(n, 0, -1):
+            over = b[t] / c[t]
             for k, ids in ends[t]:
-                b[t - k] += b[t] * prob(ids, k)
-        total = np.maximum(f[n], 1e-300)
-        for t in range(1, n + 1):
-            for k, ids in ends[t]:
+                used = over * prob(ids, k)
+                b[t - k] += used
                 hit = ids >= 0
-                np.add.at(counts, ids[hit], (w * f[t - k] * b[t] / total)[hit] * p[ids[hit]])
+                np.add.at(counts, ids[hit], (w * used)[hit])
+                over = over / c[t - k]
     return counts
 
 
 def fit(docs: DataFrame, vocabulary_path: str | None = None, max_docs: int = MAX_DOCS_PER_LANG, rounds: int = ROUNDS) -> dict:
     """Languages and their log-free piece probabilities, from rows with a text and a lang whose fold (crc32(doc_id) mod 3) isn't 1.
 
-    The sample is bounded (``max_docs`` a language, by hash of the id) and taken by content, not by order; its word
+    The sample is bounded (``max_docs`` a language, by hash of id and text) and taken by content, not by order; its word
     counts stay a Spark table, each round is a job over it, and only pieces x languages sums come to the driver.
     """
     path = vocabulary_path or default_vocabulary()
@@ -148,7 +155,8 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, max_docs: int = MAX
     if not langs:
         return model
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, max_docs / n)))])
-    sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1e6) * share[F.col("lang")]).select("lang", "text")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).cast("double") / F.lit(2.0**63)  # of the row, in 0 to 1
+    sample = train.filter(place < share[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         for b in batches:
