@@ -26,19 +26,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAI
     """Features and labels of labelled documents outside the held-out fold (crc32(doc_id) mod 5 = 0).
 
     A bounded sample by hash of the id, the same whatever the partitioning. A document labelled several times takes the
-    larger mean side (ties: 1); null ids, null labels and labels without a document are left out.
+    larger mean side (ties: 1), and of texts of one id the one with the least features is taken; null ids, null labels and labels without a document are left out.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.avg(label).alias("y"))
     known = known.select(F.col("doc_id").alias("labelled_id"), (F.col("y") >= 0.5).cast("int").alias("y"))
     total = known.count()
     if total > max_rows:
-        known = known.filter(F.pmod(F.xxhash64("labelled_id"), F.lit(1_000_000)) < int(1e6 * max_rows / total))
+        known = known.filter(F.shiftrightunsigned(F.xxhash64("labelled_id"), 1) < int(2**63 * max_rows / total))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("y", "doc_id", "text")
 
     def finish(carried, counts, features):
         return [carried[0], carried[1], pa.array(list(features), pa.list_(pa.float64()))]
 
-    got = with_statistics(rows, ["y", "doc_id"], finish, "y int, doc_id long, x array<double>").toPandas()
+    found = with_statistics(rows, ["y", "doc_id"], finish, "y int, doc_id long, x array<double>")
+    got = found.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").toPandas()  # an id that repeats counts once
     got = got.sort_values("doc_id", kind="stable")  # the fit doesn't depend on the partitioning
     return np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES)), got["y"].to_numpy(np.int64)
 
@@ -82,7 +83,10 @@ def apply_rules(docs: DataFrame, model: gbdt.Trees, reject_below: float = REJECT
 
 
 def filter_rows(docs: DataFrame, model: gbdt.Trees, keep) -> DataFrame:
-    """The rows of ``docs``, all their columns, for which ``keep(counts, features)`` holds; texts don't travel for it."""
+    """The rows of ``docs``, all their columns, for which ``keep(counts, features)`` holds; texts don't travel for it.
+
+    Null texts are judged as empty ones; rows that repeat are kept or dropped together; an empty table gives no rows.
+    """
     names = docs.columns
     at = names.index("text")
 
