@@ -167,7 +167,25 @@ def test_sketch_estimates_likeness(spark, docs):
     assert sum(error) / len(error) < 0.05
 
 
-@pytest.mark.parametrize("most, block", [(64, 512), (2, 8)])
+def brute_components(texts):
+    """For each text the first one that links reach, by comparing all pairs."""
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 0.8 * len(a) <= len(b) <= 1.25 * len(a) and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("most, block", [(64, 512), (2, 8), (5, 30)])
 def test_jaccard_components(spark, docs, most, block):
     import random
 
@@ -181,20 +199,9 @@ def test_jaccard_components(spark, docs, most, block):
         extra.append((100_000 + n, " ".join(w), "en"))
     rows = [*docs, *extra]
     got = by_id(jaccard.components(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), most=most, block=block))
-    sets, up = [shingles(t) for _, t, _ in rows], list(range(len(rows)))
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a and b and 0.8 * len(a) <= len(b) <= 1.25 * len(a) and 100 * len(a & b) >= 80 * len(a | b):
-                x, y = root(i), root(j)
-                up[max(x, y)] = min(x, y)
-    assert all(got[r[0]]["component_id"] == rows[root(i)][0] and got[r[0]]["n_shingles"] == len(sets[i]) for i, r in enumerate(rows))
+    root = brute_components([t for _, t, _ in rows])
+    sets = [shingles(t) for _, t, _ in rows]
+    assert all(got[r[0]]["component_id"] == rows[root[i]][0] and got[r[0]]["n_shingles"] == len(sets[i]) for i, r in enumerate(rows))
 
 
 def test_containment_of_unequal_documents(spark):
@@ -225,15 +232,207 @@ def test_likeness_of_texts_of_every_length(spark, docs):
         assert r["x"] == pytest.approx(len(a & b) / len(a | b))
 
 
-def test_pipeline_stages(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def test_pipeline_stages(spark, docs):
+    """Each stage on what the one before kept, against plain Python; with planted copies, near copies, passages and junk."""
+    from tokenizers import Tokenizer
+
+    from tapelab.llm import quality, textstats
+
+    good = [t for i, t, _ in docs if len(words(t)) > 150][:30]
+    extra = [good[0], good[1] + " end", " ".join(words(good[2])[:60] + words(good[3])), "buy now! " * 90, "", None, "word " * 10]
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(900_000 + n, t, "en", "planted", len(t or "")) for n, t in enumerate(extra)], d.schema)
+    d = stored(d.unionByName(more), "planted")
     columns, rows = d.columns, {}
     for name, stage in corpus_pipeline.STAGES:
-        before = d
-        d = stored(stage(spark, d, "/root/testdata/sf0.01"), "stage")
-        rows[name] = d.count()
-        assert d.columns == columns or name == "packing"
-        if name == "n-gram Jaccard join":
-            kept = {r["component_id"] for r in jaccard.components(before).collect()}
-            assert {r["doc_id"] for r in d.collect()} == kept and rows[name] == len(kept)
-    assert rows["quality rules"] >= rows["quality classifier"] >= rows["n-gram Jaccard join"] == rows["substring dedup"]
+        before = sorted((r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect() if r["text"] is not None)
+        source, d = d, stored(stage(spark, d, SF), "stage")
+        if name == "packing":
+            break
+        assert d.columns == columns
+        after = {r["doc_id"]: r["text"] for r in d.collect()}
+        rows[name] = len(after)
+        if name.startswith("quality"):
+            model = (quality.rules_model if "rules" in name else quality.classifier)(source, spark.read.parquet(f"{SF}/labels.parquet"))
+            verdict = quality.passes_rules if "rules" in name else quality.passes_classifier
+            both = [textstats.statistics(t) for _, t in before]
+            keep = verdict(np.array([x[0] for x in both]), np.array([x[1] for x in both]), model)
+            assert after == {i: t for (i, t), ok in zip(before, keep) if ok}
+        elif name == "n-gram Jaccard join":
+            root = brute_components([t for _, t in before])
+            assert after == {i: t for n, (i, t) in enumerate(before) if root[n] == n}
+        else:
+            assert after == {i: kept if gone else t for (i, t), (_, gone, kept) in zip(before, removed_by_windows(before))}
+            assert rows["n-gram Jaccard join"] == len(after) and after != dict(before)
+    assert rows["quality rules"] >= rows["quality classifier"] > rows["n-gram Jaccard join"] > 50
+    tok, got = Tokenizer.from_file(packing.default_tokenizer()), defaultdict(list)
+    for r in d.collect():
+        got[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    assert set(got) == {i for i, _ in before}
+    for i, text in before:
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 1]
+        assert [(a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())) for a, n, _ in sorted(got[i])] == sorted(got[i]) and sum(n for _, n, _ in got[i]) == len(ids)
+
+
+def test_pipeline_of_empty_tables(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        d = stored(stage(spark, d, SF), "stage")
+        assert d.count() == 0
+
+
+def test_license_base_columns_and_spans(spark, docs):
+    """Base columns by a plain scan of every text, and planted notices: whole, with words put in, of two licenses that share most words."""
+    import random
+
+    from tapelab.llm import licenses
+
+    rng = random.Random(9)
+    parts = ["MIT", "mit", "license", "License", "apache", "general", "public", "x", "é", "İ", "-", "\n", "GNU"]
+    odd = [(200_000 + n, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 14))), None) for n in range(300)]
+    body = dict(enumerate(b for _, b in licenses.TEMPLATES))
+    label = dict(enumerate(x for x, _ in licenses.TEMPLATES))
+    whole = [(300_000 + n, f"Some words before it. {b} And more behind, {n}.", None) for n, b in body.items()]
+    longer = [(400_000 + n, "front " + " ".join(b.split()[: len(b.split()) // 2] + ["two", "more"] + b.split()[len(b.split()) // 2 :]), None) for n, b in body.items() if len(b.split()) > 20]
+    got = by_id(licenses.scan(spark.createDataFrame([*docs, *odd, *whole, *longer], "doc_id long, text string, lang string").repartition(5)))
+    for i, text, _ in [*docs, *odd]:
+        w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)) if x]
+        at = [(n, name) for phrase, name in licenses.PHRASES for n in range(len(w)) if w[n : n + len(phrase.split())] == phrase.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(at), ",".join(sorted({x for _, x in at})))
+        assert (r["first_word"], r["last_word"]) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    for n in body:
+        assert label[n] in got[300_000 + n]["labels"].split(","), body[n]
+        assert {x["label"] for x in got[300_000 + n]["spans"]} == {label[n]}, body[n]
+    for i, _, _ in longer:
+        assert label[i - 400_000] in got[i]["labels"].split(",")
+
+
+def segmentations(word, longest):
+    if not word:
+        yield []
+    for k in range(1, min(longest, len(word)) + 1):
+        for rest in segmentations(word[k:], longest):
+            yield [word[:k], *rest]
+
+
+def test_forward_sums_equal_enumerated_segmentations():
+    """Scores and expected counts against sums over all ways to cut a word, unknown characters and long words included."""
+    import math
+    import random
+
+    from tapelab.llm import langid
+
+    rng = random.Random(4)
+    pieces = tuple(sorted({"▁", "a", "b", "ab", "ba", "▁a", "▁ab", "aab", "bab", "abab", "▁bb"}))
+    table, p = langid.table_of(pieces), np.array([[rng.random() / 9, rng.random() / 9] for _ in pieces])
+    unknown = np.array([0.003, 0.001])
+    words_ = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    got = langid.word_scores(words_, table, p, unknown)
+    counts = [langid.expected_counts([w], np.ones(1), table, p[:, 0], unknown[0]) for w in words_]
+    at = {x: i for i, x in enumerate(pieces)}
+    for w, score, count in zip(words_, got, counts):
+        total, used = np.zeros(2), np.zeros(len(pieces))
+        for cut in segmentations("▁" + w, table.longest):
+            prob = np.ones(2)
+            for x in cut:
+                prob = prob * (p[at[x]] if x in at else unknown if len(x) == 1 else 0.0)
+            total += prob
+            for x in cut:
+                if x in at:
+                    used[at[x]] += prob[0]
+        assert score == pytest.approx(np.log(total)) and count == pytest.approx(used / total[0])
+    # a word too long for plain products: as many pieces' characters as it has
+    long = langid.expected_counts(["ab" * 3000], np.ones(1), table, p[:, 0], unknown[0])
+    assert sum(n * len(x) for n, x in zip(long, pieces)) == pytest.approx(6001) and math.isfinite(langid.word_scores(["ab" * 3000], table, p, unknown)[0, 0])
+
+
+def test_trees_are_walked_and_monotone():
+    """Flattened traversal against a walk node by node; a monotone feature never raises a score, whatever the others are."""
+    import random
+
+    from tapelab.llm import gbdt
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 4)).round(2)
+    y = ((x[:, 0] - x[:, 1] + rng.normal(size=1500) / 2 + np.sin(3 * x[:, 2])) > 0).astype(int)
+    for monotone in (None, {1: -1, 0: 1}):
+        model = gbdt.fit(x, y, monotone, trees=20, depth=4)
+        got = model.predict(x[:200])
+        for row, score in zip(x[:200], got):
+            total = model.base
+            for at in model.roots:
+                while model.feature[at] >= 0:
+                    at = model.right[at] if row[model.feature[at]] > model.threshold[at] else model.left[at]
+                total += model.value[at]
+            assert score == pytest.approx(1 / (1 + np.exp(-total)))
+    r = random.Random(2)
+    for _ in range(200):
+        row = x[r.randrange(len(x))].copy()
+        rows = np.repeat(row[None], 40, 0)
+        rows[:, 1] = np.linspace(-4, 4, 40)
+        assert (np.diff(model.predict(rows)) <= 1e-12).all()
+        rows = np.repeat(row[None], 40, 0)
+        rows[:, 0] = np.linspace(-4, 4, 40)
+        assert (np.diff(model.predict(rows)) >= -1e-12).all()
+
+
+def test_kept_is_the_verdict_of_the_rules(spark, docs):
+    """The verdict, and the pipeline's two filters, against base counts and the models' scores of each text."""
+    from tapelab.llm import gbdt, quality, textstats
+
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rules, model = quality.rules_model(d, labels), quality.classifier(d, labels)
+    assert isinstance(rules, gbdt.Trees)
+    got = by_id(quality.apply_rules(d, rules))
+    stats = {i: textstats.statistics(t) for i, t, _ in docs}
+    fine = lambda i: stats[i][0][0] >= 50 and 100 * stats[i][0][4] <= 50 * stats[i][0][0]
+    score = lambda m, i: float(m.predict(np.array([stats[i][1]]))[0])
+    passed = {i for i in stats if fine(i) and score(rules, i) >= quality.REJECT_BELOW}
+    assert {i for i, r in got.items() if r["kept"]} == passed
+    assert {r["doc_id"] for r in quality.filter_rows(d, rules, quality.passes_rules).collect()} == passed
+    assert {r["doc_id"] for r in quality.filter_rows(d, model, quality.passes_classifier).collect()} == {i for i in stats if score(model, i) >= quality.THRESHOLD}
+
+
+def removed_by_windows(rows, size=35):
+    """For each row, which words lie in a window that starts anywhere else too."""
+    seen = Counter()
+    for _, text in rows:
+        w = words(text)
+        seen.update(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+    out = []
+    for _, text in rows:
+        w = words(text)
+        gone = {i + k for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for k in range(size)}
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+def test_substrings_of_periodic_and_planted_texts(spark):
+    """Few different words, so that windows overlap, repeat within a text and meet by halves; planted passages; and the stage's texts."""
+    import random
+
+    from tapelab.llm import substrings
+
+    rng = random.Random(8)
+    shared = [" ".join(f"p{k}w{rng.randint(0, 30)}" for _ in range(rng.randint(34, 70))) for k in range(6)]
+    rows = []
+    for n in range(160):
+        kind = n % 4
+        if kind == 0:
+            t = " ".join(rng.choice("ab") for _ in range(rng.randint(0, 200)))
+        elif kind == 1:
+            unit = [rng.choice("abc") for _ in range(rng.randint(1, 9))]
+            t = " ".join((unit * 60)[: rng.randint(30, 150)])
+        elif kind == 2:
+            t = " ".join([f"u{n}x{i}" for i in range(rng.randint(0, 60))] + [rng.choice(shared)] + [f"v{n}x{i}" for i in range(rng.randint(0, 60))])
+        else:
+            t = "\n".join(f"w{rng.randint(0, 10_000)}" for _ in range(rng.randint(0, 120)))
+        rows.append((n, t))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got, texts = by_id(substrings.removal_digests(d)), by_id(substrings.remove_repeats(d))
+    for (i, text), (n, gone, kept) in zip(rows, removed_by_windows(rows)):
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+        assert texts[i]["text"] == (kept if gone else text)

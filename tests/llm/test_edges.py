@@ -34,13 +34,23 @@ def count(df):
 
 
 def test_warc(spark, tmp_path):
-    pages = spark.createDataFrame([(3, "u", "x" * 200, 0), (1, "u\r\nbad: x", "x" * 200, 0), (1, None, "x" * 200, 0), (None, "u", "x" * 200, 0), (2, "u", None, 0), (4, "u", "", 0), (5, "u", "short", 0), (6, "u", "short", 0), (7, "u", "y" * 9_000_000, 0)], "page_id long, url string, html string, digest int")
+    pages = spark.createDataFrame([(3, "u", "x" * 200, 0), (1, "u\r\nbad: x", "x" * 200, 0), (1, None, "x" * 200, 0), (None, "u", "x" * 200, 0), (2, "u", None, 0), (4, "u", "", 0), (5, "u", "short", 0), (6, "u", "short", 0), (7, "u", "y" * 20_000_000, 0)], "page_id long, url string, html string, digest int")
     at = scratch(spark, "warc")
     warc.write_warc(pages, at)
     got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, at).collect()}
-    assert got == {(3, 200, "revisit", 1), (1, 200, "response", None), (None, 200, "revisit", 1), (2, 0, "response", None), (4, 0, "response", None), (5, 5, "response", None), (6, 5, "response", None), (7, 9_000_000, "response", None)}
+    assert got == {(3, 200, "revisit", 1), (1, 200, "response", None), (None, 200, "revisit", 1), (2, 0, "response", None), (4, 0, "response", None), (5, 5, "response", None), (6, 5, "response", None), (7, 20_000_000, "response", None)}
     body = {r["page_id"]: r["payload"] for r in warc.read_warc(spark, at, with_payload=True).collect()}
-    assert hashlib.sha256(body[7]).digest() == hashlib.sha256(b"y" * 9_000_000).digest()
+    assert hashlib.sha256(body[7]).digest() == hashlib.sha256(b"y" * 20_000_000).digest()
+    # each archive is gzip members, one a page and one that is empty; small archives hold the same pages
+    import gzip
+    from pathlib import Path
+
+    small = scratch(spark, "warc")
+    warc.write_warc(pages, small, archive_bytes=300)
+    assert {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, small).collect()} == got
+    for folder in (at, small):
+        files = [f.read_bytes() for f in Path(folder).glob("part-*")]
+        assert sum(gzip.decompress(f).count(b"WARC/1.1\r\n") for f in files) == 9 and all(f.endswith(warc.END_MARK) for f in files if f)
     none = scratch(spark, "warc")
     warc.write_warc(pages.limit(0), none)
     assert count(warc.read_warc(spark, none)) == 0
@@ -49,9 +59,9 @@ def test_warc(spark, tmp_path):
 def test_warc_members_are_gzip_and_damage_is_found():
     import gzip
 
-    m = b"".join(warc.members(1, "http://a", b"body", hashlib.sha256(b"body").hexdigest(), 4, None, False, "2020-01-01T00:00:00Z"))
-    assert gzip.decompress(m).startswith(b"WARC/1.1\r\n") and m[-1] == 0
-    assert len(list(warc.records(m + m))) == 2
+    m = warc.record(1, "http://a", b"body", hashlib.sha256(b"body").hexdigest(), 4, None, False, "2020-01-01T00:00:00Z")
+    assert gzip.decompress(m).startswith(b"WARC/1.1\r\n") and gzip.decompress(warc.END_MARK) == b""
+    assert len(list(warc.records(m + m + warc.END_MARK))) == 2
     with pytest.raises(ValueError):
         list(warc.records(m[:-20]))
     bad = gzip.compress(gzip.decompress(m).replace(b"body", b"bOdy"))
@@ -163,3 +173,15 @@ def test_licenses(spark, docs, empty):
     assert (got[21]["n_base"], got[21]["first_word"], got[21]["labels"], got[21]["score"]) == (0, None, "cc-by-nc", 1.0)
     assert (got[22]["base_labels"], got[22]["n_base"], got[23]["n_base"]) == ("apache,gpl", 2, 0)
     assert count(licenses.scan(docs)) == len(ROWS) and count(licenses.scan(empty)) == 0
+
+
+@pytest.mark.parametrize("per", [1000, 7, 1])
+def test_edited_texts_of_null_and_repeated_ids(spark, per):
+    """Hot ids and rows without id are dealt to several ranges, and every row still meets the one that follows it."""
+    rows = [(None, f"no id {n} " * 3) for n in range(40)] + [(5, f"five {n} " * 4) for n in range(60)] + [(n * 3, f"text {n} of {n * 7}") for n in range(-20, 60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = {tuple(r): r.h for r in d.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()}
+    texts = {(r["doc_id"], r["text"]): hashes[r["doc_id"], r["text"], r["h"]] for r in d.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), texts[r]))
+    got = {(r["doc_id"], r["text"]): r["next"]["text"] for r in fingerprints.with_next(d, "doc_id", ["text"], per).collect()}
+    assert got == {r: order[(n + 1) % len(order)][1] for n, r in enumerate(order)}
