@@ -4,28 +4,23 @@ Each document is the set of its shingles' hashes; documents of one set are one m
 (those known to be frequent last, then by hash). Two sets of Jaccard similarity t share a shingle in their prefixes, the
 first size - ceil(t * size) + 1 in that order. Members of the same prefix and size are one group. Groups that share a
 prefix shingle are paired, and pairs are filtered by size, by how many prefix shingles they share, and by parity bitmaps of their sets. Lists of shingles that
-aren't known to be frequent are made in one exchange by shingle; the frequent ones are summed before they are dealt. A shingle
-that stands in the prefixes of more than LIST groups isn't paired off: its groups become candidates of each other directly.
+aren't known to be frequent are made in one exchange by shingle; the frequent ones are summed before they are dealt.
 
-Groups that are left are expanded to their members, and what candidates link is one cluster: members of different clusters
-can't match. A cluster that fits one block, bounded in members and in shingles, is verified there: whole sets, by matrix products, each member
-sent once. Candidates that aren't links can join clusters into one of any size, so a larger cluster is taken by its candidate pairs:
+A list of more than LIST groups isn't paired off. It is expanded to its members and, like a group of several members, taken in two steps:
 
-* Groups of several members, or groups of one long list, are families; a family is cut into blocks by size. Each member
-  goes to its block, where a few members of the family (pivots) come along, so that a family of copies is linked up in that step.
-* Of the pairs of groups, each group's pair with its least neighbour is verified in the same step.
-* Then what is linked needs no comparison any more: blocks of a family's largest component are compared only with what isn't in it,
-  and of the other pairs of groups only those that aren't connected yet are verified.
+* Each member is paired with one of its list only, as each group of a short list is with its least neighbour. Whole texts of pairs whose bitmaps
+  are near are sent together and verified; what is linked is one component, so that a family of copies is linked up.
+* Members of one component need no comparison any more. The others of a list are compared by bitmap, in blocks
+  (what is in the list's largest component only with what isn't), and of near pairs the whole texts are verified.
 
-So every link between different texts counts, no group is held by one task or sent in pairs, and work follows the number of
-candidate pairs and of members, not the square of a cluster.
+So every link between different texts counts, texts travel only for pairs that bitmaps leave in doubt, no list is held by one
+task, and no family is sent in pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,9 +33,8 @@ SHINGLE = 5
 #: Similarity, as a ratio of integers.
 NUMERATOR, DENOMINATOR = 80, 100
 LIST = 64
-#: A block holds about so many members, and shingles, at most.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 18
-PIVOTS = 4
+#: A block holds about so many members at most.
+BLOCK = 512
 #: Keys that a task remembers, so as to send a text that repeats in it once.
 REMEMBERED = 1 << 16
 #: Bits of the filter of frequent shingles. At most one in eight is set: with more shingles, frequent means more often.
@@ -108,21 +102,33 @@ def frequent_filter(docs: DataFrame, k: int = SHINGLE, flush: int = 1 << 20) ->
         if above > 1 << (FILTER_BITS - 3):
             least = 2 << r["level"]
             break
-    bit = F.shiftrightunsigned("shingle", 64 - FILTER_BITS)
-    words = sums.filter(F.col("n") > least).select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(shingle, {64 - FILTER_BITS}) & 31 as int))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = hash_bits(sums.filter(F.col("n") > least).select("shingle"))
     forget(sums)
+    return out
+
+
+def hash_bits(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS bits, whatever the number of ``hashes`` (one column): set where a hash's first bits point to."""
+    h = F.col(hashes.columns[0])
+    bit = F.shiftrightunsigned(h, 64 - FILTER_BITS)
+    mask = F.element_at(F.array(*(F.lit(1 << i).cast("long") for i in range(32))), (bit.bitwiseAND(F.lit(31)) + 1).cast("int"))
+    got = hashes.select(F.shiftright(bit, 5).alias("word"), mask.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2**(FILTER_BITS - 5) rows
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
+def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """1 where the bit of a hash (uint64) is set, else 0."""
+    bit = h >> np.uint64(64 - FILTER_BITS)
+    return (bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+
+
 def ordered(texts: list[bytes], frequent: np.ndarray, k: int, num: int, den: int):
     """Of a batch: sizes, set ids and prefix lengths of the texts; their shingles in the global order, end to end, which are in the prefix, and which are frequent."""
     h, sizes = shingle_sets(texts, k)
     ids = set_ids(h, sizes)
-    bit = h >> np.uint64(64 - FILTER_BITS)
-    late = (frequent[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+    late = has_bit(frequent, h)
     # shingles of a text are sorted already: a stable split by ``late`` keeps the order
     doc = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(doc * 2 + late, kind="stable")
@@ -169,25 +175,48 @@ def parity_bits(h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [data[i:j] for i, j in zip(((ends - width) // 8).tolist(), (ends // 8).tolist())]
 
 
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of ``width`` bytes or a power of two times as many, all folded to ``width``, as a matrix."""
+    out = np.empty((len(bits), width), np.uint8)
+    by: dict[int, list[int]] = {}
+    for i, x in enumerate(bits):
+        by.setdefault(len(x), []).append(i)
+    for n, at in by.items():
+        x = np.frombuffer(b"".join([bits[i] for i in at]), np.uint8).reshape(len(at), n)
+        while x.shape[1] > width:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        out[at] = x
+    return out
+
+
+def near_pairs(bits: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs (a[i], b[i]) of sets can still be linked, by their bitmaps."""
+    widths = np.array(list(map(len, bits)))
+    width, keep = np.minimum(widths[a], widths[b]), np.zeros(len(a), bool)
+    total = sizes[a] + sizes[b]
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        rows, where = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        m = folded([bits[i] for i in rows.tolist()], w).view(np.uint64)
+        x, y = where[: len(at)], where[len(at) :]
+        for k in range(0, len(at), max(1, (1 << 22) // w)):
+            some = slice(k, k + max(1, (1 << 22) // w))
+            apart = np.bitwise_count(m[x[some]] ^ m[y[some]]).sum(1, dtype=np.int64)
+            keep[at[some]] = (total[at[some]] - apart) * (den + num) >= 2 * num * total[at[some]]
+    return keep
+
+
 def near_by_bits(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of (a, b, size, size2, bits, bits2) the (a, b) whose bitmaps leave room for a link; pairs without both bitmaps stay."""
 
     def run(batches):
         for b in batches:
-            one, other = b.column(4).to_pylist(), b.column(5).to_pylist()
-            sizes = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep, groups = np.ones(b.num_rows, bool), {}
-            for i, (x, y) in enumerate(zip(one, other)):
-                if x is not None and y is not None:
-                    groups.setdefault((len(x), len(y)), []).append(i)
-            for (n, m), at in groups.items():
-                x, y = (np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), -1) for side in (one, other))
-                while x.shape[1] > y.shape[1]:
-                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-                while y.shape[1] > x.shape[1]:
-                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                keep[at] = (sizes[at] - apart) * (den + num) >= 2 * num * sizes[at]
+            bits = b.column(4).to_pylist() + b.column(5).to_pylist()
+            sizes = np.concatenate([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3)])
+            at = np.array([i for i in range(b.num_rows) if bits[i] is not None and bits[i + b.num_rows] is not None], np.int64)
+            keep = np.ones(b.num_rows, bool)
+            if len(at):
+                keep[at] = near_pairs([x or b"" for x in bits], sizes, at, at + b.num_rows, num, den)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "size", "size2", "bits", "bits2").mapInArrow(run, "a long, b long")
@@ -214,46 +243,6 @@ def members_of(docs: DataFrame, frequent: np.ndarray, carry: list[str], k: int =
     return docs.select(*carry, "text", F.xxhash64("text").alias("key")).mapInArrow(run, schema)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the links (a[i], b[i])."""
-    up, out = list(range(n)), []
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = x, y
-        while up[rx] != rx:
-            up[rx] = rx = up[up[rx]]
-        while up[ry] != ry:
-            up[ry] = ry = up[up[ry]]
-        if rx != ry:
-            up[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
-
-
-def compare_block(members: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one pair of blocks (sides 0 and 1; a block against itself has side 0 alone)."""
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    column = np.cumsum(counts > 1) - 1
-    row = np.repeat(np.arange(len(sets)), sizes)
-    shared = counts[inverse] > 1
-    row, col = row[shared], column[inverse][shared]
-    left = np.flatnonzero(sides == 0)
-    right = np.flatnonzero(sides == 1) if (sides == 1).any() else left
-    both = np.zeros((len(left), len(right)), np.float32)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for c in range(0, int(column[-1]) + 1, 2048):
-        i, j = np.searchsorted(col, [c, c + 2048])
-        m = np.zeros((len(sets), 2048), np.float32)
-        m[row[i:j], col[i:j] - c] = 1
-        both += m[left] @ m[right].T
-    both = both.astype(np.int64)
-    linked = den * both >= num * (sizes[left][:, None] + sizes[right][None, :] - both)
-    a, b = np.nonzero(linked)
-    return [(int(members[x]), int(members[y])) for x, y in forest(len(sets), left[a], right[b]) if x != y]
-
-
 def links(docs: DataFrame, members: DataFrame, frequent: np.ndarray, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = LIST, block: int = BLOCK) -> DataFrame:
     """node, root of all links between members (different shingle sets). ``docs``: text; ``members``: of the same rows."""
     rare = prefixes(docs, frequent, False, k, num, den).repartition("token").distinct()
@@ -283,139 +272,165 @@ def links(docs: DataFrame, members: DataFrame, frequent: np.ndarray, k: int = SH
     pairs = pairs.join(alone.withColumnRenamed("grp", "a"), "a", "left").join(alone.select(F.col("grp").alias("b"), F.col("bits").alias("bits2")), "b", "left")
     pairs = near_by_bits(pairs, num, den)
 
-    # expansion: members that candidates link are one cluster
     pairs = stored(pairs, "pairs")
-    long = stored(shared.filter(F.col("n") > most).select(F.col("grp").alias("a"), F.col("low").alias("b")), "long")
+    long = shared.filter(F.col("n") > most)
+    # of lists of the same groups one does
+    same = long.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "grp")).alias(f"x{i}") for i in (1, 2)))
+    one = same.groupBy("n", "x1", "x2").agg(F.min("token").alias("token")).select("token")
+    long = stored(hot_join(long, one, ["token"], "left_semi").select("token", "grp", "low"), "long")
     forget(rare, often)
-    clusters = connected_components(pairs.unionByName(long)).select(F.col("node").alias("grp"), "root")
-    facts = members.filter("member is not null").groupBy("member").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("grp").alias("grp"))
-    rows = hot_join(facts, clusters, ["grp"], "left").withColumn("root", F.coalesce("root", "grp"))
-    total = rows.groupBy("root").agg(F.count(F.lit(1)).alias("total"), F.sum("size").alias("weight")).filter("total > 1")
-    rows = stored(hot_join(rows, total, ["root"]), "clusters")
-    large = (F.col("total") > block) | (F.col("weight") > BLOCK_SHINGLES)
-    roots = _verify(docs, rows.filter(~large), rows.filter(large), pairs, long, k, num, den, block)
-    forget(pairs, long, rows)
+    roots = _verify(docs, members, pairs, long, k, num, den, block)
+    forget(pairs, long)
     return roots
 
 
-def _parts_of(n, weight, block: int):
-    return F.greatest(F.ceil(n / block), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
-
+def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, long: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
+    """node, root of the links between members of paired groups (a, b), of groups of a long list (token, grp, low) and of one group."""
+    facts = members.filter("member is not null").groupBy("member").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("grp").alias("grp"), F.first("bits").alias("bits"))
+    busy = pairs.select(F.col("a").alias("grp")).unionByName(pairs.select(F.col("b").alias("grp"))).unionByName(long.select("grp")).distinct()
+    groups = facts.groupBy("grp").agg(F.min("member").alias("rep"), F.count(F.lit(1)).alias("n"))
+    groups = hot_join(groups, busy.withColumn("busy", F.lit(True)), ["grp"], "left").filter("n > 1 or busy").select("grp", "rep", "n")
+    facts = stored(hot_join(facts, groups, ["grp"]), "candidates")
+    reps = facts.filter("member = rep").select("grp", "member", "n")
 
-def _job(kind: str, *fields: str) -> list:
-    """A job's name: 128 bits of hashes of what tells it from others."""
-    fields = (F.lit(kind), *fields)
-    return [F.xxhash64(*fields).alias("j1"), F.xxhash64(F.lit("second"), *fields).alias("j2")]
+    # first step: a pair for each
+    ends = pairs.select(F.col("a").alias("g"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("g"), F.col("a").alias("o"))).groupBy("g").agg(F.min("o").alias("o"))
+    star = ends.unionByName(long.filter("grp <> low").select(F.col("grp").alias("g"), F.col("low").alias("o")))
+    star = star.select(F.least("g", "o").alias("ga"), F.greatest("g", "o").alias("gb")).distinct()
+    rep = lambda g, m: reps.select(F.col("grp").alias(g), F.col("member").alias(m))
+    first = hot_join(hot_join(star, rep("ga", "a"), ["ga"]), rep("gb", "b"), ["gb"]).select("a", "b").unionByName(facts.filter("member <> rep").select(F.col("rep").alias("a"), F.col("member").alias("b")))
+    roots = stored(connected_components(_compare(docs, facts, _near(first, facts, num, den), k, num, den)), "first-step")
 
+    # second step: what isn't connected yet
+    labels = roots.select(F.col("node").alias("member"), F.col("root").alias("label"))
+    labelled = stored(hot_join(facts, labels, ["member"], "left").select("member", "grp", "n", "size", "bits", F.coalesce("label", "member").alias("label")), "labelled")
+    pure = labelled.groupBy("grp").agg(F.first("n").alias("n"), F.min("member").alias("m"), F.min("label").alias("label"), F.max("label").alias("high"))
+    pure = pure.select("grp", "n", "m", F.when(F.col("label") == F.col("high"), F.col("label")).alias("label"))
+    side = lambda s: pure.select(F.col("grp").alias(s), F.col("n").alias(f"n_{s}"), F.col("m").alias(f"m_{s}"), F.col("label").alias(f"label_{s}"))
+    rest = hot_join(hot_join(pairs, side("a"), ["a"]), side("b"), ["b"]).filter(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False)))
+    rest = stored(rest, "rest")
+    single = rest.filter("n_a = 1 and n_b = 1").select(F.col("m_a").alias("a"), F.col("m_b").alias("b"))  # their bitmaps were near
+    lists = rest.filter("n_a > 1 or n_b > 1").select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("grp"))
+    lists = lists.unionByName(long.select(F.col("token").alias("list"), "grp")).unionByName(pure.filter("label is null").select(F.xxhash64("grp").alias("list"), "grp"))
+    found = _near_in_lists(lists, labelled, num, den, block).unionByName(single)
+    more = _compare(docs, facts, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), k, num, den)
+    out = stored(connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "links")
+    forget(facts, roots, labelled, rest)
+    return out
 
-def _numbers(n: str):
-    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-
-def _verify(docs: DataFrame, small: DataFrame, large: DataFrame, pairs: DataFrame, long: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
-    """node, root of the links within clusters (member, key, size, grp, root), ``small`` ones in a block each, ``large`` ones by families and by pairs of groups."""
-    jobs = [small.select("key", "member", *_job("cluster", "root"), F.lit(0).alias("side"))]
-    if large.isEmpty():
-        return stored(connected_components(_compare(docs, jobs[0], k, num, den)), "links")
-
-    # families: the groups of a long list, or a group; levels of sizes that differ by less than den / num match in their own and the next only
-    family = connected_components(long).select(F.col("node").alias("grp"), F.col("root").alias("family"))
-    level = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    large = hot_join(large.select("member", "key", "size", "grp"), family, ["grp"], "left").select("member", "key", "size", "grp", F.coalesce("family", "grp").alias("family"), level.alias("level"))
-    large = stored(large, "large")
-    several = large.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("family")
-    kin = stored(hot_join(large, several, ["family"], "left_semi"), "families")
 
-    parts = kin.groupBy("family", "level").agg(_parts_of(F.count(F.lit(1)), F.sum("size"), block).alias("parts"))
-    own = hot_join(kin, parts, ["family", "level"]).select("family", "level", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member", "key")
-    least = F.array(*(F.min(F.struct(F.xxhash64(F.lit(i), "member").alias("h"), "member", "key")) for i in range(PIVOTS)))
-    pivots = kin.groupBy("family", "level").agg(least.alias("pivots")).select("family", "level", F.explode("pivots").alias("p"))
-    pivots = pivots.select("family", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"), "p.member", "p.key")
-    guests = parts.join(pivots, ["family", "level"]).select("family", "level", _numbers("parts").alias("part"), "member", "key")
-    jobs.append(own.unionByName(guests).select("key", "member", *_job("family", "family", "level", "part"), F.lit(0).alias("side")))
+def _near(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs of members those whose sizes and bitmaps leave room for a link."""
+    end = lambda m, s, b: facts.select(F.col("member").alias(m), F.col("size").alias(s), F.col("bits").alias(b))
+    t = hot_join(hot_join(pairs.filter("a <> b"), end("a", "size", "bits"), ["a"]), end("b", "size2", "bits2"), ["b"])
+    return near_by_bits(t.filter(num * F.greatest("size", "size2") <= den * F.least("size", "size2")), num, den)
 
-    # pairs of groups of large clusters that aren't of one family
-    groups = large.groupBy("grp").agg(F.first("family").alias("family"), _parts_of(F.count(F.lit(1)), F.sum("size"), block).alias("parts"))
-    one = lambda side: groups.select(F.col("grp").alias(side), F.col("family").alias(f"family_{side}"), F.col("parts").alias(f"parts_{side}"))
-    between = hot_join(hot_join(pairs, one("a"), ["a"]), one("b"), ["b"]).filter("family_a <> family_b").select("a", "b", "parts_a", "parts_b")
-    between = stored(between, "group-pairs")
-    ends = between.select(F.col("a").alias("g"), F.col("b").alias("o")).unionByName(between.select(F.col("b").alias("g"), F.col("a").alias("o"))).groupBy("g").agg(F.min("o").alias("o"))
-    first = ends.select(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b")).distinct()
-    jobs += _pair_jobs(between.join(first, ["a", "b"]), large)
 
-    step = lambda found: _compare(docs, found, k, num, den)
-    union = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(union(tables[1:]))
-    roots = stored(connected_components(step(union(jobs))), "first-step")
+def _near_in_lists(lists: DataFrame, members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """a, b: pairs of members of one list (list, grp) that have different labels and near bitmaps.
 
-    # second step: what isn't connected yet
-    labels = roots.select(F.col("node").alias("member"), F.col("root").alias("label"))
-    labelled = lambda t: hot_join(t, labels, ["member"], "left").withColumn("label", F.coalesce("label", "member"))
-    by_group = labelled(large.select("member", "grp")).groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    pure = by_group.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).alias("label"))
-    side = lambda s: pure.select(F.col("grp").alias(s), F.col("label").alias(f"label_{s}"))
-    rest = hot_join(hot_join(between.join(first, ["a", "b"], "left_anti"), side("a"), ["a"]), side("b"), ["b"])
-    rest = rest.filter(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).select("a", "b", "parts_a", "parts_b")
-    jobs = _pair_jobs(rest, large)
-
-    now = labelled(kin)
-    counts = now.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("family", F.col("most.label").alias("main"))
-    grade = (F.col("label") == F.col("main")).cast("int")  # 1: in the family's largest component
-    now = stored(hot_join(now, main, ["family"]).select("member", "key", "size", "family", "level", grade.alias("grade")), "second-step")
-    parts = now.groupBy("family", "level", "grade").agg(_parts_of(F.count(F.lit(1)), F.sum("size"), block).alias("parts"))
-    placed = hot_join(now, parts, ["family", "level", "grade"]).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    x = parts.select("family", F.col("level").alias("la"), F.col("grade").alias("ga"), _numbers("parts").alias("pa"))
-    y = parts.select("family", F.explode(F.array("level", F.col("level") - 1)).alias("la"), F.col("level").alias("lb"), F.col("grade").alias("gb"), _numbers("parts").alias("pb"))
+    A list of at most ``block`` members is one job. A longer one is cut into levels of sizes that differ by less than den / num,
+    so that sets can match in their own and the next only, and into those of its largest label and the others; blocks of these meet in pairs, but
+    for two of the largest label.
+    """
+    entries = members.select("grp", "member", "size", "label", "bits").join(lists.distinct(), "grp")
+    counts = entries.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("list").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most")).filter("labels > 1").select("list", "total", F.col("most.label").alias("main"))
+    rows = hot_join(entries, totals, ["list"])
+    whole = F.col("total") <= block
+    level = F.when(whole, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num)))).cast("int")
+    grade = F.when(whole, 0).otherwise((F.col("label") == F.col("main")).cast("int"))
+    rows = stored(rows.select("list", "member", "size", "label", "bits", level.alias("level"), grade.alias("grade")), "lists")
+    parts = rows.groupBy("list", "level", "grade").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    placed = hot_join(rows, parts, ["list", "level", "grade"]).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")).drop("parts")
+    numbers = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = parts.select("list", F.col("level").alias("la"), F.col("grade").alias("ga"), numbers.alias("pa"))
+    y = parts.select("list", F.explode(F.array("level", F.col("level") - 1)).alias("la"), F.col("level").alias("lb"), F.col("grade").alias("gb"), numbers.alias("pb"))
     behind = (F.col("lb") > F.col("la")) | (F.col("gb") > F.col("ga")) | ((F.col("gb") == F.col("ga")) & (F.col("pb") >= F.col("pa")))
-    # one side at least has members that aren't in the largest component
-    blocks = x.filter("ga = 0").join(y, ["family", "la"]).filter(behind).unionByName(x.filter("ga = 1").join(y.filter("gb = 0"), ["family", "la"]).filter("lb > la"))
-    blocks = stored(blocks.select("family", "la", "ga", "pa", "lb", "gb", "pb"), "block-pairs")
+    blocks = x.filter("ga = 0").join(y, ["list", "la"]).filter(behind).unionByName(x.filter("ga = 1").join(y.filter("gb = 0"), ["list", "la"]).filter("lb > la"))
+    job = ["list", "la", "ga", "pa", "lb", "gb", "pb"]
+    sides = []
     for n, (lv, gr, pt) in enumerate((("la", "ga", "pa"), ("lb", "gb", "pb"))):
         wanted = blocks if n == 0 else blocks.filter("not (la = lb and ga = gb and pa = pb)")
-        wanted = wanted.select("family", F.col(lv).alias("level"), F.col(gr).alias("grade"), F.col(pt).alias("part"), *_job("blocks", "family", "la", "ga", "pa", "lb", "gb", "pb"), F.lit(n).alias("side"))
-        jobs.append(placed.join(wanted, ["family", "level", "grade", "part"]).select("key", "member", "j1", "j2", "side"))
-    out = stored(connected_components(step(union(jobs)).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "links")
-    forget(large, kin, between, roots, now, blocks)
-    return out
+        wanted = wanted.select("list", F.col(lv).alias("level"), F.col(gr).alias("grade"), F.col(pt).alias("part"), F.xxhash64(*job).alias("j1"), F.xxhash64(F.lit("second"), *job).alias("j2"), F.lit(n).alias("side"))
+        sides.append(placed.join(wanted, ["list", "level", "grade", "part"]).select("j1", "j2", "side", "member", "size", "label", "bits"))
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        side, ids, sizes, labels = (t.column(c).to_numpy() for c in (2, 3, 4, 5))
+        bits = t.column(6).to_pylist()
+        left = np.flatnonzero(side == 0)
+        same = len(left) == len(side)
+        right = left if same else np.flatnonzero(side == 1)
+        one, two = sizes[left][:, None], sizes[right][None, :]
+        fits = (labels[left][:, None] != labels[right][None, :]) & (num * np.maximum(one, two) <= den * np.minimum(one, two))
+        a, b = np.nonzero(np.triu(fits) if same else fits)
+        a, b = left[a], right[b]
+        keep = near_pairs(bits, sizes, a, b, num, den) if len(a) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]])], ["a", "b"])
 
+    def run(batches):
+        for t in whole_jobs(batches, least=0):
+            yield compare(t)
+
+    return sides[0].unionByName(sides[1]).repartition("j1", "j2").sortWithinPartitions("j1", "j2").mapInArrow(run, "a long, b long")
+
+
+def whole_jobs(batches, least: int):
+    """Tables of whole jobs from batches that are sorted by their first two columns: one job each, or as many as have ``least`` bytes together."""
+    held: list[pa.RecordBatch] = []
+    last, size = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        j1, j2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+        new = (np.flatnonzero((j1[1:] != j1[:-1]) | (j2[1:] != j2[:-1])) + 1).tolist()
+        starts = [0, *new] if last is not None and last != (j1[0], j2[0]) else new
+        at = 0
+        for to in starts:  # a job begins here
+            if to > at:
+                held.append(b.slice(at, to - at))
+                size += held[-1].nbytes
+                at = to
+            if held and size > least:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        held.append(b.slice(at))
+        size += held[-1].nbytes
+        last = (j1[-1], j2[-1])
+    if held:
+        yield pa.Table.from_batches(held)
 
-def _pair_jobs(pairs: DataFrame, members: DataFrame) -> list[DataFrame]:
-    """The jobs of pairs of groups (a, b, parts_a, parts_b): members of one group against those of the other, part by part."""
-    parts = pairs.select("a", "b", "parts_a", "parts_b", _numbers("parts_a").alias("pa")).select("*", _numbers("parts_b").alias("pb"))
-    out = []
-    for n, side in enumerate("ab"):
-        wanted = parts.select(F.col(side).alias("grp"), F.col(f"parts_{side}").alias("parts"), F.col(f"p{side}").alias("part"), *_job("groups", "a", "b", "pa", "pb"), F.lit(n).alias("side"))
-        mine = members.select("grp", "key", "member").join(wanted, "grp").filter(F.pmod(F.xxhash64("member"), F.col("parts")) == F.col("part"))
-        out.append(mine.select("key", "member", "j1", "j2", "side"))
-    return out
 
+def _compare(docs: DataFrame, facts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """a, b: the pairs of members that are linked, by their whole texts. ``facts``: member, key (of one of its texts)."""
 
-def _compare(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """a, b: spanning forests of the links of each job. ``wanted``: key (of a text), member, j1, j2 (the job), side (0 or 1)."""
+    pairs = stored(pairs, "to-verify")
+    sides = [pairs.select("a", "b", F.col(m).alias("member")) for m in ("a", "b")]
+    wanted = hot_join(sides[0].unionByName(sides[1]), facts.select("member", "key"), ["member"])
+    needed = hash_bits(wanted.select("key"))  # most texts that no pair needs stay where they are
 
     def to_bodies(batches):
         pack, seen = zstandard.ZstdCompressor().compress, set()
         for b in batches:
-            keys, new = b.column(0).to_pylist(), []
-            for at, key in enumerate(keys):
+            keys, new = b.column(0).to_numpy(), []
+            some = np.flatnonzero(has_bit(needed, keys.view(np.uint64)))
+            for at, key in zip(some.tolist(), keys[some].tolist()):
                 if key not in seen:
                     seen.add(key)
                     new.append(at)
             if len(seen) > REMEMBERED:
                 seen = set()
-            column, names = b.column(1).take(pa.array(new, pa.int64())), pa.array([keys[at] for at in new], pa.int64())
+            column, names = b.column(1).take(pa.array(new, pa.int64())), pa.array(keys[new], pa.int64()) if new else pa.array([], pa.int64())
             for i, j, texts in text_parts(column, lower=True):
                 yield pa.RecordBatch.from_arrays([names.slice(i, j - i), pa.array(list(map(pack, texts)), pa.binary())], ["key", "body"])
 
     bodies = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(to_bodies, "key long, body binary")
     # tasks send the same text each; different texts of one key are told apart by the set that they give
-    sent = bodies.join(wanted, "key").withColumn("other", F.xxhash64("body")).dropDuplicates(["key", "member", "j1", "j2", "other"]).select("j1", "j2", "member", "side", "body")
+    sent = hot_join(wanted, bodies.withColumn("other", F.xxhash64("body")).dropDuplicates(["key", "other"]), ["key"]).select("a", "b", "member", "body")
 
-    def flush(held: list[pa.RecordBatch]):
-        t = pa.Table.from_batches(held)
-        j1, j2 = t["j1"].to_numpy(), t["j2"].to_numpy()
-        job = np.concatenate([[0], np.cumsum((j1[1:] != j1[:-1]) | (j2[1:] != j2[:-1]))])
-        ids, sides, unpack = t["member"].to_numpy(), t["side"].to_numpy(), zstandard.ZstdDecompressor().decompress
+    def verify(t: pa.Table) -> pa.RecordBatch:
+        a, b, ids, unpack = t["a"].to_numpy(), t["b"].to_numpy(), t["member"].to_numpy(), zstandard.ZstdDecompressor().decompress
+        job = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
         flat, sizes = [], []
         for at in range(0, len(ids), 64):
             texts = [unpack(x) for x in t["body"].slice(at, 64).to_pylist()]
@@ -425,57 +440,19 @@ def _compare(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int) ->
                 flat.append(h[np.repeat(right, n)])
                 sizes.append(np.where(right, n, 0))
         h, sizes = np.concatenate(flat), np.concatenate(sizes)
-        ends = np.cumsum(sizes)
-        # a member once in a job: pivots may be guests in their own block
-        order = np.lexsort((ids, job))
-        again = np.zeros(len(ids), bool)
-        again[order[1:]] = (job[order[1:]] == job[order[:-1]]) & (ids[order[1:]] == ids[order[:-1]])
-        good = np.flatnonzero((sizes > 0) & ~again)
-        count = np.bincount(job[good], minlength=int(job[-1]) + 1)
-        first = np.concatenate([[0], np.cumsum(count)])
-        a, b = [], []
-        two = good[count[job[good]] == 2]
-        if len(two):
-            rows = np.repeat(np.arange(len(two)) // 2, sizes[two])
-            values = np.concatenate([h[ends[i] - sizes[i] : ends[i]] for i in two.tolist()])
-            at = np.lexsort((values, rows))
-            same = (values[at[1:]] == values[at[:-1]]) & (rows[at[1:]] == rows[at[:-1]])
-            both, total = np.bincount(rows[at[1:]][same], minlength=len(two) // 2), sizes[two[::2]] + sizes[two[1::2]]
-            hit = den * both >= num * (total - both)
-            a += ids[two[::2]][hit].tolist()
-            b += ids[two[1::2]][hit].tolist()
-        for n in np.flatnonzero(count > 2).tolist():
-            at = good[first[n] : first[n + 1]]
-            if (sides[at] == 0).any():
-                found = compare_block(ids[at], sides[at], [h[ends[i] - sizes[i] : ends[i]] for i in at.tolist()], num, den)
-                a += [x for x, _ in found]
-                b += [x for _, x in found]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        rows = np.repeat(job, sizes)
+        order = np.lexsort((h, rows))
+        same = (h[order[1:]] == h[order[:-1]]) & (rows[order[1:]] == rows[order[:-1]])
+        both, total = np.bincount(rows[order[1:]][same], minlength=int(job[-1]) + 1), np.bincount(job, sizes, int(job[-1]) + 1).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], job[1:] != job[:-1]]))
+        hit = (both > 0) & (den * both >= num * (total - both))
+        return pa.RecordBatch.from_arrays([pa.array(a[first][hit]), pa.array(b[first][hit])], ["a", "b"])
 
     def run(batches):
-        """Rows come sorted by job; whole jobs are compared, many small ones at a time."""
-        held: list[pa.RecordBatch] = []
-        last, size = None, 0
-        for b in batches:
-            j1, j2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new = np.flatnonzero((j1[1:] != j1[:-1]) | (j2[1:] != j2[:-1])) + 1
-            if b.num_rows and last is not None and last != (j1[0], j2[0]):
-                new = np.concatenate([[0], new])
-            at = 0
-            for to in [*new.tolist(), b.num_rows]:
-                part = b.slice(at, to - at)
-                if part.num_rows:
-                    held.append(part)
-                    size += pc.sum(pc.binary_length(part.column(4))).as_py()
-                    last = (j1[to - 1], j2[to - 1])
-                if size > SEGMENT and to < b.num_rows:
-                    yield flush(held)
-                    held, size = [], 0
-                at = to
-        if held:
-            yield flush(held)
+        for t in whole_jobs(batches, least=SEGMENT):
+            yield verify(t)
 
-    return sent.repartition("j1", "j2").sortWithinPartitions("j1", "j2").mapInArrow(run, "a long, b long")
+    return sent.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
 
 
 def members_with_roots(rows: DataFrame, carry: list[str], k: int, num: int, den: int, most: int = LIST, block: int = BLOCK) -> DataFrame:
