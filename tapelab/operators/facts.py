@@ -68,15 +68,6 @@ def price_to_sales(quarters: DataFrame, bars: DataFrame, splits: DataFrame, shar
     return later.select("ticker", "end_date", F.try_divide(F.col("close") * F.coalesce(F.col("match.f"), F.lit(1.0)) * shares, F.col("ttm")).alias("ps"))
 
 
-def compare_levels(quarters: DataFrame) -> DataFrame:
-    """``direction`` and ``score`` of a level against the quarter before: unchanged within 2 %, else 4 times the relative change, kept in -1..1."""
-    prior = F.lag("revenue").over(Window.partitionBy("ticker").orderBy("end_date"))
-    t = quarters.withColumn("prior", prior)
-    change = F.col("revenue") - F.col("prior")
-    direction = F.when(F.col("prior").isNull(), "new").when(F.abs(change) <= 0.02 * F.abs("prior"), "unchanged").when(change > 0, "up").otherwise("down")
-    return t.withColumns({"direction": direction, "score": F.when(F.col("prior").isNotNull(), F.least(F.greatest(F.try_divide(4.0 * change, F.abs("prior")), F.lit(-1.0)), F.lit(1.0)))})
-
-
 def runway_band(flow: Column, cash: Column) -> Column:
     burn = -flow
     return F.when(flow >= 0, "40-100").when(cash.isNull(), "0-40").when(cash < 4 * burn, "0-25").when(cash < 8 * burn, "10-45").when(cash < 16 * burn, "25-65").otherwise("40-80")

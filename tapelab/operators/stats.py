@@ -13,14 +13,30 @@ def pairs(panel: DataFrame, xs: tuple[str, ...], ys: tuple[str, ...]) -> DataFra
     return t.select("ticker", "date", "__x.*", "__y.*").filter("x is not null and y is not null")
 
 
-def average_rank(col: str, by: list[str]) -> Column:
-    """Rank by ``col`` with ties at their mean."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(col)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, col)) - 1) / 2.0
+def ranked_values(rows: DataFrame, col: str, by: list[str], *aggregates: Column, buckets: int = 256) -> DataFrame:
+    """by..., ``col``, n, rank and ``aggregates`` of every different value of ``col``: rank with ties at their mean. Nulls have no rank.
+
+    Equal values are counted first; values are then dealt to ranges between approximate quantiles of their group, numbered within a
+    range, and moved up by what the ranges before hold. So no task sorts a whole group, be there ever so few groups.
+    """
+    some = rows.filter(F.col(col).isNotNull())
+    g = some.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"), *aggregates)
+    cuts = some.groupBy(*by).agg(F.percentile_approx(col, [k / buckets for k in range(1, buckets)], 10_000).alias("__cuts"))
+    g = g.join(cuts, by) if by else g.join(F.broadcast(cuts))  # without groups, it is one row
+    g = g.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(col)))).drop("__cuts")
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a group has at most ``buckets`` rows here
+    sizes = g.groupBy(*by, "__range").agg(F.sum("n").alias("__n"))
+    sizes = sizes.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = Window.partitionBy(*by, "__range").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.col("__before") + F.sum("n").over(own) - F.col("n") + (F.col("n") + 1) / 2.0
+    return g.join(sizes, [*by, "__range"]).withColumn("rank", rank).drop("__range", "__before")
 
 
 def spearman(long: DataFrame, by: list[str]) -> DataFrame:
     """by..., n, rho."""
-    t = long.withColumns({"rx": average_rank("x", by), "ry": average_rank("y", by)})
+    t = long
+    for c in ("x", "y"):
+        t = t.join(ranked_values(long, c, by).select(*by, c, F.col("rank").alias(f"r{c}")), [*by, c])
     return t.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
@@ -75,11 +91,10 @@ def lift(scored: DataFrame, score: str, label: str, pct: float) -> DataFrame:
 
 
 def auc(scored: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """by..., auc: from tie-averaged ranks; null without both labels."""
-    t = scored.withColumn("rk", average_rank(score, by))
-    pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    ranks = F.sum(F.when(F.col(label) == 1, F.col("rk")))
-    return t.groupBy(*by).agg(F.try_divide(ranks - pos * (pos + 1) / 2.0, pos * neg).alias("auc"))
+    """by..., auc: from tie-averaged ranks; null without both labels. Rows without a score are left out."""
+    g = ranked_values(scored, score, by, F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    pos, neg = F.sum("pos"), F.sum("neg")
+    return g.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - pos * (pos + 1) / 2.0, pos * neg).alias("auc"))
 
 
 def bootstrap_corr(panel: DataFrame, cluster: str, x: str, y: str, draws: int) -> DataFrame:

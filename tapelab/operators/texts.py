@@ -69,13 +69,19 @@ def relative_years(text: Column, year: Column) -> Column:
 
 def verify_quotes(quotes: DataFrame, docs: DataFrame, share: float = 0.6, k: int = 5) -> DataFrame:
     """item_id, doc_id, share: texts that hold at least ``share`` of a quote's word k-grams, by a join on gram hashes. A document's grams
-    count once; the quotes' grams all."""
-
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        w = df.select(key, F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1).alias("w")).filter(F.size("w") >= k)
-        g = w.select(key, F.transform(F.slice("w", F.lit(1), F.size("w") - (k - 1)), lambda x, i: F.xxhash64(x, *(F.get("w", i + j) for j in range(1, k)))).alias("g"))
-        return g
-
-    q = grams(quotes, "item_id").select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    d = grams(docs, "doc_id").select("doc_id", F.explode(F.array_distinct("g")).alias("gram"))
-    return q.join(d, "gram").groupBy("item_id", "doc_id").agg((F.count(F.lit(1)) / F.max("n")).alias("s")).filter(F.col("s") >= share).select("item_id", "doc_id", F.round("s", 6).alias("share"))
+    count once; the quotes' grams all. Quotes of fewer words, two at least, must stand in a text whole: they meet it on their first two
+    words. Quotes of one word, or of none, are never held."""
+    words = lambda df, key: df.select(key, F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1).alias("w"))
+    # no slice is ever of a negative length, whatever Spark evaluates first
+    starts = lambda n: F.slice("w", F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(0)))
+    grams = lambda n: F.transform(starts(n), lambda x, i: F.xxhash64(x, *(F.get("w", i + j) for j in range(1, n))))
+    q_words, d_words = words(quotes, "item_id"), words(docs, "doc_id")
+    q = q_words.select("item_id", grams(k).alias("g")).select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    d = d_words.select("doc_id", F.explode(F.array_distinct(grams(k))).alias("gram"))
+    long = q.join(d, "gram").groupBy("item_id", "doc_id").agg((F.count(F.lit(1)) / F.max("n")).alias("s")).filter(F.col("s") >= share)
+
+    rest = lambda i: F.slice("w", i + 3, F.lit(k - 3))
+    short = q_words.filter((F.size("w") >= 2) & (F.size("w") < k)).select("item_id", F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("gram"), rest(F.lit(0)).alias("more"))
+    pairs = d_words.select("doc_id", F.explode(F.array_distinct(F.transform(starts(2), lambda x, i: F.struct(F.xxhash64(x, F.get("w", i + 1)).alias("gram"), rest(i).alias("after"))))).alias("p")).select("doc_id", "p.*")
+    whole = short.join(pairs, "gram").filter(F.slice("after", F.lit(1), F.size("more")) == F.col("more")).select("item_id", "doc_id", F.lit(1.0).alias("s")).distinct()
+    return long.unionByName(whole).select("item_id", "doc_id", F.round("s", 6).alias("share"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapelab.operators.windows import W, r6
 from tapelab.plans import sqltext as s
-from tapelab.plans.labels import BARRIER_SQL, barrier
+from tapelab.plans.whole import BARRIER_SQL, barrier
 from tapelab.plans.registry import query
 
 

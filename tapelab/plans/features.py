@@ -161,7 +161,7 @@ def surprise_delta(earnings):
     return earnings.select("ticker", "earnings_date", r6(F.col("surprise_pct") - F.lag("surprise_pct").over(w)).alias("surprise_delta"))
 
 
-EVENT_BAR_SQL = "e AS (SELECT e.*, (SELECT min(b.nth) FROM b WHERE b.ticker = e.ticker AND b.date >= e.earnings_date) AS bar_at, EXISTS (SELECT 1 FROM b WHERE b.ticker = e.ticker AND b.date = e.earnings_date) AS exact FROM earnings AS e), r AS (SELECT *, bar_at + CASE WHEN report_time = 'AMC' AND exact THEN 1 ELSE 0 END AS reaction FROM e)"
+EVENT_BAR_SQL = "e AS (SELECT e.*, b.nth AS bar_at, coalesce(b.date = e.earnings_date, false) AS exact FROM earnings AS e ASOF LEFT JOIN b ON b.ticker = e.ticker AND b.date >= e.earnings_date), r AS (SELECT *, bar_at + CASE WHEN report_time = 'AMC' AND exact THEN 1 ELSE 0 END AS reaction FROM e)"
 
 
 @query(
@@ -219,25 +219,12 @@ def event_micro(earnings, bars):
 QL = "extract(YEAR FROM end_date) * 4 + extract(QUARTER FROM end_date)"
 
 
-@query("win25_chain", "quarters", sql=f"SELECT ticker, end_date, CASE WHEN p IS NULL THEN 'first' WHEN o - p = 1 THEN 'linked' ELSE 'break' END AS status, CAST(o - p - 1 AS BIGINT) AS gap FROM (SELECT ticker, end_date, o, lag(o) OVER (PARTITION BY ticker ORDER BY o) AS p FROM (SELECT *, {QL} AS o FROM quarters WHERE (ticker + {QL}) % 6 <> 0) AS x) AS y")
-def chain(quarters):
-    t = _ordinals(quarters)
-    return t.select("ticker", "end_date", F.when(F.col("p").isNull(), "first").when(F.col("o") - F.col("p") == 1, "linked").otherwise("break").alias("status"), (F.col("o") - F.col("p") - 1).cast("long").alias("gap"))
-
-
 def _ordinals(quarters):
     o = (F.year("end_date") * 4 + F.quarter("end_date")).cast("long")
     t = quarters.withColumn("o", o).filter((F.col("ticker") + F.col("o")) % 6 != 0)
     return t.withColumn("p", F.lag("o").over(Window.partitionBy("ticker").orderBy("o")))
 
 
-@query("win26_adjacent_pairs", "quarters", sql=f"SELECT ticker, end_date, prev_end, revenue - prev_revenue AS change FROM (SELECT ticker, end_date, revenue, o, lag(o) OVER w AS p, lag(end_date) OVER w AS prev_end, lag(revenue) OVER w AS prev_revenue FROM (SELECT *, {QL} AS o FROM quarters WHERE (ticker + {QL}) % 6 <> 0) AS x WINDOW w AS (PARTITION BY ticker ORDER BY o)) AS y WHERE o - p = 1")
-def adjacent(quarters):
-    w = Window.partitionBy("ticker").orderBy("o")
-    t = _ordinals(quarters).withColumns({"prev_end": F.lag("end_date").over(w), "change": F.col("revenue") - F.lag("revenue").over(w)})
-    return t.filter("o - p = 1").select("ticker", "end_date", "prev_end", "change")
-
-
 @query("win27_delta_score", "scored", sql="SELECT ticker, date, round(score - lag(score) OVER (PARTITION BY ticker ORDER BY date), 6) AS delta_score FROM scored")
 def delta_score(scored):
     return scored.select("ticker", "date", r6(F.col("score") - F.lag("score").over(W())).alias("delta_score"))

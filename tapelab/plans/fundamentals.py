@@ -1,4 +1,4 @@
-"""Fundamentals, stages and evidence ledgers (LED, WIN28-30) as queries."""
+"""Fundamentals, valuations and stages (LED, WIN28-30) as queries."""
 
 from __future__ import annotations
 
@@ -98,28 +98,6 @@ def failure(quarters):
     return f.failures(f.with_stage(quarters), never=4, max_tail=50_000_000_000, max_ratio=20).select("ticker", r6("ratio").alias("ratio"))
 
 
-@query("led11_compare_ledgers", "quarters", sql="SELECT ticker, end_date, CASE WHEN prior IS NULL THEN 'new' WHEN abs(revenue - prior) <= 0.02 * abs(prior) THEN 'unchanged' WHEN revenue > prior THEN 'up' ELSE 'down' END AS direction, CASE WHEN prior IS NOT NULL THEN round(least(greatest(4.0 * (revenue - prior) / abs(prior), -1), 1), 6) END AS score FROM (SELECT *, lag(revenue) OVER (PARTITION BY ticker ORDER BY end_date) AS prior FROM quarters) AS x")
-def compare(quarters):
-    return f.compare_levels(quarters).select("ticker", "end_date", "direction", r6("score").alias("score"))
-
-
-@query("led12_momentum", "quarters", sql="WITH c AS (SELECT ticker, end_date, least(greatest(4.0 * (revenue - p) / abs(p), -1), 1) AS s1, least(greatest(2.0 * (net_income - q) / abs(q), -1), 1) AS s2 FROM (SELECT *, lag(revenue) OVER (PARTITION BY ticker ORDER BY end_date) AS p, lag(net_income) OVER (PARTITION BY ticker ORDER BY end_date) AS q FROM quarters) AS x WHERE p IS NOT NULL AND q <> 0) SELECT ticker, end_date, CAST(round_even(100 * (s1 + 3 * s2) / 4 * 4 / 10, 0) AS BIGINT) AS momentum FROM c")
-def momentum(quarters):
-    """Weighted mean (level 1, profit 3) shrunk by a prior weight of 6, rounded half to even."""
-    w = Window.partitionBy("ticker").orderBy("end_date")
-    clip = lambda k, a, b: F.least(F.greatest(k * (a - b) / F.abs(b), F.lit(-1.0)), F.lit(1.0))
-    t = quarters.withColumns({"p": F.lag("revenue").over(w), "q": F.lag("net_income").over(w)}).filter("p is not null and q <> 0")
-    s1, s2 = clip(F.lit(4.0), F.col("revenue"), F.col("p")), clip(F.lit(2.0), F.col("net_income"), F.col("q"))
-    return t.select("ticker", "end_date", F.bround(100 * (s1 + 3 * s2) / 4 * 4 / 10).cast("long").alias("momentum"))
-
-
-@query("led13_hardness", "quarters", sql="SELECT ticker, round(count(*) FILTER (net_income > 0 AND revenue % 7 <> 0)::DOUBLE / nullif(count(*) FILTER (revenue % 7 <> 0), 0), 6) AS hardness FROM quarters GROUP BY ticker")
-def hardness(quarters):
-    """Hard evidence over all evidence; unverified items (here: a residue) are left out."""
-    ok = F.col("revenue") % 7 != 0
-    return quarters.groupBy("ticker").agg(r6(F.try_divide(F.count_if(ok & (F.col("net_income") > 0)), F.count_if(ok))).alias("hardness"))
-
-
 RUNWAY = "CASE WHEN operating_cf - capex >= 0 THEN '40-100' WHEN revenue IS NULL THEN '0-40' WHEN revenue < 4 * (capex - operating_cf) THEN '0-25' WHEN revenue < 8 * (capex - operating_cf) THEN '10-45' WHEN revenue < 16 * (capex - operating_cf) THEN '25-65' ELSE '40-80' END"
 
 
@@ -128,12 +106,6 @@ def runway(quarters):
     return quarters.select("ticker", "end_date", f.runway_band(F.col("operating_cf") - F.col("capex"), F.col("revenue")).alias("band"))
 
 
-@query("led18_call_state", "documents", "labels", sql="SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'incomplete' WHEN md5(d.text) < '8' THEN 'stale' ELSE 'complete' END AS state FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id")
-def call_state(documents, labels):
-    j = documents.select("doc_id", "text").join(labels.select(F.col("doc_id").alias("label_id")), F.col("doc_id") == F.col("label_id"), "left")
-    return j.select("doc_id", F.when(F.col("label_id").isNull(), "incomplete").when(F.md5("text") < "8", "stale").otherwise("complete").alias("state"))
-
-
 @query("led19_fact_sheet", "bars", "quarters", "sic", sql="WITH p AS (SELECT ticker, max(date) AS last_date, round(max_by(close, date), 6) AS last_close FROM bars GROUP BY ticker), q AS (SELECT ticker, count(*) AS quarters, CAST(sum(revenue) AS BIGINT) AS revenue FROM quarters GROUP BY ticker) SELECT p.ticker, last_date, last_close, quarters, revenue, code FROM p LEFT JOIN q ON q.ticker = p.ticker LEFT JOIN sic ON sic.ticker = p.ticker")
 def fact_sheet(bars, quarters, sic):
     p = bars.groupBy("ticker").agg(F.max("date").alias("last_date"), r6(F.max_by("close", "date")).alias("last_close"))

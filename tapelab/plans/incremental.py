@@ -14,8 +14,12 @@ from tapelab.streaming import incremental as inc
 
 
 def _at(spark, name):
-    """A new path in the folder that driver and executors share (a local one where none is named)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tapelab-")
+    """A new path in the folder that driver and executors share; a local one where none is named and there is no cluster."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-tapelab-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -84,23 +88,14 @@ def src1(ticks):
     return files.read_bars(ticks.sparkSession, at, "event_id long, timestamp long, us long, close double").select("ticker", "event_id", "us", r6("close").alias("price"))
 
 
-@query("src2_read_grouped_daily", "bars", sql="SELECT ticker, date, round(close, 6) AS close FROM bars WHERE date >= DATE '1996-01-01' AND date < DATE '1996-02-01'")
+@query("src2_read_grouped_daily", "bars", sql="SELECT ticker, date, round(close, 6) AS close FROM bars")
 def src2(bars):
+    """A folder per day, each dealt to one task, so that a day is few files however many tasks there are."""
     at = _at(bars.sparkSession, "daily")
-    bars.filter("date >= date'1996-01-01' and date < date'1996-02-01'").select("ticker", "open", "close", "volume", F.col("date").alias("day")).write.partitionBy("day").csv(at, header=True)
+    bars.select("ticker", "open", "close", "volume", F.col("date").alias("day")).repartition("day").write.partitionBy("day").csv(at, header=True)
     return files.read_grouped_daily(bars.sparkSession, at).select("ticker", "date", r6("close").alias("close"))
 
 
-@query("src3_read_vendor_daily", "bars", sql="SELECT date, round(close, 6) AS close FROM bars WHERE ticker = 1")
-def src3(bars):
-    """The first column is the date whatever its name; bad values and dates are dropped."""
-    at = _at(bars.sparkSession, "vendor")
-    rows = bars.filter("ticker = 1").select(F.col("date").cast("string").alias("Any Name"), F.col("close").cast("string").alias("Close"))
-    bad = rows.limit(1).select(F.lit("no date").alias("Any Name"), F.lit("1").alias("Close")).unionByName(rows.limit(1).select(F.col("Any Name"), F.lit("n/a").alias("Close")))
-    rows.unionByName(bad).write.csv(at, header=True)
-    return files.read_vendor_daily(bars.sparkSession, at).select("date", r6("close").alias("close"))
-
-
 @query("src4_read_optional", "quarters", sql="SELECT ticker, end_date, CAST(NULL AS VARCHAR) AS note FROM quarters")
 def src4(quarters):
     spark = quarters.sparkSession
@@ -146,13 +141,6 @@ def src9(orders):
     return orders.sparkSession.read.schema("id long, status string, price double").json(at)
 
 
-@query("src10_price_cache", "bars", sql="SELECT ticker, date, round(close, 6) AS close FROM bars WHERE ticker % 16 = 3")
-def src10(bars):
-    at = _at(bars.sparkSession, "cache")
-    files.write_price_cache(bars, at, 16)
-    return files.read_price_cache(bars.sparkSession, at, 16).filter("bucket = 3").select("ticker", "date", r6("close").alias("close"))
-
-
 @query("src11_load_results", "scored", sql="SELECT ticker, count(*) FILTER (nth % 2 = 0) AS accepted, count(*) FILTER (nth % 2 = 1) AS rejected FROM scored GROUP BY ticker")
 def src11(scored):
     """Rows without a required field go to the reject side."""

@@ -39,13 +39,6 @@ def outer(quarters):
     return a.join(b, ["ticker", "end_date"], "full")
 
 
-@query("jon5_asof_backward", "ticks", "news", sql="SELECT t.event_id, t.ticker, (SELECT max_by(n.article_id, (n.us, n.article_id)) FROM news AS n WHERE n.ticker = t.ticker AND n.us <= t.us AND n.article_id % 3 = 0) AS article_id FROM ticks AS t WHERE t.event_id % 2 = 1")
-def asof_backward(ticks, news):
-    t = ticks.filter("event_id % 2 = 1").select("event_id", "ticker", "us")
-    j = asof_join(t, news.filter("article_id % 3 = 0").select("ticker", "us", "article_id"), "ticker", "us", "us", tie="article_id")
-    return j.select("event_id", "ticker", F.col("match.article_id").alias("article_id"))
-
-
 @query("jon6_asof_forward_tolerance", "ticks", sql="SELECT event_id, ticker, round(first_value(price) OVER (PARTITION BY ticker ORDER BY us RANGE BETWEEN 3600000000 FOLLOWING AND 7200000000 FOLLOWING), 6) AS later FROM ticks")
 def asof_forward(ticks):
     return forward_by_time(ticks, 3_600_000_000, 3_600_000_000).select("event_id", "ticker", r6("later").alias("later"))
@@ -56,13 +49,6 @@ def strict_before(filings, bars):
     return asof_join(filings, bars.select("ticker", "date", "close"), "ticker", "filing_date", "date", inclusive=False).select("ticker", "filing_date", r6("match.close").alias("close_before"))
 
 
-@query("jon8_asof_max_age", "bars", "quarters", sql="SELECT b.ticker, b.date, CASE WHEN b.date - q.end_date <= 100 THEN q.revenue END AS revenue FROM (SELECT ticker, date FROM bars WHERE extract(DAY FROM date) = 15) AS b ASOF LEFT JOIN (SELECT * FROM quarters WHERE extract(QUARTER FROM end_date) IN (1, 3)) AS q ON q.ticker = b.ticker AND q.end_date <= b.date")
-def max_age(bars, quarters):
-    q = quarters.filter(F.quarter("end_date").isin(1, 3)).select("ticker", "end_date", "revenue")
-    j = asof_join(bars.filter(F.dayofmonth("date") == 15).select("ticker", "date"), q, "ticker", "date", "end_date")
-    return j.select("ticker", "date", F.when(F.datediff("date", "match.end_date") <= 100, F.col("match.revenue")).alias("revenue"))
-
-
 @query("jon9_announce_dates", "quarters", "filings", sql="WITH m AS (SELECT q.ticker, q.end_date, min(f.filing_date) AS first_filing FROM quarters AS q LEFT JOIN filings AS f ON f.ticker = q.ticker AND f.filing_date > q.end_date AND f.filing_date <= q.end_date + 100 GROUP BY 1, 2) SELECT ticker, end_date, CASE WHEN first_filing <= end_date + 40 THEN first_filing ELSE end_date + 40 END AS announced, CASE WHEN first_filing <= end_date + 40 THEN '8-K' ELSE 'filed' END AS source FROM m")
 def announce(quarters, filings):
     """The first filing in (end, end + 100 days], unless the report itself (40 days after the end) came first."""
@@ -92,12 +78,6 @@ def assign_windows(scored):
     return j.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ticker").alias("tickers"))
 
 
-@query("jon13_path_join", "bars", sql=f"WITH {NTH}, p AS (SELECT ticker, nth AS entry FROM b WHERE (nth - 1) % 100 = 50) SELECT p.ticker, p.entry, count(*) AS n, round(max(x.high), 6) AS path_high, round(min(x.low), 6) AS path_low FROM p JOIN b AS x ON x.ticker = p.ticker AND x.nth BETWEEN p.entry + 1 AND p.entry + 30 GROUP BY 1, 2")
-def paths(bars):
-    p = bars.withColumn("nth", F.row_number().over(W())).filter("(nth - 1) % 100 = 50").select("ticker", F.col("nth").cast("long").alias("entry"), F.col("close").alias("base"))
-    return path_join(p, bars, 30).groupBy("ticker", "entry").agg(F.count(F.lit(1)).alias("n"), r6(F.max("high")).alias("path_high"), r6(F.min("low")).alias("path_low"))
-
-
 @query("jon14_lookback_join", "earnings", "news", sql="SELECT e.ticker, e.earnings_date, count(n.article_id) AS articles, CAST(coalesce(sum(n.sentiment), 0) AS BIGINT) AS total FROM (SELECT DISTINCT ticker % 10 AS ticker, CAST(earnings_date + INTERVAL 29 YEAR AS DATE) AS earnings_date FROM earnings) AS e JOIN news AS n ON n.ticker = e.ticker AND CAST(n.published AS DATE) >= e.earnings_date - 30 AND CAST(n.published AS DATE) <= e.earnings_date GROUP BY 1, 2")
 def lookback(earnings, news):
     """All articles of the 30 days up to an event, both ends included."""
@@ -131,11 +111,6 @@ def outstanding(documents, labels):
     return documents.join(labels, "doc_id", "left_anti").select("doc_id")
 
 
-@query("jon18_fresh_rows", "documents", "labels", sql="SELECT doc_id, quality FROM labels AS l WHERE EXISTS (SELECT 1 FROM documents AS d WHERE d.doc_id = l.doc_id AND sha256(d.text) < '8')")
-def fresh(documents, labels):
-    return labels.join(documents.filter(F.sha2("text", 256) < "8"), "doc_id", "left_semi").select("doc_id", "quality")
-
-
 @query("jon19_unadjust", "bars", "splits", sql="SELECT b.ticker, b.date, round(close * coalesce((SELECT product(ratio) FROM splits AS s WHERE s.ticker = b.ticker AND s.split_date > b.date), 1), 6) AS raw_close FROM bars AS b")
 def unadjust(bars, splits):
     """Products of later ratios: splits are put among the bars and multiplied up from the end, without pairs."""

@@ -86,7 +86,7 @@ def quarter_label(earnings):
 
 @query(
     "lbl10_announce_return", "filings", "bars",
-    sql=f"WITH {NTH}, p AS (SELECT f.ticker, f.filing_date, (SELECT max(b.nth) FROM b WHERE b.ticker = f.ticker AND b.date < f.filing_date) AS pre FROM filings AS f) SELECT p.ticker, p.filing_date, round(c.close / a.close - 1, 6) AS ret_21 FROM p JOIN b AS a ON a.ticker = p.ticker AND a.nth = p.pre JOIN b AS c ON c.ticker = p.ticker AND c.nth = p.pre + 21",
+    sql=f"WITH {NTH}, p AS (SELECT f.ticker, f.filing_date, b.nth AS pre FROM filings AS f ASOF LEFT JOIN b ON b.ticker = f.ticker AND b.date < f.filing_date) SELECT p.ticker, p.filing_date, round(c.close / a.close - 1, 6) AS ret_21 FROM p JOIN b AS a ON a.ticker = p.ticker AND a.nth = p.pre JOIN b AS c ON c.ticker = p.ticker AND c.nth = p.pre + 21",
 )
 def announce_return(filings, bars):
     from tapelab.operators.asof import asof_join
@@ -96,19 +96,6 @@ def announce_return(filings, bars):
     return j.select("ticker", "filing_date", r6(F.col("match.later") / F.col("match.close") - 1).alias("ret_21"))
 
 
-@query(
-    "lbl11_fwd_months", "filings", "bars",
-    sql="""WITH m AS (SELECT unnest([1, 3, 6]) AS months), t AS (SELECT f.ticker, f.filing_date, CAST(months AS INTEGER) AS months, CAST(f.filing_date + to_months(CAST(months AS INTEGER)) AS DATE) AS target FROM filings AS f CROSS JOIN m)
-        SELECT t.ticker, t.filing_date, t.months, round(b.close, 6) AS close_then FROM t JOIN bars AS b ON b.ticker = t.ticker AND b.date = (SELECT min(x.date) FROM bars AS x WHERE x.ticker = t.ticker AND x.date >= t.target AND x.date <= t.target + 10)""",
-)
-def fwd_months(filings, bars):
-    from tapelab.operators.asof import asof_join
-
-    t = filings.select("ticker", "filing_date", F.explode(F.array(F.lit(1), F.lit(3), F.lit(6))).alias("months")).withColumn("target", F.add_months("filing_date", F.col("months")))
-    j = asof_join(t, bars.select("ticker", "date", "close"), "ticker", "target", "date", "forward")
-    return j.filter(F.datediff("match.date", "target") <= 10).select("ticker", "filing_date", "months", r6("match.close").alias("close_then"))
-
-
 @query("lbl12_excess", "panel", "index_bars", sql=f"WITH i AS (SELECT date, lead(close, 63) OVER ({s.BY}) / close - 1 AS bench FROM index_bars) SELECT p.ticker, p.date, round(fwd_ret - bench, 6) AS excess, round(100 * ((1 + fwd_ret) / (1 + bench) - 1), 6) AS relative_pct FROM panel AS p JOIN i ON i.date = p.date WHERE fwd_ret IS NOT NULL AND bench IS NOT NULL")
 def excess(panel, index_bars):
     i = index_bars.select("date", (F.lead("close", 63).over(W()) / F.col("close") - 1).alias("bench"))
@@ -133,28 +120,6 @@ def coarse(bars):
     return m.withColumn("nth", F.row_number().over(Window.partitionBy("ticker").orderBy(F.round("multiple", 9).desc(), "quarter"))).filter("nth = 1").select("ticker", "quarter", r6("multiple").alias("multiple"))
 
 
-BARRIER_SQL = f"""WITH {NTH}, p AS (SELECT ticker, nth AS entry, close AS base FROM b WHERE (nth - 1) % 63 = 5),
-    path AS (SELECT p.*, x.nth - p.entry AS k, x.open, x.high, x.low, x.close FROM p JOIN b AS x ON x.ticker = p.ticker AND x.nth BETWEEN p.entry + 1 AND p.entry + 63),
-    hit AS (SELECT *, row_number() OVER (PARTITION BY ticker, entry ORDER BY k) AS f FROM path WHERE low <= base * 0.9 OR high >= base * 1.15),
-    tail AS (SELECT ticker, entry, max_by(close, k) AS last_close, max(k) AS n FROM path GROUP BY 1, 2)
-    SELECT p.ticker, p.entry, CASE WHEN h.k IS NULL THEN CASE WHEN t.n < 63 THEN 'short' ELSE 'timeout' END WHEN h.low <= p.base * 0.9 THEN 'stop' ELSE 'target' END AS outcome,
-           round(CASE WHEN h.k IS NULL THEN t.last_close WHEN h.low <= p.base * 0.9 THEN least(p.base * 0.9, h.open) ELSE greatest(p.base * 1.15, h.open) END / p.base - 1, 6) AS ret, coalesce(h.k, t.n) AS held
-    FROM p JOIN tail AS t ON t.ticker = p.ticker AND t.entry = p.entry LEFT JOIN hit AS h ON h.ticker = p.ticker AND h.entry = p.entry AND h.f = 1"""
-
-
-@query("lbl16_barrier_outcome", "bars", sql=BARRIER_SQL)
-def barrier(bars):
-    picks = bars.withColumn("nth", F.row_number().over(W())).filter("(nth - 1) % 63 = 5").select("ticker", F.col("nth").alias("entry"), F.col("close").alias("base"))
-    return o.barrier_outcome(picks, bars, 0.15, 0.1, 63).select("ticker", F.col("entry").cast("long"), "outcome", r6("ret").alias("ret"), F.col("held").cast("long").alias("held"))
-
-
-@query("lbl17_barrier_delisted", "bars", sql=BARRIER_SQL.replace("FROM bars)", "FROM bars WHERE NOT (ticker % 8 = 7 AND date > DATE '1998-06-30'))").replace("'short'", "'delisted_timeout'").replace("THEN t.last_close WHEN", "THEN t.last_close * CASE WHEN t.n < 63 THEN 0.5 ELSE 1 END WHEN"))
-def barrier_delisted(bars):
-    cut = o.cut_archive(bars)
-    picks = cut.withColumn("nth", F.row_number().over(W())).filter("(nth - 1) % 63 = 5").select("ticker", F.col("nth").alias("entry"), F.col("close").alias("base"))
-    return o.barrier_outcome(picks, cut, 0.15, 0.1, 63, haircut=0.5, short="delisted_timeout").select("ticker", F.col("entry").cast("long"), "outcome", r6("ret").alias("ret"), F.col("held").cast("long").alias("held"))
-
-
 @query("lbl18_net_return", "scored", sql="SELECT ticker, date, slip, round(fwd_ret - 2 * slip - 2 * 0.0001::DOUBLE, 6) AS net FROM scored CROSS JOIN (SELECT unnest([0.0::DOUBLE, 0.005::DOUBLE, 0.02::DOUBLE]) AS slip) AS v")
 def net_return(scored):
     return scored.select("ticker", "date", "fwd_ret", F.explode(F.array(F.lit(0.0), F.lit(0.005), F.lit(0.02))).alias("slip")).select("ticker", "date", "slip", r6(F.col("fwd_ret") - 2 * F.col("slip") - 2 * F.lit(0.0001)).alias("net"))

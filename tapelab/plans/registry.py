@@ -30,4 +30,4 @@ def query(name: str, *tables: str, sql: str | None = None):
     return add
 
 
-from tapelab.plans import aggregates, features, flagship, fundamentals, incremental, joins, labels, projections, statistics, text, walkforward, whole  # noqa: E402, F401
+from tapelab.plans import aggregates, evidence, features, flagship, fundamentals, incremental, joins, labels, projections, statistics, text, valuation, walkforward, whole  # noqa: E402, F401

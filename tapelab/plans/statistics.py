@@ -36,8 +36,10 @@ def p_values(scored):
 @query("sta4_robustness", "scored", sql=f"WITH {LONG}, d AS (SELECT *, row_number() OVER (PARTITION BY xname, yname ORDER BY y DESC, ticker, date) AS k FROM x) SELECT xname, yname, round(corr(x, y), 6) AS r, round(corr(x, y) FILTER (k > 4), 6) AS r_drop_4, CASE WHEN sign(corr(x, y)) <> sign(corr(x, y) FILTER (k > 4)) OR abs(corr(x, y) FILTER (k > 4)) < abs(corr(x, y)) / 2 THEN 'OUTLIER-DRIVEN' ELSE '' END AS flag FROM d GROUP BY 1, 2 HAVING count(*) >= 10")
 def robustness(scored):
     p = t.pairs(scored, XS, YS)
-    d = p.withColumn("k", F.row_number().over(Window.partitionBy("xname", "yname").orderBy(F.desc("y"), "ticker", "date")))
-    tail = lambda c: F.when(F.col("k") > 4, F.col(c))
+    key = ["xname", "yname", "ticker", "date"]
+    first = p.withColumn("k", F.row_number().over(Window.partitionBy("xname", "yname").orderBy(F.desc("y"), "ticker", "date"))).filter("k <= 4")
+    d = p.join(F.broadcast(first.select(*key, "k")), key, "left")  # four rows a pair of names
+    tail = lambda c: F.when(F.col("k").isNull(), F.col(c))
     r, r4 = F.corr("x", "y"), F.corr(tail("x"), tail("y"))
     g = d.groupBy("xname", "yname").agg(r.alias("r"), r4.alias("r4"), F.count(F.lit(1)).alias("n")).filter("n >= 10")
     flag = F.when((F.signum("r") != F.signum("r4")) | (F.abs("r4") < F.abs("r") / 2), "OUTLIER-DRIVEN").otherwise("")
@@ -97,3 +99,10 @@ def survivorship(scored):
 @query("sta13_sharpe", "scored", sql="SELECT ticker, round(CASE WHEN count(*) < 2 OR coalesce(stddev_samp(fwd_ret), 0) = 0 THEN 0 ELSE avg(fwd_ret) / stddev_samp(fwd_ret) * sqrt(12) END, 5) AS sharpe FROM scored GROUP BY ticker")
 def sharpe(scored):
     return scored.groupBy("ticker").agg(F.round(t.sharpe("fwd_ret", 12), 5).alias("sharpe"))
+
+
+@query("sta10_permutation_importance", "scored")
+def importance(scored):
+    from tapelab.operators.models import permutation_importance
+
+    return permutation_importance(scored, "logistic")

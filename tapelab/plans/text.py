@@ -93,7 +93,7 @@ def snippets(documents):
     return x.select("term", "doc_id", cut.alias("snippet")).groupBy("term").agg(F.min("doc_id").alias("doc_id"), F.min_by("snippet", "doc_id").alias("snippet"))
 
 
-@query("txt12_verify_quotes", "documents", "benchmark", sql=r"WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), g AS (SELECT item_id, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM q) AS x), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d) AS x), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id) SELECT g.item_id, dg.doc_id, round(count(*)::DOUBLE / max(n.n), 6) AS share FROM g JOIN dg ON dg.gram = g.gram JOIN n ON n.item_id = g.item_id GROUP BY 1, 2 HAVING count(*)::DOUBLE / max(n.n) >= 0.6")
+@query("txt12_verify_quotes", "documents", "benchmark", sql=r"WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), g AS (SELECT item_id, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM q) AS x), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d) AS x), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id) SELECT g.item_id, dg.doc_id, round(count(*)::DOUBLE / max(n.n), 6) AS share FROM g JOIN dg ON dg.gram = g.gram JOIN n ON n.item_id = g.item_id GROUP BY 1, 2 HAVING count(*)::DOUBLE / max(n.n) >= 0.6 UNION ALL SELECT q.item_id, d.doc_id, 1.0::DOUBLE FROM q JOIN d ON len(q.w) BETWEEN 2 AND 4 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(q.w, ' ') || ' ')")
 def verify_quotes(documents, benchmark):
     return t.verify_quotes(benchmark, documents)
 
@@ -171,12 +171,10 @@ def fingerprint(documents):
     return documents.select("doc_id", F.sha2(F.concat_ws("|", blank("lang"), blank("source"), blank("text")).cast("binary"), 256).alias("fingerprint"))
 
 
-@query("scl14_year_offsets", "quarters", sql="SELECT ticker, end_date, 'from Y-1 to Y+0 and Y+2, not 12345' AS text FROM quarters")
-def year_offsets(quarters):
-    """Years of a text relative to its own year, in one pass over its tokens."""
-    y = F.year("end_date")
-    text = F.concat(F.lit("from "), (y - 1).cast("string"), F.lit(" to "), y.cast("string"), F.lit(" and "), (y + 2).cast("string"), F.lit(", not 12345"))
-    return quarters.select("ticker", "end_date", t.relative_years(text, y).alias("text"))
+@query("scl14_year_offsets", "transcripts", sql=r"SELECT ticker, end_date, array_to_string(list_transform(regexp_extract_all(text, '\d+|\D+'), lambda p: CASE WHEN regexp_full_match(p, '(19|20)\d\d') THEN 'Y' || CASE WHEN CAST(p AS INTEGER) >= extract(YEAR FROM end_date) THEN '+' ELSE '-' END || abs(CAST(p AS INTEGER) - extract(YEAR FROM end_date)) ELSE p END), '') AS text FROM transcripts")
+def year_offsets(transcripts):
+    """Years of a transcript relative to its own year, in one pass over its tokens."""
+    return transcripts.select("ticker", "end_date", t.relative_years(F.col("text"), F.year("end_date")).alias("text"))
 
 
 @query("scl15_growth", "quarters", sql="SELECT ticker, end_date, round(100.0 * net_income / revenue, 2) AS margin_pct FROM quarters")

@@ -43,15 +43,6 @@ def wf_range(bars):
     return t.agg(F.max("a").alias("start_date"), F.date_sub(F.min("b"), 180).alias("end_date"))
 
 
-@query("mod3_features_in_window", "bars", sql=f"WITH {WINS_SQL}, x AS (SELECT window_id, ticker, date, CASE WHEN date < train_end THEN 'train' ELSE 'predict' END AS role, close FROM bars JOIN wins ON (date >= train_start AND date < train_end) OR (date >= predict_start AND date < predict_end) WHERE ticker % 5 = 1), f AS (SELECT *, close / lag(close, 10) OVER (PARTITION BY window_id, role, ticker ORDER BY date) - 1 AS roc FROM x) SELECT window_id, role, count(roc) AS n, round(avg(roc), 6) AS mean_roc FROM f GROUP BY 1, 2")
-def features_in_window(bars):
-    """Sliced first, so no lookback crosses a window's edge."""
-    x = wf.assign(bars.filter("ticker % 5 = 1").select("ticker", "date", "close"), wf.windows(bars.sparkSession, *SPAN))
-    w = Window.partitionBy("window_id", "role", "ticker").orderBy("date")
-    f = x.withColumn("roc", F.col("close") / F.lag("close", 10).over(w) - 1)
-    return f.groupBy("window_id", "role").agg(F.count("roc").alias("n"), r6(F.avg("roc")).alias("mean_roc"))
-
-
 @query("mod4_events_in_window", "earnings", sql=f"WITH {WINS_SQL}, d AS (SELECT *, surprise_pct - lag(surprise_pct) OVER (PARTITION BY ticker ORDER BY earnings_date, eps_reported) AS delta FROM earnings) SELECT window_id, CASE WHEN earnings_date < train_end THEN 'train' ELSE 'predict' END AS role, count(*) AS n, round(avg(delta), 6) AS mean_delta FROM d JOIN wins ON (earnings_date >= train_start AND earnings_date < train_end) OR (earnings_date >= predict_start AND earnings_date < predict_end) GROUP BY 1, 2")
 def events_in_window(earnings):
     """Features first (they are local to the event), then sliced."""
@@ -153,3 +144,11 @@ def yearly_folds(scored):
     test = F.col("year") == F.col("fold")
     g = x.groupBy("fold").agg(F.coalesce(F.sum(F.when(F.col("date") < cut, F.col("n"))), F.lit(0)).alias("train_rows"), F.sum(F.when(test, F.col("n"))).alias("test_rows"), F.sum(F.when(test, F.col("hits"))).alias("hits"))
     return g.filter("train_rows >= 50 and test_rows >= 20").select("fold", "train_rows", "test_rows", r6(F.col("hits") / F.col("test_rows")).alias("base_rate"))
+
+
+@query("mod16_holdout_tickers", "scored", "sic")
+def holdout(scored, sic):
+    """A fifth of the tickers, by hash, is never learned from."""
+    from tapelab.operators.models import holdout_eval
+
+    return holdout_eval(scored, sic.filter(F.pmod(F.crc32(F.col("ticker").cast("string").cast("binary")), F.lit(5)) == 0), "logistic")

@@ -1,4 +1,4 @@
-"""Queries of the other plans over all rows. Those with the shorter names keep their id subsets, as does their SQL."""
+"""As-of, path, chain, barrier, cache and freshness queries: over every row, entry and file of their tables."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from tapelab.plans.walkforward import SPAN, WINS_SQL
 from tapelab.sources import files
 
 
-@query("mod3_features_in_window_all", "bars", sql=f"WITH {WINS_SQL}, x AS (SELECT window_id, ticker, date, CASE WHEN date < train_end THEN 'train' ELSE 'predict' END AS role, close FROM bars JOIN wins ON (date >= train_start AND date < train_end) OR (date >= predict_start AND date < predict_end)), f AS (SELECT *, close / lag(close, 10) OVER (PARTITION BY window_id, role, ticker ORDER BY date) - 1 AS roc FROM x) SELECT window_id, role, count(roc) AS n, round(avg(roc), 6) AS mean_roc FROM f GROUP BY 1, 2")
+@query("mod3_features_in_window", "bars", sql=f"WITH {WINS_SQL}, x AS (SELECT window_id, ticker, date, CASE WHEN date < train_end THEN 'train' ELSE 'predict' END AS role, close FROM bars JOIN wins ON (date >= train_start AND date < train_end) OR (date >= predict_start AND date < predict_end)), f AS (SELECT *, close / lag(close, 10) OVER (PARTITION BY window_id, role, ticker ORDER BY date) - 1 AS roc FROM x) SELECT window_id, role, count(roc) AS n, round(avg(roc), 6) AS mean_roc FROM f GROUP BY 1, 2")
 def features_in_window(bars):
     """Sliced first, so no lookback crosses a window's edge."""
     x = wf.assign(bars.select("ticker", "date", "close"), wf.windows(bars.sparkSession, *SPAN))
@@ -27,13 +27,13 @@ def features_in_window(bars):
     return f.groupBy("window_id", "role").agg(F.count("roc").alias("n"), r6(F.avg("roc")).alias("mean_roc"))
 
 
-@query("jon5_asof_backward_all", "ticks", "news", sql="SELECT t.event_id, t.ticker, n.article_id FROM ticks AS t ASOF LEFT JOIN (SELECT ticker, us, max(article_id) AS article_id FROM news GROUP BY 1, 2) AS n ON n.ticker = t.ticker AND n.us <= t.us")
+@query("jon5_asof_backward", "ticks", "news", sql="SELECT t.event_id, t.ticker, n.article_id FROM ticks AS t ASOF LEFT JOIN (SELECT ticker, us, max(article_id) AS article_id FROM news GROUP BY 1, 2) AS n ON n.ticker = t.ticker AND n.us <= t.us")
 def asof_backward(ticks, news):
     j = asof_join(ticks.select("event_id", "ticker", "us"), news.select("ticker", "us", "article_id"), "ticker", "us", "us", tie="article_id")
     return j.select("event_id", "ticker", F.col("match.article_id").alias("article_id"))
 
 
-@query("jon8_asof_max_age_all", "bars", "quarters", sql="SELECT b.ticker, b.date, CASE WHEN b.date - q.end_date <= 100 THEN q.revenue END AS revenue FROM bars AS b ASOF LEFT JOIN quarters AS q ON q.ticker = b.ticker AND q.end_date <= b.date")
+@query("jon8_asof_max_age", "bars", "quarters", sql="SELECT b.ticker, b.date, CASE WHEN b.date - q.end_date <= 100 THEN q.revenue END AS revenue FROM bars AS b ASOF LEFT JOIN quarters AS q ON q.ticker = b.ticker AND q.end_date <= b.date")
 def max_age(bars, quarters):
     j = asof_join(bars.select("ticker", "date"), quarters.select("ticker", "end_date", "revenue"), "ticker", "date", "end_date")
     return j.select("ticker", "date", F.when(F.datediff("date", "match.end_date") <= 100, F.col("match.revenue")).alias("revenue"))
@@ -44,20 +44,20 @@ def _ordinals(quarters):
     return t.withColumn("p", F.lag("o").over(Window.partitionBy("ticker").orderBy("o")))
 
 
-@query("win25_chain_all", "quarters", sql=f"SELECT ticker, end_date, CASE WHEN p IS NULL THEN 'first' WHEN o - p = 1 THEN 'linked' ELSE 'break' END AS status, CAST(o - p - 1 AS BIGINT) AS gap FROM (SELECT ticker, end_date, o, lag(o) OVER (PARTITION BY ticker ORDER BY o) AS p FROM (SELECT *, {QL} AS o FROM quarters) AS x) AS y")
+@query("win25_chain", "quarters", sql=f"SELECT ticker, end_date, CASE WHEN p IS NULL THEN 'first' WHEN o - p = 1 THEN 'linked' ELSE 'break' END AS status, CAST(o - p - 1 AS BIGINT) AS gap FROM (SELECT ticker, end_date, o, lag(o) OVER (PARTITION BY ticker ORDER BY o) AS p FROM (SELECT *, {QL} AS o FROM quarters) AS x) AS y")
 def chain(quarters):
     status = F.when(F.col("p").isNull(), "first").when(F.col("o") - F.col("p") == 1, "linked").otherwise("break")
     return _ordinals(quarters).select("ticker", "end_date", status.alias("status"), (F.col("o") - F.col("p") - 1).cast("long").alias("gap"))
 
 
-@query("win26_adjacent_pairs_all", "quarters", sql=f"SELECT ticker, end_date, prev_end, revenue - prev_revenue AS change FROM (SELECT ticker, end_date, revenue, o, lag(o) OVER w AS p, lag(end_date) OVER w AS prev_end, lag(revenue) OVER w AS prev_revenue FROM (SELECT *, {QL} AS o FROM quarters) AS x WINDOW w AS (PARTITION BY ticker ORDER BY o)) AS y WHERE o - p = 1")
+@query("win26_adjacent_pairs", "quarters", sql=f"SELECT ticker, end_date, prev_end, revenue - prev_revenue AS change FROM (SELECT ticker, end_date, revenue, o, lag(o) OVER w AS p, lag(end_date) OVER w AS prev_end, lag(revenue) OVER w AS prev_revenue FROM (SELECT *, {QL} AS o FROM quarters) AS x WINDOW w AS (PARTITION BY ticker ORDER BY o)) AS y WHERE o - p = 1")
 def adjacent(quarters):
     w = Window.partitionBy("ticker").orderBy("o")
     t = _ordinals(quarters).withColumns({"prev_end": F.lag("end_date").over(w), "change": F.col("revenue") - F.lag("revenue").over(w)})
     return t.filter("o - p = 1").select("ticker", "end_date", "prev_end", "change")
 
 
-@query("src3_read_vendor_daily_all", "bars", sql="SELECT ticker, date, round(close, 6) AS close FROM bars")
+@query("src3_read_vendor_daily", "bars", sql="SELECT ticker, date, round(close, 6) AS close FROM bars")
 def vendor_daily(bars):
     """A folder per ticker; each ticker has one row with a bad date and one with a bad value, which are dropped."""
     at = _at(bars.sparkSession, "vendor")
@@ -68,14 +68,14 @@ def vendor_daily(bars):
     return files.read_vendor_daily(bars.sparkSession, at).select(F.col("ticker").cast("long").alias("ticker"), "date", r6("close").alias("close"))
 
 
-@query("src10_price_cache_all", "bars", sql="SELECT ticker, date, round(close, 6) AS close FROM bars")
+@query("src10_price_cache", "bars", sql="SELECT ticker, date, round(close, 6) AS close FROM bars")
 def price_cache(bars):
     at = _at(bars.sparkSession, "cache")
     files.write_price_cache(bars, at, 16)
     return files.read_price_cache(bars.sparkSession, at, 16).select("ticker", "date", r6("close").alias("close"))
 
 
-@query("jon18_fresh_rows_all", "documents", "labels", sql="WITH stored AS (SELECT l.doc_id, l.quality, sha256(d.text) AS fingerprint FROM labels AS l JOIN documents AS d ON d.doc_id = l.doc_id) SELECT doc_id, quality FROM stored AS s WHERE EXISTS (SELECT 1 FROM documents AS d WHERE d.doc_id = s.doc_id AND sha256(d.text) = s.fingerprint)")
+@query("jon18_fresh_rows", "documents", "labels", sql="WITH stored AS (SELECT l.doc_id, l.quality, sha256(d.text) AS fingerprint FROM labels AS l JOIN documents AS d ON d.doc_id = l.doc_id) SELECT doc_id, quality FROM stored AS s WHERE EXISTS (SELECT 1 FROM documents AS d WHERE d.doc_id = s.doc_id AND sha256(d.text) = s.fingerprint)")
 def fresh(documents, labels):
     """Labels are stored with the fingerprint of the text that they were given for: here the given table's, so all are fresh."""
     stored = labels.join(documents.select("doc_id", fingerprint(F.col("text")).alias("fingerprint")), "doc_id")
@@ -87,7 +87,7 @@ def _entries(bars):
     return bars.select("ticker", F.row_number().over(W()).cast("long").alias("entry"), F.col("close").alias("base"))
 
 
-@query("jon13_path_join_all", "bars", sql=f"WITH {NTH} SELECT p.ticker, p.nth AS entry, count(*) AS n, round(max(x.high), 6) AS path_high, round(min(x.low), 6) AS path_low FROM b AS p JOIN b AS x ON x.ticker = p.ticker AND x.nth BETWEEN p.nth + 1 AND p.nth + 30 GROUP BY 1, 2")
+@query("jon13_path_join", "bars", sql=f"WITH {NTH} SELECT p.ticker, p.nth AS entry, count(*) AS n, round(max(x.high), 6) AS path_high, round(min(x.low), 6) AS path_low FROM b AS p JOIN b AS x ON x.ticker = p.ticker AND x.nth BETWEEN p.nth + 1 AND p.nth + 30 GROUP BY 1, 2")
 def paths(bars):
     return o.path_join(_entries(bars), bars, 30).groupBy("ticker", "entry").agg(F.count(F.lit(1)).alias("n"), r6(F.max("high")).alias("path_high"), r6(F.min("low")).alias("path_low"))
 
@@ -106,11 +106,11 @@ def _outcomes(bars, **delisted):
     return t.select("ticker", "entry", "outcome", r6("ret").alias("ret"), F.col("held").cast("long").alias("held"))
 
 
-@query("lbl16_barrier_outcome_all", "bars", sql=BARRIER_SQL)
+@query("lbl16_barrier_outcome", "bars", sql=BARRIER_SQL)
 def barrier(bars):
     return _outcomes(bars)
 
 
-@query("lbl17_barrier_delisted_all", "bars", sql=BARRIER_SQL.replace("FROM bars)", "FROM bars WHERE NOT (ticker % 8 = 7 AND date > DATE '1998-06-30'))").replace("'short'", "'delisted_timeout'").replace("THEN t.last_close WHEN", "THEN t.last_close * CASE WHEN t.n < 63 THEN 0.5 ELSE 1 END WHEN"))
+@query("lbl17_barrier_delisted", "bars", sql=BARRIER_SQL.replace("FROM bars)", "FROM bars WHERE NOT (ticker % 8 = 7 AND date > DATE '1998-06-30'))").replace("'short'", "'delisted_timeout'").replace("THEN t.last_close WHEN", "THEN t.last_close * CASE WHEN t.n < 63 THEN 0.5 ELSE 1 END WHEN"))
 def barrier_delisted(bars):
     return _outcomes(o.cut_archive(bars), haircut=0.5, short="delisted_timeout")

@@ -16,6 +16,29 @@ _DUCK = {"us": "epoch_us(ts)", "div": "//", "frac": "CAST(100 AS DOUBLE)"}
 _SEQ = "PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
 _ROWS = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
+#: Figures of a call: (slot, value, period, scope, what was said of it, whether the transcript holds that). Some have another scope, an
+#: unknown period, no quote, or one that the transcript doesn't hold.
+_WHOLE, _Q, _P = "'whole_company'", "'quarter'", "'point_in_time'"
+_FIGURES = (
+    ("revenue", "revenue", _Q, _WHOLE, "concat('Revenue was reported at ', revenue, ' for the period ended ', end_date)", "revenue % 11 <> 0"),
+    ("revenue_growth_yoy", "yoy", _Q, _WHOLE, "concat('Revenue changed by ', coalesce(yoy, 0), ' percent over the same quarter a year ago')", "true"),
+    ("gaap_operating_income", "operating_cf - 2 * capex", _Q, _WHOLE, "CASE WHEN capex % 4 = 0 THEN concat('Operating income under GAAP was ', operating_cf - 2 * capex, ' in the quarter') ELSE '' END", "true"),
+    ("gaap_net_income", "net_income", _Q, _WHOLE, "concat('Net income came to ', net_income, ' in the quarter that ended on ', end_date)", "true"),
+    ("operating_cash_flow", "operating_cf", _Q, _WHOLE, "concat('Operations gave or took ', operating_cf, ' of cash in these three months')", "operating_cf % 5 <> 0"),
+    ("free_cash_flow", "operating_cf - capex", "CASE WHEN capex % 6 = 1 THEN 'half_year' ELSE 'quarter' END", "CASE WHEN capex % 9 = 0 THEN 'segment' ELSE 'whole_company' END", "concat('After capital spending of ', capex, ' free cash flow was ', operating_cf - capex)", "true"),
+    ("cash_and_investments", "capex * 50", _P, _WHOLE, "concat('Cash and investments stood at ', capex * 50)", "true"),
+    ("customer_count", "100 + revenue % 50", "CASE WHEN revenue % 13 = 0 THEN 'decade' ELSE 'point_in_time' END", _WHOLE, "concat('customers ', 100 + revenue % 50)", "revenue % 3 <> 0"),
+    ("net_dollar_retention", "80 + revenue % 41", _Q, _WHOLE, "CASE WHEN revenue % 5 = 0 THEN 'retention' ELSE concat('Net dollar retention was ', 80 + revenue % 41, ' percent for us') END", "true"),
+    ("backlog", "revenue * (2 + revenue % 4)", _P, _WHOLE, "concat('The backlog is ', revenue * (2 + revenue % 4), ' at the end of the quarter')", "true"),
+)
+_SOFT = "concat('We believe in plan number ', n, ' of the year ', extract(YEAR FROM end_date))"
+_CALLS = "(SELECT *, revenue * 100 {div} lag(revenue, 4) OVER (PARTITION BY ticker ORDER BY end_date) - 100 AS yoy FROM quarters) AS q"
+
+
+def _by_slot(k: int) -> str:
+    return "CASE slot " + " ".join(f"WHEN '{f[0]}' THEN {f[k]}" for f in _FIGURES) + " END"
+
+
 #: name -> (tables it reads, text)
 DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     "tape": (("lineitem",), f"""
@@ -60,6 +83,24 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     "filings": (("quarters",), "SELECT ticker, end_date, CAST(end_date + INTERVAL 25 DAY AS DATE) AS filing_date FROM quarters WHERE (ticker + extract(YEAR FROM end_date) * 4 + extract(QUARTER FROM end_date)) % 5 <> 0"),
     "splits": (("supplier",), "SELECT s_suppkey AS ticker, DATE '2000-01-03' AS split_date, CAST(2 AS DOUBLE) AS ratio FROM supplier WHERE s_suppkey % 4 = 0"),
     "sic": (("supplier",), "SELECT s_suppkey AS ticker, CAST(1000 + s_nationkey * 331 AS VARCHAR(4)) AS code FROM supplier"),
+    "share_facts": (("quarters",), """
+        SELECT ticker, start_date, end_date, 1000000 + revenue % 100000 AS val, CAST(end_date + INTERVAL 40 DAY AS DATE) AS filed FROM quarters WHERE extract(QUARTER FROM end_date) < 4 AND (ticker + extract(YEAR FROM end_date)) % 9 <> 0
+        UNION ALL SELECT ticker, start_date, end_date, 7 + revenue % 100000, CAST(end_date + INTERVAL 140 DAY AS DATE) FROM quarters WHERE extract(QUARTER FROM end_date) < 4 AND (ticker + extract(YEAR FROM end_date)) % 9 = 4
+        UNION ALL SELECT ticker, min(start_date), max(end_date), 1000000 + max(revenue) % 100000, CAST(max(end_date) + INTERVAL 60 DAY AS DATE) FROM quarters GROUP BY ticker, extract(YEAR FROM end_date) HAVING count(*) = 4"""),
+    "ledger_raw": (("quarters",), f"""
+        SELECT ticker, end_date, 'figures' AS list, slot, concat(chr(123), '"value": "', CASE WHEN value IS NULL THEN 'unknown' ELSE concat('$', value) END, '", "period": "', period, '", "scope": "', scope, '", "quote": "', quote, '", "prior_value_stated": ', CASE WHEN value % 4 = 0 THEN concat('"', value - 2, '"') ELSE 'null' END, chr(125)) AS entry
+        FROM (SELECT ticker, end_date, slot, {_by_slot(1)} AS value, {_by_slot(2)} AS period, {_by_slot(3)} AS scope, {_by_slot(4)} AS quote FROM {_CALLS} CROSS JOIN ({" UNION ALL ".join(f"SELECT '{f[0]}' AS slot" for f in _FIGURES)}) AS s) AS f
+        UNION ALL SELECT ticker, end_date, 'soft_evidence', concat('soft', n), concat(chr(123), '"kind": "', CASE WHEN n = 1 THEN 'pilot' WHEN n = 2 THEN 'hope' ELSE 'plan' END, '", "quote": "', CASE WHEN n = 4 THEN '' ELSE {_SOFT} END, '"', chr(125))
+        FROM quarters CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) AS s WHERE capex % 9 >= n"""),
+    "transcripts": (("quarters",), f"""
+        SELECT ticker, end_date, concat_ws('. ', 'Good morning', {", ".join(f"CASE WHEN {f[5]} THEN {f[4]} END" for f in _FIGURES)}, 'Thank you') AS text FROM {_CALLS}"""),
+    "provenance": (("transcripts",), """
+        SELECT ticker, end_date, md5(CASE WHEN length(text) % 7 = 0 THEN concat(text, ' (draft)') ELSE text END) AS text_hash, prior_end, CASE WHEN prior_text IS NULL THEN 'first_in_chain' ELSE 'linked' END AS chain,
+               md5(CASE WHEN length(prior_text) % 5 = 0 THEN concat(prior_text, ' (draft)') ELSE prior_text END) AS prior_hash
+        FROM (SELECT ticker, end_date, text, lag(text) OVER (PARTITION BY ticker ORDER BY end_date) AS prior_text, lag(end_date) OVER (PARTITION BY ticker ORDER BY end_date) AS prior_end FROM transcripts) AS t WHERE length(text) % 10 <> 3"""),
+    "raw_scores": (("quarters",), """
+        SELECT ticker, end_date, revenue % 140 - 20 AS ambition, capex % 110 AS proximity, revenue % 201 - 100 AS momentum, capex % 130 - 10 AS runway,
+               CASE revenue % 4 WHEN 0 THEN 'pre_proof' WHEN 1 THEN 'early_proof' WHEN 2 THEN 'scaling' ELSE 'mature' END AS stage, revenue % 6 <> 0 AS goal_stated, capex % 4 AS targets FROM quarters"""),
     "panel": (("bars",), """
         SELECT ticker, date, close, high, low, nth, n,
                close / lag(close, 21) OVER w - 1 AS ret_21, close / lag(close, 5) OVER w - 1 AS ret_5,
