@@ -75,11 +75,13 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(sum(CAST(round(l_extendedprice * l_tax * 100) AS BIGINT)) AS BIGINT) AS capex
         FROM lineitem GROUP BY 1, 2, 3"""),
     "facts": (("quarters",), """
-        SELECT ticker, 'Revenue' AS concept, start_date, end_date, revenue AS val, CAST(end_date + INTERVAL 40 DAY AS DATE) AS filed FROM quarters WHERE extract(QUARTER FROM end_date) < 4
-        UNION ALL SELECT ticker, 'Revenue', start_date, end_date, revenue + 100, CAST(end_date + INTERVAL 140 DAY AS DATE) FROM quarters WHERE extract(QUARTER FROM end_date) < 4 AND (ticker + extract(YEAR FROM end_date) * 4 + extract(QUARTER FROM end_date)) % 7 = 0
-        UNION ALL SELECT ticker, 'Revenue', min(start_date), max(end_date), CAST(sum(revenue) AS BIGINT), CAST(max(end_date) + INTERVAL 60 DAY AS DATE) FROM quarters GROUP BY ticker, extract(YEAR FROM end_date) HAVING count(*) = 4
-        UNION ALL SELECT ticker, 'OperatingCF', min(start_date) OVER (PARTITION BY ticker, extract(YEAR FROM end_date)), end_date,
-                         CAST(sum(operating_cf) OVER (PARTITION BY ticker, extract(YEAR FROM end_date) ORDER BY end_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT), CAST(end_date + INTERVAL 40 DAY AS DATE) FROM quarters"""),
+        SELECT ticker, CASE WHEN k < 4 THEN 'Revenue' ELSE 'OperatingCF' END AS concept, CASE WHEN k < 3 THEN start_date ELSE y_start END AS start_date, CASE WHEN k = 3 THEN y_end ELSE end_date END AS end_date,
+               CASE k WHEN 1 THEN revenue WHEN 2 THEN revenue + 100 WHEN 3 THEN y_revenue ELSE y_cf END AS val,
+               CAST(CASE k WHEN 2 THEN end_date + INTERVAL 140 DAY WHEN 3 THEN y_end + INTERVAL 60 DAY ELSE end_date + INTERVAL 40 DAY END AS DATE) AS filed
+        FROM (SELECT *, count(*) OVER y AS y_n, row_number() OVER s AS nth, min(start_date) OVER y AS y_start, max(end_date) OVER y AS y_end, CAST(sum(revenue) OVER y AS BIGINT) AS y_revenue, CAST(sum(operating_cf) OVER s AS BIGINT) AS y_cf
+              FROM quarters WINDOW y AS (PARTITION BY ticker, extract(YEAR FROM end_date)), s AS (PARTITION BY ticker, extract(YEAR FROM end_date) ORDER BY end_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q
+        CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS kinds
+        WHERE k = 4 OR (k = 3 AND y_n = 4 AND nth = 1) OR (k < 3 AND extract(QUARTER FROM end_date) < 4 AND (k = 1 OR (ticker + extract(YEAR FROM end_date) * 4 + extract(QUARTER FROM end_date)) % 7 = 0))"""),
     "filings": (("quarters",), "SELECT ticker, end_date, CAST(end_date + INTERVAL 25 DAY AS DATE) AS filing_date FROM quarters WHERE (ticker + extract(YEAR FROM end_date) * 4 + extract(QUARTER FROM end_date)) % 5 <> 0"),
     "splits": (("supplier",), "SELECT s_suppkey AS ticker, DATE '2000-01-03' AS split_date, CAST(2 AS DOUBLE) AS ratio FROM supplier WHERE s_suppkey % 4 = 0"),
     "sic": (("supplier",), "SELECT s_suppkey AS ticker, CAST(1000 + s_nationkey * 331 AS VARCHAR(4)) AS code FROM supplier"),
