@@ -11,8 +11,14 @@ MONTH = 30
 def windows(spark: SparkSession, start: str, end: str, train: int, predict: int, gap: int) -> DataFrame:
     """window_id, train_start, train_end, predict_start, predict_end (half open), from months of 30 days; the step is the
     prediction span, and a window whose end lies behind ``end`` is not made."""
+    base = spark.range(1).select(F.lit(start).cast("date").alias("start_date"), F.lit(end).cast("date").alias("end_date"))
+    return windows_of(base, train, predict, gap)
+
+
+def windows_of(span: DataFrame, train: int, predict: int, gap: int) -> DataFrame:
+    """As :func:`windows`, over a row with start_date and end_date."""
     t, p = train * MONTH, predict * MONTH
-    base = spark.range(1).select(F.lit(start).cast("date").alias("s"), F.lit(end).cast("date").alias("e"))
+    base = span.select(F.col("start_date").alias("s"), F.col("end_date").alias("e"))
     last = F.floor((F.datediff("e", "s") - t - gap - p) / p).cast("int")
     ids = base.select("s", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))).alias("window_id"))
     at = lambda n: F.date_add("s", F.col("window_id") * p + n)

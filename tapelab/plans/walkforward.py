@@ -31,18 +31,19 @@ def results(scored):
     return c.join(stats.classification(t, "pos", "label", ["window_id"]), "window_id")
 
 
-@query("mod1_wf_windows", "region", sql=f"WITH {WINS_SQL} SELECT window_id, train_start, train_end, predict_start, predict_end, (SELECT count(*) FROM region) AS regions FROM wins")
-def wf_windows(region):
-    n = region.agg(F.count(F.lit(1)).alias("regions"))
-    return wf.windows(region.sparkSession, *SPAN).join(F.broadcast(n))
-
-
 @query("mod2_wf_range", "bars", sql="WITH t AS (SELECT ticker, min(date) AS a, max(date) AS b FROM bars GROUP BY ticker) SELECT max(a) AS start_date, min(b) - 180 AS end_date FROM t")
 def wf_range(bars):
     t = bars.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
     return t.agg(F.max("a").alias("start_date"), F.date_sub(F.min("b"), 180).alias("end_date"))
 
 
+@query("mod1_wf_windows", "bars", sql="WITH t AS (SELECT ticker, min(date) AS a, max(date) AS b FROM bars GROUP BY ticker), r AS (SELECT max(a) AS s, min(b) - 180 AS e FROM t), g AS (SELECT s, e, unnest(generate_series(0, (e - s) // 120)) AS k FROM r) SELECT CAST(k AS INTEGER) AS window_id, CAST(s + CAST(k * 120 AS INTEGER) AS DATE) AS train_start, CAST(s + CAST(k * 120 + 360 AS INTEGER) AS DATE) AS train_end, CAST(s + CAST(k * 120 + 365 AS INTEGER) AS DATE) AS predict_start, CAST(s + CAST(k * 120 + 485 AS INTEGER) AS DATE) AS predict_end FROM g WHERE s + CAST(k * 120 + 485 AS INTEGER) <= e")
+def wf_windows(bars):
+    """Windows over the range that all tickers share."""
+    return wf.windows_of(wf_range(bars), *SPAN[2:])
+
+
+
 @query("mod4_events_in_window", "earnings", sql=f"WITH {WINS_SQL}, d AS (SELECT *, surprise_pct - lag(surprise_pct) OVER (PARTITION BY ticker ORDER BY earnings_date, eps_reported) AS delta FROM earnings) SELECT window_id, CASE WHEN earnings_date < train_end THEN 'train' ELSE 'predict' END AS role, count(*) AS n, round(avg(delta), 6) AS mean_delta FROM d JOIN wins ON (earnings_date >= train_start AND earnings_date < train_end) OR (earnings_date >= predict_start AND earnings_date < predict_end) GROUP BY 1, 2")
 def events_in_window(earnings):
     """Features first (they are local to the event), then sliced."""
