@@ -77,10 +77,28 @@ def p_value(r: Column, n: Column) -> Column:
     return tail(r.cast("double"), n.cast("double"))
 
 
-def top_rows(scored: DataFrame, score: str, pct: float, keys: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
-    """The best ``pct`` percent by score (at least one), ties by key. The count is a small aggregate; limit() keeps k rows a task."""
-    k = max(1, scored.count() * pct // 100)
-    return scored.orderBy(F.desc(score), *keys).limit(int(k))
+def first_rows(rows: DataFrame, bucket: Column, order: list[Column], limit: DataFrame) -> DataFrame:
+    """The first rows by ``bucket`` (a number of few values) and then ``order``, as many as ``limit`` (one row, one column) says.
+
+    Buckets are counted; those before the cut are taken whole, and only the rows of the bucket that the cut falls into are numbered.
+    """
+    counts = rows.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per bucket
+    plan = counts.withColumn("__before", before).join(F.broadcast(limit.select(F.col(limit.columns[0]).alias("__limit"))))
+    plan = plan.filter("__before < __limit")
+    t = rows.withColumn("__b", bucket).join(F.broadcast(plan), "__b")
+    whole = F.col("__before") + F.col("__n") <= F.col("__limit")
+    cut = t.filter(~whole).withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order))).filter("__r <= __limit - __before")
+    return t.filter(whole).select(*rows.columns).unionByName(cut.select(*rows.columns))
+
+
+def top_rows(scored: DataFrame, score: str, pct: float, keys: tuple[str, ...] = ("ticker", "date"), buckets: int = 256) -> DataFrame:
+    """The best ``pct`` percent by score (at least one), ties by key; nulls last."""
+    limit = scored.agg(F.greatest(F.floor(F.count(F.lit(1)) * pct / 100), F.lit(1)).alias("k"))
+    cuts = scored.agg(F.percentile_approx(score, [k / buckets for k in range(1, buckets)], 10_000).alias("__cuts"))
+    t = scored.join(F.broadcast(cuts))
+    bucket = F.when(F.col(score).isNull(), buckets).otherwise(F.size(F.filter("__cuts", lambda c: c > F.col(score))))
+    return first_rows(t, bucket, [F.desc_nulls_last(score), *map(F.col, keys)], limit).drop("__cuts")
 
 
 def lift(scored: DataFrame, score: str, label: str, pct: float) -> DataFrame:

@@ -125,8 +125,9 @@ def hit_summary(scored):
 @query("agg20_matched_sample", "scored", sql="WITH x AS (SELECT *, row_number() OVER (PARTITION BY fwd_ret < 0 ORDER BY (nth * 7919 + ticker * 104729) % 1009, ticker, date) AS r, count(*) FILTER (fwd_ret < 0) OVER () AS losers FROM scored) SELECT fwd_ret < 0 AS loser, count(*) AS n, CAST(sum(ticker) AS BIGINT) AS ticker_sum FROM x WHERE fwd_ret < 0 OR r <= losers GROUP BY 1")
 def matched(scored):
     """All losers and as many winners, by a stable order of their keys."""
-    order = [(F.col("nth") * 7919 + F.col("ticker") * 104729) % 1009, F.col("ticker"), F.col("date")]
+    from tapelab.operators.stats import first_rows
+
     losers = scored.filter("fwd_ret < 0")
     n = losers.agg(F.count(F.lit(1)).alias("losers"))
-    winners = scored.filter("fwd_ret >= 0").join(F.broadcast(n)).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).filter("r <= losers").drop("r", "losers")
+    winners = first_rows(scored.filter("fwd_ret >= 0"), (F.col("nth") * 7919 + F.col("ticker") * 104729) % 1009, [F.col("ticker"), F.col("date")], n)
     return losers.unionByName(winners).groupBy((F.col("fwd_ret") < 0).alias("loser")).agg(F.count(F.lit(1)).alias("n"), F.sum("ticker").alias("ticker_sum"))
