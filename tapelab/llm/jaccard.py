@@ -6,12 +6,13 @@ first size - ceil(t * size) + 1 in that order. Members of the same prefix and si
 prefix shingle are paired, and pairs are filtered by size, by how many prefix shingles they share, and by parity bitmaps of their sets. Lists of shingles that
 aren't known to be frequent are made in one exchange by shingle; the frequent ones are summed before they are dealt.
 
-A list of more than LIST groups isn't paired off. It is expanded to its members and, like a group of several members, taken in two steps:
+A list of more than LIST groups isn't paired off. It is expanded to its members and, like a group of several members, taken in three steps:
 
-* Each member is paired with one of its list only, as each group of a short list is with its least neighbour. Whole texts of pairs whose bitmaps
-  are near are sent together and verified; what is linked is one component, so that a family of copies is linked up.
+* Each group is paired with one other only: of the least groups of its long lists, that of most lists, and its least neighbour in short ones. Whole texts of
+  pairs whose bitmaps are near are sent together and verified; what is linked is one component.
 * Members of one component need no comparison any more. The others of a list are compared by bitmap, in blocks
-  (what is in the list's largest component only with what isn't), and of near pairs the whole texts are verified.
+  (what is in the list's largest component only with what isn't), and each is verified with its nearest.
+* What isn't connected then is compared again, and whole texts of all near pairs are verified.
 
 So every link between different texts counts, texts travel only for pairs that bitmaps leave in doubt, no list is held by one
 task, and no family is sent in pairs.
@@ -35,6 +36,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 LIST = 64
 #: A block holds about so many members at most.
 BLOCK = 512
+#: So many of its lists a member knows.
+FIRST_LISTS = 8
 #: Keys that a task remembers, so as to send a text that repeats in it once.
 REMEMBERED = 1 << 16
 #: Bits of the filter of frequent shingles. At most one in eight is set: with more shingles, frequent means more often.
@@ -190,9 +193,9 @@ def folded(bits: list[bytes], width: int) -> np.ndarray:
 
 
 def near_pairs(bits: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which of the pairs (a[i], b[i]) of sets can still be linked, by their bitmaps."""
-    widths = np.array(list(map(len, bits)))
-    width, keep = np.minimum(widths[a], widths[b]), np.zeros(len(a), bool)
+    """In how many bits the bitmaps of each pair (a[i], b[i]) of sets differ; -1 where they can't be linked."""
+    widths = np.array(list(map(len, bits)), np.int64)
+    width, out = np.minimum(widths[a], widths[b]), np.full(len(a), -1)
     total = sizes[a] + sizes[b]
     for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
@@ -202,8 +205,8 @@ def near_pairs(bits: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarra
         for k in range(0, len(at), max(1, (1 << 22) // w)):
             some = slice(k, k + max(1, (1 << 22) // w))
             apart = np.bitwise_count(m[x[some]] ^ m[y[some]]).sum(1, dtype=np.int64)
-            keep[at[some]] = (total[at[some]] - apart) * (den + num) >= 2 * num * total[at[some]]
-    return keep
+            out[at[some]] = np.where((total[at[some]] - apart) * (den + num) >= 2 * num * total[at[some]], apart, -1)
+    return out
 
 
 def near_by_bits(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -216,7 +219,7 @@ def near_by_bits(pairs: DataFrame, num: int, den: int) -> DataFrame:
             at = np.array([i for i in range(b.num_rows) if bits[i] is not None and bits[i + b.num_rows] is not None], np.int64)
             keep = np.ones(b.num_rows, bool)
             if len(at):
-                keep[at] = near_pairs([x or b"" for x in bits], sizes, at, at + b.num_rows, num, den)
+                keep[at] = near_pairs([x or b"" for x in bits], sizes, at, at + b.num_rows, num, den) >= 0
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "size", "size2", "bits", "bits2").mapInArrow(run, "a long, b long")
@@ -295,28 +298,31 @@ def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, long: DataFra
 
     # first step: a pair for each
     ends = pairs.select(F.col("a").alias("g"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("g"), F.col("a").alias("o"))).groupBy("g").agg(F.min("o").alias("o"))
-    star = ends.unionByName(long.filter("grp <> low").select(F.col("grp").alias("g"), F.col("low").alias("o")))
-    star = star.select(F.least("g", "o").alias("ga"), F.greatest("g", "o").alias("gb")).distinct()
+    most = long.filter("grp <> low").groupBy("grp", "low").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("grp").alias("g")).agg(F.max_by("low", F.struct("n", "low")).alias("o"))
+    star = ends.unionByName(most).select(F.least("g", "o").alias("ga"), F.greatest("g", "o").alias("gb")).distinct()
     rep = lambda g, m: reps.select(F.col("grp").alias(g), F.col("member").alias(m))
     first = hot_join(hot_join(star, rep("ga", "a"), ["ga"]), rep("gb", "b"), ["gb"]).select("a", "b").unionByName(facts.filter("member <> rep").select(F.col("rep").alias("a"), F.col("member").alias("b")))
-    roots = stored(connected_components(_compare(docs, facts, _near(first, facts, num, den), k, num, den)), "first-step")
-
-    # second step: what isn't connected yet
-    labels = roots.select(F.col("node").alias("member"), F.col("root").alias("label"))
-    labelled = stored(hot_join(facts, labels, ["member"], "left").select("member", "grp", "n", "size", "bits", F.coalesce("label", "member").alias("label")), "labelled")
-    pure = labelled.groupBy("grp").agg(F.first("n").alias("n"), F.min("member").alias("m"), F.min("label").alias("label"), F.max("label").alias("high"))
-    pure = pure.select("grp", "n", "m", F.when(F.col("label") == F.col("high"), F.col("label")).alias("label"))
-    side = lambda s: pure.select(F.col("grp").alias(s), F.col("n").alias(f"n_{s}"), F.col("m").alias(f"m_{s}"), F.col("label").alias(f"label_{s}"))
-    rest = hot_join(hot_join(pairs, side("a"), ["a"]), side("b"), ["b"]).filter(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False)))
-    rest = stored(rest, "rest")
-    single = rest.filter("n_a = 1 and n_b = 1").select(F.col("m_a").alias("a"), F.col("m_b").alias("b"))  # their bitmaps were near
-    lists = rest.filter("n_a > 1 or n_b > 1").select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("grp"))
-    lists = lists.unionByName(long.select(F.col("token").alias("list"), "grp")).unionByName(pure.filter("label is null").select(F.xxhash64("grp").alias("list"), "grp"))
-    found = _near_in_lists(lists, labelled, num, den, block).unionByName(single)
-    more = _compare(docs, facts, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), k, num, den)
-    out = stored(connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "links")
-    forget(facts, roots, labelled, rest)
-    return out
+    roots = stored(connected_components(_compare(docs, facts, _near(first, facts, num, den), k, num, den)), "roots")
+
+    # second and third step: what isn't connected yet
+    for nearest in (True, False):
+        labels = roots.select(F.col("node").alias("member"), F.col("root").alias("label"))
+        labelled = stored(hot_join(facts, labels, ["member"], "left").select("member", "grp", "n", "size", "bits", F.coalesce("label", "member").alias("label")), "labelled")
+        pure = labelled.groupBy("grp").agg(F.first("n").alias("n"), F.min("member").alias("m"), F.min("label").alias("label"), F.max("label").alias("high"))
+        pure = pure.select("grp", "n", "m", F.when(F.col("label") == F.col("high"), F.col("label")).alias("label"))
+        side = lambda s: pure.select(F.col("grp").alias(s), F.col("n").alias(f"n_{s}"), F.col("m").alias(f"m_{s}"), F.col("label").alias(f"label_{s}"))  # noqa: B023, E731
+        rest = hot_join(hot_join(pairs, side("a"), ["a"]), side("b"), ["b"]).filter(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False)))
+        rest = stored(rest, "rest")
+        lists = rest.filter("n_a > 1 or n_b > 1").select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("grp"))
+        lists = lists.unionByName(long.select(F.col("token").alias("list"), "grp")).unionByName(pure.filter("label is null").select(F.xxhash64("grp").alias("list"), "grp"))
+        found = _near_in_lists(lists, labelled, num, den, block, nearest)
+        if not nearest:
+            found = found.unionByName(rest.filter("n_a = 1 and n_b = 1").select(F.col("m_a").alias("a"), F.col("m_b").alias("b")))  # their bitmaps were near
+        more = _compare(docs, facts, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), k, num, den)
+        roots, spent = stored(connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots"), roots
+        forget(spent, labelled, rest)
+    forget(facts)
+    return roots
 
 
 def _near(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
@@ -326,21 +332,25 @@ def _near(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     return near_by_bits(t.filter(num * F.greatest("size", "size2") <= den * F.least("size", "size2")), num, den)
 
 
-def _near_in_lists(lists: DataFrame, members: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """a, b: pairs of members of one list (list, grp) that have different labels and near bitmaps.
+def _near_in_lists(lists: DataFrame, members: DataFrame, num: int, den: int, block: int, nearest: bool) -> DataFrame:
+    """a, b: pairs of members of one list (list, grp) that have different labels and near bitmaps; or each member with its ``nearest`` in a block.
+
+    Members know their first lists, so that most pairs that share several come from one.
 
     A list of at most ``block`` members is one job. A longer one is cut into levels of sizes that differ by less than den / num,
     so that sets can match in their own and the next only, and into those of its largest label and the others; blocks of these meet in pairs, but
     for two of the largest label.
     """
-    entries = members.select("grp", "member", "size", "label", "bits").join(lists.distinct(), "grp")
+    lists = stored(lists.distinct(), "entries")
+    firsts = lists.groupBy("grp").agg(F.slice(F.array_sort(F.collect_set("list")), 1, FIRST_LISTS).alias("firsts"))  # a group is in fewer lists than its prefix is long
+    entries = members.select("grp", "member", "size", "label", "bits").join(firsts, "grp").join(lists, "grp")
     counts = entries.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("list").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most")).filter("labels > 1").select("list", "total", F.col("most.label").alias("main"))
     rows = hot_join(entries, totals, ["list"])
     whole = F.col("total") <= block
     level = F.when(whole, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num)))).cast("int")
     grade = F.when(whole, 0).otherwise((F.col("label") == F.col("main")).cast("int"))
-    rows = stored(rows.select("list", "member", "size", "label", "bits", level.alias("level"), grade.alias("grade")), "lists")
+    rows = stored(rows.select("list", "member", "size", "label", "bits", "firsts", level.alias("level"), grade.alias("grade")), "lists")
     parts = rows.groupBy("list", "level", "grade").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     placed = hot_join(rows, parts, ["list", "level", "grade"]).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")).drop("parts")
     numbers = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -353,7 +363,7 @@ def _near_in_lists(lists: DataFrame, members: DataFrame, num: int, den: int, blo
     for n, (lv, gr, pt) in enumerate((("la", "ga", "pa"), ("lb", "gb", "pb"))):
         wanted = blocks if n == 0 else blocks.filter("not (la = lb and ga = gb and pa = pb)")
         wanted = wanted.select("list", F.col(lv).alias("level"), F.col(gr).alias("grade"), F.col(pt).alias("part"), F.xxhash64(*job).alias("j1"), F.xxhash64(F.lit("second"), *job).alias("j2"), F.lit(n).alias("side"))
-        sides.append(placed.join(wanted, ["list", "level", "grade", "part"]).select("j1", "j2", "side", "member", "size", "label", "bits"))
+        sides.append(placed.join(wanted, ["list", "level", "grade", "part"]).select("j1", "j2", "side", "member", "size", "label", "bits", "list", "firsts"))
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         side, ids, sizes, labels = (t.column(c).to_numpy() for c in (2, 3, 4, 5))
@@ -365,8 +375,26 @@ def _near_in_lists(lists: DataFrame, members: DataFrame, num: int, den: int, blo
         fits = (labels[left][:, None] != labels[right][None, :]) & (num * np.maximum(one, two) <= den * np.minimum(one, two))
         a, b = np.nonzero(np.triu(fits) if same else fits)
         a, b = left[a], right[b]
-        keep = near_pairs(bits, sizes, a, b, num, den) if len(a) else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]])], ["a", "b"])
+        # pairs that share a list before this one come from there
+        own, firsts = t.column(7)[0].as_py(), np.full((len(ids), FIRST_LISTS), own_end := np.iinfo(np.int64).max)
+        for i, x in enumerate(t.column(8).to_pylist()):
+            firsts[i, : len(x)] = x
+        firsts[firsts >= own] = own_end
+        here = np.ones(len(a), bool)
+        for at in range(0, len(a), 1 << 16):
+            x, y = firsts[a[at : at + (1 << 16)]], firsts[b[at : at + (1 << 16)]]
+            for c in range(FIRST_LISTS):
+                here[at : at + (1 << 16)] &= ~((x == y[:, c : c + 1]) & (x != own_end)).any(1)
+        a, b = a[here], b[here]
+        apart = near_pairs(bits, sizes, a, b, num, den)
+        keep = apart >= 0
+        a, b, apart = a[keep], b[keep], apart[keep]
+        if nearest:
+            row, other, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
+            order = np.lexsort((ids[other], far, row))
+            first = order[np.concatenate([[True], row[order[1:]] != row[order[:-1]]])] if len(order) else order
+            a, b = row[first], other[first]
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     def run(batches):
         for t in whole_jobs(batches, least=0):
