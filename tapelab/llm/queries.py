@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapelab.llm import bpe, fingerprints, jaccard, langid, licenses, packing, quality, substrings, warc
+from tapelab.llm import bpe, fingerprints, jaccard, langid, licenses, packing, quality, substrings, vectorcodes, warc
 from tapelab.llm.common import scratch, table
 
 
@@ -63,9 +63,39 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_packing, op6_byte_bpe, op7_substring_dedup, op8_fingerprints, op9_ngram_jaccard, op10_license_scan)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per vector without null and non-finite components; null labels are one label, ties of distances go to the lower entry; no vectors, no rows."""
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_packing, op6_byte_bpe, op7_substring_dedup, op8_fingerprints, op9_ngram_jaccard, op10_license_scan, op11_vector_codes)
+}
+
+
+def _vector_codes_sql(rounds: int = vectorcodes.ROUNDS) -> str:
+    """The rounds of op11 written out one after the other, with the assignment and the new entries of each."""
+    assign = """
+             d{r} AS (SELECT x.vec_id, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS far FROM x JOIN c{r} c ON c.part = x.part AND c.pos = x.pos GROUP BY ALL),
+             a{r} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, far * 256 + entry) AS entry, CAST(min(far) AS BIGINT) AS far FROM d{r} GROUP BY ALL),"""
+    update = """
+             s{r} AS (SELECT a.part, a.entry, x.pos, CAST(sum(x.v) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{r} a ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY ALL),
+             c{n} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, CASE WHEN s.n IS NULL THEN c.v ELSE (s.s - (s.s % s.n + s.n) % s.n) // s.n END AS v
+                                   FROM c{r} c LEFT JOIN s{r} s ON s.part = c.part AND s.entry = c.entry AND s.pos = c.pos),"""
+    steps = "".join(assign.format(r=r) + update.format(r=r, n=r + 1) for r in range(rounds)) + assign.format(r=rounds)
+    return f"""
+        WITH k AS (SELECT vec_id, label, len(embedding) // 4 AS w, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS nth FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+             x AS MATERIALIZED (SELECT vec_id, nth, (i - 1) // w AS part, (i - 1) % w AS pos, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS v FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM k)),
+             c0 AS MATERIALIZED (SELECT part, nth AS entry, pos, v FROM x WHERE nth < 256),{steps}
+             e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+             h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds})
+        SELECT k.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.codebooks_sha256 FROM k JOIN e ON e.vec_id = k.vec_id CROSS JOIN h"""
+
 
 ORACLES = {
+    "op11_vector_codes": _vector_codes_sql(),
     "op1_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
              f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
