@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapelab.llm import bpe, fingerprints, jaccard, langid, licenses, packing, quality, substrings, vectorcodes, warc
+from tapelab.llm import bpe, collocations, fingerprints, htmltext, jaccard, langid, licenses, packing, quality, substrings, vectorcodes, warc
 from tapelab.llm.common import scratch, table
 
 
@@ -68,9 +68,20 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page; null and empty pages have an empty text, broken markup is read as far as it goes, repeats fare alike; no pages, no rows."""
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract_pages(pages, htmltext.fit(htmltext.sample_words(pages)))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases; null texts are empty, null languages are und, repeats count each; no documents, no rows."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_packing, op6_byte_bpe, op7_substring_dedup, op8_fingerprints, op9_ngram_jaccard, op10_license_scan, op11_vector_codes)
+    for f in (op1_warc, op2_language_id, op3_quality_classifier, op4_quality_rules, op5_packing, op6_byte_bpe, op7_substring_dedup, op8_fingerprints, op9_ngram_jaccard, op10_license_scan, op11_vector_codes, op12_html_text, op13_collocations)
 }
 
 
@@ -96,6 +107,24 @@ def _vector_codes_sql(rounds: int = vectorcodes.ROUNDS) -> str:
 
 ORACLES = {
     "op11_vector_codes": _vector_codes_sql(),
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             q AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+             u AS (SELECT lang, id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM q),
+             w AS MATERIALIZED (SELECT lang, word, word || ' ' || lead(word, 1) OVER o AS two, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS three,
+                                       word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o AS four FROM u WINDOW o AS (PARTITION BY id ORDER BY pos)),
+             n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+             g AS (SELECT lang, 1 AS k, word AS phrase FROM w UNION ALL SELECT lang, 2, two FROM w UNION ALL SELECT lang, 3, three FROM w UNION ALL SELECT lang, 4, four FROM w),
+             f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+             c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+             s AS (SELECT c.lang, c.k, c.phrase, c.a, x.cut, h.f AS l, t.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+                   FROM c, (SELECT unnest([1, 2, 3]) AS cut) x JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1 : x.cut], ' ') JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[x.cut + 1 :], ' ') WHERE x.cut < c.k),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+             i AS (SELECT lang, a, unnest([array_to_string(w[j : j + z - 1], ' ') FOR j IN generate_series(1, k - z + 1)]) AS phrase FROM c, (SELECT unnest([2, 3]) AS z) WHERE z < k),
+             m AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL),
+             o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+                   FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+        SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, n.n, o.score FROM o JOIN n ON n.lang = o.lang WHERE o.rank <= 2000""",
     "op1_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
              f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
