@@ -185,90 +185,129 @@ def spelled_out(texts: DataFrame, filters: list[np.ndarray], chosen: list[np.nda
 
 @dataclass
 class Trie:
-    """A double array: from state s, symbol c leads to base[s] + c, if check[base[s] + c] is s. State 0 is the root, from
-    which each language's symbol leads on; accept is a phrase's number, or -1."""
+    """A double array: from state s, symbol c leads to base[s] + c, if check[base[s] + c] is s. A word is two symbols, the
+    digits of its number to the base ``radix``, so that no state has more than ``radix`` children and the array stays dense. State 0 is
+    the root, from which each language, numbered like a word, leads on; accept is a phrase's number, or -1."""
 
     base: np.ndarray
     check: np.ndarray
     accept: np.ndarray
+    radix: int
     words: HashTable
     langs: dict[int, int]
 
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The states after a symbol, and which of them exist."""
-        to = self.base[state] + symbol
-        return to, self.check[to] == state
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which states have a next one for their word, by place, and those states."""
+        to = self.base[state] + word // self.radix
+        at = np.flatnonzero(self.check[to] == state)
+        half = to[at]
+        to = self.base[half] + word[at] % self.radix
+        there = self.check[to] == half
+        return at[there], to[there]
 
 
 def place(parent: np.ndarray, symbol: np.ndarray, nodes: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Bases of the nodes and slots of the edges (parent, symbol), so that no two edges share a slot and slot 0 stays free.
 
-    Nodes of many children come first and one by one; the others all try a slot at once, and those that meet no other keep it.
+    Nodes of many children come first and one by one, behind all others if they fit nowhere soon; the others all try a slot at once, and those that meet no other keep it.
     """
     order = np.argsort(parent, kind="stable")
     count = np.bincount(parent, minlength=nodes)
     first = np.concatenate([[0], np.cumsum(count)])
-    slots = max(1024, 3 * (len(parent) + 1))
+    slots = max(1024, 2 * (len(parent) + 1))
     rng = np.random.default_rng(0)
-    while True:
-        used = np.zeros(slots + symbols, bool)
-        used[0] = True
-        base = np.full(nodes, -1, np.int64)
-        inner = np.flatnonzero(count)
-        for node in inner[np.argsort(-count[inner], kind="stable")]:
-            if count[node] <= 16:
+    used = np.zeros(slots + symbols, bool)
+    used[0] = True
+    end = 1
+    base = np.full(nodes, -1, np.int64)
+    inner = np.flatnonzero(count)
+    for node in inner[np.argsort(-count[inner], kind="stable")]:
+        if count[node] <= 16:
+            break
+        mine = symbol[order[first[node] : first[node + 1]]]
+        if max(slots, end) + symbols > len(used):
+            used = np.concatenate([used, np.zeros(len(used) // 4 + symbols, bool)])
+        for b in [*rng.integers(1, max(slots, end), 24).tolist(), end]:
+            if not used[b + mine].any():
                 break
-            mine = symbol[order[first[node] : first[node + 1]]]
-            for _ in range(256):
-                b = int(rng.integers(1, slots))
-                if not used[b + mine].any():
-                    base[node] = b
-                    used[b + mine] = True
-                    break
-        for least in (8, 4, 3, 2, 1):
-            for _ in range(256):
-                todo = np.flatnonzero((base < 0) & (count >= least) & (count <= 16))
-                if not len(todo):
-                    break
-                trial = rng.integers(1, slots, len(todo))
-                which = np.repeat(np.arange(len(todo)), count[todo])
-                edge = order[first[todo[which]] + np.arange(len(which)) - np.repeat(np.cumsum(count[todo]) - count[todo], count[todo])]
-                slot = trial[which] + symbol[edge]
-                owner = np.full(slots + symbols, len(todo), np.int64)
-                np.minimum.at(owner, slot, which)
-                bad = np.bincount(which, used[slot] | (owner[slot] != which), len(todo)) > 0
-                base[todo[~bad]] = trial[~bad]
-                used[slot[~bad[which]]] = True
-        if (base[inner] >= 0).all():
-            return base, base[parent] + symbol
-        slots *= 2
-
-
-def build_trie(seeds: np.ndarray, phrases: list[bytes], numbers: np.ndarray) -> Trie:
-    """The trie of ``phrases`` (words joined by blanks), each below the symbol of its language's seed."""
-    w = Words(phrases)
-    words, word = np.unique(w.hash, return_inverse=True)
+        base[node] = b
+        used[b + mine] = True
+        end = max(end, b + int(mine.max()) + 1)
+    slots = max(slots, end)
+    for least in (8, 4, 3, 2, 1):
+        tries = 0
+        while len(todo := np.flatnonzero((base < 0) & (count >= least) & (count <= 16))):
+            tries += 1
+            if tries % 64 == 0:  # too full for the rest
+                slots += slots // 2
+            if slots + symbols > len(used):
+                used = np.concatenate([used, np.zeros(slots + symbols - len(used), bool)])
+            trial = rng.integers(1, slots, len(todo))
+            which = np.repeat(np.arange(len(todo)), count[todo])
+            edge = order[first[todo[which]] + np.arange(len(which)) - np.repeat(np.cumsum(count[todo]) - count[todo], count[todo])]
+            slot = trial[which] + symbol[edge]
+            owner = np.full(len(used), len(todo), np.int32)
+            np.minimum.at(owner, slot, which.astype(np.int32))
+            bad = np.bincount(which, used[slot] | (owner[slot] != which), len(todo)) > 0
+            base[todo[~bad]] = trial[~bad]
+            used[slot[~bad[which]]] = True
+    return base, base[parent] + symbol
+
+
+def build_trie(seeds: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, numbers: np.ndarray) -> Trie:
+    """The trie of phrases: each below the symbol of its language's seed, ``sizes`` words long, its words' hashes a row of ``hashes``."""
+    words, word, uses = np.unique(hashes[np.arange(hashes.shape[1]) < sizes[:, None]], return_inverse=True, return_counts=True)
+    rank = np.empty(len(words), np.int64)
+    rank[np.argsort(-uses, kind="stable")] = np.arange(len(words))  # common words are near each other
+    word, first = rank[word], np.concatenate([[0], np.cumsum(sizes)])
     langs, lang = np.unique(seeds, return_inverse=True)
-    symbols = len(words) + len(langs)
-    parents, edge_symbols, nodes = [], [], 1
-    at = np.zeros(len(phrases), np.int64)  # each phrase's node so far
-    for k in range(LONGEST + 1):
-        live = np.flatnonzero(w.count >= k)
-        symbol = len(words) + lang[live] if k == 0 else word[w.first[live] + k - 1]
-        pairs, child = np.unique(at[live] * symbols + symbol, return_inverse=True)
-        parents.append(pairs // symbols)
-        edge_symbols.append(pairs % symbols)
-        at[live] = nodes + child
-        nodes += len(pairs)
-    parent, symbol = np.concatenate(parents), np.concatenate(edge_symbols)
-    base_of, slot = place(parent, symbol, nodes, symbols)
+    radix = int(np.ceil(np.sqrt(len(words) + len(langs))))
+    parents, symbols, nodes = [], [], 1
+    at = np.zeros(len(seeds), np.int64)  # each phrase's node so far
+    for k in range(int(sizes.max(initial=0)) + 1):
+        live = np.flatnonzero(sizes >= k)
+        number = len(words) + lang[live] if k == 0 else word[first[live] + k - 1]
+        for symbol in (number // radix, number % radix):
+            pairs, child = np.unique(at[live] * radix + symbol, return_inverse=True)
+            parents.append(pairs // radix)
+            symbols.append(pairs % radix)
+            at[live] = nodes + child
+            nodes += len(pairs)
+    parent, symbol = np.concatenate(parents), np.concatenate(symbols)
+    base_of, slot = place(parent, symbol, nodes, radix)
     slot_of = np.concatenate([[0], slot])  # nodes are numbered as their edges are, after the root
-    size = int(base_of.max()) + symbols + 1
+    size = int(base_of.max()) + radix + 1
     base, check, accept = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     base[slot_of] = np.maximum(base_of, 0)
     check[slot] = slot_of[parent]
     accept[slot_of[at]] = numbers
-    return Trie(base, check, accept, HashTable(words, np.arange(len(words))), {int(s): len(words) + i for i, s in enumerate(langs)})
+    return Trie(base, check, accept, radix, HashTable(words, rank), {int(s): len(words) + i for i, s in enumerate(langs)})
+
+
+def word_hashes(phrases: list[bytes], longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each phrase has, and their hashes in ``longest`` columns."""
+    w = Words(phrases)
+    out = np.zeros((len(phrases), longest), np.uint64)
+    out[w.doc, np.arange(len(w.hash)) - w.first[w.doc]] = w.hash
+    return w.count, out
+
+
+def trie_of(numbered: DataFrame, longest: int) -> tuple[Trie, int] | None:
+    """The trie of a shard's phrases (lang, phrase, lot, nth), and how many numbers a lot has; only hashes of words come to the driver."""
+    columns = [f"h{i}" for i in range(longest)]
+
+    def run(batches):
+        for b in batches:
+            sizes, hashes = word_hashes([p.encode() for p in b.column(1).to_pylist()], longest)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), b.column(2), b.column(3), *(pa.array(np.ascontiguousarray(hashes[:, i]).view(np.int64)) for i in range(longest))], ["seed", "size", "lot", "nth", *columns])
+
+    rows = numbered.select(F.xxhash64("lang").alias("seed"), "phrase", "lot", "nth").mapInArrow(run, "seed long, size long, lot int, nth int, " + ", ".join(f"{c} long" for c in columns))
+    got = rows.toArrow()  # about max_phrases rows of numbers
+    if not len(got):
+        return None
+    stride = int(got["nth"].to_numpy().max()) + 1
+    hashes = np.stack([got[c].to_numpy().view(np.uint64) for c in columns], 1)
+    return build_trie(got["seed"].to_numpy().view(np.uint64), got["size"].to_numpy(), hashes, got["lot"].to_numpy().astype(np.int64) * stride + got["nth"].to_numpy()), stride
 
 
 def accepted(w: Pieces, seeds: np.ndarray, trie: Trie) -> Iterator[np.ndarray]:
@@ -276,15 +315,15 @@ def accepted(w: Pieces, seeds: np.ndarray, trie: Trie) -> Iterator[np.ndarray]:
     doc_state = np.full(len(seeds), -1, np.int64)
     for seed in np.unique(seeds):
         if int(seed) in trie.langs:
-            doc_state[seeds == seed] = trie.base[0] + trie.langs[int(seed)]
+            _, doc_state[seeds == seed] = trie.step(np.zeros(1, np.int64), np.array([trie.langs[int(seed)]]))
     symbol = np.append(trie.words.get(w.hash), -1).astype(np.int64)
     piece = np.append(w.piece, -1)
     state = doc_state[w.doc]
     at = np.flatnonzero((symbol[:-1] >= 0) & (state >= 0))
     state = state[at]
     for k in range(1, LONGEST + 1):
-        to, there = trie.step(state, symbol[at + k - 1])
-        at, state = at[there], to[there]
+        there, state = trie.step(state, symbol[at + k - 1])
+        at = at[there]
         number = trie.accept[state]
         yield number[number >= 0]
         if k == LONGEST:
@@ -345,11 +384,10 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     lots = stored(lots.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "lot").orderBy("lang", "phrase")) - 1), "numbered")
     counted = []
     for shard in range(shards):
-        got = lots.filter(F.col("shard") == shard).select(F.xxhash64("lang").alias("seed"), "phrase", "lot", "nth").toArrow()  # about max_phrases rows
-        if not len(got):
+        built = trie_of(lots.filter(F.col("shard") == shard), longest)
+        if built is None:
             continue
-        stride = int(got["nth"].to_numpy().max()) + 1
-        trie = build_trie(got["seed"].to_numpy().view(np.uint64), [p.encode() for p in got["phrase"].to_pylist()], got["lot"].to_numpy().astype(np.int64) * stride + got["nth"].to_numpy())
+        trie, stride = built
         counts = count_phrases(texts, trie, LOTS * stride)
         place_of = counts.select(F.lit(shard).alias("shard"), F.floor(F.col("number") / stride).cast("int").alias("lot"), F.pmod("number", F.lit(stride)).cast("int").alias("nth"), "f")
         counted.append(stored(lots.join(place_of, ["shard", "lot", "nth"]).filter(F.col("f") >= least).select("lang", "k", "phrase", "f"), "counted"))
