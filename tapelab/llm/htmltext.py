@@ -5,7 +5,7 @@ text, links and elements are in its subtree, which words its tag, class, id and
 it compares with its siblings. Trees give each node the likelihood that main text stands in its subtree, and the page gets the likeliest
 labelling in which what is kept lies only in what is kept: a menu isn't kept for a paragraph in it, nor a paragraph in a menu.
 
-No page is labelled, so the trees learn from pages laid out here: words of a bounded sample of the given pages are put
+No page is labelled, so the trees learn from pages laid out here: words of a bounded sample of the given pages (MAX_SAMPLE_PAGES) are put
 into articles, menus, headers, footers, sidebars, notices, adverts, forms and comments in varied markup, with and without telling names.
 """
 
@@ -467,10 +467,16 @@ def fit(words: list[str], pages: int = TRAINING_PAGES) -> gbdt.Trees:
 
 
 def sample_words(pages: DataFrame, max_pages: int = MAX_SAMPLE_PAGES) -> list[str]:
-    """The distinct words of a bounded sample of pages (those whose content hashes lowest), sorted; a few plain ones if there are none."""
-    rows = pages.select(F.col("html").cast("string").alias("html")).filter(F.length("html") <= MAX_SAMPLE_CHARS)
-    least = rows.orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()
-    words = {w.strip(".,;:!?") for r in least for t in parse(r["html"]).text for w in t.split() if len(w) < 20 and "<" not in w and "&" not in w}
+    """The distinct words of a bounded sample of pages, sorted; a few plain ones if there are none.
+
+    About ``max_pages`` rows whose hash falls below the share that gives so many; copies among them count once, and no more than twice ``max_pages`` come to the driver.
+    """
+    rows = pages.select(F.col("html").cast("string").alias("html"), F.shiftrightunsigned(F.xxhash64("page_id", "url", "html"), 1).alias("h")).filter(F.length("html") <= MAX_SAMPLE_CHARS)
+    total = rows.count()
+    if total > max_pages:
+        rows = rows.filter(F.col("h") < int(2**63 * max_pages / total))
+    some = rows.select("html").distinct().orderBy("html").limit(2 * max_pages).collect()
+    words = {w.strip(".,;:!?") for r in some for t in parse(r["html"]).text for w in t.split() if len(w) < 20 and "<" not in w and "&" not in w}
     return sorted(w for w in words if w) or "one two three four five six seven eight nine ten".split()
 
 

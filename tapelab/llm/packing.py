@@ -9,6 +9,7 @@ stream leaves in the end is cut into sequences whose lengths are powers of two,
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -49,7 +50,7 @@ class WordTokens:
 
     Most words are a run of letters with ASCII punctuation behind: two pre-tokens, of which each ends with the only token
     that carries the end-of-word mark. Such runs are encoded many to a call, whatever their case, and cut at those marks; other words one by
-    one. Ids are held as bytes (little-endian int32), so a text's ids are one join.
+    one, also those with a letter that the tokenizer takes apart into a letter and a mark. Ids are held as bytes (little-endian int32), so a text's ids are one join.
     """
 
     def __init__(self, path: str, cache_words: int = 100_000):
@@ -80,8 +81,8 @@ class WordTokens:
             core = w.rstrip(_PUNCTUATION)
             if core.isalpha():  # ASCII letters
                 cut.append((w, core.lower(), w[len(core) :]))
-            elif core and len(core) < 200 and (s := core.decode("utf-8")).isalpha():
-                cut.append((w, core if "Σ" in s else s.lower().encode("utf-8"), w[len(core) :]))
+            elif core and len(core) < 200 and (s := core.decode("utf-8")).isalpha() and unicodedata.normalize("NFC", low := s.lower()).isalpha():
+                cut.append((w, core if "Σ" in s else low.encode("utf-8"), w[len(core) :]))
             else:
                 others.append(w)
         self.runs[b""] = b""

@@ -153,7 +153,9 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> tuple[list[np.ndarray], int]
     longest = rows.agg(F.max(F.size("x"))).first()[0] or 0
     part_width = -(-longest // PARTS)
     width = part_width * PARTS
-    first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(ENTRIES).select("x").toArrow()["x"].combine_chunks()
+    ids = [r[0] for r in rows.select("vec_id").orderBy(F.col("vec_id").asc_nulls_last()).limit(ENTRIES).collect()]
+    low = rows.filter(F.col("vec_id") <= ids[-1]) if len(ids) == ENTRIES and ids[-1] is not None else rows  # vectors of the first ids only
+    first = low.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(ENTRIES).select("x").toArrow()["x"].combine_chunks()
     start = matrix(first, width) if len(first) else np.zeros((0, width), np.int64)
     books = [start[:, p * part_width : (p + 1) * part_width] for p in range(PARTS)]
     for _ in range(rounds if len(start) else 0):

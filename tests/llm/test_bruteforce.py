@@ -112,6 +112,18 @@ def test_packing_ids_of_marks(spark):
     assert {i: [x for _, x in sorted(own.items())] for i, own in got.items()} == want
 
 
+def test_packing_ids_of_letters_that_come_apart():
+    """Every letter of the first plane, bare and before each punctuation mark, against the library."""
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokens(packing.default_tokenizer())
+    letters = [chr(c) for c in range(0x10000) if chr(c).isalpha() and not 0xAC00 <= c < 0xD7A4 and not 0x3400 <= c < 0xA000]  # not all Hangul syllables and ideographs: all alike
+    odd = ["\u0130", "\u0958", "\u095d", "\u09dc", "\u0a36", "\u0f57", "\ufb30", "\ufb4e"]
+    texts = [x + m for x in letters for m in ("", ",")] + [f"ab{x}c{m} {x}{m}{x}" for x in odd + ["ß", "é", "Σ"] for m in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+    got = own.batch(texts)
+    assert [list(g) for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_best_subset_is_best():
     import itertools
     import random

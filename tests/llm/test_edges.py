@@ -173,6 +173,8 @@ def test_licenses(spark, docs, empty):
     assert (got[21]["n_base"], got[21]["first_word"], got[21]["labels"], got[21]["score"]) == (0, None, "cc-by-nc", 1.0)
     assert (got[22]["base_labels"], got[22]["n_base"], got[23]["n_base"]) == ("apache,gpl", 2, 0)
     assert count(licenses.scan(docs)) == len(ROWS) and count(licenses.scan(empty)) == 0
+    own = licenses.scan(spark.createDataFrame([(1, "see the ISC terms here", "en"), (2, "isc license terms", "en"), (3, "the one, the one; x", "en")], SCHEMA), phrases=(("isc terms", "isc"), ("the one", "one"), ("x", "x"))).collect()
+    assert {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in own} == {1: (1, 2, 2, "isc"), 2: (0, None, None, ""), 3: (3, 0, 4, "one,x")}
 
 
 @pytest.mark.parametrize("per", [1000, 7, 1])
