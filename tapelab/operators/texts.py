@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,40 +20,76 @@ def discover_people(docs: DataFrame) -> DataFrame:
     return g.filter("n >= 2 or title").drop("title")
 
 
-def alias_table(spark: SparkSession, aliases: tuple[tuple[str, str], ...]) -> DataFrame:
-    """alias (lower case, also its plural), placeholder: of one alias the first placeholder."""
-    a = spark.createDataFrame(aliases, "alias string, placeholder string")
-    return a.unionByName(a.select(F.concat("alias", F.lit("s")).alias("alias"), "placeholder")).groupBy(F.lower("alias").alias("alias")).agg(F.min("placeholder").alias("placeholder"))
+#: How a fiscal quarter is written in a head, which two groups are (quarter, year), and what makes a mention forward-looking.
+QUARTER_PATTERNS = (
+    (r"\b(first|second|third|fourth)\s+quarter\s+(?:and\s+(?:full\s+)?(?:fiscal\s+)?(?:year\s+)?)?(?:of\s+)?(?:fiscal\s+(?:year\s+)?)?(?:fy\s*)?'?(20\d\d|\d\d)\b", 1, 2),
+    (r"\bQ([1-4])\s*(?:fy|fiscal(?:\s+year)?)?\s*'?(20\d\d|\d\d)\b", 1, 2),
+    (r"\bfiscal\s+(?:year\s+)?(20\d\d)\s+(first|second|third|fourth)\s+quarter\b", 2, 1),
+)
+FORWARD_LOOKING, FORWARD_CHARS, HEAD_CHARS = "expect|outlook|guidance|guide|forecast|project|anticipat|target|for the upcoming", 45, 1500
 
 
-def deidentify(docs: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """doc_id, text with each alias replaced, case-insensitively and at ASCII word boundaries, longest first, in a single pass:
-    placeholders are never scanned again. Null texts stay null."""
-    import re
+def _places(text: Column, pattern: str) -> Column:
+    """(at, hit) of all matches of a pattern: places follow from the lengths of what lies between them."""
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,hit:string>>").alias("found"))
 
-    import pyarrow as pa
+    def step(acc: Column, x: Column) -> Column:
+        at = (acc["end"] + x["gap"]).cast("int")
+        return F.struct((at + F.char_length(x["hit"])).cast("int").alias("end"), F.concat(acc["found"], F.array(F.struct(at.alias("at"), x["hit"].alias("hit")))).alias("found"))
 
-    table = {k.lower(): v for k, v in sorted({**{a + "s": p for a, p in aliases.items()}, **aliases}.items(), key=lambda x: -len(x[0]))}
-    pattern = r"(?<![A-Za-z0-9])(" + "|".join(map(re.escape, sorted(table, key=len, reverse=True))) + r")(?![A-Za-z0-9])"
-
-    def run(batches):
-        find = re.compile(pattern, re.IGNORECASE | re.ASCII)
-        for b in batches:
-            out = [None if x is None else find.sub(lambda m: table[m[1].lower()], x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string")
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return F.aggregate(pairs, start, step)["found"]
 
 
 def quarter_from_text(docs: DataFrame, col: str) -> DataFrame:
-    """``quarter``: the first "<nth> quarter of <year>" of a text; mentions with a forward-looking word in the 45 characters before rank last."""
-    p = r"(?i)(first|second|third|fourth) quarter (?:of )?(\d{4})"
-    found = F.regexp_extract_all(col, F.lit(f"(?s)(.{{0,45}}{p[4:]})"), 1)
-    order = F.array_sort(F.transform(found, lambda m, i: F.struct(F.lower(m).rlike("expect|outlook|guidance|will be").cast("int").alias("later"), i.alias("i"), m.alias("m"))))
-    best = F.try_element_at(order, F.lit(1))["m"]
-    word = F.lower(F.regexp_extract(best, p, 1))
-    n = F.when(word == "first", 1).when(word == "second", 2).when(word == "third", 3).when(word == "fourth", 4)
-    return docs.withColumn("quarter", F.when(n.isNotNull(), F.concat(F.regexp_extract(best, p, 2), F.lit("Q"), n.cast("string"))))
+    """``quarter``: the fiscal quarter that a text's head names, YYYYQn; null if it names none.
+
+    Three ways of writing it are looked for together. Mentions with a forward-looking word in the characters before rank last; of the others the first wins.
+    """
+    head = F.left(F.col(col), F.lit(HEAD_CHARS))
+
+    def mentions(i: int, pattern: str, q: int, y: int) -> Column:
+        def one(m: Column) -> Column:
+            before = F.substring(F.col("__head"), F.greatest(m["at"] - FORWARD_CHARS, F.lit(0)) + 1, F.least(m["at"], F.lit(FORWARD_CHARS)))
+            return F.struct(before.rlike("(?i)" + FORWARD_LOOKING).alias("later"), m["at"].alias("at"), F.lit(i).alias("kind"), F.lower(F.regexp_extract(m["hit"], pattern, q)).alias("q"), F.regexp_extract(m["hit"], pattern, y).cast("int").alias("y"))
+
+        return F.transform(_places(F.col("__head"), pattern), one)
+
+    every = [mentions(i, "(?i)" + pattern, q, y) for i, (pattern, q, y) in enumerate(QUARTER_PATTERNS)]
+    best = docs.withColumn("__head", head).withColumn("__best", F.array_min(F.concat(*every)))
+    n = F.col("__best.q")
+    n = F.when(n == "first", 1).when(n == "second", 2).when(n == "third", 3).when(n == "fourth", 4).otherwise(n.try_cast("int"))
+    year = F.col("__best.y") + F.when(F.col("__best.y") < 100, 2000).otherwise(0)
+    return best.withColumn("quarter", F.concat(year.cast("string"), F.lit("Q"), n.cast("string"))).drop("__head", "__best")
+
+
+def clean_html(c: Column) -> Column:
+    """A fragment without tags, its common entities decoded, blanks collapsed."""
+    c = F.regexp_replace(c, r"<[^>]+>", "")
+    for entity, text in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(text))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def speaker_turns(pages: DataFrame, keys: list[str], html: str, panel: str, block: str, speaker: str, title: str, sentence: str, carry: bool = False) -> DataFrame:
+    """keys, nth, speaker, title, sentences (an array) of a page's blocks, in page order from 1.
+
+    ``panel`` is the text at which the blocks begin (a page without it has none), ``block`` the pattern that starts one; the other patterns have what they look for as
+    group 1. Blocks without a sentence are dropped; so are those without a speaker, or else, with ``carry``, they go on with the last one.
+    """
+    at = F.instr(F.col(html), panel)
+    inside = F.when(at > 0, F.substring(F.col(html), at, F.char_length(html)))
+    blocks = pages.select(*keys, F.posexplode(F.split(inside, block, -1)).alias("nth", "block")).filter("nth > 0")
+    first = lambda p: F.nullif(clean_html(F.regexp_extract("block", "(?s)" + p, 1)), F.lit(""))
+    said = F.filter(F.transform(F.regexp_extract_all("block", F.lit("(?s)" + sentence), 1), clean_html), lambda x: x != "")
+    turns = blocks.select(*keys, "nth", first(speaker).alias("speaker"), first(title).alias("title"), said.alias("sentences"))
+    if carry:
+        w = Window.partitionBy(*keys).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+        who = F.last(F.when(F.col("speaker").isNotNull(), F.struct("speaker", "title")), ignorenulls=True).over(w)
+        turns = turns.withColumn("who", who).select(*keys, "nth", "who.speaker", "who.title", "sentences")
+    return turns.filter(F.col("speaker").isNotNull() & (F.size("sentences") > 0))
 
 
 def relative_years(text: Column, year: Column) -> Column:

@@ -11,6 +11,7 @@ from tapelab.operators.windows import r6
 from tapelab.plans.registry import query
 from tapelab.sources import files
 from tapelab.streaming import incremental as inc
+from tapelab.streaming.state import WorkState, attempt, fold_stream
 
 
 def _at(spark, name):
@@ -35,34 +36,45 @@ def missing_days(orders):
     return days.join(d, "day", "left_anti")
 
 
-@query("str3_state_upsert", "events", sql="SELECT user_id, event_type AS status, attempts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS attempts FROM events) AS x WHERE r = 1")
-def state_upsert(events):
-    return inc.upsert_state(events, "user_id", ["ts", "event_id"]).select("user_id", F.col("event_type").alias("status"), "attempts")
+#: Attempts of a user's work, and how late a stream's rows may come.
+MOST, LATE = 3, "15 minutes"
 
 
-def _streamed(frame, name, build, mode):
-    """Writes the table as files, reads it as a stream to its end, and gives the result table."""
+@query("str3_state_upsert", "events", sql=f"SELECT user_id, status, attempts, result FROM (SELECT user_id, count(*) AS attempts, CASE WHEN bool_or(ok) THEN 'done' ELSE 'failed' END AS status, CAST(max(CASE WHEN ok THEN event_id END) AS VARCHAR) AS result FROM (SELECT *, row_number() OVER w AS nth, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, event_type IN ('purchase', 'signup') AS ok FROM events) AS e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) AS x WHERE before = 0 AND nth <= {MOST} GROUP BY user_id) AS y")
+def state_upsert(events):
+    """Each user's events are attempts; they come in four spans of time, each taken in by a run of the stream that goes on where the last one stopped."""
+    spark = events.sparkSession
+    tries = events.select(F.col("user_id").alias("key"), *attempt(F.col("event_type").isin("purchase", "signup"), F.col("event_id"), F.col("event_type")), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    span = tries.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("z")).first()
+    src, ck, state = _at(spark, "attempts"), _at(spark, "attempts"), WorkState(spark, _at(spark, "state"), most=MOST)
+    at = F.unix_micros("ts")
+    cuts = [span["a"] + (span["z"] - span["a"]) * i // 4 for i in range(1, 4)] if span["a"] is not None else []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = tries.filter((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
+        part.write.mode("append").parquet(src)
+        fold_stream(spark.readStream.schema(tries.schema).parquet(src), state, ck, ["ts", "event_id"])
+    return state.read().select(F.col("key").alias("user_id"), "status", "attempts", "result")
+
+
+def _streamed(frame, name, build):
+    """Writes the table as files, reads it as a stream to its end in append mode, and gives what came out."""
     spark = frame.sparkSession
-    src = _at(spark, name)
+    src, out, ck = _at(spark, name), _at(spark, name), _at(spark, name)
     frame.write.parquet(src)
     stream = build(spark.readStream.schema(frame.schema).parquet(src))
-    out, ck = _at(spark, name), _at(spark, name)
-    if mode == "complete":
-        # complete results replace each other; the last batch is the table
-        def sink(df, _):
-            df.write.mode("overwrite").parquet(out)
-
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", ck).trigger(availableNow=True).foreachBatch(sink).start()
-    else:
-        q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 15 MINUTE AS mark FROM ticks)"
 
 
-@query("str6_stream_bars", "ticks", sql="SELECT ticker, CAST(date_trunc('hour', ts) AS VARCHAR) AS start, round(min_by(price, (us, event_id)), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(max_by(price, (us, event_id)), 6) AS close, count(*) AS transactions FROM ticks GROUP BY 1, 2")
+@query("str6_stream_bars", "ticks", sql=f"SELECT ticker, CAST(date_trunc('hour', ts) AS VARCHAR) AS start, round(min_by(price, (us, event_id)), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(max_by(price, (us, event_id)), 6) AS close, count(*) AS transactions FROM ticks GROUP BY ticker, date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED}")
 def stream_bars(ticks):
+    """The hours that are closed: LATE behind the newest tick."""
     t = ticks.select("ticker", F.col("ts").cast("timestamp").alias("ts"), "event_id", "price")
-    out = _streamed(t, "ticks", lambda s: inc.stream_bars(s, "1 hour", "3650 days"), "complete")
+    out = _streamed(t, "ticks", lambda s: inc.stream_bars(s, "1 hour", LATE))
     return out.select("ticker", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), *(r6(c).alias(c) for c in ("open", "high", "low", "close")), "transactions")
 
 
@@ -70,13 +82,14 @@ def stream_bars(ticks):
 def stream_dedupe(news):
     n = news.select("article_id", "ticker", F.col("published").cast("timestamp").alias("published"))
     twice = n.unionByName(n.filter("article_id % 3 = 0"))
-    return _streamed(twice, "news", lambda s: inc.stream_dedupe(s, "article_id", "published", "3650 days"), "append").select("article_id", "ticker")
+    return _streamed(twice, "news", lambda s: inc.stream_dedupe(s, "article_id", "published", "1 day")).select("article_id", "ticker")
 
 
-@query("str8_stream_trailing", "news", sql="SELECT ticker, CAST(h AS VARCHAR) AS at, round(avg(sentiment), 6) AS mean_24h, count(*) AS n_24h FROM (SELECT ticker, sentiment, unnest(generate_series(date_trunc('hour', published) + INTERVAL 1 HOUR, date_trunc('hour', published) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS h FROM news) AS x GROUP BY 1, 2")
+@query("str8_stream_trailing", "news", sql="SELECT ticker, CAST(h AS VARCHAR) AS at, round(avg(sentiment), 6) AS mean_24h, count(*) AS n_24h FROM (SELECT ticker, sentiment, unnest(generate_series(date_trunc('hour', published) + INTERVAL 1 HOUR, date_trunc('hour', published) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS h FROM news) AS x GROUP BY ticker, h HAVING h <= (SELECT max(published) - INTERVAL 15 MINUTE FROM news)")
 def stream_trailing(news):
+    """Trailing days that are closed: LATE behind the newest article."""
     n = news.select("ticker", "sentiment", F.col("published").cast("timestamp").alias("ts"))
-    out = _streamed(n, "trailing", lambda s: inc.stream_trailing(s, "3650 days"), "complete")
+    out = _streamed(n, "trailing", lambda s: inc.stream_trailing(s, LATE))
     return out.select("ticker", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), r6("mean_24h").alias("mean_24h"), "n_24h")
 
 

@@ -35,7 +35,7 @@ def day_night(bars):
     return bars.select("ticker", "date", r6(F.col("close") / F.col("open") - 1).alias("intraday"), r6(F.lead("open").over(W()) / F.col("close") - 1).alias("overnight"))
 
 
-@query("lbl4_event_fwd", "earnings", "bars", sql=f"WITH {NTH}, {EVENT_BAR_SQL} SELECT r.ticker, r.earnings_date, round(c.close / a.close - 1, 6) AS fwd_8 FROM r JOIN b AS a ON a.ticker = r.ticker AND a.nth = r.reaction JOIN b AS c ON c.ticker = r.ticker AND c.nth = r.reaction + 8")
+@query("lbl4_event_fwd", "earnings", "bars", sql=f"WITH {NTH}, t AS (SELECT ticker, nth, close, lead(close, 8) OVER ({s.BY}) AS later FROM b), {EVENT_BAR_SQL} SELECT r.ticker, r.earnings_date, round(t.later / t.close - 1, 6) AS fwd_8 FROM r JOIN t ON t.ticker = r.ticker AND t.nth = r.reaction WHERE t.later IS NOT NULL")
 def event_fwd(earnings, bars):
     from tapelab.operators.events import event_to_bar
 
@@ -63,17 +63,20 @@ def delisted(bars):
     return o.delisted(o.cut_archive(bars), 14)
 
 
+#: Bars ahead at which an event's return is taken.
+HORIZONS = (1, 5, 21, 63, 126, 252)
+
+
 @query(
     "lbl8_event_returns", "earnings", "bars",
-    sql=f"WITH {NTH}, {EVENT_BAR_SQL}, h AS (SELECT unnest([1, 5, 21, 63]) AS h) SELECT r.ticker, r.earnings_date, CAST(h AS INTEGER) AS horizon, round(c.close / a.close - 1, 6) AS ret FROM r CROSS JOIN h JOIN b AS a ON a.ticker = r.ticker AND a.nth = r.reaction - 1 JOIN b AS c ON c.ticker = r.ticker AND c.nth = r.reaction + h - 1",
+    sql=f"WITH {NTH}, t AS (SELECT ticker, nth + 1 AS at_bar, close, [{', '.join(f'lead(close, {h}) OVER ({s.BY})' for h in HORIZONS)}] AS ahead FROM b), {EVENT_BAR_SQL}, j AS (SELECT r.ticker, r.earnings_date, t.close, unnest([{', '.join(map(str, HORIZONS))}]) AS horizon, unnest(t.ahead) AS later FROM r JOIN t ON t.ticker = r.ticker AND t.at_bar = r.reaction) SELECT ticker, earnings_date, CAST(horizon AS INTEGER) AS horizon, round(later / close - 1, 6) AS ret FROM j WHERE later IS NOT NULL",
 )
 def event_returns(earnings, bars):
     """Returns from the close before the reaction bar to the close of bar reaction + h - 1."""
     from tapelab.operators.events import event_to_bar
 
-    spans = (1, 5, 21, 63)
     t = bars.withColumn("nth", F.row_number().over(W()))
-    path = t.select(F.col("ticker").alias("tk"), (F.col("nth") + 1).alias("at_bar"), "close", F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead("close", h).over(W()).alias("later")) for h in spans)).alias("ahead"))
+    path = t.select(F.col("ticker").alias("tk"), (F.col("nth") + 1).alias("at_bar"), "close", F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead("close", h).over(W()).alias("later")) for h in HORIZONS)).alias("ahead"))
     e = event_to_bar(earnings, t.select("ticker", "date", "nth")).join(path, (F.col("tk") == F.col("ticker")) & (F.col("at_bar") == F.col("reaction")))
     return e.select("ticker", "earnings_date", "close", F.inline("ahead")).filter("later is not null").select("ticker", "earnings_date", "horizon", r6(F.col("later") / F.col("close") - 1).alias("ret"))
 
@@ -84,16 +87,30 @@ def quarter_label(earnings):
     return earnings.select("ticker", "earnings_date", F.concat(F.year(d).cast("string"), F.lit("Q"), F.quarter(d).cast("string")).alias("quarter"))
 
 
-@query(
-    "lbl10_announce_return", "filings", "bars",
-    sql=f"WITH {NTH}, p AS (SELECT f.ticker, f.filing_date, b.nth AS pre FROM filings AS f ASOF LEFT JOIN b ON b.ticker = f.ticker AND b.date < f.filing_date) SELECT p.ticker, p.filing_date, round(c.close / a.close - 1, 6) AS ret_21 FROM p JOIN b AS a ON a.ticker = p.ticker AND a.nth = p.pre JOIN b AS c ON c.ticker = p.ticker AND c.nth = p.pre + 21",
-)
-def announce_return(filings, bars):
+def _announced_sql(base: int, later: int) -> str:
+    """Returns over bars after the last one before the filing: from the ``base``-th to the ``later``-th."""
+    start = f"lead(close, {base}) OVER ({s.BY})" if base else "close"
+    return f"WITH t AS (SELECT ticker, date, {start} AS base, lead(close, {later}) OVER ({s.BY}) AS later FROM bars) SELECT f.ticker, f.filing_date, round(t.later / t.base - 1, 6) AS ret_21 FROM filings AS f ASOF JOIN t ON t.ticker = f.ticker AND t.date < f.filing_date WHERE t.later IS NOT NULL"
+
+
+def _announced(filings, bars, base: int, later: int):
     from tapelab.operators.asof import asof_join
 
-    t = bars.select("ticker", "date", "close", F.lead("close", 21).over(W()).alias("later"))
+    t = bars.select("ticker", "date", (F.lead("close", base).over(W()) if base else F.col("close")).alias("base"), F.lead("close", later).over(W()).alias("later"))
     j = asof_join(filings, t, "ticker", "filing_date", "date", inclusive=False).filter("match.later is not null")
-    return j.select("ticker", "filing_date", r6(F.col("match.later") / F.col("match.close") - 1).alias("ret_21"))
+    return j.select("ticker", "filing_date", r6(F.col("match.later") / F.col("match.base") - 1).alias("ret_21"))
+
+
+@query("lbl10_announce_return", "filings", "bars", sql=_announced_sql(0, 21))
+def announce_return(filings, bars):
+    """From the last close before the filing: the jump of the day is in it."""
+    return _announced(filings, bars, 0, 21)
+
+
+@query("lbl10_announce_post", "filings", "bars", sql=_announced_sql(2, 22))
+def announce_post(filings, bars):
+    """From the close of the bar after the filing's: what could still be bought."""
+    return _announced(filings, bars, 2, 22)
 
 
 @query("lbl12_excess", "panel", "index_bars", sql=f"WITH i AS (SELECT date, lead(close, 63) OVER ({s.BY}) / close - 1 AS bench FROM index_bars) SELECT p.ticker, p.date, round(fwd_ret - bench, 6) AS excess, round(100 * ((1 + fwd_ret) / (1 + bench) - 1), 6) AS relative_pct FROM panel AS p JOIN i ON i.date = p.date WHERE fwd_ret IS NOT NULL AND bench IS NOT NULL")

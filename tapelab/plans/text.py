@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapelab.functions import replies as replies_fn
 from tapelab.functions import scalars as sc
+from tapelab.operators import identity as ident
 from tapelab.operators import texts as t
 from tapelab.plans.registry import query
 
@@ -30,14 +32,20 @@ def turns(conversations):
     return conversations.filter(F.trim("text") != "").select("conv_id", "turn", "role", n.cast("long").alias("sentences"), F.char_length("text").cast("long").alias("chars"))
 
 
-@query("txt3_quarter_from_text", "earnings", sql="SELECT ticker, earnings_date, CAST(extract(YEAR FROM earnings_date) AS VARCHAR) || 'Q' || CAST(extract(QUARTER FROM earnings_date) AS VARCHAR) AS quarter FROM earnings")
-def quarter_from_text(earnings):
-    """Heads are made from the rows (a later, forward-looking mention first), and the label is read back from the text."""
-    names = F.array(*map(F.lit, ("first", "second", "third", "fourth")))
-    word = lambda q: F.element_at(names, q)
-    later = F.concat(F.lit("We expect results for the "), word(F.quarter("earnings_date") % 4 + 1), F.lit(" quarter of "), (F.year("earnings_date") + 1).cast("string"), F.lit(" to improve; please read all of this notice with care before you go on. "))
-    head = F.concat(later, F.lit("Results for the "), word(F.quarter("earnings_date")), F.lit(" quarter of "), F.year("earnings_date").cast("string"), F.lit("."))
-    return t.quarter_from_text(earnings.withColumn("head", head), "head").select("ticker", "earnings_date", "quarter")
+PANEL = dict(panel='id="panel-full"', block=r'<div class="turn pt-5', speaker=r'<div class="who[^"]*">(.*?)</div>', title=r'<div class="role">(.*?)</div>', sentence=r'<span class="say[^"]*"[^>]*>(.*?)</span>')
+
+
+@query("txt2_page_turns", "call_pages", sql="SELECT ticker, end_date, 1 AS nth, ceo AS speaker, title, opening || ' & more|' || body || ' indeed' AS said FROM call_pages WHERE has_panel UNION ALL SELECT ticker, end_date, 4, cfo, NULL, thanks FROM call_pages WHERE has_panel")
+def page_turns(call_pages):
+    """Speaker, title and sentences of the turns on a page; blocks without text, and without a speaker, are dropped."""
+    turns = t.speaker_turns(call_pages, ["ticker", "end_date"], "html", **PANEL)
+    return turns.select("ticker", "end_date", "nth", "speaker", "title", F.array_join("sentences", "|").alias("said"))
+
+
+@query("txt3_quarter_from_text", "releases", sql="SELECT ticker, end_date, truth AS quarter FROM releases")
+def quarter_from_text(releases):
+    """The quarter that the head of a release names, in one of three ways, and not as an outlook."""
+    return t.quarter_from_text(releases, "text").select("ticker", "end_date", "quarter")
 
 
 @query("txt4_best_doc", "documents", sql="SELECT doc_id % 10 AS ticker, lang, max_by(doc_id, (n_chars, doc_id)) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY 1, 2")
@@ -58,20 +66,36 @@ def vocab(documents):
     return t.vocabulary(documents)
 
 
-ALIASES = (("Acme Rockets", "COMPANY_1"), ("the", "WORD_1"), ("that", "WORD_2"), ("then", "WORD_2"))
+_LINES = "l AS (SELECT ticker, end_date, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM calls), f AS (SELECT *, lead(line) OVER (PARTITION BY ticker, end_date ORDER BY i) AS following FROM l)"
+PEOPLE = _LINES + r""", s AS (SELECT ticker, line AS person, count(*) AS n, min((end_date, i)) AS start FROM f WHERE regexp_full_match(line, '[A-Z][a-zA-Z.''-]+( [A-Z][a-zA-Z.''-]+){1,3}') AND line NOT LIKE '%.' GROUP BY ticker, line HAVING count(*) >= 2 OR bool_or(contains(coalesce(following, ''), ','))),
+                         speakers AS (SELECT ticker, person, n, row_number() OVER (PARTITION BY ticker ORDER BY start, person) AS number FROM s)"""
+ORDINARY = r"ordinary AS (SELECT DISTINCT ticker, unnest(regexp_extract_all(text, '\b[a-z][a-z''-]*\b')) AS word FROM calls)"
+ALIASES = (
+    r""", o AS (SELECT ticker, alias, CASE WHEN program = 0 THEN 'Company A' ELSE 'Program ' || program END AS placeholder, CASE WHEN program = 0 THEN 0 ELSE 1 END AS kind, program AS a, nth AS b, 0 AS c FROM alias_config),
+         e AS (SELECT * FROM o UNION ALL SELECT ticker, alias || 's', placeholder, kind, a, b, 1 FROM o WHERE kind = 1 AND NOT lower(alias) LIKE '%s' UNION ALL SELECT ticker, person, 'Person ' || number, 2, number, 0, 0 FROM speakers
+               UNION ALL SELECT ticker, alias, placeholder, 3, number, b, 0 FROM (SELECT ticker, number, 'Person ' || number AS placeholder, unnest([split_part(person, ' ', 1), split_part(person, ' ', -1)]) AS alias, unnest([0, 1]) AS b FROM speakers) AS x WHERE (ticker, lower(alias)) NOT IN (SELECT ticker, word FROM ordinary)),
+         aliases AS (SELECT ticker, lower(alias) AS alias, arg_min(placeholder, (kind, a, b, c)) AS placeholder, length(lower(alias)) AS chars FROM e GROUP BY ticker, lower(alias))"""
+)
+
+
+@query("txt5_numbered_people", "calls", sql=f"WITH {PEOPLE} SELECT ticker, person, n, number FROM speakers")
+def numbered_people(calls):
+    return ident.people(calls, "ticker", "end_date")
 
 
-@query("txt7_alias_table", "benchmark", sql="WITH a AS (SELECT * FROM (VALUES " + ", ".join(map(str, ALIASES)) + ") AS v(alias, placeholder)), p AS (SELECT alias, placeholder FROM a UNION ALL SELECT alias || 's', placeholder FROM a), r AS (SELECT lower(alias) AS alias, placeholder, row_number() OVER (PARTITION BY lower(alias) ORDER BY placeholder) AS k FROM p) SELECT alias, placeholder, length(alias) AS chars, (SELECT count(*) FROM benchmark AS b WHERE contains(lower(b.text), r.alias)) AS passages FROM r WHERE k = 1")
-def aliases(benchmark):
-    """Aliases with their plurals; the first placeholder wins; and how many passages hold each."""
-    a = t.alias_table(benchmark.sparkSession, ALIASES)
-    hits = benchmark.select("item_id", F.lower("text").alias("text")).join(F.broadcast(a), F.contains("text", "alias")).groupBy("alias").agg(F.count(F.lit(1)).alias("hits"))
-    return a.join(hits, "alias", "left").select("alias", "placeholder", F.char_length("alias").cast("long").alias("chars"), F.coalesce("hits", F.lit(0)).alias("passages"))
+def _alias_table(calls, alias_config):
+    return ident.alias_table(alias_config, ident.people(calls, "ticker", "end_date"), ident.ordinary_words(calls, "ticker"), "ticker")
 
 
-@query("txt8_deidentify", "documents")
-def deidentify(documents):
-    return t.deidentify(documents, dict(ALIASES))
+@query("txt7_alias_table", "calls", "alias_config", sql=f"WITH {PEOPLE}, {ORDINARY}{ALIASES} SELECT ticker, alias, placeholder, chars FROM aliases")
+def aliases(calls, alias_config):
+    """Names of companies and programs with their plurals, of people, and bare names that aren't ordinary words; the first placeholder wins."""
+    return _alias_table(calls, alias_config)
+
+
+@query("txt8_deidentify", "calls", "alias_config")
+def deidentify(calls, alias_config):
+    return ident.deidentify(calls, _alias_table(calls, alias_config), "ticker", F.year("end_date"))
 
 
 @query("txt9_leak_terms", "documents", "benchmark", sql=r"WITH o AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM benchmark), s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM documents WHERE source <> 'src1') SELECT item_id, term FROM o WHERE term NOT IN (SELECT term FROM s)")
@@ -86,6 +110,11 @@ def candidates(documents):
     return w.groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs")).filter("n >= 5 and docs >= 3").orderBy(F.desc("n"), "term").limit(60)
 
 
+@query("txt10_identifying_terms", "calls", "alias_config", sql=rf"WITH {PEOPLE}, {ORDINARY}, t AS (SELECT ticker, end_date, unnest(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*\b')) AS term FROM calls), c AS (SELECT ticker, term, count(*) AS n, count(DISTINCT end_date) AS docs FROM t GROUP BY ticker, term HAVING count(*) >= 5 AND count(DISTINCT end_date) >= 3), d AS (SELECT * FROM c WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9]+') AND lower(term) NOT IN ({', '.join(repr(w) for w in ident.STOP_TERMS)}) AND (ticker, lower(term)) NOT IN (SELECT ticker, word FROM ordinary) AND (ticker, lower(term)) NOT IN (SELECT ticker, unnest(string_split(lower(person), ' ')) FROM speakers) AND (ticker, lower(term)) NOT IN (SELECT ticker, unnest(regexp_extract_all(lower(alias), '[a-z0-9]+')) FROM alias_config WHERE program = 0)) SELECT ticker, term, n, docs FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY n DESC, term) AS nth FROM d) AS x WHERE nth <= 60")
+def identifying_terms(calls, alias_config):
+    return ident.candidate_terms(calls, ident.people(calls, "ticker", "end_date"), ident.ordinary_words(calls, "ticker"), alias_config, "ticker")
+
+
 @query("txt11_snippets", "documents", sql="SELECT term, min(doc_id) AS doc_id, min_by(substr(text, greatest(1, p - 60), length(term) + 120), doc_id) AS snippet FROM (SELECT term, doc_id, text, instr(text, term) AS p FROM documents CROSS JOIN (SELECT unnest(['license', 'License', 'idiot']) AS term) AS v) AS x WHERE p > 0 GROUP BY term")
 def snippets(documents):
     x = documents.select("doc_id", "text", F.explode(F.array(*map(F.lit, ("license", "License", "idiot")))).alias("term")).withColumn("p", F.instr("text", F.col("term"))).filter("p > 0")
@@ -98,9 +127,9 @@ def verify_quotes(documents, benchmark):
     return t.verify_quotes(benchmark, documents)
 
 
-@query("txt13_recognition", "documents", sql=r"SELECT lang, count(*) AS n, round(avg(CASE WHEN regexp_matches(text, '\b(license|License)\b') THEN 1 ELSE 0 END), 6) AS recognised FROM documents GROUP BY lang")
-def recognition(documents):
-    return documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("text").rlike(r"\b(license|License)\b").cast("int")), 6).alias("recognised"))
+@query("txt13_recognition", "guesses", "calls", "alias_config", sql=f"WITH {PEOPLE}, {ORDINARY}{ALIASES} SELECT g.ticker, count(*) AS n, round(avg(CASE WHEN EXISTS (SELECT 1 FROM aliases AS a WHERE a.ticker = g.ticker AND contains(' ' || trim(regexp_replace(lower(coalesce(g.guess, '')), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(a.alias, '[^a-z0-9]+', ' ', 'g')) || ' ')) THEN 1 ELSE 0 END), 6) AS recognised FROM guesses AS g GROUP BY g.ticker")
+def recognition(guesses, calls, alias_config):
+    return ident.recognition(guesses, _alias_table(calls, alias_config), "ticker")
 
 
 @query("txt14_head_words", "documents", sql="SELECT doc_id, array_to_string(string_split(text, ' ')[1:20], ' ') AS head, left(text, 80) AS head_chars FROM documents")
@@ -113,14 +142,19 @@ def numbers(documents):
     return documents.select("doc_id", sc.lenient_number(F.split_part("text", F.lit(" "), F.lit(2))).alias("number"), sc.lenient_number(F.concat(F.lit("$"), F.col("n_chars").cast("string"), F.lit(",000%"))).alias("money"))
 
 
-@query("scl2_first_json", "events", sql="SELECT event_id, json_extract_string(props, '$.' || (json_keys(props))[1]) AS first_value FROM events WHERE json_valid(props)")
-def first_json(events):
-    """The object after a thought and inside a fence; trailing text is dropped."""
-    reply = F.concat(F.lit("<think>{no}</think>\n```json\n"), F.col("props"), F.lit("\n```"))
-    body = F.regexp_extract(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"(?s)(\{.*\})", 1)
-    key = F.element_at(F.json_object_keys(body), 1)
-    x = events.select("event_id", F.from_json(body, "map<string,string>")[key].alias("first_value"), F.try_parse_json(body).isNotNull().alias("valid"))
-    return x.filter("valid").drop("valid")
+@query("scl2_first_json", "replies", sql="SELECT event_id, truth AS k, truth IS NOT NULL AS found FROM replies")
+def first_json(replies):
+    """The first object of a reply: after a thought, in a fence, between words, with trailing commas; without one, null."""
+    x = replies.select("event_id", replies_fn.json_object("reply").alias("body"))
+    return x.select("event_id", F.get_json_object("body", "$.k").alias("k"), F.col("body").isNotNull().alias("found"))
+
+
+@query("scl2_reply_score", "replies", sql="SELECT event_id, CAST(greatest(-100, least(100, CAST(truth AS INTEGER) * 3 - 150)) AS INTEGER) AS score FROM replies WHERE truth IS NOT NULL")
+def reply_score(replies):
+    """Scores of replies that have one, kept between -100 and 100."""
+    body = replies.select("event_id", F.get_json_object(replies_fn.json_object("reply"), "$.k").cast("double").alias("k")).filter("k is not null")
+    reply = F.concat(F.lit("So: {\"score\": "), (F.col("k") * 3 - 150 + 0.25).cast("string"), F.lit(",}"))
+    return body.select("event_id", replies_fn.score(replies_fn.json_object(reply)).alias("score"))
 
 
 @query("scl3_clamp", "scored", sql="SELECT ticker, date, round(least(greatest(score, -0.05), 0.05), 6) AS score, CASE WHEN score < -0.05 OR score > 0.05 THEN 'score' ELSE '' END AS clamped FROM scored")

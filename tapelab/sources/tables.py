@@ -39,6 +39,17 @@ def _by_slot(k: int) -> str:
     return "CASE slot " + " ".join(f"WHEN '{f[0]}' THEN {f[k]}" for f in _FIGURES) + " END"
 
 
+def _letters(n: str) -> str:
+    """A number as a capitalised word."""
+    w = f"translate(concat('', {n}), '0123456789', 'bcdfghklmn')"
+    return f"concat(upper(substr({w}, 1, 1)), substr({w}, 2, 9))"
+
+
+#: Names of a company, its two programs and its speakers, from its ticker.
+_COMPANY, _PROGRAM, _SECOND = f"concat({_letters('ticker * 97 + 1000')}, ' Works')", f"concat({_letters('ticker * 53 + 7')}, ' Generator')", f"concat({_letters('ticker * 59 + 11')}, ' Cells')"
+_FIRST = "CASE {} % 6 WHEN 0 THEN 'Mark' WHEN 1 THEN 'Grace' WHEN 2 THEN 'Cash' WHEN 3 THEN 'Anna' WHEN 4 THEN 'Mary-Ann' ELSE 'Rosa' END"
+_CEO, _CFO, _ANALYST = ((_FIRST.format(f"(ticker + {k})"), _letters(f"(ticker * {31 + 6 * k} + {k + 1}000)")) for k in (0, 1, 2))
+
 #: name -> (tables it reads, text)
 DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     "tape": (("lineitem",), f"""
@@ -51,11 +62,11 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         FROM tape GROUP BY ticker, date"""),
     "index_bars": (("bars",), "SELECT CAST(0 AS BIGINT) AS ticker, date, avg(close) AS close FROM bars GROUP BY date"),
     "ticks": (("events",), f"""
-        SELECT user_id % 10 AS ticker, ts, {{us}} AS us, event_id, value AS volume,
-               20 * exp(CAST(sum((event_id * 7919) % 101 - 50) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id {_ROWS}) AS DOUBLE) / CAST(10000 AS DOUBLE)) AS price
+        SELECT user_id AS ticker, ts, {{us}} AS us, event_id, value AS volume,
+               20 * exp(CAST(sum((event_id * 7919) % 101 - 50) OVER (PARTITION BY user_id ORDER BY ts, event_id {_ROWS}) AS DOUBLE) / CAST(10000 AS DOUBLE)) AS price
         FROM events"""),
     "news": (("events",), """
-        SELECT event_id AS article_id, user_id % 10 AS ticker, ts AS published, {us} AS us,
+        SELECT event_id AS article_id, user_id AS ticker, ts AS published, {us} AS us,
                CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS sentiment
         FROM events"""),
     "earnings": (("orders", "supplier"), """
@@ -96,6 +107,40 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         FROM quarters CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) AS s WHERE capex % 9 >= n"""),
     "transcripts": (("quarters",), f"""
         SELECT ticker, end_date, concat_ws('. ', 'Good morning', {", ".join(f"CASE WHEN {f[5]} THEN {f[4]} END" for f in _FIGURES)}, 'Thank you') AS text FROM {_CALLS}"""),
+    "calls": (("transcripts",), f"""
+        SELECT ticker, end_date, concat_ws(chr(10), 'Operator', ceo, concat('CEO, ', company), concat('Good morning from ', company, ' in ', y, '. We ship the ', program, ', more ', program, 's and ', upper(second), '; ', lower(program), ' and ', second, 'X are not alike'),
+                   text, cfo, concat('CFO, ', company), concat('Thanks, ', ceo_first, '. We mark the progress since ', y - 2, ' and until ', y + 1, '. Mr. ', ceo_last, '-', ceo_last, ' and TK', ticker, ' have more of ', second, '.'),
+                   CASE WHEN nth % 2 = 0 THEN concat(analyst_first, ' ', analyst_last) END, concat('What of ', upper(cfo), ' and ', analyst_last, ' in 1999 or _2001'), concat('Each Grace ', {_letters('nth')})) AS text
+        FROM (SELECT ticker, end_date, text, row_number() OVER (PARTITION BY ticker ORDER BY end_date) AS nth, extract(YEAR FROM end_date) AS y, {_COMPANY} AS company, {_PROGRAM} AS program, {_SECOND} AS second, {_CEO[0]} AS ceo_first, {_CEO[1]} AS ceo_last,
+                     concat({_CEO[0]}, ' ', {_CEO[1]}) AS ceo, concat({_CFO[0]}, ' ', {_CFO[1]}) AS cfo, {_ANALYST[0]} AS analyst_first, {_ANALYST[1]} AS analyst_last FROM transcripts) AS t"""),
+    "call_pages": (("calls",), """
+        SELECT ticker, end_date, nth % 4 <> 3 AS has_panel, ceo, title, opening, body, cfo, cfo_title, thanks,
+               concat('<html><body><div class="turn pt-5"><div class="who">Not Here</div><span class="say">before the panel</span></div>', CASE WHEN nth % 4 = 3 THEN '' ELSE '<section id="panel-full">' END,
+                      '<div class="turn pt-5"><div class="who bold">', ceo, '</div><div class="role">', title, '</div><span class="say first" data-n="1">', opening, ' &amp; more</span> <span class="say"><b>', body, '</b>', chr(10), '  indeed</span></div>',
+                      '<div class="turn pt-5"><div class="who">', cfo, '</div><div class="role">', cfo_title, '</div><span class="say">   </span></div>', '<div class="turn pt-5"><span class="say">nobody says this</span></div>',
+                      '<div class="turn pt-5 last"><div class="who bold"> ', cfo, ' </div><span class="say">', thanks, '</span><span class="say"></span></div></section></body></html>') AS html
+        FROM (SELECT ticker, end_date, split_part(text, chr(10), 2) AS ceo, split_part(text, chr(10), 3) AS title, split_part(text, chr(10), 4) AS opening, split_part(text, chr(10), 5) AS body, split_part(text, chr(10), 6) AS cfo, split_part(text, chr(10), 7) AS cfo_title, split_part(text, chr(10), 8) AS thanks,
+                     row_number() OVER (PARTITION BY ticker ORDER BY end_date) AS nth FROM calls) AS c"""),
+    "releases": (("transcripts",), """
+        SELECT ticker, end_date, CASE WHEN kind = 6 THEN NULL WHEN kind = 1 THEN concat('20', substr(concat('', y), 3, 2), 'Q', q) ELSE concat(y, 'Q', q) END AS truth,
+               concat(CASE kind WHEN 0 THEN concat('Results for the ', word, ' quarter of fiscal ', y) WHEN 1 THEN concat('Q', q, ' FY', substr(concat('', y), 3, 2), ' results') WHEN 2 THEN concat('Fiscal year ', y, ' ', word, ' quarter')
+                           WHEN 3 THEN concat('We expect the Fourth Quarter of 2031 to be better. ', word, ' quarter and full year ', y) WHEN 4 THEN concat('Our outlook for Q1 2032 stays. More on that below, at some length and with care: the ', upper(word), ' QUARTER ', y)
+                           WHEN 5 THEN concat('guidance for Q', q, ' ', y) ELSE 'Annual results' END, '. ', text) AS text
+        FROM (SELECT ticker, end_date, text, extract(YEAR FROM end_date) AS y, extract(QUARTER FROM end_date) AS q, length(text) % 7 AS kind,
+                     CASE extract(QUARTER FROM end_date) WHEN 1 THEN 'First' WHEN 2 THEN 'second' WHEN 3 THEN 'Third' ELSE 'fourth' END AS word FROM transcripts WHERE extract(YEAR FROM end_date) >= 2000 OR length(text) % 7 IN (1, 6)) AS t"""),
+    "replies": (("events",), """
+        SELECT event_id, translate(CASE event_id % 8 WHEN 0 THEN concat('~"k": ', v, '^') WHEN 1 THEN concat('<think>~"k": 1^ no, ~</think>', chr(10), '```json', chr(10), '~"k": ', v, '^', chr(10), '```') WHEN 2 THEN concat('Of ~this^ and ~that^: ~"k": ', v, '^ and ~"k": -1^')
+                                                     WHEN 3 THEN concat('~"k": ', v, ', "more": ~"a": [1, 2,], ^,^') WHEN 4 THEN concat('~"note": "a ^ and a ', chr(92), '" ~", "k": ', v, '^ ~') WHEN 5 THEN concat('a " mark, then ~"k": ', v, ' , ^')
+                                                     WHEN 6 THEN concat('~"k": ', v) ELSE 'I refuse to answer in JSON.' END, '~^', concat(chr(123), chr(125))) AS reply,
+               CASE WHEN event_id % 8 < 6 THEN v END AS truth
+        FROM (SELECT event_id, translate(props, concat(chr(123), chr(125), '"k: '), '') AS v FROM events) AS e"""),
+    "alias_config": (("quarters",), f"""
+        SELECT ticker, program, nth, CASE WHEN program = 0 AND nth = 1 THEN {_COMPANY} WHEN program = 0 AND nth = 2 THEN {_letters('ticker * 97 + 1000')} WHEN program = 0 THEN concat('TK', ticker)
+                                          WHEN program = 1 AND nth = 1 THEN {_PROGRAM} WHEN program = 1 THEN {_letters('ticker * 53 + 7')} ELSE {_SECOND} END AS alias
+        FROM (SELECT DISTINCT ticker FROM quarters) AS t CROSS JOIN (SELECT 0 AS program, 1 AS nth UNION ALL SELECT 0, 2 UNION ALL SELECT 0, 3 UNION ALL SELECT 1, 1 UNION ALL SELECT 1, 2 UNION ALL SELECT 2, 1) AS a"""),
+    "guesses": (("quarters",), f"""
+        SELECT ticker, end_date, CASE revenue % 5 WHEN 0 THEN concat('I think it is ', {_COMPANY}, ', of course') WHEN 1 THEN concat('the maker of the ', lower({_PROGRAM}), 's?') WHEN 2 THEN concat('TK', ticker, 'X or TK', ticker + 1)
+                                 WHEN 3 THEN concat({_letters('ticker * 97 + 1000')}, '/', 'others') END AS guess FROM quarters"""),
     "provenance": (("transcripts",), """
         SELECT ticker, end_date, md5(CASE WHEN length(text) % 7 = 0 THEN concat(text, ' (draft)') ELSE text END) AS text_hash, prior_end, CASE WHEN prior_text IS NULL THEN 'first_in_chain' ELSE 'linked' END AS chain,
                md5(CASE WHEN length(prior_text) % 5 = 0 THEN concat(prior_text, ' (draft)') ELSE prior_text END) AS prior_hash

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,7 @@ def batch_bars(ticks: DataFrame, span: str) -> DataFrame:
 
 
 def stream_bars(ticks: DataFrame, span: str, late: str) -> DataFrame:
-    """As :func:`batch_bars` on a stream; state of spans older than the watermark is dropped."""
+    """As :func:`batch_bars` on a stream, for append mode: a bar comes once, when its span is ``late`` behind the newest row, and its state is dropped."""
     return batch_bars(ticks.withWatermark("ts", late), span)
 
 
@@ -28,9 +28,13 @@ def stream_dedupe(rows: DataFrame, key: str, time: str, late: str) -> DataFrame:
 
 
 def stream_trailing(news: DataFrame, late: str) -> DataFrame:
-    """Mean and count of the sentiment of the last 24 hours, at each hour, per ticker."""
-    w = F.window("ts", "24 hours", "1 hour")
-    return news.withWatermark("ts", late).groupBy("ticker", w).agg(F.avg("sentiment").alias("mean_24h"), F.count(F.lit(1)).alias("n_24h")).select("ticker", F.col("window.end").alias("at"), "mean_24h", "n_24h")
+    """Mean and count of the sentiment of the last 24 hours, at each hour, per ticker.
+
+    Hours are summed first and the 24 hours are made of hours, so that a row is kept once and not in 24 windows.
+    """
+    hours = news.withWatermark("ts", late).groupBy("ticker", F.window("ts", "1 hour")).agg(F.sum("sentiment").alias("s"), F.count("sentiment").alias("c"), F.count(F.lit(1)).alias("n"))
+    day = hours.groupBy("ticker", F.window(F.window_time("window"), "24 hours", "1 hour").alias("day")).agg((F.sum("s") / F.sum("c")).alias("mean_24h"), F.sum("n").alias("n_24h"))
+    return day.select("ticker", F.col("day.end").alias("at"), "mean_24h", "n_24h")
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
@@ -44,10 +48,3 @@ def append_since(rows: DataFrame, stored: DataFrame, by: str, time: str) -> Data
     """Rows strictly after the newest stored time of their key; all rows of a key that isn't stored yet."""
     mark = stored.groupBy(by).agg(F.max(time).alias("__mark"))
     return rows.join(mark, by, "left").filter(F.col("__mark").isNull() | (F.col(time) > F.col("__mark"))).drop("__mark")
-
-
-def upsert_state(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last state of each key and how many attempts it took; the last write wins."""
-    w = Window.partitionBy(key)
-    t = updates.withColumns({"__r": F.row_number().over(w.orderBy(*[F.desc(c) for c in order])), "attempts": F.count(F.lit(1)).over(w)})
-    return t.filter("__r = 1").drop("__r")
