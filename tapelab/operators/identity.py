@@ -220,3 +220,29 @@ def candidate_terms(docs: DataFrame, speakers: DataFrame, ordinary: DataFrame, c
     left = terms.join(ordinary, [key, "word"], "left_anti").join(named, [key, "word"], "left_anti")
     nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))
     return left.withColumn("nth", nth).filter(F.col("nth") <= top).select(key, "term", "n", "docs")
+
+
+def lower_vocabulary(texts: DataFrame, keys: list[str], col: str = "text") -> DataFrame:
+    """keys, word: the words of texts in lower case, each once a key."""
+    return texts.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("([a-z][a-z'-]*)"), 1))).alias("word")).distinct()
+
+
+def vocabulary_difference(words: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``words`` whose columns ``on`` no row of ``known`` has."""
+    return words.join(known.select(*on).distinct(), on, "left_anti")
+
+
+def novel_terms(outputs: DataFrame, sources: DataFrame, prompts: DataFrame, others: DataFrame, key: str, call: list[str]) -> DataFrame:
+    """call, term: capitalised terms of a call's ``outputs`` with a part (of three letters or more, not a number) that is in none of three vocabularies: its own source's, the
+    prompts', and the lower-case words of other keys' sources; nor in lower case in the output itself.
+
+    A word of others' sources is known to a key if any other key has it: words are counted by how many keys have them, so no pair of keys meets.
+    """
+    terms = outputs.select(*call, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), 1))).alias("term"))
+    parts = terms.select(*call, "term", F.explode(F.split("term", "-")).alias("part")).filter((F.char_length("part") >= 3) & ~F.col("part").rlike("^[0-9]+$")).select(*call, "term", F.lower("part").alias("word"))
+    left = vocabulary_difference(parts, lower_vocabulary(sources, call), [*call, "word"])
+    left = vocabulary_difference(left, lower_vocabulary(prompts, []), ["word"])
+    left = vocabulary_difference(left, outputs.select(*call, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), 1))).alias("word")), [*call, "word"])
+    shared = ordinary_words(others, key).groupBy("word").agg(F.min(key).alias("least"), F.max(key).alias("most"))
+    known = left.join(shared, "word", "left").filter(F.col("least").isNull() | ((F.col("least") == F.col(key)) & (F.col("most") == F.col(key))))
+    return known.select(*call, "term").distinct()

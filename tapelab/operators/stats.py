@@ -13,12 +13,9 @@ def pairs(panel: DataFrame, xs: tuple[str, ...], ys: tuple[str, ...]) -> DataFra
     return t.select("ticker", "date", "__x.*", "__y.*").filter("x is not null and y is not null")
 
 
-def ranked_values(rows: DataFrame, col: str, by: list[str], *aggregates: Column, buckets: int = 256) -> DataFrame:
-    """by..., ``col``, n, rank and ``aggregates`` of every different value of ``col``: rank with ties at their mean. Nulls have no rank.
-
-    Equal values are counted first; values are then dealt to ranges between approximate quantiles of their group, numbered within a
-    range, and moved up by what the ranges before hold. So no task sorts a whole group, be there ever so few groups.
-    """
+def _in_ranges(rows: DataFrame, col: str, by: list[str], aggregates: tuple[Column, ...], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """by..., ``col``, n and ``aggregates`` of every different value, with the range that it is in, between approximate quantiles of its group; and by...,
+    __range, __n, __before, __total: how many rows a range, those before it and the group have."""
     some = rows.filter(F.col(col).isNotNull())
     g = some.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"), *aggregates)
     cuts = some.groupBy(*by).agg(F.percentile_approx(col, [k / buckets for k in range(1, buckets)], 10_000).alias("__cuts"))
@@ -26,10 +23,43 @@ def ranked_values(rows: DataFrame, col: str, by: list[str], *aggregates: Column,
     g = g.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(col)))).drop("__cuts")
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a group has at most ``buckets`` rows here
     sizes = g.groupBy(*by, "__range").agg(F.sum("n").alias("__n"))
-    sizes = sizes.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return g, sizes.select(*by, "__range", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*by)).alias("__total"))
+
+
+def ranked_values(rows: DataFrame, col: str, by: list[str], *aggregates: Column, buckets: int = 256) -> DataFrame:
+    """by..., ``col``, n, rank and ``aggregates`` of every different value of ``col``: rank with ties at their mean. Nulls have no rank.
+
+    Equal values are counted first; values are then dealt to ranges between approximate quantiles of their group, numbered within a
+    range, and moved up by what the ranges before hold. So no task sorts a whole group, be there ever so few groups.
+    """
+    g, sizes = _in_ranges(rows, col, by, aggregates, buckets)
     own = Window.partitionBy(*by, "__range").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
     rank = F.col("__before") + F.sum("n").over(own) - F.col("n") + (F.col("n") + 1) / 2.0
-    return g.join(sizes, [*by, "__range"]).withColumn("rank", rank).drop("__range", "__before")
+    return g.join(sizes.drop("__n", "__total"), [*by, "__range"]).withColumn("rank", rank).drop("__range", "__before")
+
+
+def quantiles(rows: DataFrame, col: str, by: list[str], upper: bool = False, buckets: int = 256, **shares: float) -> DataFrame:
+    """by... and a column for each of ``shares``: the exact quantile of ``col``, between two values in proportion, or with ``upper`` the upper of the two.
+    Groups without a value have no row.
+
+    Ranges of values are counted, and only those that hold a wanted place are sorted. So no task holds a whole group, as an exact ``percentile`` would.
+    """
+    g, sizes = _in_ranges(rows, col, by, (), buckets)
+    # places count from 0; half a step more than a whole number must not be lost to rounding
+    place = lambda p: F.col("__total") * p if upper else (F.col("__total") - 1) * p
+    first = lambda p: F.floor(place(p)).cast("long")
+    last = lambda p: first(p) if upper else F.ceil(place(p)).cast("long")
+    held = F.lit(False)
+    for p in shares.values():
+        held = held | ((F.col("__before") <= last(p)) & (F.col("__before") + F.col("__n") > first(p)))
+    own = Window.partitionBy(*by, "__range").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    near = g.join(sizes.filter(held), [*by, "__range"]).withColumn("__end", F.col("__before") + F.sum("n").over(own)).withColumn("__start", F.col("__end") - F.col("n"))
+    at = lambda k: F.max(F.when((F.col("__start") <= k) & (F.col("__end") > k), F.col(col)))
+    out = []
+    for name, p in shares.items():
+        part = F.max(place(p) - first(p))
+        out.append((at(first(p)) if upper else at(first(p)) + (at(last(p)) - at(first(p))) * part).alias(name))
+    return near.groupBy(*by).agg(*out)
 
 
 def spearman(long: DataFrame, by: list[str]) -> DataFrame:
@@ -115,20 +145,29 @@ def auc(scored: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     return g.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - pos * (pos + 1) / 2.0, pos * neg).alias("auc"))
 
 
+def cluster_draws(clusters: DataFrame, cluster: str, draws: int) -> DataFrame:
+    """draw, ``cluster`` (a number), w: how often each cluster is drawn when as many as there are get drawn with replacement, ``draws`` times.
+
+    Each place of a draw takes the cluster whose number (by order, from 0) a hash of draw and place gives, so the counts of a draw add up to the number of clusters.
+    """
+    numbered = ranked_values(clusters.select(cluster).distinct(), cluster, []).select(cluster, (F.col("rank") - 1).cast("long").alias("__i"))
+    total = numbered.agg(F.count(F.lit(1)).alias("__t"))
+    slots = numbered.select(F.col("__i").alias("__slot")).join(F.broadcast(total)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    number = F.conv(F.substring(F.md5(F.concat(F.col("draw").cast("string"), F.lit("-"), F.col("__slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    w = slots.select("draw", (number % F.col("__t")).alias("__i")).groupBy("draw", "__i").agg(F.count(F.lit(1)).alias("w"))
+    return w.join(numbered, "__i").select("draw", cluster, "w")
+
+
 def bootstrap_corr(panel: DataFrame, cluster: str, x: str, y: str, draws: int) -> DataFrame:
-    """draws, low, high: the middle 95 % of correlations when clusters are drawn again.
+    """draws, low, high: the middle 95 % of correlations when clusters are drawn again; draws without a correlation are left out.
 
     Sums per cluster are weighted per draw, so rows are read once and only clusters x draws meet.
     """
     s = panel.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *(F.sum(e).alias(k) for k, e in (("sx", F.col(x)), ("sy", F.col(y)), ("sxx", F.col(x) ** 2), ("syy", F.col(y) ** 2), ("sxy", F.col(x) * F.col(y)))))
-    d = s.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64(cluster, "draw"), F.lit(1_000_003)) / 1_000_003
-    cuts = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)  # Poisson(1): at most 0, 1, 2, ...
-    w = sum(((u > c).cast("int") for c in cuts), F.lit(0))
-    d = d.withColumn("w", w).filter("w > 0")
+    d = s.join(cluster_draws(s, cluster, draws), cluster)
     t = d.groupBy("draw").agg(*(F.sum(F.col("w") * F.col(k)).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")))
     r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)))
-    return t.select(r.alias("r")).filter("r is not null").agg(F.count(F.lit(1)).alias("draws"), F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))
+    return t.select(r.alias("r")).filter("r is not null and not isnan(r)").agg(F.count(F.lit(1)).alias("draws"), F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))  # a row per draw
 
 
 def classification(rows: DataFrame, predicted: str, label: str, by: list[str]) -> DataFrame:

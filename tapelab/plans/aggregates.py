@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tapelab.operators.stats import quantiles
 from tapelab.operators.windows import W, r6
 from tapelab.plans import sqltext as s
 from tapelab.plans.whole import BARRIER_SQL, barrier
@@ -51,7 +52,8 @@ def news_summary(news):
 @query("agg6_coverage_by_group", "scored", "news", sql="WITH n AS (SELECT ticker, count(*) AS articles FROM news GROUP BY ticker), x AS (SELECT label, n.articles FROM scored AS s LEFT JOIN n ON n.ticker = s.ticker) SELECT label, round(avg(CASE WHEN articles IS NULL THEN 0 ELSE 1 END), 6) AS with_news, median(articles)::DOUBLE AS median_articles FROM x GROUP BY label")
 def coverage(scored, news):
     x = scored.join(news.groupBy("ticker").agg(F.count(F.lit(1)).alias("articles")), "ticker", "left")
-    return x.groupBy("label").agg(r6(F.avg(F.col("articles").isNotNull().cast("int"))).alias("with_news"), F.median("articles").alias("median_articles"))
+    g = x.groupBy("label").agg(r6(F.avg(F.col("articles").isNotNull().cast("int"))).alias("with_news"))
+    return g.join(quantiles(x, "articles", ["label"], median_articles=0.5), "label", "left")
 
 
 @query("agg7_base_rates", "panel", sql="SELECT threshold, round(avg(CASE WHEN fwd_multiple >= threshold THEN 1 ELSE 0 END), 6) AS rate, count(*) AS n FROM panel CROSS JOIN (SELECT unnest([1.1::DOUBLE, 1.25::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE]) AS threshold) AS t WHERE fwd_multiple IS NOT NULL GROUP BY threshold")
@@ -62,7 +64,9 @@ def base_rates(panel):
 
 @query("agg8_trade_stats", "bars", sql=f"SELECT outcome, count(*) AS n, round(avg(ret), 5) AS mean_ret, round(median(ret), 5) AS median_ret, round(avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END), 6) AS win_rate, round(avg(held), 6) AS mean_hold FROM ({BARRIER_SQL}) AS t GROUP BY outcome")
 def trade_stats(bars):
-    return barrier(bars).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ret"), 5).alias("mean_ret"), F.round(F.median("ret"), 5).alias("median_ret"), r6(F.avg((F.col("ret") > 0).cast("int"))).alias("win_rate"), r6(F.avg("held")).alias("mean_hold"))
+    t = barrier(bars)
+    g = t.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ret"), 5).alias("mean_ret"), r6(F.avg((F.col("ret") > 0).cast("int"))).alias("win_rate"), r6(F.avg("held")).alias("mean_hold"))
+    return g.join(quantiles(t, "ret", ["outcome"], median_ret=0.5), "outcome", "left").withColumn("median_ret", F.round("median_ret", 5))
 
 
 @query("agg9_pooled_stats", "scored", sql="SELECT year, count(*) AS n, round(avg(fwd_ret), 6) AS mean_ret, round(stddev_pop(fwd_ret), 6) AS std_ret, round(avg(fwd_ret) / nullif(stddev_pop(fwd_ret), 0), 5) AS mean_over_std FROM scored GROUP BY year")
@@ -108,18 +112,18 @@ TIER = "CASE WHEN score >= 0.1 THEN 'T2' WHEN score >= 0.05 THEN 'T1' ELSE 'T0'
 @query("agg17_tier_table", "scored", sql=f"SELECT {TIER} AS tier, count(*) AS n, round(median(fwd_ret), 6) AS median_ret FROM scored GROUP BY 1")
 def tier_table(scored):
     tier = F.when(F.col("score") >= 0.1, "T2").when(F.col("score") >= 0.05, "T1").otherwise("T0")
-    return scored.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"), r6(F.median("fwd_ret")).alias("median_ret"))
+    x = scored.select(tier.alias("tier"), "fwd_ret")
+    return x.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).join(quantiles(x, "fwd_ret", ["tier"], median_ret=0.5), "tier", "left").withColumn("median_ret", r6("median_ret"))
 
 
 @query("agg19_hit_summary", "scored", sql="WITH h AS (SELECT fwd_multiple, fwd_ret, row_number() OVER (ORDER BY fwd_multiple) - 1 AS i, count(*) OVER () AS n FROM scored WHERE label = 1) SELECT count(*) AS hits, round(max(fwd_multiple) FILTER (i = n // 2), 6) AS upper_median, count(*) FILTER (1 + fwd_ret >= 1.3) AS still_above, count(*) FILTER (fwd_ret < 0) AS below_start FROM h")
 def hit_summary(scored):
-    """The median is the upper of the two middle values: the least value at or above the interpolated one."""
+    """The median is the upper of the two middle values."""
     h = scored.filter("label = 1")
     n = F.count(F.lit(1))
     total = h.agg(n.alias("hits"), F.count_if(1 + F.col("fwd_ret") >= 1.3).alias("still_above"), F.count_if(F.col("fwd_ret") < 0).alias("below_start"))
-    mid = h.agg(F.percentile("fwd_multiple", F.lit(0.5)).alias("p"))
-    upper = h.join(F.broadcast(mid)).filter(F.col("fwd_multiple") >= F.col("p")).agg(r6(F.min("fwd_multiple")).alias("upper_median"))
-    return total.join(upper).select("hits", "upper_median", "still_above", "below_start")
+    upper = quantiles(h, "fwd_multiple", [], upper=True, median=0.5).select(r6("median").alias("upper_median"))
+    return total.join(F.broadcast(upper)).select("hits", "upper_median", "still_above", "below_start")  # one row each
 
 
 @query("agg20_matched_sample", "scored", sql="WITH x AS (SELECT *, row_number() OVER (PARTITION BY fwd_ret < 0 ORDER BY (nth * 7919 + ticker * 104729) % 1009, ticker, date) AS r, count(*) FILTER (fwd_ret < 0) OVER () AS losers FROM scored) SELECT fwd_ret < 0 AS loser, count(*) AS n, CAST(sum(ticker) AS BIGINT) AS ticker_sum FROM x WHERE fwd_ret < 0 OR r <= losers GROUP BY 1")

@@ -66,20 +66,42 @@ def auc(scored):
     return t.auc(scored, "score", "label", ["year"]).select("year", r6("auc").alias("auc"))
 
 
-@query("sta8_bootstrap_ci", "scored")
+DRAWS = 500
+_BOOT = f"""c AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS i, count(*) AS n, sum(score) AS sx, sum(fwd_ret) AS sy, sum(score * score) AS sxx, sum(fwd_ret * fwd_ret) AS syy, sum(score * fwd_ret) AS sxy FROM scored WHERE score IS NOT NULL AND fwd_ret IS NOT NULL GROUP BY ticker),
+    d AS (SELECT draw, CAST('0x' || substr(md5(draw || '-' || i), 1, 8) AS BIGINT) % (SELECT count(*) FROM c) AS i FROM c CROSS JOIN (SELECT unnest(generate_series(1, {DRAWS})) AS draw) AS g),
+    w AS (SELECT draw, sum(c.n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM d JOIN c ON c.i = d.i GROUP BY draw),
+    r AS (SELECT (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r FROM w)"""
+
+
+@query("sta8_bootstrap_ci", "scored", sql=f"WITH {_BOOT} SELECT count(r) AS draws, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM r WHERE NOT isnan(r)")
 def bootstrap_ci(scored):
-    """Cluster bootstrap by ticker: per draw each ticker counts as often as a hash says (Poisson weights), so no rows are copied out to a driver."""
-    return t.bootstrap_corr(scored, "ticker", "score", "fwd_ret", 200)
+    """Cluster bootstrap by ticker: in each draw as many tickers as there are, with replacement, by a hash that any engine has."""
+    return t.bootstrap_corr(scored, "ticker", "score", "fwd_ret", DRAWS).select("draws", r6("low").alias("low"), r6("high").alias("high"))
+
+
+_TOP4 = "k AS (SELECT score, fwd_ret, row_number() OVER (ORDER BY fwd_ret DESC, ticker, date) AS k FROM scored WHERE score IS NOT NULL AND fwd_ret IS NOT NULL)"
+
+
+def _validated(scored):
+    """n, r, r without the four largest outcomes of all, low, high. The four are found by a top-k, and left out by their keys."""
+    ci = t.bootstrap_corr(scored, "ticker", "score", "fwd_ret", DRAWS)
+    d = scored.filter("score is not null and fwd_ret is not null").select("ticker", "date", "score", "fwd_ret")
+    four = d.orderBy(F.desc("fwd_ret"), "ticker", "date").limit(4).select("ticker", "date", F.lit(True).alias("largest"))
+    d = d.join(F.broadcast(four), ["ticker", "date"], "left")
+    rest = lambda c: F.when(F.col("largest").isNull(), F.col(c))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.corr("score", "fwd_ret").alias("r"), F.corr(rest("score"), rest("fwd_ret")).alias("r4")).join(F.broadcast(ci))  # one row each
+
+
+@query("sta9_drop_top", "scored", sql=f"WITH {_BOOT}, {_TOP4} SELECT (SELECT count(*) FROM k) AS n, round((SELECT corr(score, fwd_ret) FROM k), 6) AS r, round((SELECT corr(score, fwd_ret) FROM k WHERE k > 4), 6) AS r_drop_4, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM r WHERE NOT isnan(r)")
+def drop_top(scored):
+    return _validated(scored).select("n", r6("r").alias("r"), r6("r4").alias("r_drop_4"), r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query("sta9_validate_scores", "scored")
 def validate(scored):
-    ci = t.bootstrap_corr(scored, "ticker", "score", "fwd_ret", 200)
-    d = scored.filter("score is not null and fwd_ret is not null").withColumn("k", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("fwd_ret"), "ticker", "date")))
-    g = d.agg(F.count(F.lit(1)).alias("n"), F.corr("score", "fwd_ret").alias("r"), F.corr(F.when(F.col("k") > 4, F.col("score")), F.when(F.col("k") > 4, F.col("fwd_ret"))).alias("r4"))
-    x = g.join(F.broadcast(ci)).withColumn("p", t.p_value(F.col("r"), F.col("n")))
+    x = _validated(scored).withColumn("p", t.p_value(F.col("r"), F.col("n")))
     flag = F.when(F.col("p") >= 0.1, "no signal").when(((F.col("low") > 0) | (F.col("high") < 0)) & (F.signum("r") == F.signum("r4")), "survives").otherwise("fragile")
-    return x.select("n", r6("r").alias("r"), r6("r4").alias("r_drop_4"), "low", "high", flag.alias("flag"))
+    return x.select("n", r6("r").alias("r"), r6("r4").alias("r_drop_4"), r6("low").alias("low"), r6("high").alias("high"), flag.alias("flag"))
 
 
 @query("sta11_clf_metrics", "scored", sql="WITH m AS (SELECT year, count(*) AS n, count(*) FILTER (score > 0.05 AND label = 1) AS tp, count(*) FILTER (score > 0.05 AND label = 0) AS fp, count(*) FILTER (score <= 0.05 AND label = 1) AS fn, count(*) FILTER ((score > 0.05) = (label = 1)) AS hit FROM scored GROUP BY year) SELECT year, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(hit / n, 6) AS accuracy FROM m")

@@ -104,6 +104,30 @@ def leaks(documents, benchmark):
     return proper(benchmark, "item_id").join(proper(documents.filter("source <> 'src1'")), "term", "left_anti").select("item_id", "term")
 
 
+_TERMS_SQL = r"t AS (SELECT DISTINCT ticker, end_date, unnest(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*\b')) AS term FROM outputs), p AS (SELECT ticker, end_date, term, lower(part) AS word FROM (SELECT *, unnest(string_split(term, '-')) AS part FROM t) AS x WHERE length(part) >= 3 AND NOT regexp_full_match(part, '[0-9]+'))"
+
+
+@query("set5_vocabulary_difference", "calls", "documents", sql=r"WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) AS word FROM calls), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) AS word FROM documents) SELECT word FROM a WHERE word NOT IN (SELECT word FROM b)")
+def vocabulary_difference(calls, documents):
+    """Words of calls that stand in no document."""
+    return ident.vocabulary_difference(ident.lower_vocabulary(calls, []), ident.lower_vocabulary(documents, []), ["word"])
+
+
+@query(
+    "txt9_novel_terms", "releases", "calls", "alias_config", "benchmark",
+    sql=rf"""WITH outputs AS (SELECT r.ticker, r.end_date, concat(r.text, '. Its ', a.alias, ' and the ', upper(a.alias), '-Plus') AS text FROM releases AS r JOIN alias_config AS a ON a.ticker = r.ticker + 1 AND a.program = 2), {_TERMS_SQL},
+             s AS (SELECT DISTINCT ticker, end_date, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) AS word FROM calls), q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) AS word FROM benchmark),
+             l AS (SELECT DISTINCT ticker, end_date, unnest(regexp_extract_all(text, '\b[a-z][a-z''-]*\b')) AS word FROM outputs), o AS (SELECT DISTINCT ticker, unnest(regexp_extract_all(text, '\b[a-z][a-z''-]*\b')) AS word FROM calls)
+        SELECT DISTINCT ticker, end_date, term FROM p WHERE (ticker, end_date, word) NOT IN (SELECT ticker, end_date, word FROM s) AND word NOT IN (SELECT word FROM q) AND (ticker, end_date, word) NOT IN (SELECT ticker, end_date, word FROM l)
+        AND NOT EXISTS (SELECT 1 FROM o WHERE o.word = p.word AND o.ticker <> p.ticker)""",
+)
+def novel_terms(releases, calls, alias_config, benchmark):
+    """Terms that an output has from nowhere: not from its call, the prompts, or other companies' ordinary words. Outputs name a program of the next company."""
+    other = alias_config.filter("program = 2").select((F.col("ticker") - 1).alias("ticker"), "alias")
+    outputs = releases.join(other, "ticker").select("ticker", "end_date", F.concat("text", F.lit(". Its "), "alias", F.lit(" and the "), F.upper("alias"), F.lit("-Plus")).alias("text"))
+    return ident.novel_terms(outputs, calls, benchmark, calls, "ticker", ["ticker", "end_date"])
+
+
 @query("txt10_candidate_terms", "documents", sql=r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS term FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY term HAVING count(*) >= 5 AND count(DISTINCT doc_id) >= 3 ORDER BY n DESC, term LIMIT 60")
 def candidates(documents):
     w = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{3,})"), 1)).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"))

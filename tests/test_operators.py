@@ -138,3 +138,27 @@ def test_p_value(spark):
     d = spark.createDataFrame([(0.632, 10), (0.0, 10), (1.0, 10), (0.5, 2)], "r double, n long").coalesce(1)
     p = [x[0] for x in d.select(stats.p_value(F.col("r"), F.col("n"))).collect()]
     assert abs(p[0] - 0.05) < 0.001 and abs(p[1] - 1) < 1e-9 and p[2] == 0.0 and p[3] is None
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    groups = {"a": [5.0], "b": [1.0, 2.0], "hot": [0.0] * 400 + rng.normal(size=701).tolist(), "wide": (rng.normal(size=999) * 10.0 ** rng.integers(-9, 9, 999)).tolist(), "none": [None, None]}
+    d = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double").repartition(4)
+    got = {r["g"]: r for r in stats.quantiles(d, "v", ["g"], buckets=16, p0=0.0, p25=0.25, p50=0.5, p975=0.975, p100=1.0).collect()}
+    assert got.keys() == {"a", "b", "hot", "wide"}
+    for g, r in got.items():
+        want = np.quantile(groups[g], [0, 0.25, 0.5, 0.975, 1])
+        assert np.allclose([r[c] for c in ("p0", "p25", "p50", "p975", "p100")], want, rtol=1e-12, atol=1e-15)
+    upper = {r["g"]: r["m"] for r in stats.quantiles(d, "v", ["g"], upper=True, m=0.5).collect()}
+    assert upper == {g: sorted(vs)[len(vs) // 2] for g, vs in groups.items() if g != "none"}
+    plan = stats.quantiles(d, "v", ["g"], m=0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan.replace("percentile_approx(", "")
+    assert stats.quantiles(d.limit(0), "v", [], m=0.5).collect()[0:1] in ([], [(None,)])
+
+
+def test_draws_add_up(spark):
+    c = spark.createDataFrame([(3 * i,) for i in range(37)], "t long")
+    w = stats.cluster_draws(c, "t", 20).groupBy("draw").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(w) == 20 and all(r["w"] == 37 and r["n"] < 37 for r in w)
