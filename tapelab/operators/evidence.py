@@ -20,6 +20,8 @@ FLOW_PERIODS = {"quarter": 1, "half_year": 2, "nine_months": 3, "full_year": 4,
 PERIODS = (*FLOW_PERIODS, "point_in_time")
 SOFT_KINDS = ("pilot", "pipeline", "assertion", "demand_signal", "partnership_without_figures", "plan", "other")
 TIER_BANDS = {"T0": (0, 15), "T1": (5, 35), "T2": (20, 55), "T3": (35, 75), "T4": (50, 100)}
+# Weights of what changed sign, of rates and profits, and of levels; how strongly rates (in points), profits and levels (as shares) move a score, and what counts as unchanged.
+WEIGHTS, MOVES, UNCHANGED = {"flip": 6, "rate": 3, "profit": 3, "level": 1}, {"rate": 0.1, "profit": 2.0, "level": 4.0}, {"pct": 1.0, "share": 0.02}
 STAGES = ("pre_proof", "early_proof", "scaling", "mature")
 
 
@@ -55,9 +57,9 @@ def normalize_ledger(raw: DataFrame, transcripts: DataFrame) -> DataFrame:
     value = sc.lenient_number(F.col("e.value"))
     period = F.when(F.col("e.period").isin(*PERIODS), F.col("e.period"))
     reason = (
-        F.when(figure & (F.coalesce("e.scope", F.lit("whole_company")) != "whole_company"), "not a whole-company figure")
-        .when(figure & (value.isNull() | (quote == "") | period.isNull()), "missing value, quote or valid period")
-        .when(~figure & (quote == ""), "missing quote")
+        F.when(figure & (F.coalesce("e.scope", F.lit("whole_company")) != "whole_company"), "scope")
+        .when(figure & (value.isNull() | (quote == "") | period.isNull()), "incomplete")
+        .when(~figure & (quote == ""), "no_quote")
     )
     kind = F.when(~figure, F.when(F.col("e.kind").isin(*SOFT_KINDS), F.col("e.kind")).otherwise("other"))
     j = e.join(source, CALL, "left")
@@ -100,14 +102,15 @@ def compare_ledgers(ledger: DataFrame) -> DataFrame:
     profit = F.col("kind") == "profit"
     flip = profit & (((p <= 0) & (c > 0)) | ((c <= 0) & (p > 0)))
     relative = (c - p) / F.greatest(F.abs(p), F.lit(1e-9))
-    same = F.when(F.col("unit") == "pct", F.abs(c - p) < 1.0).otherwise(F.abs(c - p) <= 0.02 * F.greatest(F.abs(p), F.lit(1e-9)))
+    same = F.when(F.col("unit") == "pct", F.abs(c - p) < UNCHANGED["pct"]).otherwise(F.abs(c - p) <= UNCHANGED["share"] * F.greatest(F.abs(p), F.lit(1e-9)))
     both = F.col("c").isNotNull() & F.col("p").isNotNull() & (F.col("c.period") == F.col("p.period"))
     direction = (
         F.when(F.col("c").isNull(), "not_reported_now").when(F.col("p").isNull(), "not_reported_before").when(~both, "not_comparable_period")
         .when(flip, F.when(c > 0, "turned_positive").otherwise("turned_negative")).when(same, "unchanged").when(c > p, "improved").otherwise("worsened")
     )
-    weight = F.when(~both, 0).when(flip, 6).when(F.col("kind") == "level", 1).otherwise(3)
-    score = F.when(flip, F.when(c > 0, 1.0).otherwise(-1.0)).when(same, 0.0).when(F.col("kind") == "rate", clip((c - p) * 0.1)).otherwise(clip(relative * F.when(profit, 2.0).otherwise(4.0)))
+    of_kind = lambda table: F.create_map(*[F.lit(x) for k in ("rate", "profit", "level") for x in (k, table[k])])[F.col("kind")]
+    weight = F.when(~both, 0).when(flip, WEIGHTS["flip"]).otherwise(of_kind(WEIGHTS))
+    score = F.when(flip, F.when(c > 0, 1.0).otherwise(-1.0)).when(same, 0.0).otherwise(clip(F.when(F.col("kind") == "rate", c - p).otherwise(relative) * of_kind(MOVES)))
     return t.select(*CALL, "slot", c.alias("value"), p.alias("prior"), direction.alias("direction"), weight.alias("weight"), F.when(both, score).otherwise(0.0).alias("score"))
 
 
@@ -198,6 +201,11 @@ def runway(now: Column) -> Column:
     )
 
 
+def runway_bands(ledger: DataFrame) -> DataFrame:
+    """ticker, end_date, low, high: the band of each call's runway, from the verified cash flow and cash balance of its ledger."""
+    return tiers(ledger).select(*CALL, runway(F.col("now")).alias("b")).select(*CALL, "b.low", "b.high")
+
+
 def finalize_scores(raw: DataFrame, ledger: DataFrame) -> DataFrame:
     """ticker, end_date, ambition, proximity, momentum, runway, stage, clamped: raw scores kept in the bands that the ledger allows, and which fields that changed.
 

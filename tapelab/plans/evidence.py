@@ -22,7 +22,7 @@ LEDGER = rf"""j AS (SELECT ticker, end_date, list, slot, json_extract_string(ent
     src AS (SELECT ticker, end_date, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS source FROM transcripts),
     t AS (SELECT *, regexp_extract_all(lower(jq), '[a-z0-9]+') AS w, list = 'figures' AS fig, {_num('jv')} AS v, CASE WHEN jp IN {_in(e.PERIODS)} THEN jp END AS per FROM j),
     led AS (SELECT t.ticker, t.end_date, list, slot, CASE WHEN fig THEN v END AS value, CASE WHEN fig THEN per END AS period, CASE WHEN fig THEN {_num('jb')} END AS prior_value, CASE WHEN NOT fig THEN CASE WHEN jk IN {_in(e.SOFT_KINDS)} THEN jk ELSE 'other' END END AS kind,
-        CASE WHEN fig AND js <> 'whole_company' THEN 'not a whole-company figure' WHEN fig AND (v IS NULL OR jq = '' OR per IS NULL) THEN 'missing value, quote or valid period' WHEN NOT fig AND jq = '' THEN 'missing quote' END AS reason,
+        CASE WHEN fig AND js <> 'whole_company' THEN 'scope' WHEN fig AND (v IS NULL OR jq = '' OR per IS NULL) THEN 'incomplete' WHEN NOT fig AND jq = '' THEN 'no_quote' END AS reason,
         CASE WHEN len(w) < 2 THEN false WHEN len(w) < 5 THEN contains(source, ' ' || array_to_string(w, ' ') || ' ') ELSE len(list_filter(generate_series(1, len(w) - 4), lambda i: contains(source, ' ' || array_to_string(w[i : i + 4], ' ') || ' '))) >= 0.6::DOUBLE * (len(w) - 4) END AS holds
         FROM t JOIN src ON src.ticker = t.ticker AND src.end_date = t.end_date)"""
 FIGURES = f"""{LEDGER}, fg AS (SELECT ticker, end_date, slot, value, period, prior_value FROM led WHERE list = 'figures' AND reason IS NULL AND holds),
@@ -103,6 +103,13 @@ def tiers(ledger_raw, transcripts):
     return e.tiers(e.normalize_ledger(ledger_raw, transcripts)).select(*e.CALL, "tier", "low", "high", F.array_join("allowed", ",").alias("allowed"))
 
 
+@query("led16_runway_cash", "raw_scores", "ledger_raw", "transcripts", sql=f"WITH {FINAL} SELECT ticker, end_date, rl AS low, rh AS high FROM f0")
+def runway_cash(raw_scores, ledger_raw, transcripts):
+    """Bands of calls that were scored, by verified cash and cash flow."""
+    calls = raw_scores.select("ticker", "end_date")
+    return e.runway_bands(e.normalize_ledger(ledger_raw, transcripts)).join(calls, ["ticker", "end_date"], "left_semi")
+
+
 @query("led17_finalize_scores", "raw_scores", "ledger_raw", "transcripts", sql=f"WITH {FINAL} SELECT ticker, end_date, ambition, proximity, momentum, runway, stage, concat_ws(',', CASE WHEN ambition <> a0 THEN 'ambition' END, CASE WHEN proximity <> p0_ THEN 'proximity' END, CASE WHEN momentum <> m0_ THEN 'momentum' END, CASE WHEN runway <> r0 THEN 'runway' END, CASE WHEN stage <> s0 THEN 'stage' END) AS clamped FROM f2")
 def finalize(raw_scores, ledger_raw, transcripts):
     return e.finalize_scores(raw_scores, e.normalize_ledger(ledger_raw, transcripts))

@@ -43,7 +43,7 @@ def test_ledger_rejects_and_verifies(spark):
     }})
     got = {r["slot"]: (r["value"], r["kind"], r["verified"], r["reason"]) for r in t.collect()}
     assert got["revenue"] == (1234.0, None, True, None) and got["customer_count"] == (3.0, None, False, None)
-    assert {k: v[3] for k, v in got.items() if v[3]} == {"backlog": "missing value, quote or valid period", "bookings": "missing value, quote or valid period", "gross_margin": "missing value, quote or valid period", "free_cash_flow": "not a whole-company figure", "soft2": "missing quote"}
+    assert {k: v[3] for k, v in got.items() if v[3]} == {"backlog": "incomplete", "bookings": "incomplete", "gross_margin": "incomplete", "free_cash_flow": "scope", "soft2": "no_quote"}
     assert got["soft1"][1:3] == ("other", True)
     h = e.hardness(t).first()
     assert (h["hard"], h["soft"], h["unverified"], h["hardness"]) == (1, 1, 1, 50)
