@@ -1,9 +1,10 @@
 """Threshold-scaled sketches, in DataFrame functions alone.
 
-A document's sketch is every hash of its word shingles below a fixed share of the hash range. The share is the whole range
-by default: short texts have few shingles, and a share of them loses their likeness. Sketches of parts merge by union, and
-because all use the same threshold, containment and likeness hold between documents of very unequal length. The printed
-fingerprint begins with a digest of the text, so texts without a hash have fingerprints of their own.
+A document's sketch is every hash of its word shingles below a fixed share of the hash range: half of it, as short texts have few
+shingles and a smaller share loses their likeness. Sketches of parts merge by union, and because all use the same threshold,
+containment and likeness are estimates between documents of very unequal length; of m different shingles in two texts about m / 2 are looked at,
+so a likeness J is off by about sqrt(2 * J * (1 - J) / m). The printed fingerprint begins with a digest of the text, so texts without a hash
+have fingerprints of their own; hashes are printed to the base 64, which keeps a fingerprint shorter than its text.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from tapelab.llm.common import BLANKS, let
 
 SHINGLE = 5
-#: One shingle hash in so many is kept: all.
-SCALE = 1
+#: One shingle hash in so many is kept.
+SCALE = 2
 DOCS_PER_BUCKET = 1000
 MAX_BUCKETS = 1 << 18
 
@@ -37,7 +38,7 @@ def sketch(text: Column, k: int = SHINGLE, scale: int = SCALE) -> Column:
 
 
 def likeness(a: Column, b: Column, same: Column) -> Column:
-    """Jaccard similarity of two sketches (an estimate where SCALE is above 1); without any hash on either side, whether the texts are the same."""
+    """Jaccard similarity of two sketches, an estimate of the texts'; without any hash on either side, whether the texts are the same."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when(either == 0, same.cast("double")).otherwise(both / F.greatest(either, F.lit(1)))
 
@@ -53,7 +54,7 @@ def merge(a: Column, b: Column) -> Column:
 
 
 def printed(digest: Column, hashes: Column) -> Column:
-    return F.concat(digest, F.lit(":"), F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), ""))
+    return F.concat(digest, F.lit(":"), F.base64(F.unhex(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), ""))))
 
 
 def with_next(rows: DataFrame, key: str, carry: list[str], per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:

@@ -229,21 +229,40 @@ def cased_shingles(text):
 
 
 def test_likeness_of_texts_of_every_length(spark, docs):
-    """No pair is left out, and one middle word changed in texts of 1 to 60 words."""
+    """With all hashes kept, likeness is exact: no pair is left out, and one middle word changed in texts of 1 to 60 words."""
     texts = [t for _, t, _ in docs] + [" ".join(f"w{n}x{i}" for i in range(n)) for n in range(1, 61)]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = by_id(fingerprints.fingerprint_edits(d))
+    got = by_id(fingerprints.fingerprint_edits(d, scale=1))
     for i, text in enumerate(texts):
         nxt, h = texts[i - 1], len(text) // 2
         a, b, c = (cased_shingles(x) for x in (text, text[: len(text) - h] + nxt[:h], nxt))
         assert got[i]["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and got[i]["near_next"] == pytest.approx(len(a & c) / len(a | c)) and got[i]["edited_holds"] == pytest.approx(len(a & b) / len(a))
     pairs = [(t, " ".join("other" if k == len(t.split()) // 2 else x for k, x in enumerate(t.split()))) for t in texts[-60:]]
-    both = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprints.likeness(fingerprints.sketch(fingerprints.F.col("a")), fingerprints.sketch(fingerprints.F.col("b")), fingerprints.F.lit(False)).alias("x"))
+    both = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprints.likeness(fingerprints.sketch(fingerprints.F.col("a"), scale=1), fingerprints.sketch(fingerprints.F.col("b"), scale=1), fingerprints.F.lit(False)).alias("x"))
     for r in both.collect():
         a, b = cased_shingles(r["a"]), cased_shingles(r["b"])
         assert r["x"] == pytest.approx(len(a & b) / len(a | b))
 
 
+def test_threshold_keeps_half_and_bounds_the_error(spark, docs):
+    """Of texts of every length: the error of a likeness, how many hashes are kept, and the size of fingerprints."""
+    texts = [t for _, t, _ in docs] + [" ".join(f"w{n}x{i}" for i in range(n)) for n in range(1, 61)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = by_id(fingerprints.fingerprint_edits(d))
+    errors = []
+    for i, text in enumerate(texts):
+        h = len(text) // 2
+        a, b = cased_shingles(text), cased_shingles(text[: len(text) - h] + texts[i - 1][:h])
+        m, true = len(a | b), len(a & b) / len(a | b)
+        errors.append((m, abs(got[i]["near_edited"] - true)))
+        assert errors[-1][1] <= min(1, 4.5 * (2 * true * (1 - true) / m) ** 0.5 + 4 / m)
+    assert max(e for m, e in errors if m > 1000) < 0.05 and sum(e for m, e in errors if m > 100) < 0.03 * sum(m > 100 for m, _ in errors)
+    all_shingles = sum(len(cased_shingles(t)) for t in texts)
+    kept = d.select(fingerprints.sketch(fingerprints.F.col("text")).alias("s")).agg(fingerprints.F.sum(fingerprints.F.size("s"))).first()[0]
+    assert 0.48 * all_shingles < kept < 0.52 * all_shingles
+    assert sum(len(r["fingerprint"]) for r in got.values()) < sum(map(len, texts))
+
+
 def test_pipeline_stages(spark, docs):
     """Each stage on what the one before kept, against plain Python; with planted copies, near copies, passages and junk."""
     from tokenizers import Tokenizer
