@@ -46,18 +46,35 @@ def path_join(picks: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     return j.select("ticker", "entry", "base", (F.col("nth") - F.col("entry")).alias("k"), "date", "open", "high", "low", "close")
 
 
-def barrier_outcome(picks: DataFrame, bars: DataFrame, target: float, stop: float, n: int, haircut: float = 1.0, short: str = "short") -> DataFrame:
+#: Bars of a block in which a first touch is looked for.
+TOUCH_BLOCK = 16
+
+
+def barrier_outcome(picks: DataFrame, bars: DataFrame, target: float, stop: float, n: int, haircut: float = 1.0, short: str = "short", block: int = TOUCH_BLOCK) -> DataFrame:
     """ticker, entry, outcome, ret, held: the first bar that reaches the stop (looked at first) or the target, at the barrier
-    or the open beyond it; else the last close, times ``haircut`` and named ``short`` where fewer than n bars follow."""
-    low, high = F.col("base") * (1 - stop), F.col("base") * (1 + target)
-    hit_stop, hit_target = F.col("low") <= low, F.col("high") >= high
-    fill = F.when(hit_stop, F.least(low, "open")).otherwise(F.greatest(high, "open"))
-    hit = F.when(hit_stop | hit_target, F.struct("k", F.when(hit_stop, "stop").otherwise("target").alias("outcome"), fill.alias("fill")))
-    g = path_join(picks, bars, n).groupBy("ticker", "entry", "base").agg(F.min(hit).alias("hit"), F.max_by("close", "k").alias("last_close"), F.max("k").alias("n"))
-    ended = F.col("n") < n
-    price = F.when(F.col("hit").isNotNull(), F.col("hit.fill")).otherwise(F.col("last_close") * F.when(ended, haircut).otherwise(1.0))
+    or the open beyond it; else the last close, times ``haircut`` and named ``short`` where fewer than n bars follow. Picks without a bar behind them have no row.
+
+    A pick meets blocks of bars, not bars: a block's lowest low and highest high tell whether a barrier can have been touched in it, and only then are its bars gone through.
+    """
+    b = bars.select("ticker", F.row_number().over(W()).cast("long").alias("nth"), "open", "high", "low", "close")
+    blocks = b.groupBy(F.col("ticker").alias("tk"), F.floor(F.col("nth") / block).alias("b")).agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.array_sort(F.collect_list(F.struct("nth", "open", "high", "low", "close"))).alias("path"))
+    p = picks.withColumns({"floor": F.col("base") * (1 - stop), "ceiling": F.col("base") * (1 + target), "blk": F.explode(F.sequence(F.floor((F.col("entry") + 1) / block), F.floor((F.col("entry") + n) / block)))})
+    j = p.join(blocks, (p["ticker"] == blocks["tk"]) & (p["blk"] == blocks["b"]))
+    within = lambda x: (x["nth"] > F.col("entry")) & (x["nth"] <= F.col("entry") + n)
+
+    def touch(x: Column) -> Column:
+        fill = F.when(x["low"] <= F.col("floor"), F.least("floor", x["open"])).otherwise(F.greatest("ceiling", x["open"]))
+        return F.struct((x["nth"] - F.col("entry")).alias("k"), F.when(x["low"] <= F.col("floor"), "stop").otherwise("target").alias("outcome"), fill.alias("fill"))
+
+    touched = F.filter("path", lambda x: within(x) & ((x["low"] <= F.col("floor")) | (x["high"] >= F.col("ceiling"))))
+    hit = F.when((F.col("lowest") <= F.col("floor")) | (F.col("highest") >= F.col("ceiling")), F.get(F.transform(F.slice(touched, 1, 1), touch), F.lit(0)))
+    newest = F.try_element_at(F.filter("path", within), F.lit(-1))
+    last = F.when(newest.isNotNull(), F.struct((newest["nth"] - F.col("entry")).alias("k"), newest["close"].alias("close")))
+    g = j.select("ticker", "entry", "base", hit.alias("hit"), last.alias("last")).groupBy("ticker", "entry", "base").agg(F.min("hit").alias("hit"), F.max("last").alias("last")).filter("last is not null")
+    ended = F.col("last.k") < n
+    price = F.when(F.col("hit").isNotNull(), F.col("hit.fill")).otherwise(F.col("last.close") * F.when(ended, haircut).otherwise(1.0))
     outcome = F.when(F.col("hit").isNotNull(), F.col("hit.outcome")).when(ended, short).otherwise("timeout")
-    return g.select("ticker", "entry", outcome.alias("outcome"), (price / F.col("base") - 1).alias("ret"), F.coalesce("hit.k", "n").alias("held"))
+    return g.select("ticker", "entry", outcome.alias("outcome"), (price / F.col("base") - 1).alias("ret"), F.coalesce("hit.k", "last.k").alias("held"))
 
 
 def best_run(bars: DataFrame, n: int, cross: float, min_base: float) -> DataFrame:
