@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapelab.operators.stats import quantiles
+
 MONTH = 30
 
 
@@ -49,7 +51,8 @@ def net_equity(trades: DataFrame, by: list[str], order: list[str], capital: floa
 def calibrate(train: DataFrame, predict: DataFrame, score: str, label: str, bins: int = 5) -> DataFrame:
     """``predict`` with ``rate``, the win rate of its bin, and ``size`` = 2 (rate - 0.5) kept in 0..1. Bins are cut at the training
     scores' quantiles, closed to the right; with fewer than three different edges there is one bin."""
-    edges = train.agg(F.array_distinct(F.percentile(score, F.array(*(F.lit(k / bins) for k in range(1, bins))))).alias("edges"))
+    cuts = quantiles(train, score, [], **{f"q{k}": k / bins for k in range(1, bins)})
+    edges = train.sparkSession.range(1).join(F.broadcast(cuts), how="left").select(F.array_distinct(F.array(*(f"q{k}" for k in range(1, bins)))).alias("edges"))
     edges = edges.select(F.when(F.size("edges") < 3, F.array().cast("array<double>")).otherwise(F.col("edges")).alias("edges"))
     bin_of = F.size(F.filter("edges", lambda e: e < F.col(score)))
     rates = train.join(F.broadcast(edges)).groupBy(bin_of.alias("bin")).agg(F.avg(label).alias("rate"))

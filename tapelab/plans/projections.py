@@ -61,8 +61,11 @@ def as_of(facts):
 
 @query("prj9_drop_sic_prefix", "sic", sql="SELECT ticker, code FROM sic WHERE NOT (code LIKE '23%' OR code LIKE '8%')")
 def drop_prefix(sic):
+    """Each code's own prefixes meet the list in an equi join."""
     prefixes = sic.sparkSession.createDataFrame([("23",), ("8",)], "prefix string")
-    return sic.join(F.broadcast(prefixes), F.col("code").startswith(F.col("prefix")), "left_anti").select("ticker", "code")
+    own = sic.select("ticker", "code", F.explode(F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring(F.col("code"), F.lit(1), n))).alias("prefix"))
+    hit = own.join(prefixes, "prefix", "left_semi").select("ticker", "code").distinct()
+    return sic.join(hit, ["ticker", "code"], "left_anti").select("ticker", "code")
 
 
 @query("prj10_purged_split", "scored", sql="SELECT ticker, date, CASE WHEN date < DATE '1996-01-01' - 100 THEN 'train' ELSE 'test' END AS role FROM scored WHERE date < DATE '1996-01-01' - 100 OR date >= DATE '1996-01-01'")

@@ -35,15 +35,34 @@ def p_values(scored):
 
 @query("sta4_robustness", "scored", sql=f"WITH {LONG}, d AS (SELECT *, row_number() OVER (PARTITION BY xname, yname ORDER BY y DESC, ticker, date) AS k FROM x) SELECT xname, yname, round(corr(x, y), 6) AS r, round(corr(x, y) FILTER (k > 4), 6) AS r_drop_4, CASE WHEN sign(corr(x, y)) <> sign(corr(x, y) FILTER (k > 4)) OR abs(corr(x, y) FILTER (k > 4)) < abs(corr(x, y)) / 2 THEN 'OUTLIER-DRIVEN' ELSE '' END AS flag FROM d GROUP BY 1, 2 HAVING count(*) >= 10")
 def robustness(scored):
+    g = _robust(scored)
+    flag = F.when((F.signum("r") != F.signum("r4")) | (F.abs("r4") < F.abs("r") / 2), "OUTLIER-DRIVEN").otherwise("")
+    return g.select("xname", "yname", r6("r").alias("r"), r6("r4").alias("r_drop_4"), flag.alias("flag"))
+
+
+def _robust(scored):
+    """xname, yname, n, r, r4: correlations of at least ten pairs, with and without the four largest outcomes."""
     p = t.pairs(scored, XS, YS)
     key = ["xname", "yname", "ticker", "date"]
     first = p.withColumn("k", F.row_number().over(Window.partitionBy("xname", "yname").orderBy(F.desc("y"), "ticker", "date"))).filter("k <= 4")
     d = p.join(F.broadcast(first.select(*key, "k")), key, "left")  # four rows a pair of names
     tail = lambda c: F.when(F.col("k").isNull(), F.col(c))
     r, r4 = F.corr("x", "y"), F.corr(tail("x"), tail("y"))
-    g = d.groupBy("xname", "yname").agg(r.alias("r"), r4.alias("r4"), F.count(F.lit(1)).alias("n")).filter("n >= 10")
-    flag = F.when((F.signum("r") != F.signum("r4")) | (F.abs("r4") < F.abs("r") / 2), "OUTLIER-DRIVEN").otherwise("")
-    return g.select("xname", "yname", r6("r").alias("r"), r6("r4").alias("r_drop_4"), flag.alias("flag"))
+    return d.groupBy("xname", "yname").agg(r.alias("r"), r4.alias("r4"), F.count(F.lit(1)).alias("n")).filter("n >= 10")
+
+
+def outlier_flag(r, p, rank_p, r4):
+    """no signal: neither a small p nor a large r; OUTLIER-DRIVEN: only the values correlate, not their ranks, or a few large outcomes make it; else blank."""
+    few = r4.isNotNull() & ~F.isnan(r4) & ((F.signum(r4) != F.signum(r)) | (F.abs(r4) < 0.5 * F.abs(r)))
+    return F.when((p >= 0.1) & (F.abs(r) < 0.25), "no signal").when(((p < 0.05) & (rank_p >= 0.05)) | few, "OUTLIER-DRIVEN").otherwise("")
+
+
+@query("sta4_flags", "scored")
+def robustness_flags(scored):
+    """Each score with each outcome: both correlations with their p, the one without the four largest outcomes, and what to think of it."""
+    rho = t.spearman(t.pairs(scored, XS, YS), ["xname", "yname"]).drop("n")
+    g = _robust(scored).join(rho, ["xname", "yname"]).withColumns({"p": t.p_value(F.col("r"), F.col("n")), "rank_p": t.p_value(F.col("rho"), F.col("n"))})
+    return g.select("xname", "yname", "n", r6("r").alias("r"), F.col("p"), r6("rho").alias("rho"), F.col("rank_p"), r6("r4").alias("r_drop_4"), outlier_flag(F.col("r"), F.col("p"), F.col("rank_p"), F.col("r4")).alias("flag"))
 
 
 @query("sta5_best_vs_baseline", "scored", sql=f"WITH {LONG}, g AS (SELECT xname, yname, corr(x, y) AS r FROM x GROUP BY 1, 2 HAVING count(*) >= 10) SELECT yname, max_by(xname, abs(r)) FILTER (xname <> 'score') AS best, round(max_by(r, abs(r)) FILTER (xname <> 'score'), 6) AS best_r, round(max(r) FILTER (xname = 'score'), 6) AS baseline_r FROM g GROUP BY yname")

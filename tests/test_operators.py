@@ -162,3 +162,11 @@ def test_draws_add_up(spark):
     c = spark.createDataFrame([(3 * i,) for i in range(37)], "t long")
     w = stats.cluster_draws(c, "t", 20).groupBy("draw").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()
     assert len(w) == 20 and all(r["w"] == 37 and r["n"] < 37 for r in w)
+
+
+def test_outlier_flags(spark):
+    from tapelab.plans.statistics import outlier_flag
+
+    rows = [(0.1, 0.5, 0.5, 0.1, "no signal"), (0.3, 0.5, 0.5, 0.29, ""), (0.5, 0.01, 0.2, 0.5, "OUTLIER-DRIVEN"), (0.5, 0.01, 0.01, 0.2, "OUTLIER-DRIVEN"), (0.5, 0.01, 0.01, -0.4, "OUTLIER-DRIVEN"), (0.5, 0.01, 0.01, 0.4, ""), (0.5, 0.01, 0.01, None, ""), (0.5, 0.01, 0.01, float("nan"), "")]
+    d = spark.createDataFrame(rows, "r double, p double, rank_p double, r4 double, want string")
+    assert all(x["flag"] == x["want"] for x in d.withColumn("flag", outlier_flag(F.col("r"), F.col("p"), F.col("rank_p"), F.col("r4"))).collect())
