@@ -9,6 +9,7 @@ stream leaves in the end is cut into sequences whose lengths are powers of two,
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -44,6 +45,12 @@ def _tokenizer(path: str):
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
+@lru_cache(maxsize=1)
+def _letters_apart() -> re.Pattern:
+    """Letters that the tokenizer takes apart into a letter and a mark: in lower case and composed they are no letters any more."""
+    return re.compile("[" + "".join(c for c in map(chr, range(128, 0x20000)) if c.isalpha() and not unicodedata.normalize("NFC", c.lower()).isalpha()) + "]")
+
+
 class WordTokens:
     """Ids of texts by a tokenizer that never joins across blanks: each distinct word is encoded once per (bounded) cache, which
     forgets what wasn't used for a generation.
@@ -77,12 +84,15 @@ class WordTokens:
 
     def _encode_words(self, words: list[bytes]) -> None:
         cut, others = [], []
+        apart = _letters_apart()
+        if not apart.search(b" ".join(words).decode("utf-8")):  # most often none has such a letter
+            apart = None
         for w in words:
             core = w.rstrip(_PUNCTUATION)
             if core.isalpha():  # ASCII letters
                 cut.append((w, core.lower(), w[len(core) :]))
-            elif core and len(core) < 200 and (s := core.decode("utf-8")).isalpha() and unicodedata.normalize("NFC", low := s.lower()).isalpha():
-                cut.append((w, core if "Σ" in s else low.encode("utf-8"), w[len(core) :]))
+            elif core and len(core) < 200 and (s := core.decode("utf-8")).isalpha() and not (apart and apart.search(s)):
+                cut.append((w, core if "Σ" in s else s.lower().encode("utf-8"), w[len(core) :]))
             else:
                 others.append(w)
         self.runs[b""] = b""
