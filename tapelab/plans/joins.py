@@ -78,13 +78,13 @@ def assign_windows(scored):
     return j.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ticker").alias("tickers"))
 
 
-@query("jon14_lookback_join", "earnings", "news", sql="SELECT e.ticker, e.earnings_date, count(n.article_id) AS articles, CAST(coalesce(sum(n.sentiment), 0) AS BIGINT) AS total FROM (SELECT DISTINCT ticker % 10 AS ticker, CAST(earnings_date + INTERVAL 29 YEAR AS DATE) AS earnings_date FROM earnings) AS e JOIN news AS n ON n.ticker = e.ticker AND CAST(n.published AS DATE) >= e.earnings_date - 30 AND CAST(n.published AS DATE) <= e.earnings_date GROUP BY 1, 2")
+@query("jon14_lookback_join", "earnings", "news", sql="SELECT e.ticker, e.earnings_date, count(n.article_id) AS articles, CAST(coalesce(sum(n.sentiment), 0) AS BIGINT) AS total FROM (SELECT DISTINCT ticker % 10 AS ticker, CAST(earnings_date + INTERVAL 29 YEAR AS DATE) AS earnings_date FROM earnings) AS e JOIN news AS n ON n.ticker % 10 = e.ticker AND CAST(n.published AS DATE) >= e.earnings_date - 30 AND CAST(n.published AS DATE) <= e.earnings_date GROUP BY 1, 2")
 def lookback(earnings, news):
-    """All articles of the 30 days up to an event, both ends included."""
+    """All articles of the 30 days up to an event, both ends included. They are summed by day before they meet events."""
     e = earnings.select((F.col("ticker") % 10).alias("ticker"), F.add_months("earnings_date", 12 * 29).alias("earnings_date")).distinct().withColumn("low", F.date_sub("earnings_date", 30))
-    n = news.select("ticker", "article_id", "sentiment", F.to_date("published").alias("day"))
+    n = news.groupBy((F.col("ticker") % 10).alias("ticker"), F.to_date("published").alias("day")).agg(F.count("article_id").alias("articles"), F.sum("sentiment").alias("total"))
     j = bucketed_range_join(n, e, "ticker", "day", "low", "earnings_date", 30)
-    return j.groupBy("ticker", "earnings_date").agg(F.count("article_id").alias("articles"), F.sum("sentiment").cast("long").alias("total"))
+    return j.groupBy("ticker", "earnings_date").agg(F.sum("articles").alias("articles"), F.coalesce(F.sum("total"), F.lit(0)).cast("long").alias("total"))
 
 
 PREFIXES = (("1", "resources"), ("13", "oil"), ("2", "makers"), ("28", "chemicals"), ("5", "trade"), ("59", "retail"), ("8", "services"))
