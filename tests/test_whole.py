@@ -91,3 +91,17 @@ def test_every_bar_is_an_entry(spark):
     assert got(whole.barrier_delisted(bars)) == expected([r for r in data if r[0] % 8 != 7 or r[1] <= D(1998, 6, 30)], 0.5, "delisted_timeout")
     want = [(t, e + 1, len(cs[e + 1 : e + 31]), round(max(cs[e + 1 : e + 31]) + 1, 6), round(min(cs[e + 1 : e + 31]) - 1, 6)) for t, cs in series.items() for e in range(len(cs) - 1)]
     assert rows(whole.paths(bars), "ticker", "entry") == want
+
+
+def test_ten_tickers_share_the_articles_of_all_users(spark):
+    from tapelab.plans import features, joins
+
+    day = 86_400_000_000
+    at = [(1, 3, 0, 1), (2, 13, day - 1, -1), (3, 1003, day - 1, 1), (4, 23, day, 1), (5, 7, day, 0), (6, 33, 5 * day, -1), (7, 3, None, 1), (8, 13, None, 0), (9, None, day, 1)]
+    news = spark.createDataFrame(at, "article_id long, ticker long, us long, sentiment int").withColumn("published", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, us / 1000000)"))
+    got = {r["article_id"]: (r["ticker"], r["mean_24h"], r["n_24h"]) for r in features.trailing_sentiment(news).collect()}
+    assert got == {1: (3, 1.0, 1), 2: (3, 0.333333, 3), 3: (3, 0.333333, 3), 4: (3, 0.333333, 3), 5: (7, 0.0, 1), 6: (3, -1.0, 1), 7: (3, 0.5, 2), 8: (3, 0.5, 2), 9: (None, 1.0, 1)}
+
+    earnings = spark.createDataFrame([(13, dt.date(1995, 1, 1)), (23, dt.date(1995, 1, 1)), (3, dt.date(1995, 1, 31)), (7, dt.date(1995, 2, 1))], "ticker long, earnings_date date")
+    got = {(r["ticker"], str(r["earnings_date"])): (r["articles"], r["total"]) for r in joins.lookback(earnings, news).collect()}
+    assert got == {(3, "2024-01-01"): (3, 1), (3, "2024-01-31"): (5, 1), (7, "2024-02-01"): (1, 0)}
