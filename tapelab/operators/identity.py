@@ -60,7 +60,7 @@ def alias_table(config: DataFrame, speakers: DataFrame, ordinary: DataFrame, key
     whole = speakers.select(key, F.col("person").alias("alias"), place, F.struct(F.lit(2).alias("kind"), F.col("number").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("rank"))
     parts = F.split("person", " ")
     bare = speakers.select(key, "number", F.posexplode(F.array(F.element_at(parts, 1), F.element_at(parts, -1))).alias("b", "alias"))
-    bare = bare.select(key, "alias", place, F.struct(F.lit(3).alias("kind"), F.col("number").cast("int").alias("a"), F.col("b"), F.lit(0).alias("c")).alias("rank"), F.lower("alias").alias("word")).join(ordinary, [key, "word"], "left_anti").drop("word")
+    bare = bare.select(key, "alias", place, F.struct(F.lit(3).alias("kind"), F.col("number").cast("int").alias("a"), F.col("b"), F.lit(0).alias("c")).alias("rank"), F.lower("alias").alias("word")).join(by_merge(ordinary), [key, "word"], "left_anti").drop("word")
     every = own.unionByName(plural).unionByName(whole).unionByName(bare).filter(F.col("alias") != "")
     return every.groupBy(key, F.lower("alias").alias("alias")).agg(F.min_by("placeholder", "rank").alias("placeholder")).select(key, "alias", "placeholder", F.char_length("alias").cast("long").alias("chars"))
 
@@ -217,7 +217,7 @@ def candidate_terms(docs: DataFrame, speakers: DataFrame, ordinary: DataFrame, c
     terms = per.groupBy(key, "term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs")).filter((F.col("n") >= least) & (F.col("docs") >= least_docs) & (F.char_length("term") >= 2) & ~F.col("term").rlike("^[0-9]+$"))
     terms = terms.withColumn("word", F.lower("term")).filter(~F.col("word").isin(STOP_TERMS))
     named = speakers.select(key, F.explode(F.split(F.lower("person"), " ")).alias("word")).unionByName(config.filter("program = 0").select(key, F.explode(_tokens("alias")).alias("word"))).distinct()
-    left = terms.join(ordinary, [key, "word"], "left_anti").join(named, [key, "word"], "left_anti")
+    left = terms.join(by_merge(ordinary), [key, "word"], "left_anti").join(by_merge(named), [key, "word"], "left_anti")
     nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))
     return left.withColumn("nth", nth).filter(F.col("nth") <= top).select(key, "term", "n", "docs")
 
@@ -227,9 +227,14 @@ def lower_vocabulary(texts: DataFrame, keys: list[str], col: str = "text") -> Da
     return texts.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("([a-z][a-z'-]*)"), 1))).alias("word")).distinct()
 
 
+def by_merge(words: DataFrame) -> DataFrame:
+    """``words`` (or texts) for a join by sorting: they are many times what Spark takes their size to be, so it would broadcast them."""
+    return words.hint("merge")
+
+
 def vocabulary_difference(words: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     """The rows of ``words`` whose columns ``on`` no row of ``known`` has."""
-    return words.join(known.select(*on).distinct(), on, "left_anti")
+    return words.join(by_merge(known.select(*on).distinct()), on, "left_anti")
 
 
 def novel_terms(outputs: DataFrame, sources: DataFrame, prompts: DataFrame, others: DataFrame, key: str, call: list[str]) -> DataFrame:
@@ -244,5 +249,5 @@ def novel_terms(outputs: DataFrame, sources: DataFrame, prompts: DataFrame, othe
     left = vocabulary_difference(left, lower_vocabulary(prompts, []), ["word"])
     left = vocabulary_difference(left, outputs.select(*call, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), 1))).alias("word")), [*call, "word"])
     shared = ordinary_words(others, key).groupBy("word").agg(F.min(key).alias("least"), F.max(key).alias("most"))
-    known = left.join(shared, "word", "left").filter(F.col("least").isNull() | ((F.col("least") == F.col(key)) & (F.col("most") == F.col(key))))
+    known = left.join(by_merge(shared), "word", "left").filter(F.col("least").isNull() | ((F.col("least") == F.col(key)) & (F.col("most") == F.col(key))))
     return known.select(*call, "term").distinct()

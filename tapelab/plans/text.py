@@ -124,7 +124,7 @@ def vocabulary_difference(calls, documents):
 def novel_terms(releases, calls, alias_config, benchmark):
     """Terms that an output has from nowhere: not from its call, the prompts, or other companies' ordinary words. Outputs name a program of the next company."""
     other = alias_config.filter("program = 2").select((F.col("ticker") - 1).alias("ticker"), "alias")
-    outputs = releases.join(other, "ticker").select("ticker", "end_date", F.concat("text", F.lit(". Its "), "alias", F.lit(" and the "), F.upper("alias"), F.lit("-Plus")).alias("text"))
+    outputs = ident.by_merge(releases).join(other, "ticker").select("ticker", "end_date", F.concat("text", F.lit(". Its "), "alias", F.lit(" and the "), F.upper("alias"), F.lit("-Plus")).alias("text"))
     return ident.novel_terms(outputs, calls, benchmark, calls, "ticker", ["ticker", "end_date"])
 
 

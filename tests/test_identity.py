@@ -69,3 +69,20 @@ def test_recognition(spark):
     guesses = spark.createDataFrame([(1, "It is ACME  Rockets!"), (1, "acme and rockets"), (1, "far away"), (1, None), (2, "the B-2 maker"), (3, "acme rockets")], "ticker long, guess string")
     got = {r["ticker"]: (r["n"], r["recognised"]) for r in ident.recognition(guesses, aliases, "ticker").collect()}
     assert got == {1: (4, 0.25), 2: (1, 1.0), 3: (1, 0.0)}
+
+
+def test_vocabularies_and_texts_are_not_broadcast(spark):
+    """At 0.1 GB Spark takes a vocabulary's size for less than its limit for broadcasts, and the driver's memory doesn't hold it."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 40))
+    try:
+        w = spark.createDataFrame([(1, 1, "Alpha-Beta and Gamma Delta, gamma. Omega Sigma")], "ticker long, end_date int, text string")
+        calls = spark.createDataFrame([(1, 1, "alpha"), (2, 1, "delta Sigma")], "ticker long, end_date int, text string")
+        prompts = spark.createDataFrame([("the omega",)], "text string")
+        got = ident.novel_terms(w, calls, prompts, calls, "ticker", ["ticker", "end_date"])
+        assert sorted(r["term"] for r in got.collect()) == ["Alpha-Beta", "Sigma"]
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 4
+        assert "SortMergeJoin" in ident.by_merge(w).join(calls, "ticker")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
