@@ -145,27 +145,38 @@ def auc(scored: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     return g.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - pos * (pos + 1) / 2.0, pos * neg).alias("auc"))
 
 
+def _drawn(numbered: DataFrame, draws: int) -> DataFrame:
+    """draw, __i: each place of each draw with the number that it takes. The places (``numbered`` by __i, from 0) are few rows that become many: they are dealt out first."""
+    total = numbered.agg(F.count(F.lit(1)).alias("__t"))
+    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = numbered.select(F.col("__i").alias("__slot")).repartition(tasks, "__slot").join(F.broadcast(total)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    number = F.conv(F.substring(F.md5(F.concat(F.col("draw").cast("string"), F.lit("-"), F.col("__slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return slots.select("draw", (number % F.col("__t")).alias("__i"))
+
+
+def _numbered(clusters: DataFrame, cluster: str) -> DataFrame:
+    return ranked_values(clusters.select(cluster).distinct(), cluster, []).select(cluster, (F.col("rank") - 1).cast("long").alias("__i"))
+
+
 def cluster_draws(clusters: DataFrame, cluster: str, draws: int) -> DataFrame:
     """draw, ``cluster`` (a number), w: how often each cluster is drawn when as many as there are get drawn with replacement, ``draws`` times.
 
     Each place of a draw takes the cluster whose number (by order, from 0) a hash of draw and place gives, so the counts of a draw add up to the number of clusters.
     """
-    numbered = ranked_values(clusters.select(cluster).distinct(), cluster, []).select(cluster, (F.col("rank") - 1).cast("long").alias("__i"))
-    total = numbered.agg(F.count(F.lit(1)).alias("__t"))
-    slots = numbered.select(F.col("__i").alias("__slot")).join(F.broadcast(total)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    number = F.conv(F.substring(F.md5(F.concat(F.col("draw").cast("string"), F.lit("-"), F.col("__slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    w = slots.select("draw", (number % F.col("__t")).alias("__i")).groupBy("draw", "__i").agg(F.count(F.lit(1)).alias("w"))
+    numbered = _numbered(clusters, cluster)
+    w = _drawn(numbered, draws).groupBy("draw", "__i").agg(F.count(F.lit(1)).alias("w"))
     return w.join(numbered, "__i").select("draw", cluster, "w")
 
 
 def bootstrap_corr(panel: DataFrame, cluster: str, x: str, y: str, draws: int) -> DataFrame:
     """draws, low, high: the middle 95 % of correlations when clusters are drawn again; draws without a correlation are left out.
 
-    Sums per cluster are weighted per draw, so rows are read once and only clusters x draws meet.
+    Rows are read once for sums per cluster; what is drawn meets those and is summed by draw, so that no task holds draws x clusters.
     """
     s = panel.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *(F.sum(e).alias(k) for k, e in (("sx", F.col(x)), ("sy", F.col(y)), ("sxx", F.col(x) ** 2), ("syy", F.col(y) ** 2), ("sxy", F.col(x) * F.col(y)))))
-    d = s.join(cluster_draws(s, cluster, draws), cluster)
-    t = d.groupBy("draw").agg(*(F.sum(F.col("w") * F.col(k)).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    numbered = _numbered(s, cluster)
+    d = _drawn(numbered, draws).join(s.join(numbered, cluster).drop(cluster).hint("shuffle_hash"), "__i")
+    t = d.groupBy("draw").agg(*(F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")))
     r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)))
     return t.select(r.alias("r")).filter("r is not null and not isnan(r)").agg(F.count(F.lit(1)).alias("draws"), F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))  # a row per draw
 

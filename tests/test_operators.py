@@ -170,3 +170,12 @@ def test_outlier_flags(spark):
     rows = [(0.1, 0.5, 0.5, 0.1, "no signal"), (0.3, 0.5, 0.5, 0.29, ""), (0.5, 0.01, 0.2, 0.5, "OUTLIER-DRIVEN"), (0.5, 0.01, 0.01, 0.2, "OUTLIER-DRIVEN"), (0.5, 0.01, 0.01, -0.4, "OUTLIER-DRIVEN"), (0.5, 0.01, 0.01, 0.4, ""), (0.5, 0.01, 0.01, None, ""), (0.5, 0.01, 0.01, float("nan"), "")]
     d = spark.createDataFrame(rows, "r double, p double, rank_p double, r4 double, want string")
     assert all(x["flag"] == x["want"] for x in d.withColumn("flag", outlier_flag(F.col("r"), F.col("p"), F.col("rank_p"), F.col("r4"))).collect())
+
+
+def test_draws_are_dealt_to_tasks(spark):
+    """A few thousand clusters are one small partition, and their draws would be one task."""
+    c = spark.range(2000).select((F.col("id") * 3).alias("__i"))
+    got = stats._drawn(stats._numbered(c.withColumnRenamed("__i", "t"), "t"), 10)
+    tasks = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert sum(r["count"] for r in tasks) == 20_000 and len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in tasks) < 4_000
