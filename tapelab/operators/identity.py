@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of aliases that are broadcast; with more, each part of the table has a job of its own.
-MAX_ALIAS_BYTES = 16 << 20
+#: Bytes of a key's aliases that stand beside each of its texts; a key with more has several such parts.
+MAX_ALIAS_BYTES = 16 << 10
 
 _SPEAKER = r"^[A-Z][a-zA-Z.'-]+( [A-Z][a-zA-Z.'-]+){1,3}$"
 _WORD = r"\b([a-z][a-z'-]*)\b"
@@ -132,57 +132,77 @@ def _map_rows(df: DataFrame, one, schema) -> DataFrame:
 def deidentify(docs: DataFrame, aliases: DataFrame, key: str, year: Column | None = None, max_bytes: int = MAX_ALIAS_BYTES) -> DataFrame:
     """``docs`` with their aliases (key, alias, placeholder) replaced in ``text``, whatever their case, and years told relative to ``year``.
 
-    One pass from left to right, the longest alias first, so that placeholders are never read again. Null texts stay null; a null key has no aliases. Aliases of
-    up to ``max_bytes`` go to all tasks as one automaton. Beyond that, each part of the table finds its places in a job of its own, and a text's places
+    One pass from left to right, the longest alias first, so that placeholders are never read again. Null texts stay null; a null key has no aliases. A text meets
+    its own key's aliases only, as an array beside it. A key with more than ``max_bytes`` of them has several arrays: each finds its places, and a text's places
     meet again by its hash; the replacement is the same.
     """
     from pyspark.sql.types import StringType, StructField, StructType
 
-    a = aliases.select(F.col(key).alias("k"), "alias", "placeholder").filter(F.col("k").isNotNull())
-    size = a.agg(F.sum(F.octet_length("alias") + F.octet_length("placeholder") + 64)).first()[0] or 0
-    parts = max(1, -(-size // max_bytes))
+    size = F.octet_length("alias") + F.octet_length("placeholder") + 64
+    a = aliases.select(F.col(key).alias("__k"), "alias", "placeholder").filter(F.col("__k").isNotNull())
+    parts = a.groupBy("__k").agg(F.ceil(F.sum(size) / max_bytes).alias("__parts")).filter("__parts > 1")
+    listed = lambda t, *by: t.groupBy(*by).agg(F.collect_list(F.struct("alias", "placeholder")).alias("__aliases"))
     names = docs.columns
     rows = docs.withColumns({"__year": (F.lit(None) if year is None else year).cast("int"), "__key": F.col(key)})
-    at, key_at = names.index("text"), len(names) + 1
-
-    if parts == 1:
-        table = [tuple(r) for r in a.collect()]  # of at most max_bytes
+    at, year_at, last = names.index("text"), len(names), len(names) + 2
+    schema = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema])
 
+    def replace_all(spans_of):
         def run(batches):
-            found = automaton(table)
             for b in batches:
-                texts, years, keys = b.column(at).to_pylist(), b.column(key_at - 1).to_pylist(), b.column(key_at).to_pylist()
-                out = [None if t is None else replaced(t, matches(found, k, t), y) for t, y, k in zip(texts, years, keys)]
+                spans = spans_of()
+                texts, years = b.column(at).to_pylist(), b.column(year_at).to_pylist()
+                out = [None if t is None else replaced(t, spans(b, i, t), y) for i, (t, y) in enumerate(zip(texts, years))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
 
-        schema = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema])
-        return rows.mapInArrow(run, schema)
+        return run
 
-    ids = [F.xxhash64("__key", "text").alias("__a"), F.xxhash64("text", "__key", F.lit(1)).alias("__b")]
-    texts = rows.filter(F.col("text").isNotNull() & F.col("__key").isNotNull())
-    spans = None
-    for part in range(parts):
-        some = [tuple(r) for r in a.filter(F.pmod(F.xxhash64("alias"), F.lit(parts)) == part).collect()]  # about max_bytes
+    def own_spans():
+        """Places of the aliases beside a text; texts of a key come one after the other, so it is seldom that another automaton is built."""
+        now: list = [None, None]
 
-        def one(batches, some=some):
-            found = automaton(some)
-            for b in batches:
-                hits = [(x, y, s, e, p) for x, y, k, t in zip(*(c.to_pylist() for c in b.columns)) for s, e, p in matches(found, k, t)]
-                cols = list(zip(*hits)) if hits else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["__a", "__b", "s", "e", "p"])
+        def spans(b, i, text):
+            k, table = b.column(last - 1)[i].as_py(), b.column(last)
+            if k is None or not table[i].is_valid:
+                return ()
+            if now[0] != k:
+                now[:] = k, automaton([(k, x["alias"], x["placeholder"]) for x in table[i].as_py()])
+            return matches(now[1], k, text)
 
-        hits = texts.select(*ids, "__key", "text").mapInArrow(one, "__a long, __b long, s int, e int, p string")
-        spans = hits if spans is None else spans.unionAll(hits)
-    spans = spans.distinct().groupBy("__a", "__b").agg(F.collect_list(F.struct("s", "e", "p")).alias("__spans"))  # no more than a text has places
-    joined = rows.withColumns({"__a": ids[0], "__b": ids[1]}).join(spans, ["__a", "__b"], "left").select(*(rows[c] for c in rows.columns), "__spans")
+        return spans
 
-    def finish(batches):
-        for b in batches:
-            texts, years, found = b.column(at).to_pylist(), b.column(key_at - 1).to_pylist(), b.column(key_at + 1).to_pylist()
-            out = [None if t is None else replaced(t, ((x["s"], x["e"], x["p"]) for x in f or ()), y) for t, y, f in zip(texts, years, found)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
+    small = a if parts.isEmpty() else a.join(parts, "__k", "left_anti")
+    # with a hash among its keys the join has exchanges of its own, apart from the lists', so that Spark can split a key of many texts
+    same = (F.xxhash64("__key") == F.xxhash64("__k")) & (F.col("__key") == F.col("__k"))
+    joined = rows.join(by_merge(listed(small, "__k")), same, "left").select(*rows.columns, "__aliases")
+    if small is a:
+        return joined.mapInArrow(replace_all(own_spans), schema)
 
-    return joined.mapInArrow(finish, StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema]))
+    ids = {"__a": F.xxhash64("__key", "text"), "__b": F.xxhash64("text", "__key", F.lit(1))}
+    pieces = listed(a.join(parts, "__k").withColumn("__part", F.pmod(F.xxhash64("alias"), "__parts")), "__k", "__part")
+    large = rows.join(parts.select("__k"), F.col("__key") == F.col("__k"), "left_semi")
+
+    def find(batches):
+        now: list = [None, None]
+        for b in batches:
+            hits, table = [], b.column(5)
+            for i, (x, y, k, t, part) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)))):
+                if now[0] != (k, part):
+                    now[:] = (k, part), automaton([(k, r["alias"], r["placeholder"]) for r in table[i].as_py()])
+                hits += [(x, y, s, e, p) for s, e, p in matches(now[1], k, t)]
+            cols = list(zip(*hits)) if hits else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["__a", "__b", "s", "e", "p"])
+
+    texts = large.filter(F.col("text").isNotNull()).select(*(c.alias(n) for n, c in ids.items()), "__key", "text").distinct()
+    found = texts.join(by_merge(pieces), same).select("__a", "__b", "__key", "text", "__part", "__aliases").mapInArrow(find, "__a long, __b long, s int, e int, p string")
+    found = found.groupBy("__a", "__b").agg(F.collect_list(F.struct("s", "e", "p")).alias("__spans"))  # no more than a text has places
+    met = large.withColumns(ids).join(found, ["__a", "__b"], "left").select(*rows.columns, "__spans")
+    rest = joined.join(parts.select("__k"), F.col("__key") == F.col("__k"), "left_anti")
+
+    def found_spans():
+        return lambda b, i, text: [(x["s"], x["e"], x["p"]) for x in b.column(last)[i].as_py() or ()]
+
+    return rest.mapInArrow(replace_all(own_spans), schema).unionAll(met.mapInArrow(replace_all(found_spans), schema))
 
 
 def _tokens(c: str) -> Column:

@@ -86,3 +86,13 @@ def test_vocabularies_and_texts_are_not_broadcast(spark):
         assert "SortMergeJoin" in ident.by_merge(w).join(calls, "ticker")._jdf.queryExecution().sparkPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_text_meets_its_own_aliases_only(spark):
+    """All keys' aliases in one automaton, in each task, made the job grow with texts times keys."""
+    aliases = spark.createDataFrame([(k, f"name{k}", "Company A") for k in range(500)], "ticker long, alias string, placeholder string")
+    docs = spark.createDataFrame([(k % 500, f"Name{k} and name{k + 1}") for k in range(1000)], "ticker long, text string")
+    plan = ident.deidentify(docs, aliases, "ticker")._jdf.queryExecution().optimizedPlan()
+    assert "Join LeftOuter" in plan.toString()
+    got = sorted(r["text"] for r in ident.deidentify(docs, aliases, "ticker").collect())
+    assert got == sorted([f"Company A and name{k + 1}" for k in range(500)] + [f"Name{k} and name{k + 1}" for k in range(500, 1000)])
