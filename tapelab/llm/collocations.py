@@ -83,6 +83,8 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     got = hashes.select(F.shiftright(bit, 5).alias("word"), mask.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**(MAX_BITS - 5) rows
     out = np.zeros(1 << (n - 5), np.uint32)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    del got
+    pa.default_memory_pool().release_unused()
     return out
 
 
@@ -211,9 +213,9 @@ def place(parent: np.ndarray, symbol: np.ndarray, nodes: int, symbols: int) -> t
 
     Nodes of many children come first and one by one, behind all others if they fit nowhere soon; the others all try a slot at once, and those that meet no other keep it.
     """
-    order = np.argsort(parent, kind="stable")
-    count = np.bincount(parent, minlength=nodes)
-    first = np.concatenate([[0], np.cumsum(count)])
+    order = np.argsort(parent, kind="stable").astype(np.int32)
+    count = np.bincount(parent, minlength=nodes).astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
     slots = max(1024, 2 * (len(parent) + 1))
     rng = np.random.default_rng(0)
     used = np.zeros(slots + symbols, bool)
@@ -243,11 +245,11 @@ def place(parent: np.ndarray, symbol: np.ndarray, nodes: int, symbols: int) -> t
             if slots + symbols > len(used):
                 used = np.concatenate([used, np.zeros(slots + symbols - len(used), bool)])
             trial = rng.integers(1, slots, len(todo))
-            which = np.repeat(np.arange(len(todo)), count[todo])
-            edge = order[first[todo[which]] + np.arange(len(which)) - np.repeat(np.cumsum(count[todo]) - count[todo], count[todo])]
-            slot = trial[which] + symbol[edge]
+            which = np.repeat(np.arange(len(todo), dtype=np.int32), count[todo])
+            slot = first[todo[which]] - np.repeat((np.cumsum(count[todo]) - count[todo]).astype(np.int32), count[todo]) + np.arange(len(which), dtype=np.int32)
+            slot = trial[which] + symbol[order[slot]]
             owner = np.full(len(used), len(todo), np.int32)
-            np.minimum.at(owner, slot, which.astype(np.int32))
+            np.minimum.at(owner, slot, which)
             bad = np.bincount(which, used[slot] | (owner[slot] != which), len(todo)) > 0
             base[todo[~bad]] = trial[~bad]
             used[slot[~bad[which]]] = True
@@ -259,7 +261,8 @@ def build_trie(seeds: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, numbers
     words, word, uses = np.unique(hashes[np.arange(hashes.shape[1]) < sizes[:, None]], return_inverse=True, return_counts=True)
     rank = np.empty(len(words), np.int64)
     rank[np.argsort(-uses, kind="stable")] = np.arange(len(words))  # common words are near each other
-    word, first = rank[word], np.concatenate([[0], np.cumsum(sizes)])
+    word, first = rank[word].astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+    del uses
     langs, lang = np.unique(seeds, return_inverse=True)
     radix = int(np.ceil(np.sqrt(len(words) + len(langs))))
     parents, symbols, nodes = [], [], 1
@@ -269,11 +272,12 @@ def build_trie(seeds: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, numbers
         number = len(words) + lang[live] if k == 0 else word[first[live] + k - 1]
         for symbol in (number // radix, number % radix):
             pairs, child = np.unique(at[live] * radix + symbol, return_inverse=True)
-            parents.append(pairs // radix)
-            symbols.append(pairs % radix)
+            parents.append((pairs // radix).astype(np.int32))
+            symbols.append((pairs % radix).astype(np.int32))
             at[live] = nodes + child
             nodes += len(pairs)
     parent, symbol = np.concatenate(parents), np.concatenate(symbols)
+    del parents, symbols, word, first, live, number, pairs, child
     base_of, slot = place(parent, symbol, nodes, radix)
     slot_of = np.concatenate([[0], slot])  # nodes are numbered as their edges are, after the root
     size = int(base_of.max()) + radix + 1
@@ -307,7 +311,10 @@ def trie_of(numbered: DataFrame, longest: int) -> tuple[Trie, int] | None:
         return None
     stride = int(got["nth"].to_numpy().max()) + 1
     hashes = np.stack([got[c].to_numpy().view(np.uint64) for c in columns], 1)
-    return build_trie(got["seed"].to_numpy().view(np.uint64), got["size"].to_numpy(), hashes, got["lot"].to_numpy().astype(np.int64) * stride + got["nth"].to_numpy()), stride
+    seeds, sizes, numbers = got["seed"].to_numpy().view(np.uint64), got["size"].to_numpy(), got["lot"].to_numpy().astype(np.int64) * stride + got["nth"].to_numpy()
+    del got
+    pa.default_memory_pool().release_unused()  # the trie's own work needs the room
+    return build_trie(seeds, sizes, hashes, numbers), stride
 
 
 def accepted(w: Pieces, seeds: np.ndarray, trie: Trie) -> Iterator[np.ndarray]:
@@ -378,6 +385,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     for k, level in enumerate(levels[1:], 2):
         keys = keys.unionAll(level.select(F.lit(k).alias("k"), "key"))
     found = stored(spelled_out(texts, filters, chosen).join(keys, ["k", "key"], "left_semi").drop("key"), "spelled")
+    del filters, chosen
     shards = max(1, -(-found.count() // max_phrases))
     h = F.xxhash64("lang", "phrase")
     lots = found.withColumn("shard", F.pmod(h, F.lit(shards)).cast("int")).withColumn("lot", F.pmod(F.shiftrightunsigned(h, 32), F.lit(LOTS)).cast("int"))

@@ -84,3 +84,18 @@ def test_trie_holds_what_was_put_in():
 def test_products_beyond_64_bits(spark):
     big = spark.createDataFrame([("en", 1, "a", 10**15), ("en", 1, "b", 10**15 + 1), ("en", 2, "a b", 10**15 - 7)], "lang string, k int, phrase string, f long")
     assert [r["score"] for r in co.scored(big).collect()] == [2_000_000 * (10**15 - 7) // (2 * 10**15 + 1)]
+
+
+def test_a_trie_is_built_in_little_memory():
+    """The driver builds it. Before its arrays were narrower it took 146 bytes an edge, now 91."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    words = r.integers(1, 2**63, 5_000, dtype=np.uint64)
+    hashes = words[np.minimum((r.pareto(0.6, (60_000, 4)) * 20).astype(int), 4_999)]
+    hashes = np.unique(hashes, axis=0)
+    tracemalloc.start()
+    trie = co.build_trie(np.ones(len(hashes), np.uint64), np.full(len(hashes), 4), hashes, np.arange(len(hashes)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 115 * (trie.check >= 0).sum()
