@@ -18,10 +18,10 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
     t = F.col(tie) if tie else F.lit(0)
     a = left.select(F.col(by).alias("__by"), F.col(left_time).alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast(right.select(t).schema[0].dataType).alias("__tie"), row_l.alias("__l"), F.lit(None).cast(right.select(row_r).schema[0].dataType).alias("__r"))
     b = right.select(F.col(by).alias("__by"), F.col(right_time).alias("__t"), F.lit(order_right).alias("__k"), t.alias("__tie"), F.lit(None).cast(left.select(row_l).schema[0].dataType).alias("__l"), row_r.alias("__r"))
-    w = Window.partitionBy("__by").orderBy("__t", "__k", "__tie")
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if back else w.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last if back else F.first
-    return a.unionByName(b).withColumn("match", pick("__r", ignorenulls=True).over(w)).filter("__k = 1").select("__l.*", "match")
+    # forward is backward in the opposite order: a frame that ends with the key's last row would be read again for each row
+    order = F.asc if back else F.desc
+    w = Window.partitionBy("__by").orderBy(*map(order, ("__t", "__k", "__tie"))).rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).withColumn("match", F.last("__r", ignorenulls=True).over(w)).filter("__k = 1").select("__l.*", "match")
 
 
 def bucketed_range_join(left: DataFrame, right: DataFrame, by: str, point: str, low: str, high: str, width_days: int) -> DataFrame:

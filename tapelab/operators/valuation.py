@@ -93,7 +93,7 @@ def best_run_by_segment(bars: DataFrame, multiple: float, n: int, min_price: flo
     last_20, ahead = seg.rowsBetween(-19, 0), seg.rowsBetween(1, n)
     t = t.withColumns({"p": F.percentile("close", F.lit(0.5)).over(seg.rowsBetween(-(smooth - 1), 0)), "nth": F.row_number().over(seg), "dollar": F.when(F.count("volume").over(last_20) >= 5, F.avg(F.col("close") * F.col("volume")).over(last_20))})
     peak = F.max(F.struct(F.round("p", 9).alias("r"), (-F.col("nth")).alias("k"), "p", "date")).over(ahead)
-    t = t.withColumns({"peak": peak, "last_price": F.last("p").over(seg.rowsBetween(0, Window.unboundedFollowing))})
+    t = t.withColumns({"peak": peak, "last_price": F.last("p").over(seg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     ok = (F.col("close") >= min_price) & (F.col("dollar") >= min_dollar) & (F.col("p") > 0) & F.col("peak").isNotNull()
     starts = t.filter(ok).withColumn("m", F.col("peak.p") / F.col("p")).filter(F.col("m") >= multiple)
     best = starts.groupBy("ticker").agg(F.max_by(F.struct("segment", "date", "nth", "p", "peak", "m", "last_price"), F.struct(F.round("m", 9).alias("r"), (-F.unix_date("date")).alias("k"))).alias("s")).select("ticker", "s.*")

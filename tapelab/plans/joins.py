@@ -114,6 +114,6 @@ def outstanding(documents, labels):
 @query("jon19_unadjust", "bars", "splits", sql="SELECT b.ticker, b.date, round(close * coalesce((SELECT product(ratio) FROM splits AS s WHERE s.ticker = b.ticker AND s.split_date > b.date), 1), 6) AS raw_close FROM bars AS b")
 def unadjust(bars, splits):
     """Products of later ratios: splits are put among the bars and multiplied up from the end, without pairs."""
-    w = Window.partitionBy("ticker").orderBy("date", "k").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("ticker").orderBy(F.desc("date"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     both = bars.select("ticker", "date", F.lit(1).alias("k"), "close", F.lit(1.0).alias("ratio")).unionByName(splits.select("ticker", F.col("split_date").alias("date"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("close"), "ratio"))
     return both.withColumn("f", F.coalesce(F.product("ratio").over(w), F.lit(1.0))).filter("k = 1").select("ticker", "date", r6(F.col("close") * F.col("f")).alias("raw_close"))

@@ -179,3 +179,35 @@ def test_draws_are_dealt_to_tasks(spark):
     tasks = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert sum(r["count"] for r in tasks) == 20_000 and len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert max(r["count"] for r in tasks) < 4_000
+
+
+def frames(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_forward_asof_reads_no_frame_again(spark):
+    """A frame from a row to its key's end is read again for each row, which is quadratic in a key's rows."""
+    from tapelab.plans.registry import joins
+
+    a = spark.createDataFrame([(1, t) for t in (None, *range(0, 40, 3))] + [(2, 5), (None, 4)], "k long, t long")
+    b = spark.createDataFrame([(1, u, 100 * u + v) for u in range(1, 36, 5) for v in range(2)] + [(2, 4, 9), (None, 6, 8)], "k long, u long, v long")
+    for strict in (False, True):
+        j = asof_join(a, b, "k", "t", "u", "forward", not strict, tie="v")
+        assert "unboundedfollowing" not in frames(j)
+        for r in j.filter("k = 1 and t is not null").collect():
+            later = [100 * u for u in range(1, 36, 5) if u > r["t"] or (u == r["t"] and not strict)]
+            assert (r["match"]["v"] if r["match"] else None) == (min(later) if later else None)
+    raw = joins.unadjust(spark.createDataFrame([(1, D(2020, 1, d), 1.0) for d in (1, 2, 3)], "ticker long, date date, close double"), spark.createDataFrame([(1, D(2020, 1, 2), 2.0), (1, D(2020, 1, 3), 3.0)], "ticker long, split_date date, ratio double"))
+    assert "unboundedfollowing" not in frames(raw)
+    assert [r["raw_close"] for r in raw.orderBy("date").collect()] == [6.0, 3.0, 1.0]
+
+
+def test_event_takes_the_next_bar_without_reading_again(spark):
+    b = spark.createDataFrame([(t, D(2020, 1, d), d) for t in (1, 2) for d in range(2, 30, 4)], "ticker long, date date, nth int")
+    e = spark.createDataFrame([(t, D(2020, 1, d), "BMO") for t in (1, 2) for d in range(1, 31)], "ticker long, earnings_date date, report_time string")
+    t = event_to_bar(e, b)
+    assert "unboundedfollowing" not in frames(t)
+    for r in t.collect():
+        later = [d for d in range(2, 30, 4) if d >= r["earnings_date"].day]
+        assert r["at"] == r["reaction"] == (min(later) if later else None)
+        assert r["exact"] == (r["earnings_date"].day in later if later else None)
