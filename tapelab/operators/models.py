@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapelab.sources.files import stored
+
 FEATURES = ("ret_21", "drawdown")
 REGISTRY = {
     "logistic": lambda: LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=100),
@@ -37,8 +39,9 @@ def predict(model, rows: DataFrame, share: float = 0.0) -> DataFrame:
 
 
 def before(scored: DataFrame, cut_year: int, gap_days: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Rows to learn from, the last ``gap_days`` before the cut left out, and rows from the cut on."""
+    """Rows to learn from, the last ``gap_days`` before the cut left out, and rows from the cut on. They are stored first, as a fit goes through them many times."""
     cut = F.lit(f"{cut_year}-01-01").cast("date")
+    scored = stored(scored, "scored")
     return scored.filter(F.col("date") < F.date_sub(cut, gap_days)), scored.filter(F.col("date") >= cut)
 
 

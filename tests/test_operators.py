@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapelab.operators import facts, features, outcomes, stats, texts
@@ -211,3 +212,15 @@ def test_event_takes_the_next_bar_without_reading_again(spark):
         later = [d for d in range(2, 30, 4) if d >= r["earnings_date"].day]
         assert r["at"] == r["reaction"] == (min(later) if later else None)
         assert r["exact"] == (r["earnings_date"].day in later if later else None)
+
+
+def test_fits_read_stored_rows(spark):
+    """A fit goes through its rows many times, so what derives them must not run again each time."""
+    from tapelab.operators import models
+
+    rows = spark.createDataFrame([(1, D(1995, 1, 1) + dt.timedelta(days=d), d % 2) for d in range(0, 800, 5)], "ticker long, date date, label int")
+    derived = rows.withColumn("nth", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
+    train, test = models.before(derived, 1996)
+    assert "window" not in frames(train) + frames(test)
+    assert (train.count(), test.count()) == (53, 87)
+    assert train.agg(F.max("date")).first()[0] == D(1995, 9, 18) and test.agg(F.min("nth")).first()[0] == 74
