@@ -126,3 +126,17 @@ def test_ranks_of_ranges_equal_sorted_ranks(spark):
     for g in ("a", "b"):
         xs = sorted(x for h, x, _ in data if h == g and x is not None)
         assert {x: got[g, x] for x in set(xs)} == {x: xs.index(x) + (xs.count(x) + 1) / 2 for x in set(xs)}
+
+
+def test_ledger_is_gone_through_once(spark):
+    """Entries and transcripts are parsed where a ledger is read, so each further reading parses them all again."""
+    spec = "ticker long, end_date date, list string, slot string, value double, period string, prior_value double, kind string, verified boolean, reason string"
+    row = lambda t, d, slot, v: (t, d, "figures", slot, v, "quarter", None, None, True, None)
+    q1, q2, q4 = D(2020, 3, 31), D(2020, 6, 30), D(2020, 12, 31)
+    led = spark.createDataFrame([row(1, q1, "revenue", 1.0), row(1, q1, "revenue", 2.0), row(1, q1, "backlog", 5.0), row(1, q2, "revenue", 4.0), row(1, q2, "bookings", 7.0), row(1, q4, "revenue", 9.0), row(None, q1, "revenue", 1.0), row(None, q2, "revenue", 1.0)], spec)
+    for t in (e.compare_ledgers(led), e.momentum(led), e.tiers(led), e.runway_bands(led)):
+        assert t._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = sorted((r["ticker"], r["end_date"], r["slot"], r["value"] or 0, r["prior"] or 0, r["direction"]) for r in e.compare_ledgers(led).collect())
+    assert got == [(1, q2, "backlog", 0, 5.0, "not_reported_now"), (1, q2, "bookings", 7.0, 0, "not_reported_before"), (1, q2, "revenue", 4.0, 1.0, "improved"), (1, q2, "revenue", 4.0, 2.0, "improved")]
+    assert {(r["ticker"], r["end_date"], r["basis"] is None) for r in e.momentum(led).collect()} == {(1, q1, True), (1, q2, False), (1, q4, True), (None, q1, True), (None, q2, True)}
+    assert e.tiers(led).count() == 3
