@@ -54,27 +54,34 @@ def barrier_outcome(picks: DataFrame, bars: DataFrame, target: float, stop: floa
     """ticker, entry, outcome, ret, held: the first bar that reaches the stop (looked at first) or the target, at the barrier
     or the open beyond it; else the last close, times ``haircut`` and named ``short`` where fewer than n bars follow. Picks without a bar behind them have no row.
 
-    A pick meets blocks of bars, not bars: a block's lowest low and highest high tell whether a barrier can have been touched in it, and only then are its bars gone through.
+    A pick meets one row with the blocks of bars that it can reach: a block's lowest low and highest high tell whether a barrier can have been touched in it, and only
+    then are its bars gone through, up to the first block with a touch.
     """
     b = bars.select("ticker", F.row_number().over(W()).cast("long").alias("nth"), "open", "high", "low", "close")
     blocks = b.groupBy(F.col("ticker").alias("tk"), F.floor(F.col("nth") / block).alias("b")).agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.array_sort(F.collect_list(F.struct("nth", "open", "high", "low", "close"))).alias("path"))
-    p = picks.withColumns({"floor": F.col("base") * (1 - stop), "ceiling": F.col("base") * (1 + target), "blk": F.explode(F.sequence(F.floor((F.col("entry") + 1) / block), F.floor((F.col("entry") + n) / block)))})
-    j = p.join(blocks, (p["ticker"] == blocks["tk"]) & (p["blk"] == blocks["b"]))
+    reach = (n + block - 1) // block
+    ahead = blocks.withColumn("at", F.explode(F.sequence(F.col("b") - reach, F.col("b")))).groupBy("tk", "at").agg(F.array_sort(F.collect_list(F.struct("b", "lowest", "highest", "path"))).alias("ahead"))
+    p = picks.select("ticker", "entry", "base").distinct().withColumns({"floor": F.col("base") * (1 - stop), "ceiling": F.col("base") * (1 + target)})
+    j = p.join(ahead, (F.col("ticker") == F.col("tk")) & (F.floor(F.col("entry") / block) == F.col("at")))
     within = lambda x: (x["nth"] > F.col("entry")) & (x["nth"] <= F.col("entry") + n)
+    bar = F.lit(None).cast(blocks.schema["path"].dataType.elementType)
+    reached = lambda low, high: (low <= F.col("floor")) | (high >= F.col("ceiling"))
+
+    def result(k: Column, outcome: Column, price: Column) -> Column:
+        return F.struct(k.alias("held"), outcome.alias("outcome"), (price / F.col("base") - 1).alias("ret"))
 
     def touch(x: Column) -> Column:
-        fill = F.when(x["low"] <= F.col("floor"), F.least("floor", x["open"])).otherwise(F.greatest("ceiling", x["open"]))
-        return F.struct((x["nth"] - F.col("entry")).alias("k"), F.when(x["low"] <= F.col("floor"), "stop").otherwise("target").alias("outcome"), fill.alias("fill"))
-
-    touched = F.filter("path", lambda x: within(x) & ((x["low"] <= F.col("floor")) | (x["high"] >= F.col("ceiling"))))
-    hit = F.when((F.col("lowest") <= F.col("floor")) | (F.col("highest") >= F.col("ceiling")), F.get(F.transform(F.slice(touched, 1, 1), touch), F.lit(0)))
-    newest = F.try_element_at(F.filter("path", within), F.lit(-1))
-    last = F.when(newest.isNotNull(), F.struct((newest["nth"] - F.col("entry")).alias("k"), newest["close"].alias("close")))
-    g = j.select("ticker", "entry", "base", hit.alias("hit"), last.alias("last")).groupBy("ticker", "entry", "base").agg(F.min("hit").alias("hit"), F.max("last").alias("last")).filter("last is not null")
-    ended = F.col("last.k") < n
-    price = F.when(F.col("hit").isNotNull(), F.col("hit.fill")).otherwise(F.col("last.close") * F.when(ended, haircut).otherwise(1.0))
-    outcome = F.when(F.col("hit").isNotNull(), F.col("hit.outcome")).when(ended, short).otherwise("timeout")
-    return g.select("ticker", "entry", outcome.alias("outcome"), (price / F.col("base") - 1).alias("ret"), F.coalesce("hit.k", "last.k").alias("held"))
+        stopped = x["low"] <= F.col("floor")
+        price = F.when(stopped, F.least("floor", x["open"])).otherwise(F.greatest("ceiling", x["open"]))
+        return F.when(x.isNotNull(), result(x["nth"] - F.col("entry"), F.when(stopped, "stop").otherwise("target"), price))
+
+    def end(x: Column) -> Column:
+        ended = x["nth"] - F.col("entry") < n
+        return F.when(x.isNotNull(), result(x["nth"] - F.col("entry"), F.when(ended, short).otherwise("timeout"), x["close"] * F.when(ended, haircut).otherwise(1.0)))
+
+    first = F.aggregate("ahead", bar, lambda acc, x: F.when(acc.isNotNull(), acc).when(reached(x["lowest"], x["highest"]), F.get(F.filter(x["path"], lambda y: within(y) & reached(y["low"], y["high"])), F.lit(0))), touch)
+    newest = F.aggregate("ahead", bar, lambda acc, x: F.coalesce(F.try_element_at(F.filter(x["path"], within), F.lit(-1)), acc), end)
+    return j.select("ticker", "entry", F.inline(F.array_compact(F.array(F.coalesce(first, newest))))).select("ticker", "entry", "outcome", "ret", "held")
 
 
 def best_run(bars: DataFrame, n: int, cross: float, min_base: float) -> DataFrame:

@@ -10,6 +10,7 @@ from tapelab.operators.windows import W, r6
 from tapelab.plans import sqltext as s
 from tapelab.plans.whole import BARRIER_SQL, barrier
 from tapelab.plans.registry import query
+from tapelab.sources.files import stored
 
 
 def ohlcv(ticks, day):
@@ -64,7 +65,7 @@ def base_rates(panel):
 
 @query("agg8_trade_stats", "bars", sql=f"SELECT outcome, count(*) AS n, round(avg(ret), 5) AS mean_ret, round(median(ret), 5) AS median_ret, round(avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END), 6) AS win_rate, round(avg(held), 6) AS mean_hold FROM ({BARRIER_SQL}) AS t GROUP BY outcome")
 def trade_stats(bars):
-    t = barrier(bars)
+    t = stored(barrier(bars).select("outcome", "ret", "held"), "trades")  # read for the means, the cuts and the counts of ranges
     g = t.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ret"), 5).alias("mean_ret"), r6(F.avg((F.col("ret") > 0).cast("int"))).alias("win_rate"), r6(F.avg("held")).alias("mean_hold"))
     return g.join(quantiles(t, "ret", ["outcome"], median_ret=0.5), "outcome", "left").withColumn("median_ret", F.round("median_ret", 5))
 

@@ -224,3 +224,16 @@ def test_fits_read_stored_rows(spark):
     assert "window" not in frames(train) + frames(test)
     assert (train.count(), test.count()) == (53, 87)
     assert train.agg(F.max("date")).first()[0] == D(1995, 9, 18) and test.agg(F.min("nth")).first()[0] == 74
+
+
+def test_barrier_paths_are_met_once(spark):
+    """A pick meets one row of blocks, so what it met isn't gathered again; the trades are stored before their statistics."""
+    from tapelab.plans.registry import aggregates
+
+    b = bars(spark, [100, 101, 99, 120, 80, 100])
+    picks = spark.createDataFrame([(1, 1, 100.0), (1, 1, 100.0), (1, 4, 120.0), (1, 6, 100.0), (1, -3, 100.0)], "ticker long, entry long, base double")
+    t = outcomes.barrier_outcome(picks, b, 0.15, 0.1, 4, block=2)
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+    assert sorted((r["entry"], r["outcome"], r["held"]) for r in t.collect()) == [(-3, "timeout", 4), (1, "target", 3), (4, "stop", 1)]
+    assert "logicalrdd" not in frames(aggregates.trade_stats(b))
