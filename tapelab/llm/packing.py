@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 POOL = 256
 END_ID = 1
+#: Bytes of texts whose distinct words are looked up together.
+TOGETHER = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -52,80 +55,118 @@ def _letters_apart() -> re.Pattern:
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer that never joins across blanks: each distinct word is encoded once per (bounded) cache, which
-    forgets what wasn't used for a generation.
+    """Ids of texts by a tokenizer that never joins across blanks: each distinct word of a batch is looked at once, by Arrow where it can be.
 
     Most words are a run of letters with ASCII punctuation behind: two pre-tokens, of which each ends with the only token
     that carries the end-of-word mark. Such runs are encoded many to a call, whatever their case, and cut at those marks; other words one by
-    one, also those with a letter that the tokenizer takes apart into a letter and a mark. Ids are held as bytes (little-endian int32), so a text's ids are one join.
+    one, also those with a letter that the tokenizer takes apart into a letter and a mark. Ids are held as bytes (little-endian int32), so that
+    those of a text are its words' behind one another. What was encoded is kept in (bounded) caches, which forget what wasn't used for a generation.
     """
 
     def __init__(self, path: str, cache_words: int = 100_000):
-        self.encode, self.most = _tokenizer(path).encode_batch_fast, cache_words
+        self.encode = _tokenizer(path).encode_batch_fast
         vocab = _tokenizer(path).get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
-        self.old_words, self.old_runs = self.words, self.runs
+        self.words, self.runs = _Cache(self._encode_words, cache_words), _Cache(self._encode_runs, cache_words)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<i4") for x in self.encode(texts, add_special_tokens=False)]
 
-    def _encode_runs(self, runs: list[bytes], together: int = 200) -> None:
+    def _encode_runs(self, runs: list[bytes], together: int = 200) -> list[bytes]:
+        out = []
         parts = [runs[k : k + together] for k in range(0, len(runs), together)]
         for part, ids in zip(parts, self._ids([b" ".join(p).decode("utf-8") for p in parts])):
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             data = ids.tobytes()
             if len(ends) == len(part):
-                self.runs.update(zip(part, [data[i:j] for i, j in zip([0, *ends[:-1]], ends)]))
+                out += [data[i:j] for i, j in zip([0, *ends[:-1]], ends)]
             else:
-                self.runs.update(zip(part, [x.tobytes() for x in self._ids([r.decode("utf-8") for r in part])]))
+                out += self._encode_words(part)
+        return out
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        return [x.tobytes() for x in self._ids([w.decode("utf-8") for w in words])]
 
-    def _encode_words(self, words: list[bytes]) -> None:
-        cut, others = [], []
+    def _of_distinct(self, words: pa.Array) -> pa.Array:
+        """The ids of each of the words, which differ; an empty one has none."""
+        core = pc.ascii_rtrim(words, _PUNCTUATION.decode())
+        tail_bytes = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy()
+        plain = pc.ascii_is_alpha(core).to_numpy(zero_copy_only=False)
+        rest, tailed = np.flatnonzero(~plain), np.flatnonzero(tail_bytes)
+        cores, others = _bytes(core.take(pa.array(rest))), []
         apart = _letters_apart()
-        if not apart.search(b" ".join(words).decode("utf-8")):  # most often none has such a letter
+        if not apart.search(b" ".join(cores).decode("utf-8")):  # most often none has such a letter
             apart = None
-        for w in words:
-            core = w.rstrip(_PUNCTUATION)
-            if core.isalpha():  # ASCII letters
-                cut.append((w, core.lower(), w[len(core) :]))
-            elif core and len(core) < 200 and (s := core.decode("utf-8")).isalpha() and not (apart and apart.search(s)):
-                cut.append((w, core if "Σ" in s else s.lower().encode("utf-8"), w[len(core) :]))
+        for k, c in enumerate(cores):
+            if c and len(c) < 200 and (s := c.decode("utf-8")).isalpha() and not (apart and apart.search(s)):
+                if "Σ" not in s:
+                    cores[k] = s.lower().encode("utf-8")
             else:
-                others.append(w)
-        self.runs[b""] = b""
-        runs = {x[1] for x in cut} | {x[2] for x in cut}
-        _recall(runs, self.runs, self.old_runs)
-        self._encode_runs([r for r in runs if r not in self.runs])
-        self.words.update([(w, self.runs[core] + self.runs[tail]) for w, core, tail in cut])
+                others.append(k)
+                cores[k] = b""
+        tails = [w[len(w) - n :] for w, n in zip(_bytes(words.take(pa.array(tailed))), tail_bytes[tailed].tolist())]
+        lower = pc.ascii_lower(core).view(pa.binary())
+        runs = pa.concat_arrays([lower.filter(pa.array(plain)), pa.array([*cores, *tails, b""], pa.binary())]).dictionary_encode()
+        ids = pa.array(self.runs.of(_bytes(runs.dictionary)), pa.large_binary())
+        at, n = runs.indices.to_numpy(), len(words)
+        first, last = np.empty(n, np.int32), np.full(n, at[-1], np.int32)
+        first[plain], first[rest] = at[: n - len(rest)], at[n - len(rest) : n]
+        last[tailed] = at[n:-1]
+        out = pc.binary_join_element_wise(ids.take(pa.array(first)), ids.take(pa.array(last)), pa.scalar(b"", pa.large_binary()))
         if others:
-            self.words.update(zip(others, [x.tobytes() for x in self._ids([w.decode("utf-8") for w in others])]))
+            own = rest[others]
+            whole = pa.array(self.words.of(_bytes(words.take(pa.array(own)))), pa.large_binary())
+            place = np.arange(n)
+            place[own] = n + np.arange(len(own))
+            out = pa.concat_arrays([out, whole]).take(pa.array(place))
+        return out
+
+    def column(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text of a string column; a null is empty."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return [np.empty(0, "<i4")] * len(texts)
+        ids = self._of_distinct(words.dictionary).take(words.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy() // 4)])
+        at = ends[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])].tolist()
+        data = np.frombuffer(ids.buffers()[2] or b"", "<i4")
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > self.most:
-            self.old_words, self.words = self.words, {}
-        if len(self.runs) > self.most:
-            self.old_runs, self.runs = self.runs, {}
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = set().union(*words).difference(self.words)
-        _recall(new, self.words, self.old_words)
-        new = [w for w in new if w not in self.words]
-        if new:
-            self._encode_words(new)
-        out = [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<i4") for ws in words]
-        for w in new:
-            if len(w) > 64:
-                del self.words[w]
-        for r in [r for r in self.runs if len(r) > 64] if any(len(w) > 64 for w in new) else ():
-            del self.runs[r]
-        return out
+        return self.column(pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.binary()).view(pa.string()))
+
 
+def _bytes(strings: pa.Array) -> list[bytes]:
+    return strings.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
-def _recall(wanted: set[bytes], cache: dict[bytes, bytes], old: dict[bytes, bytes]) -> None:
-    """What was used in the generation before lives on."""
-    cache.update([(w, old[w]) for w in wanted if w not in cache and w in old])
+
+class _Cache:
+    """Ids by word, made by ``encode`` for those that are new; long words are not kept."""
+
+    def __init__(self, encode, most: int):
+        self.encode, self.most = encode, most
+        self.now: dict[bytes, bytes] = {}
+        self.old = self.now
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        if len(self.now) > self.most:
+            self.old, self.now = self.now, {}
+        self.now[b""] = b""
+        out = list(map(self.now.get, words))
+        gone = [k for k, x in enumerate(out) if x is None]
+        new = []
+        for k in gone:  # what was used in the generation before lives on
+            if (x := self.old.get(words[k])) is None:
+                new.append(k)
+            else:
+                out[k] = self.now[words[k]] = x
+        for k, x in zip(new, self.encode([words[k] for k in new]) if new else ()):
+            out[k] = x
+            if len(words[k]) <= 64:
+                self.now[words[k]] = x
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -249,9 +290,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     def run(batches):
         tokens, packer = word_tokens(path), Packer(TaskContext.get().partitionId() << 40, capacity, pool)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                for key, ids in zip(part.column(0).to_pylist(), tokens.batch(part.column(1).to_pylist())):
+            step = max(1, min(2048, b.num_rows * TOGETHER // max(1, b.nbytes)))  # rows, of about TOGETHER bytes
+            for k in range(0, b.num_rows, step):
+                part = b.slice(k, step)
+                for key, ids in zip(part.column(0).to_pylist(), tokens.column(part.column(1))):
                     packer.add(key, np.append(ids, np.int32(END_ID)))
                 if packer.rows:
                     yield batch(packer.rows)

@@ -124,6 +124,28 @@ def test_packing_ids_of_letters_that_come_apart():
     assert [list(g) for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_looks_at_a_word_once_however_often_it_stands():
+    """Columns with nulls, every kind of blank, empty and odd words, in slices and with caches that overflow, against the library; repeats are no work word by word."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokens(packing.default_tokenizer(), cache_words=50)
+    rng = random.Random(5)
+    odd = ["Über,", "ΣΑΣ.", "İx", "###", "a" * 300 + "!", "é" * 150 + "?", "x1", "don't", "12.5%", "中文。", "\x1cab", "\u00a0", "😀!", "<|endoftext|>", "..", "ab" + "-" * 70, "\x00"]
+    word = lambda: rng.choice(odd) if rng.random() < 0.2 else "".join(rng.choices("abcdeÀéñß", k=rng.randint(1, 4))) + rng.choice(["", "", ".", ",!"])
+    texts = [None, "", " ", "\n\t a\x0bb\x0cc\r ", *("".join(word() + rng.choice(" \t\n\r\x0b\x0c") * rng.randint(1, 2) for _ in range(rng.randint(0, 60))) for _ in range(200))]
+    want = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    col = pa.array(["before", *texts, "behind"], pa.string())
+    for step in (7, 300):
+        assert [list(g) for k in range(0, len(texts), step) for g in own.column(col.slice(1 + k, min(step, len(texts) - k)))] == want
+    assert [list(g) for g in own.column(col.cast(pa.large_string()).slice(1, len(texts)))] == want
+    asked, of = [], own.runs.of
+    own.runs.of = lambda words: asked.extend(words) or of(words)
+    assert len(own.column(pa.array(["one two, One "] * 1000))) == 1000 and len(asked) < 10
+
+
 def test_best_subset_is_best():
     import itertools
     import random
