@@ -128,3 +128,24 @@ def test_ten_tickers_share_the_articles_of_all_users(spark):
     earnings = spark.createDataFrame([(13, dt.date(1995, 1, 1)), (23, dt.date(1995, 1, 1)), (3, dt.date(1995, 1, 31)), (7, dt.date(1995, 2, 1))], "ticker long, earnings_date date")
     got = {(r["ticker"], str(r["earnings_date"])): (r["articles"], r["total"]) for r in joins.lookback(earnings, news).collect()}
     assert got == {(3, "2024-01-01"): (3, 1), (3, "2024-01-31"): (5, 1), (7, "2024-02-01"): (1, 0)}
+
+
+def test_articles_keep_their_own_ticker(spark):
+    """Each article's window over its own ticker stands beside that over all tickers with its last digit; against plain loops."""
+    from tapelab.plans import features
+
+    day = 86_400_000_000
+    at = [(1, 3, 0, 1), (2, 13, 0, -1), (3, 3, day - 1, -1), (4, 3, day, 0), (5, 3, day, None), (6, 13, day - 1, 1), (7, -7, -1, 1), (8, 3, None, 1), (9, 13, None, 0), (10, None, day, 1), (11, None, day + 1, 0), (12, 1003, 5 * day, None), (12, 1003, 5 * day, -1)]
+    at += [(100 + i, 23, i * day // 7, i % 3 - 1) for i in range(40)]
+    news = spark.createDataFrame(at, "article_id long, ticker long, us long, sentiment int")
+    last = lambda t: None if t is None else int(str(t)[-1]) * (1 if t >= 0 else -1)
+
+    def window(key, t, us):
+        s = [r[3] for r in at if key(r[1]) == key(t) and (r[2] is None if us is None else r[2] is not None and us - day < r[2] <= us)]
+        known = [x for x in s if x is not None]
+        return (round(sum(known) / len(known), 6) if known else None, len(s))
+
+    want = [(i, last(t), *window(last, t, us), t, *window(lambda x: x, t, us)) for i, t, us, _ in at]
+    got = [tuple(r[c] for c in ("article_id", "ticker", "mean_24h", "n_24h", "own_ticker", "own_mean_24h", "own_n_24h")) for r in features.trailing_sentiment(news).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len({r[4] for r in got}) == 6
